@@ -1,9 +1,11 @@
 """Registered queries of the corpus operators, and their SQL where SQL can express them."""
 
 from barlab.llm.decontaminate import op1_decontaminate
+from barlab.llm.near_dedup import op3_near_dedup
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_near_dedup": op3_near_dedup,
 }
 
 SQL: dict[str, str] = {}
