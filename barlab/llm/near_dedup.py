@@ -152,7 +152,8 @@ def confirm(size: int, percent: int, id_type: pa.DataType):
                     else:
                         continue
                     break
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], schema=schema)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], schema=schema)
 
     return run
 
