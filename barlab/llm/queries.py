@@ -2,10 +2,12 @@
 
 from barlab.llm.decontaminate import op1_decontaminate
 from barlab.llm.near_dedup import op3_near_dedup
+from barlab.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_dedup": op3_near_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 SQL: dict[str, str] = {}
