@@ -2,12 +2,14 @@
 
 from barlab.llm.decontaminate import op1_decontaminate
 from barlab.llm.near_dedup import op3_near_dedup
+from barlab.llm.suffix_tree import op6_suffix_tree
 from barlab.llm.token_files import op10_token_files
 from barlab.llm.toxicity import op9_toxicity
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_dedup": op3_near_dedup,
+    "op6_suffix_tree": op6_suffix_tree,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
