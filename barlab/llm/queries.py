@@ -1,6 +1,7 @@
 """Registered queries of the corpus operators, and their SQL where SQL can express them."""
 
 from barlab.llm.decontaminate import op1_decontaminate
+from barlab.llm.gif import op4_gif
 from barlab.llm.near_dedup import op3_near_dedup
 from barlab.llm.suffix_tree import op6_suffix_tree
 from barlab.llm.token_files import op10_token_files
@@ -9,6 +10,7 @@ from barlab.llm.toxicity import op9_toxicity
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_dedup": op3_near_dedup,
+    "op4_gif": op4_gif,
     "op6_suffix_tree": op6_suffix_tree,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
