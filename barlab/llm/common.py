@@ -67,3 +67,10 @@ def running_total(df: DataFrame, order: str, value: str, out: str, width: int =
     )
     inner = F.coalesce(F.sum(value).over(before(Window.partitionBy("__top").orderBy(order))), F.lit(0))
     return df.withColumn("__in", inner).join(tops, "__top").withColumn(out, F.col("__in") + F.col("__base")).drop("__top", "__in", "__base")
+
+
+def by_id(df: DataFrame, ids: DataFrame, column: str, how: str, most: int = 1_000_000) -> DataFrame:
+    """Semi or anti join of wide rows with a staged table of ids. Up to ``most`` ids (a few
+    tens of MB) travel to the rows; more of them meet the rows in a shuffle."""
+    small = ids.limit(most + 1).count() <= most
+    return df.join(F.broadcast(ids) if small else ids, column, how)

@@ -24,7 +24,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import drop_staged, slices, staged, table
+from barlab.llm.common import by_id, drop_staged, slices, staged, table
 from barlab.llm.components import components
 from barlab.llm.decontaminate import arrow_type
 
@@ -176,20 +176,20 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     reps, reps_at = staged(
         live.groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "n", "bands", "level", "odd", "next_odd"), "doc_id").alias("r")).select("r.*"), "representatives"
     )
-    banded = reps.select(F.col("doc_id").alias("id"), "n", F.explode("bands").alias("key"))
+    banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     centres = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("centre")).filter("m > 1").drop("m")
-    buckets, buckets_at = staged(banded.join(centres, "key").select("key", "id", "centre", "n"), "buckets")
+    buckets, buckets_at = staged(banded.join(centres, "key").select("key", "id", "centre"), "buckets")
     sketch = reps.select(F.col("doc_id").alias("id"), "n", "level", "odd", "next_odd")
     near = may_link(percent)
 
     def verified(pairs: DataFrame) -> tuple[DataFrame, str]:
         pairs, pairs_at = staged(pairs, "pairs")
-        ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        texts = docs.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("t"))
+        ids, ids_at = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+        texts = by_id(docs, ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("t"))
         both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a")
         both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
         out = staged(both.mapInArrow(confirm(shingle, percent, id_type), f"a {kind}, b {kind}"), "links")
-        drop_staged(spark, pairs_at)
+        drop_staged(spark, pairs_at, ids_at)
         return out
 
     first = buckets.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
@@ -208,12 +208,12 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     final, final_at = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     classes = live.groupBy("set_hash").agg(F.min("doc_id").alias("id")).join(final, "id", "left")
-    classes = classes.select("set_hash", F.coalesce("component", "id").alias("class"))
+    classes, classes_at = staged(classes.select("set_hash", F.coalesce("component", "id").alias("class")), "classes")
     # rows of one id are one document: its component is the least that its texts reach
     out = marked.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
     out, _ = staged(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
-    drop_staged(spark, marked_at, reps_at, buckets_at, links_at, labels_at, more_at, final_at)
+    drop_staged(spark, marked_at, reps_at, buckets_at, links_at, labels_at, more_at, final_at, classes_at)
     return out
 
 
@@ -221,11 +221,11 @@ def keep_one(documents: DataFrame, *, id_col: str = "doc_id", **options) -> Data
     """The rows of ``documents`` that stay: one of each group of near-duplicates, the one
     of the smallest id (of rows that repeat an id and stay, one), and all of null ids."""
     groups = find_groups(documents, id_col=id_col, **options)
-    kept = groups.filter("kept and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("m"))
-    kept, _ = staged(kept, "kept")
-    out = documents.join(kept.select(F.col("doc_id").alias(id_col)), id_col, "left_semi").unionByName(documents.filter(F.col(id_col).isNull()))
-    repeated = kept.filter("m > 1").limit(1).count()
-    return (out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull())) if repeated else out).select(documents.columns)
+    gone, _ = staged(groups.filter("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
+    out = by_id(documents, gone, id_col, "left_anti").select(documents.columns)
+    if not groups.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return out
+    return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull()))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:
