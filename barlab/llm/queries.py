@@ -6,14 +6,18 @@ from barlab.llm.near_dedup import op3_near_dedup
 from barlab.llm.suffix_tree import op6_suffix_tree
 from barlab.llm.token_files import op10_token_files
 from barlab.llm.toxicity import op9_toxicity
+from barlab.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op3_near_dedup": op3_near_dedup,
     "op4_gif": op4_gif,
+    "op5_warc": op5_warc,
     "op6_suffix_tree": op6_suffix_tree,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_warc": OP5_SQL,
+}
