@@ -3,6 +3,7 @@
 from barlab.llm.decontaminate import op1_decontaminate
 from barlab.llm.gif import op4_gif
 from barlab.llm.near_dedup import op3_near_dedup
+from barlab.llm.shards import op7_shards
 from barlab.llm.suffix_tree import op6_suffix_tree
 from barlab.llm.token_files import op10_token_files
 from barlab.llm.toxicity import op9_toxicity
@@ -14,6 +15,7 @@ QUERIES = {
     "op4_gif": op4_gif,
     "op5_warc": op5_warc,
     "op6_suffix_tree": op6_suffix_tree,
+    "op7_shards": op7_shards,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
