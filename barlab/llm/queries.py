@@ -2,6 +2,7 @@
 
 from barlab.llm.decontaminate import op1_decontaminate
 from barlab.llm.gif import op4_gif
+from barlab.llm.mixture import OP2_SQL, op2_mixture
 from barlab.llm.near_dedup import op3_near_dedup
 from barlab.llm.shards import op7_shards
 from barlab.llm.suffix_tree import op6_suffix_tree
@@ -11,6 +12,7 @@ from barlab.llm.warc import OP5_SQL, op5_warc
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_mixture": op2_mixture,
     "op3_near_dedup": op3_near_dedup,
     "op4_gif": op4_gif,
     "op5_warc": op5_warc,
@@ -21,5 +23,6 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op2_mixture": OP2_SQL,
     "op5_warc": OP5_SQL,
 }
