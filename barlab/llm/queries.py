@@ -2,6 +2,7 @@
 
 from barlab.llm.decontaminate import op1_decontaminate
 from barlab.llm.gif import op4_gif
+from barlab.llm.line_dedup import op8_line_dedup
 from barlab.llm.mixture import OP2_SQL, op2_mixture
 from barlab.llm.near_dedup import op3_near_dedup
 from barlab.llm.shards import op7_shards
@@ -18,6 +19,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_suffix_tree": op6_suffix_tree,
     "op7_shards": op7_shards,
+    "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
 }
