@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -150,6 +151,17 @@ def searcher(phrases, schema: pa.Schema, text_at: int):
     return run
 
 
+def phrase_blocks(spark, benchmark: DataFrame, *, item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> Iterator:
+    """The benchmark's phrases as broadcasts of about ``block_bytes`` of text each."""
+    benchmark = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
+    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_blocks = -(-size // block_bytes) or 1
+    for block in range(n_blocks):
+        part = benchmark.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
+        items = [(r.item, None if r.text is None else r.text.encode()) for r in part.toLocalIterator()]
+        yield spark.sparkContext.broadcast(Phrases(items, window))
+
+
 def find_benchmark(documents: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Occurrences of benchmark windows in whole documents.
 
@@ -159,10 +171,6 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, *, id_col: str =
     one window, a null or empty one has none, a null item id counts as "". Items with equal
     windows are all listed. Other columns are ignored, whatever their names.
     """
-    spark = documents.sparkSession
-    benchmark = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text"))
-    size = benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n_blocks = -(-size // block_bytes) or 1
     kind = documents.schema[id_col].dataType.simpleString()
     df = documents.select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"),
@@ -170,10 +178,7 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, *, id_col: str =
         F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"),
     )
     schema = pa.schema([("doc_id", arrow_type(documents, id_col)), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-    for block in range(n_blocks):
-        part = benchmark.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == block)
-        items = [(r.item, None if r.text is None else r.text.encode()) for r in part.toLocalIterator()]
-        phrases = spark.sparkContext.broadcast(Phrases(items, window))  # at most about block_bytes of text
+    for phrases in phrase_blocks(documents.sparkSession, benchmark, item_col=item_col, item_text_col=item_text_col, window=window, block_bytes=block_bytes):
         df = df.mapInArrow(searcher(phrases, schema, 1), f"doc_id {kind}, text string, {HITS}")
     return df
 
@@ -211,6 +216,29 @@ def clean_texts(found: DataFrame) -> DataFrame:
     return found.mapInPandas(run, ", ".join([*names, "clean_text string"]))
 
 
+def without_benchmark(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents`` that no benchmark window occurs in, with all their columns;
+    rows of null text stay. The search is that of ``find_benchmark``, block by block."""
+    at, blocks = documents.columns.index("text"), phrase_blocks(documents.sparkSession, benchmark, **options)
+
+    def filtering(phrases):
+        def run(batches):
+            for batch in batches:
+                texts = batch.column(at).cast(pa.binary())
+                sizes = pa.compute.binary_length(texts).fill_null(0).to_pylist()
+                for a, b in slices(sizes, SHARD_BYTES):
+                    shard = Shard(phrases.value)
+                    for c, d in slices(sizes[a:b], SLICE_BYTES):
+                        shard.add(texts[a + c : a + d].to_pylist())
+                    yield batch.slice(a, b - a).filter(pa.array([not spans for _, _, spans in shard.hits()], pa.bool_()))
+
+        return run
+
+    for phrases in blocks:
+        documents = documents.mapInArrow(filtering(phrases), documents.schema)
+    return documents
+
+
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each document."""
     from barlab.llm.common import table

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlab.llm.common import staged, table
+from barlab.llm.common import by_id, staged, table
 
 NONE = "(none)"
 # Fixed values of the registered query: domains of sources, and weights (others weigh 1).
@@ -103,6 +103,16 @@ def mix(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     return rows.select("doc_id", *leaf, "n_tokens", F.col("copies").cast("bigint").alias("copies"), part.cast("bigint").alias("part_tokens"))
 
 
+def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+    """The rows of ``documents`` that the mixture of one epoch uses, with all their columns;
+    a document that the token prefix ends in stays whole. Rows that repeat an id stay if
+    one of them does; rows of null ids stay."""
+    plan = mix(documents, max_epochs=1, **options)
+    gone = plan.filter("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("n_tokens") * F.col("copies") + F.col("part_tokens")).alias("used"), F.max("n_tokens").alias("size"))
+    gone, _ = staged(gone.filter("used = 0 and size > 0").select("doc_id"), "unused")
+    return by_id(documents, gone, "doc_id", "left_anti").select(documents.columns)
+
+
 def op2_mixture(spark, sf_dir: str) -> DataFrame:
     """Every document's part in a mixture of 60 hundredths of all tokens."""
     return mix(table(spark, sf_dir, "documents"))

@@ -1,5 +1,6 @@
 """Registered queries of the corpus operators, and their SQL where SQL can express them."""
 
+import corpus_pipeline
 from barlab.llm.decontaminate import op1_decontaminate
 from barlab.llm.gif import op4_gif
 from barlab.llm.line_dedup import op8_line_dedup
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_line_dedup": op8_line_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "pipeline": corpus_pipeline.run,
 }
 
 SQL: dict[str, str] = {
