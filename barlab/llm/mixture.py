@@ -65,10 +65,10 @@ def leaf_budgets(supply: DataFrame, *, share: int, max_epochs: int) -> DataFrame
     """(domain, lang, source, tokens, budget) from the leaves' tokens and weights. The root
     has ``share`` hundredths of all tokens, or all that the leaves can give."""
     leaves = supply.withColumn("cap", F.col("tokens") * max_epochs)
-    root = leaves.agg(F.least(F.sum("tokens") * share, F.sum("cap") * 100).alias("b"))
-    root = root.select(F.expr("coalesce(b, 0) div 100").alias("parent_budget"))
-    domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap")).withColumn("weight", chosen("domain", DOMAIN_WEIGHTS, 1)).withColumn("_one", F.lit(1))
-    domains = divide(domains.join(F.broadcast(root)), ["_one"], "domain")  # one row
+    domains = leaves.groupBy("domain").agg(F.sum("cap").alias("cap"), F.sum("tokens").alias("tokens")).withColumn("weight", chosen("domain", DOMAIN_WEIGHTS, 1)).withColumn("_one", F.lit(1))
+    root = Window.partitionBy("_one")  # of a row for each domain
+    domains = domains.withColumn("_all", F.least(F.sum("tokens").over(root) * share, F.sum("cap").over(root) * 100)).withColumn("parent_budget", F.expr("_all div 100"))
+    domains = divide(domains, ["_one"], "domain")
     langs = leaves.groupBy("domain", "lang").agg(F.sum("cap").alias("cap")).withColumn("weight", chosen("lang", LANG_WEIGHTS, 1))
     langs = divide(langs.join(domains.select("domain", F.col("budget").alias("parent_budget")), "domain"), ["domain"], "lang")
     sources = leaves.withColumn("weight", chosen("source", SOURCE_WEIGHTS, 1))
