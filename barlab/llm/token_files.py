@@ -29,9 +29,14 @@ from pyspark.sql import functions as F
 
 from barlab.llm.common import running_total, slices, staged, table
 
-MAGIC, SLICE_BYTES, FILE_IDS, CACHE = b"BLV1", 1 << 20, 1 << 21, 300_000
+MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 1 << 20, 1 << 21
 LENGTHS = np.array([[(b >> 2 * k & 3) + 1 for k in range(4)] for b in range(256)], np.uint8)
+PIECES, PARTS = 400_000, 600_000
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
+OTHER_SPACE = re.compile(r"[^\S \n]")
+LETTERS = re.compile(r"( ?[^\W\d_]+)")
+UNSAFE = re.compile(r"'|\s\s|[^\S\n ]")
+SPACE = "\u0120"  # how a byte-level vocabulary writes a space
 
 
 def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -78,40 +83,80 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 
 class Encoder:
     """Ids of whole texts, as bytes. A space between two other characters always begins a
-    pre-token of byte-level BPE, so texts are cut there and each piece is encoded by the
-    library once; other white space stays inside its piece."""
+    pre-token of byte-level BPE, so texts are cut there; other white space stays inside its
+    piece. A new piece is cut again where letters and ASCII marks or digits meet, which ends
+    pre-tokens, too, and the library encodes each part once. Pieces and parts that were seen
+    are kept up to a number; ids do not depend on what is kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks use the cores
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.seen: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.pieces: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.end = np.zeros(1, self.kind).tobytes()
 
     def _pieces(self, text: str) -> list[str]:
-        parts = text.split(" ")
-        if any(not p or p[0].isspace() or p[-1].isspace() for p in parts):
-            parts = INNER_SPACE.split(text)
+        odd = "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text)
+        parts = INNER_SPACE.split(text) if odd else text.split(" ")
         return [parts[0], *[" " + p for p in parts[1:]]]
 
+    def _parts(self, piece: str) -> list[str]:
+        cut = LETTERS.split(piece)
+        if len(cut) < 3 or UNSAFE.search(piece) or not all(x.isascii() for x in cut[::2]) or not all(x.lstrip(" ").isalpha() for x in cut[1::2]) or any(t in piece for t in self.added):
+            return [piece]
+        return [x for x in cut if x]
+
+    def _encode_parts(self, new: list[str]) -> None:
+        width = self.kind.itemsize
+        words = [p for p in new if p.startswith(" ") and p[1:].isalpha()]
+        for a in range(0, len(words), 5_000):
+            run = words[a : a + 5_000]  # as one text, whose words begin where the ids have a space
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, self.kind)
+            at, raw = (np.flatnonzero(self.begins[ids]) * width).tolist(), ids.tobytes()
+            if len(at) == len(run):
+                self.parts.update((p, raw[i:j]) for p, i, j in zip(run, at, [*at[1:], len(raw)], strict=True))
+        rest = [p for p in new if p not in self.parts]
+        for a in range(0, len(rest), 5_000):
+            part = rest[a : a + 5_000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.parts[p] = np.array(e.ids, self.kind).tobytes()
+
     def __call__(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.seen) >= CACHE:
-            self.seen.clear()
+        if len(self.pieces) >= PIECES:
+            self.pieces.clear()
+        if len(self.parts) >= PARTS:
+            self.parts.clear()
+        get = self.pieces.get
         split = [self._pieces(t) if t else [] for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in self.seen})
-        for a in range(0, len(new), 20_000):
-            part = new[a : a + 20_000]
-            for piece, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[piece] = np.array(e.ids, self.kind).tobytes()
-        get = self.seen.__getitem__
-        return [b"".join(map(get, pieces)) + self.end for pieces in split]
+        found = [list(map(get, pieces)) for pieces in split]
+        new = {p for pieces, ids in zip(split, found, strict=True) if None in ids for p, i in zip(pieces, ids, strict=True) if i is None}
+        cut = {p: self._parts(p) for p in new}
+        self._encode_parts(list({x for parts in cut.values() for x in parts if x not in self.parts}))
+        known = self.parts.__getitem__
+        self.pieces.update((p, b"".join(map(known, parts))) for p, parts in cut.items())
+        return [b"".join(map(get, pieces) if None in ids else ids) + self.end for pieces, ids in zip(split, found, strict=True)]
+
+
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The worker process's encoder, kept from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def _encode(path: str):
     def run(batches):
-        encoder, part, seq = Encoder(path), TaskContext.get().partitionId(), 0
+        encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
         held: list[bytes] = []
         docs: list[int | None] = []
         total = 0
