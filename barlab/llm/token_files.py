@@ -34,8 +34,7 @@ LENGTHS = np.array([[(b >> 2 * k & 3) + 1 for k in range(4)] for b in range(256)
 PIECES, PARTS = 400_000, 600_000
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
-LETTERS = re.compile(r"( ?[^\W\d_]+)")
-UNSAFE = re.compile(r"'|\s\s|[^\S\n ]")
+PART = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[!-&(-@\[-`{-~]+\n?|\n")  # no apostrophe
 SPACE = "\u0120"  # how a byte-level vocabulary writes a space
 
 
@@ -84,8 +83,8 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of whole texts, as bytes. A space between two other characters always begins a
     pre-token of byte-level BPE, so texts are cut there; other white space stays inside its
-    piece. A new piece is cut again where letters and ASCII marks or digits meet, which ends
-    pre-tokens, too, and the library encodes each part once. Pieces and parts that were seen
+    piece. A new piece of Latin letters, ASCII marks and digits is cut again where those meet,
+    which ends pre-tokens, too, and the library encodes each part once. Pieces and parts that were seen
     are kept up to a number; ids do not depend on what is kept."""
 
     def __init__(self, path: str):
@@ -97,7 +96,7 @@ class Encoder:
         self.kind = np.dtype("<u2" if max(vocabulary.values()) < 1 << 16 else "<u4")
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"\Z\A.")
         self.pieces: dict[str, bytes] = {}
         self.parts: dict[str, bytes] = {}
         self.end = np.zeros(1, self.kind).tobytes()
@@ -108,10 +107,9 @@ class Encoder:
         return [parts[0], *[" " + p for p in parts[1:]]]
 
     def _parts(self, piece: str) -> list[str]:
-        cut = LETTERS.split(piece)
-        if len(cut) < 3 or UNSAFE.search(piece) or not all(x.isascii() for x in cut[::2]) or not all(x.lstrip(" ").isalpha() for x in cut[1::2]) or any(t in piece for t in self.added):
-            return [piece]
-        return [x for x in cut if x]
+        parts = PART.findall(piece)
+        whole = len(parts) < 2 or "\n\n" in piece or sum(map(len, parts)) < len(piece) or self.added.search(piece)
+        return [piece] if whole else parts
 
     def _encode_parts(self, new: list[str]) -> None:
         width = self.kind.itemsize
