@@ -9,12 +9,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SESSION = Window.partitionBy("contract", "session").orderBy("ts")
+
+def in_session():
+    return Window.partitionBy("contract", "session").orderBy("ts")
 
 
 def with_slots(bars: DataFrame) -> DataFrame:
     """Adds the session (the day) and the bar's slot in it, from 0."""
-    return bars.withColumn("session", F.to_date("ts")).withColumn("slot", F.row_number().over(SESSION) - 1)
+    return bars.withColumn("session", F.to_date("ts")).withColumn("slot", F.row_number().over(in_session()) - 1)
 
 
 def window_slots(window: tuple[float, float], session_bars: int) -> tuple[int, int]:
@@ -62,7 +64,7 @@ def volume_tail(bars: DataFrame, window: tuple[float, float] = (0.1, 0.9), sessi
     start, stop = window_slots(window, session_bars)
     slotted = with_slots(bars)
     rows = slotted.join(volume_thresholds(slotted, quantile, lookback), ["contract", "session"], "left")
-    rows = rows.withColumn("oi_change", F.col("open_interest") - F.lag("open_interest").over(SESSION))
+    rows = rows.withColumn("oi_change", F.col("open_interest") - F.lag("open_interest").over(in_session()))
     active = (F.col("slot") >= max(1, start)) & (F.col("slot") < stop) & (F.col("volume") >= F.col("threshold"))
     return rows.withColumn("signal", F.when(active, F.signum("oi_change")).otherwise(0).cast("int")).drop("oi_change", "threshold")
 

@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from barlab.functions.scalars import expected_max_sharpe
 
@@ -93,12 +94,12 @@ def clusters(trials: DataFrame, pairs: DataFrame, scope: str = "scope", cut: flo
     return left.groupBy(scope).applyInPandas(run, f"{scope} {kinds[scope]}, trial_id {kinds['trial_id']}, cluster bigint")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_cdf(z: pd.Series) -> pd.Series:
     return z.map(NormalDist().cdf)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def best_of(sigma: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([expected_max_sharpe(s, k) for s, k in zip(sigma, n, strict=True)])
 

@@ -71,5 +71,5 @@ def violations(bars: DataFrame) -> DataFrame:
         "duplicate_ts": F.col("ts") == F.lag("ts").over(w),
         "out_of_order": F.col("ts") < F.lag("ts").over(w),
     }
-    marked = bars.select("contract", F.explode(F.array(*(F.when(c, F.lit(k)) for k, c in rules.items()))).alias("rule"))
+    marked = bars.select("contract", F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())).alias("rules")).select("contract", F.explode("rules").alias("rule"))
     return marked.filter("rule is not null").groupBy("contract", "rule").agg(F.count("*").alias("n"))
