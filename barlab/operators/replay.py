@@ -87,9 +87,9 @@ def broken_rule(s: State, side: int, price: float, cfg: Settings) -> str | None:
     return next((name for name, hit in limits if hit), None)
 
 
-def step(s: State, bar, last_of_session: bool, more: bool, cfg: Settings) -> list[dict]:
-    """Move the state over one bar (ts, session, open, close, signal) and tell what happens.
-    ``last_of_session``: the next bar is in another session; ``more``: there is a next bar."""
+def open_bar(s: State, bar, cfg: Settings) -> list[dict]:
+    """Fill or reject the pending order at the open of a bar (ts, session, open) and tell
+    what happens. What is decided at the bar's close is ``close_bar``'s."""
     out = []
 
     def tell(kind: str, **values) -> None:
@@ -121,6 +121,12 @@ def step(s: State, bar, last_of_session: bool, more: bool, cfg: Settings) -> lis
                 s.peak = max(s.peak, s.equity)
                 s.session_loss += max(0.0, -net)
                 s.position = 0
+    return out
+
+
+def close_bar(s: State, bar, last_of_session: bool, more: bool, cfg: Settings) -> None:
+    """Decide at the close of a bar (ts, signal) on an order for the next bar's open.
+    ``last_of_session``: the next bar is in another session; ``more``: there is a next bar."""
     leave = cfg.same_session and last_of_session
     if s.position:
         if more and (leave or s.bar - s.entry_bar + 1 >= cfg.hold_bars):
@@ -128,7 +134,6 @@ def step(s: State, bar, last_of_session: bool, more: bool, cfg: Settings) -> lis
     elif bar.signal and more and cfg.entries and not leave:
         s.pending_side, s.pending_exit, s.pending_ts = int(bar.signal), False, str(bar.ts)
     s.bar += 1
-    return out
 
 
 def frame(events: list[dict]) -> pd.DataFrame:
@@ -154,7 +159,8 @@ def replay(signals: DataFrame, cfg: Settings | None = None, key: str = "contract
         rows, state, events = list(pdf.itertuples(index=False)), State(), []
         for i, bar in enumerate(rows):
             more = i + 1 < len(rows)
-            events += step(state, bar, more and rows[i + 1].session != bar.session, more, cfg)
+            events += open_bar(state, bar, cfg)
+            close_bar(state, bar, more and rows[i + 1].session != bar.session, more, cfg)
         out = frame(events)
         out.insert(0, key, pdf[key].iloc[0])
         return out

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from barlab.operators.replay import EVENT, Settings, State, frame, step
+from barlab.operators.replay import EVENT, Settings, State, close_bar, frame, open_bar
 
 
 def read_bars(spark: SparkSession, path: str, schema: str, files: int = 1) -> DataFrame:
@@ -34,8 +34,8 @@ def once(events: DataFrame, key: str, late: str) -> DataFrame:
 
 def replay_stream(signals: DataFrame, cfg: Settings | None = None) -> DataFrame:
     """Replay of bars (contract, ts, session, open, close, signal) as they come, in time
-    order. A bar is worked on when the next one is there, since its last step needs to know
-    the next session; the newest bar of a contract waits in the state."""
+    order. Orders are filled as soon as their bar is there. What is decided at a bar's close
+    needs the next bar's session, so the newest bar of a contract waits in the state."""
     cfg = cfg or Settings()
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -51,8 +51,9 @@ def replay_stream(signals: DataFrame, cfg: Settings | None = None) -> DataFrame:
                 before = pd.Series(waiting | {"ts": pd.Timestamp(waiting["ts"])})
                 if bar.ts <= before.ts:
                     raise ValueError(f"bar out of order: {bar.ts}")
-                events += step(state, before, waiting["session"] != str(bar.session), True, cfg)
-            waiting = {"ts": str(bar.ts), "session": str(bar.session), "open": float(bar.open), "close": float(bar.close), "signal": int(bar.signal)}
+                close_bar(state, before, waiting["session"] != str(bar.session), True, cfg)
+            events += open_bar(state, bar, cfg)
+            waiting = {"ts": str(bar.ts), "session": str(bar.session), "signal": int(bar.signal)}
         held.update((json.dumps(asdict(state)), json.dumps(waiting)))
         out = frame(events)
         out.insert(0, "contract", key[0])
