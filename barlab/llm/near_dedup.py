@@ -211,7 +211,7 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     classes, classes_at = staged(classes.select("set_hash", F.coalesce("component", "id").alias("class")), "classes")
     # rows of one id are one document: its component is the least that its texts reach
     out = marked.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left")
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
     out, _ = staged(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
     drop_staged(spark, marked_at, reps_at, buckets_at, links_at, labels_at, more_at, final_at, classes_at)
     return out
