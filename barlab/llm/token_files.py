@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 
 from barlab.llm.common import running_total, slices, staged, table
 
-MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 1 << 20, 1 << 21
+MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 4 << 20, 1 << 21
 LENGTHS = np.array([[(b >> 2 * k & 3) + 1 for k in range(4)] for b in range(256)], np.uint8)
-PIECES, PARTS = 400_000, 600_000
+PIECES, PARTS = 200_000, 700_000
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 PART = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[!-&(-@\[-`{-~]+\n?|\n")  # no apostrophe
@@ -83,9 +83,11 @@ def unpack(file: bytes) -> tuple[list[int | None], np.ndarray, np.ndarray]:
 class Encoder:
     """Ids of whole texts, as bytes. A space between two other characters always begins a
     pre-token of byte-level BPE, so texts are cut there; other white space stays inside its
-    piece. A new piece of Latin letters, ASCII marks and digits is cut again where those meet,
-    which ends pre-tokens, too, and the library encodes each part once. Pieces and parts that were seen
-    are kept up to a number; ids do not depend on what is kept."""
+    piece. The distinct pieces of a slice are found by Arrow's dictionary encoding, and the
+    slice's ids are gathered from theirs by numpy. A new piece of Latin letters, ASCII marks
+    and digits is cut again where those meet, which ends pre-tokens, too, and the library
+    encodes each part once. Pieces and parts that were seen are kept up to a number; ids do
+    not depend on what is kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -97,16 +99,21 @@ class Encoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"\Z\A.")
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}  # of several parts
         self.parts: dict[str, bytes] = {}
-        self.end = np.zeros(1, self.kind).tobytes()
 
-    def _pieces(self, text: str) -> list[str]:
-        odd = "  " in text or " \n" in text or "\n " in text or OTHER_SPACE.search(text)
-        parts = INNER_SPACE.split(text) if odd else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+    def _words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+        """All texts' words (what stands between cuts) in a row, and how many each text has."""
+        odd = np.array(["  " in t or " \n" in t or "\n " in t or OTHER_SPACE.search(t) is not None for t in texts])
+        all_texts = pa.array(texts, pa.large_string())
+        plain = pa.compute.split_pattern(all_texts.filter(pa.array(~odd)), " ")
+        cut = pa.array([INNER_SPACE.split(t) for t in all_texts.filter(pa.array(odd)).to_pylist()], plain.type)
+        lists = pa.concat_arrays([plain, cut]).take(pa.array(np.argsort(np.argsort(odd, kind="stable"))))
+        return lists.flatten(), pa.compute.list_value_length(lists).to_numpy()
 
     def _parts(self, piece: str) -> list[str]:
+        if piece[1:].isalpha():
+            return [piece]
         parts = PART.findall(piece)
         whole = len(parts) < 2 or "\n\n" in piece or sum(map(len, parts)) < len(piece) or self.added.search(piece)
         return [piece] if whole else parts
@@ -126,20 +133,42 @@ class Encoder:
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.parts[p] = np.array(e.ids, self.kind).tobytes()
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of distinct pieces."""
         if len(self.pieces) >= PIECES:
             self.pieces.clear()
         if len(self.parts) >= PARTS:
             self.parts.clear()
-        get = self.pieces.get
-        split = [self._pieces(t) if t else [] for t in texts]
-        found = [list(map(get, pieces)) for pieces in split]
-        new = {p for pieces, ids in zip(split, found, strict=True) if None in ids for p, i in zip(pieces, ids, strict=True) if i is None}
-        cut = {p: self._parts(p) for p in new}
+        part, piece = self.parts.get, self.pieces.get
+        found = [part(p) or piece(p) for p in pieces]
+        cut = {p: self._parts(p) for p, ids in zip(pieces, found, strict=True) if ids is None}
         self._encode_parts(list({x for parts in cut.values() for x in parts if x not in self.parts}))
         known = self.parts.__getitem__
-        self.pieces.update((p, b"".join(map(known, parts))) for p, parts in cut.items())
-        return [b"".join(map(get, pieces) if None in ids else ids) + self.end for pieces, ids in zip(split, found, strict=True)]
+        self.pieces.update((p, b"".join(map(known, parts))) for p, parts in cut.items() if len(parts) > 1)
+        return [ids if ids is not None else piece(p) if p in self.pieces else known(p) for p, ids in zip(pieces, found, strict=True)]
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        if not texts:
+            return []
+        words, n_words = self._words([t or "" for t in texts])
+        coded = words.dictionary_encode()
+        first = np.cumsum(n_words) - n_words  # the word that a text begins with has no space before it
+        heads = words.take(pa.array(first)).dictionary_encode()
+        inner = coded.dictionary.to_pylist()
+        which = coded.indices.to_numpy().astype(np.int64)
+        which[first] = heads.indices.to_numpy() + len(inner)
+        heads = heads.dictionary.to_pylist()
+        used = np.zeros(len(inner) + len(heads), bool)
+        used[which] = True
+        pieces = [p for p, u in zip([*map(" ".__add__, inner), *heads], used.tolist(), strict=True) if u]
+        found = [*self._ids(pieces), np.zeros(1, self.kind).tobytes()]  # the end id last
+        ids, size = np.frombuffer(b"".join(found), self.kind), np.array([len(x) // self.kind.itemsize for x in found], np.int64)
+        which = np.insert((np.cumsum(used) - 1)[which], np.cumsum(n_words), len(pieces))
+        n = size[which]
+        at = np.repeat((np.cumsum(size) - size)[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        stop = np.cumsum(np.add.reduceat(n, first + np.arange(len(texts)))) * self.kind.itemsize
+        raw = ids[at].tobytes()
+        return [raw[i:j] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
