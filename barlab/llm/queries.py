@@ -6,6 +6,7 @@ from barlab.llm.gif import op4_gif
 from barlab.llm.line_dedup import op8_line_dedup
 from barlab.llm.mixture import OP2_SQL, op2_mixture
 from barlab.llm.near_dedup import op3_near_dedup
+from barlab.llm.oracles import OP1_SQL, OP3_SQL
 from barlab.llm.shards import op7_shards
 from barlab.llm.suffix_tree import op6_suffix_tree
 from barlab.llm.token_files import op10_token_files
@@ -27,6 +28,8 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op1_decontaminate": OP1_SQL,
     "op2_mixture": OP2_SQL,
+    "op3_near_dedup": OP3_SQL,
     "op5_warc": OP5_SQL,
 }
