@@ -8,17 +8,19 @@ distribution is interpolated with its suffix's, so every state gives proper
 probabilities. A symbol is scored by the longest suffix state of what stands before it.
 
 Counting is distributed: tasks count the (context, symbol) grams and words of bounded
-slices, Spark adds them up, and smoothing and tests are joins between levels. The tree
-that is sent to the tasks has at most ``max_entries`` distributions' entries; if the tests
-leave more, the least power-of-two multiple of ``divergence`` is taken that leaves fewer.
-Word counts of any number are joined to texts: the commonest words, ``head`` at most, are
-sent to the tasks, the others of each text meet their counts in a shuffle join.
+slices, Spark adds them up, and smoothing and tests are joins between levels. The tree is
+two staged tables of any size, states and entries. Its commonest states, of at most
+``head_entries`` entries, are sent to the tasks, with marks where the tree goes on beyond
+them; the grams of each text that go on meet the rest of the tree in shuffle joins.
+Words are treated in the same way: the commonest, ``head`` at most, are sent to the tasks,
+the others of each text meet their counts in a shuffle join.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 from barlab.llm.common import drop_staged, slices, staged, table
 from barlab.llm.decontaminate import arrow_type
 
-DEPTH, BETA, END = 5, 4.0, b" "
-GRAM_BYTES, SLICE_BYTES, TABLE_BITS = 4 << 20, 1 << 20, 20
+DEPTH, BETA, END = 7, 4.0, b" "  # a symbol and its context fill 64 bits
+GRAM_BYTES, SLICE_BYTES, TABLE_BITS = 2 << 20, 1 << 20, 20
 GRAMS_HELD, WORDS_HELD = 1_500_000, 400_000
-MASK = [(1 << 8 * k) - 1 for k in range(DEPTH + 2)]
+MASK = [(1 << 8 * k) - 1 for k in range(DEPTH + 1)] + [-1]  # as signed 64-bit numbers
 
 
 def words(text: bytes | None) -> list[bytes]:
@@ -89,55 +91,105 @@ def _count_words(batches):
     yield part()
 
 
-class Tree:
-    """States and distributions in sorted arrays; keys carry the context's length on top."""
+class Head:
+    """The commonest states and their distributions in sorted arrays, one set for each
+    length of contexts. ``more`` marks, for each state, the 256 symbols before it by which
+    it is lengthened to a state that is not here."""
 
-    def __init__(self, entries: tuple[np.ndarray, np.ndarray], states: tuple[np.ndarray, np.ndarray]):
-        order = np.argsort(entries[0])
-        self.entry, self.logp = entries[0][order], entries[1][order]
-        order = np.argsort(states[0])
-        self.state, self.back = states[0][order], states[1][order]
+    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], states: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        self.entries, self.states = ([tuple(column[np.argsort(level[0])] for column in level) for level in part] for part in (entries, states))
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(keys):
+            return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
         at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
         return at, keys[at] == wanted
 
-    def score(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's symbol after its longest suffix state."""
-        out, reached = np.zeros(len(code)), np.zeros(len(code), bool)
-        done = np.zeros(len(code), bool)
+    def walk(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each code, its longest suffix state here: log10 probability of the symbol
+        after it, its length, and whether the tree has a longer one."""
+        out, depth = np.zeros(len(code)), np.full(len(code), -1)
+        done, longer = np.zeros(len(code), bool), np.zeros(len(code), bool)
         for k in range(DEPTH, -1, -1):
-            at, state = self._find(self.state, (k << 56) | ((code >> 8) & MASK[k]))
-            reached |= state
-            live = np.flatnonzero(reached & ~done)
-            e, found = self._find(self.entry, (k << 56) | (code[live] & MASK[k + 1]))
-            out[live] += np.where(found, self.logp[e], self.back[at[live]])
+            keys, back, more = self.states[k]
+            at, state = self._find(keys, (code >> 8) & MASK[k])
+            new = np.flatnonzero(state & (depth < 0))
+            depth[new] = k
+            if k < DEPTH:
+                before = (code[new] >> (8 * k + 8)) & 255
+                longer[new] = (more[at[new], before >> 6] >> (before & 63)) & 1 == 1
+            live = np.flatnonzero((depth >= 0) & ~done)
+            e, found = self._find(self.entries[k][0], code[live] & MASK[k + 1])
+            out[live[found]] += self.entries[k][1][e[found]]
+            out[live[~found]] += back[at[live[~found]]]
             done[live[found]] = True
+        return out, depth, longer
+
+    def score(self, code: np.ndarray) -> np.ndarray:
+        """log10 probabilities; not a number where the longest state is not here."""
+        out, _, longer = self.walk(code)
+        return np.where(longer, np.nan, out)
+
+
+class Tree:
+    """A suffix tree: its head, and the tables of the states (k, ctx, back) and the entries
+    (k, gram, v) that are not in the head."""
+
+    def __init__(self, head: Head, states: DataFrame, entries: DataFrame):
+        self.head, self.states, self.entries = head, states, entries
+
+    def rest(self, codes: DataFrame) -> DataFrame:
+        """(code, v): log10 probabilities of distinct codes whose longest state is not in the
+        head. No context that is looked up here is as common as those of the head."""
+        shared = codes.sparkSession.sparkContext.broadcast(self.head)
+
+        def run(batches):
+            for batch in batches:
+                out, depth, _ = shared.value.walk(batch.column(0).to_numpy())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(depth)], names=["code", "short", "depth"])
+
+        near = codes.select("code").mapInArrow(run, "code bigint, short double, depth bigint")
+        levels = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright("code", 8).bitwiseAND(F.lit(MASK[k])).alias("ctx"), F.col("code").bitwiseAND(F.lit(MASK[k + 1])).alias("gram")) for k in range(1, DEPTH + 1)))
+        rows = near.select("code", "short", "depth", F.explode(levels).alias("s")).filter("s.k > depth").select("code", "short", "s.*")
+        rows = rows.join(self.states, ["k", "ctx"]).join(self.entries, ["k", "gram"], "left")
+        down = F.sum(F.when(F.col("v").isNull(), F.col("back")).otherwise(0.0))  # from the longest state to the longest that knows the symbol
+        return rows.groupBy("code").agg((F.coalesce(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("k"))), F.first("short")) + down).alias("v"))
+
+    def score(self, code: np.ndarray) -> np.ndarray:
+        """log10 probability of each code's symbol after its longest suffix state."""
+        out = self.head.score(code)
+        far = np.isnan(out)
+        if far.any():
+            rows = self.rest(self.states.sparkSession.createDataFrame(pa.table({"code": np.unique(code[far])}))).toArrow()
+            order = np.argsort(rows["code"].to_numpy())
+            at, found = Head._find(rows["code"].to_numpy()[order], code[far])
+            out[far] = np.where(found, rows["v"].to_numpy()[order][at], np.nan)
         return out
 
 
 class Cached:
-    """Tree scores, remembered in a table of fixed size by gram."""
+    """A head's scores, remembered in a table of fixed size by gram."""
 
-    def __init__(self, tree: Tree):
-        self.tree = tree
+    def __init__(self, head: Head):
+        self.head = head
         self.key, self.value = np.full(1 << TABLE_BITS, -1, np.int64), np.zeros(1 << TABLE_BITS)
 
     def __call__(self, code: np.ndarray) -> np.ndarray:
         slot = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
         out = self.value[slot]
-        miss = np.flatnonzero(self.key[slot] != code)
+        miss = np.flatnonzero((self.key[slot] != code) | (code == -1))  # -1 is a code, too
         if len(miss):
             new, at = np.unique(code[miss], return_inverse=True)
-            value = self.tree.score(new)
+            value = self.head.score(new)
             out[miss] = value[at]
             self.key[slot[miss]], self.value[slot[miss]] = code[miss], out[miss]
         return out
 
 
-def build_tree(texts: DataFrame, *, divergence: float = 12.0, max_entries: int = 1_000_000) -> Tree:
-    """The tree of a one-column frame of texts; without any text, all symbols are as likely."""
+def build_tree(texts: DataFrame, *, divergence: float = 12.0, head_entries: int = 1_000_000) -> Tree:
+    """The tree of a one-column frame of texts; without any text, all symbols are as likely.
+    Its head has the states of the largest counts, as quarter powers of two."""
     spark, paths = texts.sparkSession, []
     levels: list[DataFrame] = []
     counts = texts.mapInArrow(_count_grams, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
@@ -165,22 +217,12 @@ def build_tree(texts: DataFrame, *, divergence: float = 12.0, max_entries: int =
     tests = []
     for k, rows in enumerate(rated, 1):
         gain = F.sum(F.col("n") * F.ln(F.col("p") / F.col("below")))
-        test, path = staged(rows.groupBy("ctx").agg(gain.alias("gain"), F.count("*").alias("m"), F.first("total").alias("total")).filter(F.col("gain") >= divergence), f"tests{k}")
+        test, path = staged(rows.groupBy("ctx").agg(gain.alias("gain")).filter(F.col("gain") >= divergence).select("ctx"), f"tests{k}")
         paths.append(path)
         tests.append(test)
-    sizes: Counter = Counter()
-    for test in tests:
-        for r in test.groupBy(F.floor(F.log2(F.col("gain") / divergence)).alias("step")).agg(F.sum("m").alias("m")).collect():
-            sizes[r.step] += r.m  # a few dozen rows
-    step, kept = max(sizes, default=0) + 1, 0
-    while step > 0 and kept + sizes[step - 1] <= max_entries:
-        step -= 1
-        kept += sizes[step]
-    least = divergence * 2.0**step
-
     stay: dict[int, DataFrame] = {}
     for k in range(DEPTH, 0, -1):
-        own = tests[k - 1].filter(F.col("gain") >= least).select("ctx")
+        own = tests[k - 1]
         if k < DEPTH:
             own = own.unionByName(stay[k + 1].select(F.col("ctx").bitwiseAND(F.lit(MASK[k])).alias("ctx"))).distinct()
         stay[k], path = staged(own, f"states{k}")
@@ -189,15 +231,35 @@ def build_tree(texts: DataFrame, *, divergence: float = 12.0, max_entries: int =
     base = np.full(256, math.log10(1 / (total + 256)))
     for r in levels[0].collect():  # 256 rows at most
         base[r.code] = math.log10((r.n + 1) / (total + 256))
-    entries, states = [(np.arange(256, dtype=np.int64), base)], [(np.zeros(1, np.int64), np.zeros(1))]
+    step, parts, kept = F.floor(F.log2("total") * 4), [], []
     for k, rows in enumerate(rated, 1):
         mine = rows.join(stay[k], "ctx", "left_semi")
-        e = mine.select(F.col("code"), F.log10("p").alias("v")).toArrow()  # max_entries rows at most in all
-        s = mine.groupBy("ctx").agg(F.first("total").alias("total")).select("ctx", F.log10(BETA / (F.col("total") + BETA)).alias("v")).toArrow()
-        entries.append(((k << 56) | e["code"].to_numpy(), e["v"].to_numpy()))
-        states.append(((k << 56) | s["ctx"].to_numpy(), s["v"].to_numpy()))
+        parts.append(mine.select(F.lit(k).alias("k"), F.col("code").alias("gram"), F.log10("p").alias("v"), step.alias("step")))
+        kept.append(mine.groupBy("ctx").agg(F.first("total").alias("total"), F.count("*").alias("m")).select(F.lit(k).alias("k"), "ctx", F.log10(BETA / (F.col("total") + BETA)).alias("back"), step.alias("step"), "m"))
+    entries, _ = staged(reduce(DataFrame.unionByName, parts), "entries")
+    states, _ = staged(reduce(DataFrame.unionByName, kept), "states")
     drop_staged(spark, *paths)
-    return Tree(*(tuple(np.concatenate([x[i] for x in part]) for i in (0, 1)) for part in (entries, states)))
+
+    sizes = {r.step: r.m for r in states.groupBy("step").agg(F.sum("m").alias("m")).collect()}  # a few hundred rows
+    low, held = max(sizes, default=0) + 1, 0
+    while low > 0 and held + sizes.get(low - 1, 0) <= head_entries:
+        low -= 1
+        held += sizes.get(low, 0)
+    near, far = F.col("step") >= low, F.col("step") < low
+    before = F.expr("shiftright(ctx, 8 * (k - 1)) & 255")
+    marks = [F.bit_or(F.when(F.shiftright(before, 6) == q, F.expr("shiftleft(1L, cast((shiftright(ctx, 8 * (k - 1)) & 63) as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"more{q}") for q in range(4)]
+    shorter = F.expr("ctx & (shiftleft(1L, 8 * (k - 1)) - 1)")
+    more = states.filter(far).groupBy((F.col("k") - 1).alias("k"), shorter.alias("ctx")).agg(*marks)
+    e = entries.filter(near).select("k", "gram", "v").toArrow()  # head_entries rows at most
+    here = states.filter(near).select("k", "ctx", "back").unionByName(spark.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("ctx"), F.lit(0.0).alias("back")))
+    s = here.join(more, ["k", "ctx"], "left").na.fill(0, [f"more{q}" for q in range(4)]).toArrow()
+    marked = np.stack([s[f"more{q}"].to_numpy() for q in range(4)], 1)
+    of = lambda part, k: part["k"].to_numpy() == k
+    head = Head(
+        [(np.arange(256, dtype=np.int64), base), *((e["gram"].to_numpy()[of(e, k)], e["v"].to_numpy()[of(e, k)]) for k in range(1, DEPTH + 1))],
+        [(s["ctx"].to_numpy()[of(s, k)], s["back"].to_numpy()[of(s, k)], marked[of(s, k)]) for k in range(DEPTH + 1)],
+    )
+    return Tree(head, states.filter(far).select("k", "ctx", "back"), entries.filter(far).select("k", "gram", "v"))
 
 
 def common_words(counts: DataFrame, head: int) -> dict[bytes, float]:
@@ -226,18 +288,22 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     train = docs.filter("not held_out").select("text")
     counts, counts_at = staged(train.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
-    shared = spark.sparkContext.broadcast((build_tree(train, **tree), common_words(counts, head)))
-    schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary()))])
+    model = build_tree(train, **tree)
+    shared = spark.sparkContext.broadcast((model.head, common_words(counts, head)))
+    schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary())), ("grams", pa.list_(pa.int64()))])
     none = math.log10(0.1)
 
     def run(batches):
-        model, known = shared.value
-        tree, get = Cached(model), known.get
+        tree, known = shared.value
+        tree, get = Cached(tree), known.get
         for batch in batches:
             for a, b, texts in _slices(batch, SLICE_BYTES):
                 tokens = [words(t) for t in texts]
                 code, lengths = grams(tokens)
-                score = np.add.reduceat(tree(code), np.cumsum(lengths) - lengths)
+                logs, starts = tree(code), np.cumsum(lengths) - lengths
+                far = np.isnan(logs)
+                score = np.add.reduceat(np.where(far, 0.0, logs), starts)
+                bounds = np.append(0, np.cumsum(np.add.reduceat(far.astype(np.int64), starts)))
                 tails, heads, sums = [], [], []
                 for t in tokens:
                     logs = [get(w) for w in t]
@@ -248,17 +314,22 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([
                     batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(t) + 1 for t in tokens], pa.int64()),
                     pa.array(heads, pa.int64()), pa.array(sums, pa.float64()), pa.array(score), pa.array(tails, schema.field("tail").type),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(code[far])),
                 ], schema=schema)
 
-    scored = docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, score double, tail array<binary>")
+    scored = docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, score double, tail array<binary>, grams array<bigint>")
     scored, _ = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
     tail = scored.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))
     tail = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("n_tail"), F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_score"))
-    out = scored.drop("tail").join(tail, "row", "left")
+    far = scored.select("row", F.explode("grams").alias("code")).groupBy("row", "code").agg(F.count("*").alias("m"))
+    rest, _ = staged(model.rest(scored.select(F.explode("grams").alias("code")).distinct()), "rest")
+    far = far.join(rest, "code").groupBy("row").agg(F.sum(F.col("m") * F.col("v")).alias("far_score"))
+    out = scored.drop("tail", "grams").join(tail, "row", "left").join(far, "row", "left")
     spread = math.log10(size.total + 0.1 * (size.distinct + 1))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(size.total).cast("bigint").alias("train_tokens"),
-        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0)) - F.col("n_tokens") * spread).alias("base_score"), "score",
+        (F.col("head_score") + F.coalesce("tail_score", F.lit(0.0)) - F.col("n_tokens") * spread).alias("base_score"),
+        (F.col("score") + F.coalesce("far_score", F.lit(0.0))).alias("score"),
     )
 
 

@@ -101,6 +101,21 @@ def test_probabilities_sum_to_one(spark):
         assert (10 ** tree.score(np.arange(256) + base)).sum() == pytest.approx(1, abs=1e-6)
 
 
+def test_states_beyond_the_head_count(spark):
+    docs = some_texts(120)
+    texts = [t for d, t in docs if crc32(str(d).encode()) % 10]
+    score = plain_tree(texts, 2.0)
+    assert DEPTH >= 7
+    train = spark.createDataFrame([(t,) for t in texts], "text string")
+    codes = grams([words(t.encode()) for _, t in docs])[0]
+    for head in (0, 40, 400):  # no size of the head changes a probability
+        tree = build_tree(train, divergence=2.0, head_entries=head)
+        assert np.isnan(tree.head.score(codes)).any() and np.allclose(tree.score(codes), [score(c) for c in codes.tolist()], atol=1e-9)
+    rows = {r.doc_id: r.score for r in score_texts(frame(spark, docs), divergence=2.0, head_entries=40).collect()}
+    for d, t in docs:
+        assert rows[d] == pytest.approx(sum(score(c) for c in grams([words(t.encode())])[0].tolist()), abs=1e-6)
+
+
 # toxicity
 
 
