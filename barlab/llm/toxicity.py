@@ -4,7 +4,10 @@ repeated letters back into words, and a logistic model scores the words.
 Channel: each character of a suspicious token becomes lattice edges (letters it may stand
 for, nothing, or a word boundary), each with a cost; Viterbi decoding over the last two
 letters picks the cheapest path under a character trigram model that is counted over all
-documents. Tokens whose lattice has a single path are taken as they are.
+documents. A run of tokens of one or two characters is one lattice, too: white space in it
+is dropped or parts words, and words may part between letters. Digits of runs, and of
+tokens without letters, may be numbers. Tokens whose lattice has a single path are taken
+as they are.
 
 The model's inputs are words of the restored text and their beginnings. Their counts come
 from a sample of labelled rows of the training part, at most ``max_labels`` rows, those of
@@ -34,10 +37,11 @@ LEET = {
 MARKS = ".-_*~^#,'/\\"  # may be dropped inside a word, or part two words
 STRIP = ".,;:?\"'`()[]{}<>*#%&~=^/\\-_"
 KINDS = 28  # boundary, a to z, any other letter
-SPACED = re.compile(rb"(?<!\S)[a-z0-9@$!|](?:[ ][a-z0-9@$!|]){2,}(?!\S)")
+SPACED = re.compile(r"(?<!\S)\S{1,2}(?:\s+\S{1,2}){2,}(?!\S)")
 ODD = re.compile(r"[0-9@$!|+(€£¡.\-_*~^#,'/\\]|(.)\1\1")
-SLICE_BYTES, CACHE = 2 << 20, 300_000
-COST = {"same": 0.0, "leet": 1.5, "drop": 1.0, "part": 2.5, "shorten": 0.5, "noise": 7.0}
+SLICE_BYTES, CACHE, CACHED_RUN = 2 << 20, 300_000, 100
+COST = {"same": 0.0, "leet": 1.5, "drop": 1.0, "part": 2.5, "shorten": 0.5, "noise": 7.0, "number": 2.3}
+NUMBER = "#"  # an edge's piece: a number, which is no word and parts words
 
 
 def kind_of(ch: str) -> int:
@@ -56,43 +60,66 @@ class CharModel:
         p3 = (tri + 5 * p2) / (tri.sum(2, keepdims=True) + 5)
         self.cost = (-np.log(p3)).reshape(-1).tolist()
 
-    def restore(self, token: str) -> str:
-        """The cheapest reading of a token; words in it are set apart by spaces."""
-        paths = {(0, 0): (0.0, "")}
+    def restore(self, token: str, spaced: bool = False) -> str:
+        """The cheapest reading of a token, or of a run of short tokens (``spaced``); words
+        in it are set apart by spaces."""
+        paths: dict = {(0, 0): (0.0, None)}
+        numbers = spaced or not any(c.isalpha() for c in token)
         i, n = 0, len(token)
         while i < n:
             ch, j = token[i], i + 1
-            while j < n and token[j] == ch:
+            space = ch.isspace()
+            while j < n and (token[j].isspace() if space else token[j] == ch):
                 j += 1
             run, edges = j - i, []
-            if ch in MARKS:
+            if space:
+                edges = [("", COST["drop"]), (" ", 0.0)]
+            elif ch in MARKS:
                 edges = [("", COST["drop"]), (" ", COST["part"])]
             elif ch in LEET:
                 for letter in LEET[ch]:
                     edges += [(letter * k, COST["leet"] * k + (COST["shorten"] if k < run else 0)) for k in range(1, min(run, 2) + 1)]
                 edges += [("", COST["noise"] * run), (" ", COST["noise"] + COST["part"])]
+                if numbers and ch.isdigit():
+                    edges.append((NUMBER, COST["number"] * run))
             else:
                 edges = [(ch * k, COST["shorten"] if k < run else 0.0) for k in range(2 if run == 2 else 1, min(run, 2) + 1)]
+            if spaced and j < n and not space and not token[j].isspace():
+                edges += [(piece + " ", cost + COST["part"]) for piece, cost in edges if piece and piece not in (" ", NUMBER)]
             new: dict = {}
             for (x, y), (cost, out) in paths.items():
                 for piece, extra in edges:
                     c, a, b = cost + extra, x, y
-                    for letter in piece:
+                    if piece == NUMBER:
+                        c, a, b, piece = c + (self.cost[(a * KINDS + b) * KINDS] if b else 0.0), 0, 0, " "
+                        letters = ""
+                    else:
+                        letters = "" if piece == " " and not b else piece  # words are apart already
+                    for letter in letters:
                         k = 0 if letter == " " else kind_of(letter)
                         c += self.cost[(a * KINDS + b) * KINDS + k]
                         a, b = b, k
                     if (a, b) not in new or c < new[a, b][0]:
-                        new[a, b] = (c, out + piece)
+                        new[a, b] = (c, (out, piece))
             paths, i = new, j
-        return min((c + self.cost[(a * KINDS + b) * KINDS], out) for (a, b), (c, out) in paths.items())[1]
+        pieces, out = [], min((c + (self.cost[(a * KINDS + b) * KINDS] if b else 0.0), at) for at, ((a, b), (c, _)) in enumerate(paths.items()))[1]
+        path = list(paths.values())[out][1]
+        while path:
+            path, piece = path
+            pieces.append(piece)
+        return "".join(reversed(pieces))
 
     def words(self, token: bytes) -> list[str]:
         """Restored words of a lower-cased token."""
         text = token.decode("utf-8", "replace")
         text = re.sub(r"([$@!|+])\1{2,}$", "", text.strip(STRIP)).strip(STRIP).rstrip("!")
-        if not text or not any(c.isalpha() for c in text):
+        if not text or not (ODD.search(text) or any(c.isalpha() for c in text)):
             return []
-        return self.restore(text).split() if ODD.search(text) else [text]
+        return [w for w in self.restore(text).split() if any(c.isalpha() for c in w)] if ODD.search(text) else [text]
+
+    def run_words(self, run: str) -> list[str]:
+        """Restored words of a run of short lower-cased tokens."""
+        return [w for w in self.restore(run, True).split() if any(c.isalpha() for c in w)]
 
 
 def features(word: str) -> list[str]:
@@ -105,19 +132,21 @@ class Reader:
     def __init__(self, model: CharModel, known: dict[str, int] | None = None):
         self.model, self.known, self.seen = model, known, {}
 
-    def _token(self, token: bytes) -> tuple:
+    def _token(self, token: bytes | str) -> tuple:
+        """Features of a token, or of a run of tokens as text."""
         if len(self.seen) >= CACHE:
             self.seen.clear()
-        found = dict.fromkeys(f for w in self.model.words(token) for f in features(w))
+        words = self.model.run_words(token) if isinstance(token, str) else self.model.words(token)
+        found = dict.fromkeys(f for w in words for f in features(w))
         out = tuple(found) if self.known is None else tuple(self.known[f] for f in found if f in self.known)
-        self.seen[token] = out
+        if isinstance(token, bytes) or len(token) <= CACHED_RUN:
+            self.seen[token] = out
         return out
 
     def __call__(self, text: bytes | None) -> set:
         text = (text or b"").lower()
-        tokens = set(text.split())
-        if b" " in text:
-            tokens.update(m.group().replace(b" ", b"") for m in SPACED.finditer(text))
+        tokens: set = set(text.split())
+        tokens.update(" ".join(m.group().split()) for m in SPACED.finditer(text.decode("utf-8", "replace")))
         get, out = self.seen.get, set()
         for t in tokens:
             f = get(t)

@@ -133,6 +133,21 @@ def test_restoring():
     assert "=idiot" in read(b"you i d i o t now") and "=stupid" in read(b"S T U P I D") and read(None) == set()
 
 
+def test_spacing_is_part_of_the_lattice():
+    texts = ["  the stupid dog is a moron  ", "  you are a fool and an idiot  ", "  a kiss is an ass  ", "  i am a stupid idiot  "] * 400
+    counts = np.zeros((28, 28, 28), np.int64)
+    for a, b, c in zip(*("".join(texts)[k:] for k in range(3)), strict=False):
+        counts[tuple(0 if x == " " else toxicity.kind_of(x) for x in (a, b, c))] += 1
+    model = toxicity.CharModel(counts)
+    read = toxicity.Reader(model)
+    for text in (b"you are a s t u p i d fool", b"you s  t  u  p  i  d fool", b"s\tt\nu\np\ti\td", b"a $ t u p 1 d dog", b"s t up id dog"):
+        assert "=stupid" in read(text), text
+    assert {"=stupid", "=idiot"} <= read(b"s t u p i d i d i o t") and "=astupid" not in read(b"you are a s t u p i d fool")
+    assert model.run_words("i am a") == ["i", "am", "a"] and model.run_words("1 2 3 44 5") == []  # neither is glued
+    assert model.words(b"@$$") == ["ass"] and model.words(b"2024") == model.words(b"3.14") == model.words(b"$100") == []
+    assert len(model.run_words("a b " * 20000)) > 0  # long runs, too
+
+
 def toxic_texts(n=600):
     rng = np.random.default_rng(7)
     clean, bad = [f"fine{chr(97 + i)}word" for i in range(20)], ["vilething", "nastyone", "grimfool"]
