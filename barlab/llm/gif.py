@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -190,6 +191,13 @@ def decode(data: bytes, compose: bool = True) -> tuple[tuple[int, int], list[Fra
 
 
 def _compose(size: tuple[int, int], frames: list[Frame]) -> None:
+    for f, canvas in composed(size, frames):
+        f.canvas = canvas.copy()
+
+
+def composed(size: tuple[int, int], frames: list[Frame]) -> Iterator[tuple[Frame, np.ndarray]]:
+    """Each frame with the RGBA canvas after it is drawn; the canvas is the same array, to
+    be read before the next frame is asked for."""
     canvas = np.zeros((size[1], size[0], 4), np.uint8)
     for f in frames:
         before = canvas.copy() if f.disposal == 3 else None
@@ -198,27 +206,27 @@ def _compose(size: tuple[int, int], frames: list[Frame]) -> None:
         drawn = np.ones(pixels.shape, bool) if f.transparent is None else pixels != f.transparent
         part[drawn, :3] = f.palette[pixels[drawn]]
         part[drawn, 3] = 255
-        f.canvas = canvas.copy()
+        yield f, canvas
         if f.disposal == 2:
             part[:] = 0
         elif f.disposal == 3:
             canvas = before
 
 
-def histogram(frame: Frame) -> np.ndarray:
-    """Counts of the frame's colours in bins of the highest bits of each component."""
-    n = np.bincount(frame.pixels.reshape(-1), minlength=256)[: len(frame.palette)]
-    top = (frame.palette >> (8 - HISTOGRAM_BITS)).astype(np.int64)
-    bins = (top[:, 0] << 2 * HISTOGRAM_BITS) | (top[:, 1] << HISTOGRAM_BITS) | top[:, 2]
-    return np.bincount(bins, n, 1 << 3 * HISTOGRAM_BITS).astype(np.int64)
+def histogram(canvas: np.ndarray) -> np.ndarray:
+    """Counts of an RGBA canvas's colours in bins of the highest bits of each component;
+    transparent pixels do not count."""
+    top = (canvas[canvas[..., 3] > 0][:, :3] >> (8 - HISTOGRAM_BITS)).astype(np.int64)
+    return np.bincount((top[:, 0] << 2 * HISTOGRAM_BITS) | (top[:, 1] << HISTOGRAM_BITS) | top[:, 2], minlength=1 << 3 * HISTOGRAM_BITS)
 
 
 def store(text: bytes | None) -> bytes:
-    """A text as GIF frames of gray levels: 64 samples a row, 1024 rows a frame at most."""
+    """A text as GIF frames of gray levels: 64 samples a row, 1024 rows a frame at most. Each
+    frame is cleared before the next, so that every canvas shows its own samples only."""
     payload = text or b""
     payload += bytes(-len(payload) % WIDTH or (0 if payload else WIDTH))
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
-    frames = [Frame(0, 0, WIDTH, len(p), p, np.zeros(0), DELAY, 1) for p in (pixels[i : i + ROWS] for i in range(0, len(pixels), ROWS))]
+    frames = [Frame(0, 0, WIDTH, len(p), p, np.zeros(0), DELAY, 2) for p in (pixels[i : i + ROWS] for i in range(0, len(pixels), ROWS))]
     return encode(frames, (WIDTH, min(len(pixels), ROWS)))
 
 
@@ -227,12 +235,13 @@ def samples(frames: list[Frame]) -> bytes:
     return b"".join(f.palette[:, 0][f.pixels].tobytes() for f in frames)
 
 
-FRAME = "struct<frame:int,start:int,delay:int,left:int,top:int,width:int,height:int,disposal:int,histogram:array<bigint>>"
+FRAME = "struct<frame:int,start:int,delay:int,left:int,top:int,width:int,height:int,disposal:int,transparent:bigint,histogram:array<bigint>>"
 
 
 def frame_table(media: DataFrame, *, id_col: str = "media_id", data_col: str = "gif") -> DataFrame:
-    """(id, frame, start, delay, left, top, width, height, disposal, histogram) for each
-    frame of each GIF; times in hundredths of a second. Null or broken data gives none."""
+    """(id, frame, start, delay, left, top, width, height, disposal, transparent, histogram)
+    for each frame of each GIF; times in hundredths of a second, histogram and number of
+    transparent pixels of the whole canvas after the frame is drawn. Null or broken data gives none."""
 
     def run(frames):
         for pdf in frames:
@@ -240,8 +249,8 @@ def frame_table(media: DataFrame, *, id_col: str = "media_id", data_col: str = "
             for data in pdf["data"]:
                 rows, start = [], 0
                 try:
-                    for i, f in enumerate(decode(bytes(data), compose=False)[1] if data is not None else []):
-                        rows.append({"frame": i, "start": start, "delay": f.delay, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "histogram": histogram(f).tolist()})
+                    for i, (f, canvas) in enumerate(composed(*decode(bytes(data), compose=False)) if data is not None else []):
+                        rows.append({"frame": i, "start": start, "delay": f.delay, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "transparent": int((canvas[..., 3] == 0).sum()), "histogram": histogram(canvas).tolist()})
                         start += f.delay
                 except (ValueError, IndexError, struct.error):
                     rows = []
@@ -264,9 +273,9 @@ def media_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
 
     def row(text: bytes | None) -> tuple:
         stored = store(text)
-        _, frames = decode(stored, compose=False)
+        size, frames = decode(stored, compose=False)
         payload = samples(frames)
-        colours = sum((histogram(f) for f in frames), np.zeros(1 << 3 * HISTOGRAM_BITS, np.int64)).tolist()
+        colours = sum((histogram(canvas) for _, canvas in composed(size, frames)), np.zeros(1 << 3 * HISTOGRAM_BITS, np.int64)).tolist()
         duration = sum(f.delay for f in frames)
         feature = f"{len(frames)}:{duration}:" + ",".join(f"{i}={n}" for i, n in enumerate(colours) if n)
         return len(text or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(frames), duration, colours

@@ -89,6 +89,17 @@ def test_frame_table(spark):
     assert sum(map(sum, (r.histogram for r in rows))) == 200000
 
 
+def test_frame_table_composes(spark):
+    palette = bytes([0, 0, 0, 255, 0, 0, 0, 0, 255]) + bytes(253 * 3)
+    full = lambda v, n: np.full((n, n), v, np.uint8)
+    frames = [Frame(0, 0, 4, 4, full(1, 4), None, 5, 1), Frame(1, 1, 2, 2, full(2, 2), None, 6, 3), Frame(0, 0, 2, 2, np.array([[2, 0], [0, 2]], np.uint8), None, 7, 2, 0), Frame(3, 3, 1, 1, full(2, 1), None, 8, 0)]
+    media = spark.createDataFrame([(1, bytearray(encode(frames, (4, 4), palette)))], "media_id int, gif binary")
+    rows = frame_table(media).orderBy("frame").collect()
+    red, blue = 3 << 4, 3
+    assert [(r.histogram[red], r.histogram[blue], r.transparent) for r in rows] == [(16, 0, 0), (12, 4, 0), (14, 2, 0), (11, 1, 4)]
+    assert [(r.start, r.disposal, sum(r.histogram)) for r in rows] == [(0, 1, 16), (5, 3, 16), (11, 2, 16), (18, 0, 12)]
+
+
 # WARC
 
 PAGE = "page_id bigint, url string, html string, sha256 string, record_type int"
