@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import hashlib
 import struct
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -20,12 +19,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import slices, table
+from barlab.llm.common import slices, staged, table
 from barlab.llm.decontaminate import arrow_type
 
 WIDTH, ROWS, DELAY = 64, 1024, 4  # of a payload's frames; the delay in hundredths of a second
 HISTOGRAM_BITS = 2  # for each of red, green and blue
-SLICE_BYTES, CACHE = 1 << 20, 2_000
+SLICE_BYTES, CACHE_BYTES = 1 << 20, 8 << 20
 GRAY = bytes(b for v in range(256) for b in (v, v, v))
 
 
@@ -235,69 +234,117 @@ def samples(frames: list[Frame]) -> bytes:
     return b"".join(f.palette[:, 0][f.pixels].tobytes() for f in frames)
 
 
-FRAME = "struct<frame:int,start:int,delay:int,left:int,top:int,width:int,height:int,disposal:int,transparent:bigint,histogram:array<bigint>>"
+FRAME = "struct<frame:int,start:int,delay:int,left:int,top:int,width:int,height:int,disposal:int,transparent:bigint,histogram:array<bigint>,pixels:binary,palette:binary>"
+_INTS = ("frame", "start", "delay", "left", "top", "width", "height", "disposal")
+_FRAME = pa.struct([*((n, pa.int32()) for n in _INTS), ("transparent", pa.int64()), ("histogram", pa.list_(pa.int64())), ("pixels", pa.binary()), ("palette", pa.binary())])
+
+
+def _frames(data: bytes | None) -> list[dict]:
+    """Rows of the frame table of one GIF; none for null or broken data."""
+    rows, start = [], 0
+    try:
+        for i, (f, canvas) in enumerate(composed(*decode(data, compose=False)) if data is not None else []):
+            ints = (i, start, f.delay, f.left, f.top, f.width, f.height, f.disposal)
+            rows.append({**dict(zip(_INTS, ints, strict=True)), "transparent": int((canvas[..., 3] == 0).sum()), "histogram": histogram(canvas).tolist(), "pixels": f.pixels.tobytes(), "palette": f.palette.tobytes()})
+            start += f.delay
+    except (ValueError, IndexError, struct.error):
+        return []
+    return rows
+
+
+def with_frames(media: DataFrame, data_col: str = "gif") -> DataFrame:
+    """``media`` with its GIFs decoded: the data column gives way to ``frames``, an array of
+    the frame table's rows. Memory is bounded by a slice of decoded pixels and one GIF."""
+    at = media.columns.index(data_col)
+
+    def run(batches):
+        seen: dict[bytes, list] = {}
+        held = 0
+        for batch in batches:
+            rest = batch.remove_column(at)
+            data, first, rows, made = batch.column(at).cast(pa.binary()), 0, [], 0
+
+            def part(rest=rest):
+                frames = pa.array(rows, pa.list_(_FRAME))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*rest.slice(first, len(rows)).columns, frames], names=[*rest.schema.names, "frames"])  # noqa: B023
+
+            for value in data:
+                gif = value.as_py()
+                key = hashlib.sha256(gif or b"").digest()
+                if key not in seen:
+                    if held > CACHE_BYTES:
+                        seen.clear()
+                        held = 0
+                    seen[key] = _frames(gif)
+                    held += 1000 + sum(len(f["pixels"]) + 4000 for f in seen[key])
+                rows.append(seen[key])
+                made += sum(len(f["pixels"]) + len(f["palette"]) for f in rows[-1])
+                if made > SLICE_BYTES:
+                    yield part()
+                    first, rows, made = first + len(rows), [], 0
+            yield part()
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.drop(data_col).schema)
+    return media.mapInArrow(run, f"{schema}, frames array<{FRAME}>")
 
 
 def frame_table(media: DataFrame, *, id_col: str = "media_id", data_col: str = "gif") -> DataFrame:
-    """(id, frame, start, delay, left, top, width, height, disposal, transparent, histogram)
-    for each frame of each GIF; times in hundredths of a second, histogram and number of
-    transparent pixels of the whole canvas after the frame is drawn. Null or broken data gives none."""
-
-    def run(frames):
-        for pdf in frames:
-            lists = []
-            for data in pdf["data"]:
-                rows, start = [], 0
-                try:
-                    for i, (f, canvas) in enumerate(composed(*decode(bytes(data), compose=False)) if data is not None else []):
-                        rows.append({"frame": i, "start": start, "delay": f.delay, "left": f.left, "top": f.top, "width": f.width, "height": f.height, "disposal": f.disposal, "transparent": int((canvas[..., 3] == 0).sum()), "histogram": histogram(canvas).tolist()})
-                        start += f.delay
-                except (ValueError, IndexError, struct.error):
-                    rows = []
-                lists.append(rows)
-            yield pdf[["id"]].assign(frames=lists)
-
-    kind = media.schema[id_col].dataType.simpleString()
-    found = media.select(F.col(id_col).alias("id"), F.col(data_col).alias("data")).mapInPandas(run, f"id {kind}, frames array<{FRAME}>")
+    """(id, frame, start, delay, left, top, width, height, disposal, transparent, histogram,
+    pixels, palette) for each frame of each GIF; times in hundredths of a second, histogram
+    and number of transparent pixels of the whole canvas after the frame is drawn, the
+    frame's own pixels as indices of its palette. Null or broken data gives none."""
+    found = with_frames(media.select(F.col(id_col).alias("id"), F.col(data_col).alias("gif")))
     return found.select("id", F.explode("frames").alias("f")).select("id", "f.*")
 
 
-def media_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Each text stored as GIF, the stored bytes read back, and their features: (doc_id,
-    n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature,
-    n_frames, duration, histogram). A null text is an empty one. Rows that repeat are all
-    returned; equal texts give equal values. Memory is bounded by a slice of texts."""
+def stored_media(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, gif): each text stored as GIF in a staged table, read back from it.
+    Memory is bounded by a slice of texts."""
     kind, id_type = documents.schema[id_col].dataType.simpleString(), arrow_type(documents, id_col)
-    names = [("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("n_frames", pa.int64()), ("duration", pa.int64()), ("histogram", pa.list_(pa.int64()))]
-    schema = pa.schema([("doc_id", id_type), *names])
-
-    def row(text: bytes | None) -> tuple:
-        stored = store(text)
-        size, frames = decode(stored, compose=False)
-        payload = samples(frames)
-        colours = sum((histogram(canvas) for _, canvas in composed(size, frames)), np.zeros(1 << 3 * HISTOGRAM_BITS, np.int64)).tolist()
-        duration = sum(f.delay for f in frames)
-        feature = f"{len(frames)}:{duration}:" + ",".join(f"{i}={n}" for i, n in enumerate(colours) if n)
-        return len(text or b""), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, len(frames), duration, colours
+    schema = pa.schema([("doc_id", id_type), ("n_bytes", pa.int64()), ("gif", pa.binary())])
 
     def run(batches):
-        seen: dict[bytes, tuple] = {}
+        seen: dict[bytes, bytes] = {}
+        held = 0
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
             for a, b in slices(pa.compute.binary_length(texts).fill_null(0).to_pylist(), SLICE_BYTES):
-                rows = []
-                for text in texts[a:b].to_pylist():
+                part, gifs = texts[a:b].to_pylist(), []
+                for text in part:
                     key = hashlib.sha256(text or b"").digest()
                     if key not in seen:
-                        if len(seen) >= CACHE:
+                        if held > CACHE_BYTES:
                             seen.clear()
-                        seen[key] = row(text)
-                    rows.append(seen[key])
-                columns = [pa.array(c, k) for c, (_, k) in zip(zip(*rows, strict=True), names, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], schema=schema)
+                            held = 0
+                        seen[key] = store(text)
+                        held += len(seen[key])
+                    gifs.append(seen[key])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(t or b"") for t in part], pa.int64()), pa.array(gifs, pa.binary())], schema=schema)
+
+    return staged(documents.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, gif binary"), "media")[0]
 
-    ddl = ", ".join(f"{n} {'string' if k == pa.string() else 'array<bigint>' if n == 'histogram' else 'bigint'}" for n, k in names)
-    return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, {ddl}")
+
+def media_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Each text stored as GIF, the stored bytes read back, and the features of their frames:
+    (doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
+    feature, n_frames, duration, histogram). A null text is an empty one. Rows that repeat
+    are all returned; equal texts give equal values."""
+    media = stored_media(documents, id_col=id_col, text_col=text_col)
+    found = with_frames(media.withColumn("media_bytes", F.octet_length("gif").cast("bigint")).withColumn("media_sha256", F.sha2("gif", 256)))
+    gray = (F.size("frames") > 0) & F.forall("frames", lambda f: f["palette"] == F.lit(bytearray(GRAY)))  # an index is its gray level
+    pixels = F.reduce("frames", F.lit(bytearray()), lambda all_, f: F.concat(all_, f["pixels"]))
+    zeros = F.array_repeat(F.lit(0).cast("bigint"), 1 << 3 * HISTOGRAM_BITS)
+    found = found.select(
+        "*", F.when(gray, pixels).otherwise(F.raise_error(F.lit("damaged media")).cast("binary")).alias("payload"), F.size("frames").cast("bigint").alias("n_frames"),
+        F.reduce("frames", F.lit(0).cast("bigint"), lambda t, f: t + f["delay"]).alias("duration"),
+        F.reduce("frames", zeros, lambda t, f: F.zip_with(t, f["histogram"], lambda x, y: x + y)).alias("histogram"),
+    )
+    bins = F.filter(F.transform("histogram", lambda n, i: F.when(n > 0, F.concat(i.cast("string"), F.lit("="), n.cast("string")))), lambda x: x.isNotNull())
+    return found.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("bigint").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"), "media_bytes", "media_sha256",
+        F.concat(F.col("n_frames").cast("string"), F.lit(":"), F.col("duration").cast("string"), F.lit(":"), F.array_join(bins, ",")).alias("feature"), "n_frames", "duration", "histogram",
+    )
 
 
 def op4_gif(spark, sf_dir: str) -> DataFrame:

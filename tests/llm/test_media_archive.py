@@ -89,6 +89,15 @@ def test_frame_table(spark):
     assert sum(map(sum, (r.histogram for r in rows))) == 200000
 
 
+def test_media_are_stored(spark):
+    media = gif.stored_media(frame(spark))
+    assert media.inputFiles() and media_of(frame(spark)).inputFiles()  # read from a table, not from memory
+    rows = {r.doc_id: r for r in media.collect()}
+    assert {d: bytes(r.gif) for d, r in rows.items()} == {7 * i: store((t or "").encode()) for i, t in enumerate(TEXTS)}
+    frames = frame_table(media, id_col="doc_id").filter("id = 56").orderBy("frame").collect()
+    assert b"".join(bytes(f.pixels) for f in frames).rstrip(b"\0") == TEXTS[8].encode() and bytes(frames[0].palette) == gif.GRAY
+
+
 def test_frame_table_composes(spark):
     palette = bytes([0, 0, 0, 255, 0, 0, 0, 0, 255]) + bytes(253 * 3)
     full = lambda v, n: np.full((n, n), v, np.uint8)
