@@ -186,7 +186,8 @@ def _(spark, sf):
 @query("q_causality_check", "SELECT 'current_bar_momentum' AS signal, 0::BIGINT AS breaks UNION ALL SELECT 'current_bar_mean_reversion', 0")
 def _(spark, sf):
     b = bars(spark, sf)
-    parts = [signals.causality_breaks(b, f, [5, 40, 200]).agg(F.count("*").alias("breaks")).select(F.lit(n).alias("signal"), "breaks") for n, f in signals.SIGNALS.items()]
+    cuts = signals.cut_points(b.groupBy("contract").count().agg(F.max("count")).first()[0] or 2)
+    parts = [signals.causality_breaks(b, f, cuts).agg(F.count("*").alias("breaks")).select(F.lit(n).alias("signal"), "breaks") for n, f in signals.SIGNALS.items()]
     return parts[0].unionByName(parts[1])
 
 

@@ -38,3 +38,15 @@ def test_entry_imports_without_session():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_causality_is_tried_to_the_end(spark, monkeypatch):
+    from barlab import queries
+    from barlab.operators import signals
+
+    tried = []
+    real = signals.causality_breaks
+    monkeypatch.setattr(signals, "causality_breaks", lambda b, f, cuts: tried.append(cuts) or real(b, f, cuts))
+    rows = QUERIES["q_causality_check"](spark, SF).collect()
+    longest = max(r["count"] for r in queries.bars(spark, SF).groupBy("contract").count().collect())
+    assert tried == [signals.cut_points(longest)] * 2 and max(tried[0]) >= longest - 1 and all(r.breaks == 0 for r in rows)
