@@ -2,42 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlab.operators.staging import drop_staged, shared_dir, staged
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Where the
-    session has none (local tests), a temporary one is made and set once."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='barlab-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base
+__all__ = ["by_id", "drop_staged", "running_total", "shared_dir", "slices", "staged", "table"]
 
 
-def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as a table in the shared folder and read it back: lineage is cut
-    there, and a lost executor costs no recomputation before that point."""
-    path = f"{shared_dir(df.sparkSession)}/barlab/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path), path
-
-
-def drop_staged(spark: SparkSession, *paths: str) -> None:
-    """Remove staged tables that nothing reads any more."""
-    for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlab.llm.common import by_id, drop_staged, slices, staged, table
-from barlab.llm.components import components
+from barlab.operators.graph import components
 from barlab.llm.decontaminate import arrow_type
 
 BANDS, ROWS, BITS, FULL = 32, 4, 1024, 512

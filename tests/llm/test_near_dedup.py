@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from barlab.llm.components import components
+from barlab.operators.graph import components
 from barlab.llm.near_dedup import BITS, Shingler, brute_force, find_groups, keep_one, odd_sketch
 
 DOC = "doc_id bigint, text string, component_id string, n string, kept int"
