@@ -10,8 +10,9 @@ A file holds consecutive documents in ascending doc_id order:
 
 Control and data bytes lie apart, so that numpy reads a whole file by table lookup: each
 control byte gives four lengths, their running sum the offsets, and ranks map to ids.
-Documents are range-partitioned by doc_id, and a task streams its range into files of a
-bounded number of ids; a file is a row of a table in the shared folder.
+Texts are encoded where they are read, and only their ids, half as many bytes, are
+range-partitioned by doc_id; a task streams its range into files of a bounded number of
+ids; a file is a row of a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -27,14 +28,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import running_total, slices, staged, table
+from barlab.llm.common import drop_staged, running_total, slices, staged, table
 
 MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 4 << 20, 1 << 21
 LENGTHS = np.array([[(b >> 2 * k & 3) + 1 for k in range(4)] for b in range(256)], np.uint8)
-PIECES, PARTS = 200_000, 700_000
+PIECES = 600_000  # that a worker remembers
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 PART = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[!-&(-@\[-`{-~]+\n?|\n")  # no apostrophe
+ENDS = frozenset(".,;:!?")
 SPACE = "\u0120"  # how a byte-level vocabulary writes a space
 
 
@@ -86,8 +88,8 @@ class Encoder:
     piece. The distinct pieces of a slice are found by Arrow's dictionary encoding, and the
     slice's ids are gathered from theirs by numpy. A new piece of Latin letters, ASCII marks
     and digits is cut again where those meet, which ends pre-tokens, too, and the library
-    encodes each part once. Pieces and parts that were seen are kept up to a number; ids do
-    not depend on what is kept."""
+    encodes each part once. Pieces that were seen are found again by Arrow; those that were
+    not used for longest are forgotten beyond a number. Ids do not depend on what is kept."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -99,8 +101,8 @@ class Encoder:
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for t, i in vocabulary.items() if t.startswith(SPACE)]] = True
         self.added = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"\Z\A.")
-        self.pieces: dict[str, bytes] = {}  # of several parts
-        self.parts: dict[str, bytes] = {}
+        self.keys, self.calls = pa.array([], pa.large_string()), 0  # the pieces that are kept, with
+        self.size, self.used, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
 
     def _words(self, texts: list[str]) -> tuple[pa.Array, np.ndarray]:
         """All texts' words (what stands between cuts) in a row, and how many each text has."""
@@ -114,61 +116,86 @@ class Encoder:
     def _parts(self, piece: str) -> list[str]:
         if piece[1:].isalpha():
             return [piece]
+        if piece[-1:] in ENDS and piece[1:-1].isalpha():
+            return [piece[:-1], piece[-1]]
         parts = PART.findall(piece)
-        whole = len(parts) < 2 or "\n\n" in piece or sum(map(len, parts)) < len(piece) or self.added.search(piece)
-        return [piece] if whole else parts
+        return [piece] if len(parts) < 2 or "\n\n" in piece or sum(map(len, parts)) < len(piece) else parts
 
-    def _encode_parts(self, new: list[str]) -> None:
-        width = self.kind.itemsize
+    def _encode_parts(self, new: list[str]) -> dict[str, bytes]:
+        width, out = self.kind.itemsize, {}
         words = [p for p in new if p.startswith(" ") and p[1:].isalpha()]
+        rest = [p for p in new if not (p.startswith(" ") and p[1:].isalpha())]
         for a in range(0, len(words), 5_000):
             run = words[a : a + 5_000]  # as one text, whose words begin where the ids have a space
             ids = np.array(self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, self.kind)
             at, raw = (np.flatnonzero(self.begins[ids]) * width).tolist(), ids.tobytes()
             if len(at) == len(run):
-                self.parts.update((p, raw[i:j]) for p, i, j in zip(run, at, [*at[1:], len(raw)], strict=True))
-        rest = [p for p in new if p not in self.parts]
+                out.update((p, raw[i:j]) for p, i, j in zip(run, at, [*at[1:], len(raw)], strict=True))
+            else:
+                rest += run
         for a in range(0, len(rest), 5_000):
             part = rest[a : a + 5_000]
             for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.parts[p] = np.array(e.ids, self.kind).tobytes()
-
-    def _ids(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces."""
-        if len(self.pieces) >= PIECES:
-            self.pieces.clear()
-        if len(self.parts) >= PARTS:
-            self.parts.clear()
-        part, piece = self.parts.get, self.pieces.get
-        found = [part(p) or piece(p) for p in pieces]
-        cut = {p: self._parts(p) for p, ids in zip(pieces, found, strict=True) if ids is None}
-        self._encode_parts(list({x for parts in cut.values() for x in parts if x not in self.parts}))
-        known = self.parts.__getitem__
-        self.pieces.update((p, b"".join(map(known, parts))) for p, parts in cut.items() if len(parts) > 1)
-        return [ids if ids is not None else piece(p) if p in self.pieces else known(p) for p, ids in zip(pieces, found, strict=True)]
+                out[p] = np.array(e.ids, self.kind).tobytes()
+        return out
 
-    def __call__(self, texts: list[str | None]) -> list[bytes]:
+    def _find(self, pieces: pa.Array) -> np.ndarray:
+        """The place of each piece among those that are kept, or -1; found ones count as used."""
+        at = pa.compute.index_in(pieces, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        self.used[at[at >= 0]] = self.calls
+        return at
+
+    def _learn(self, pieces: list[str]) -> None:
+        """Encode distinct pieces that are not kept, and keep them and their parts."""
+        whole = self.added.search("\n".join(pieces)) is not None  # then each piece is looked at
+        cut = [[p] if whole and self.added.search(p) else self._parts(p) for p in pieces]
+        parts = list({x for c in cut for x in c})
+        at = self._find(pa.array(parts, pa.large_string()))
+        start = np.cumsum(self.size) - self.size
+        known = {x: self.ids[start[i] : start[i] + self.size[i]].tobytes() for x, i in zip(parts, at.tolist(), strict=True) if i >= 0}
+        new = self._encode_parts([x for x, i in zip(parts, at.tolist(), strict=True) if i < 0])
+        known.update(new)
+        new.update((p, b"".join(map(known.__getitem__, c))) for p, c in zip(pieces, cut, strict=True) if len(c) > 1)
+        self.keys = pa.concat_arrays([self.keys, pa.array(new, pa.large_string())])
+        self.size = np.concatenate([self.size, np.array([len(x) for x in new.values()], np.int64) // self.kind.itemsize])
+        self.used = np.concatenate([self.used, np.full(len(new), self.calls)])
+        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(new.values()), self.kind)])
+
+    def _forget(self) -> None:
+        if len(self.keys) > PIECES:
+            keep = np.sort(np.argpartition(-self.used, 2 * PIECES // 3)[: 2 * PIECES // 3])
+            self.ids = self.ids[np.repeat(np.isin(np.arange(len(self.size)), keep, assume_unique=True), self.size)]
+            self.keys, self.size, self.used = self.keys.take(pa.array(keep)), self.size[keep], self.used[keep]
+
+    def encoded(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, each text's followed by the end id, and where each
+        text's ids end."""
         if not texts:
-            return []
+            return np.zeros(0, self.kind), np.zeros(0, np.int64)
+        self.calls += 1
+        self._forget()
         words, n_words = self._words([t or "" for t in texts])
-        coded = words.dictionary_encode()
         first = np.cumsum(n_words) - n_words  # the word that a text begins with has no space before it
-        heads = words.take(pa.array(first)).dictionary_encode()
-        inner = coded.dictionary.to_pylist()
+        coded, heads = words.dictionary_encode(), words.take(pa.array(first)).dictionary_encode()
+        pieces = pa.concat_arrays([pa.compute.binary_join_element_wise(pa.scalar(" ", pa.large_string()), coded.dictionary, pa.scalar("", pa.large_string())), heads.dictionary])
         which = coded.indices.to_numpy().astype(np.int64)
-        which[first] = heads.indices.to_numpy() + len(inner)
-        heads = heads.dictionary.to_pylist()
-        used = np.zeros(len(inner) + len(heads), bool)
-        used[which] = True
-        pieces = [p for p, u in zip([*map(" ".__add__, inner), *heads], used.tolist(), strict=True) if u]
-        found = [*self._ids(pieces), np.zeros(1, self.kind).tobytes()]  # the end id last
-        ids, size = np.frombuffer(b"".join(found), self.kind), np.array([len(x) // self.kind.itemsize for x in found], np.int64)
-        which = np.insert((np.cumsum(used) - 1)[which], np.cumsum(n_words), len(pieces))
+        which[first] = heads.indices.to_numpy() + len(coded.dictionary)
+        at, known = self._find(pieces), len(self.keys)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            unknown = pieces.take(pa.array(new))
+            self._learn(unknown.unique().to_pylist())
+            at[new] = known + pa.compute.index_in(unknown, value_set=self.keys[known:]).to_numpy()
+        at = np.append(at, len(self.keys))  # the end id last
+        which = at[np.insert(which, np.cumsum(n_words), len(pieces))]
+        ids, size = np.append(self.ids, self.kind.type(0)), np.append(self.size, 1)
         n = size[which]
         at = np.repeat((np.cumsum(size) - size)[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        stop = np.cumsum(np.add.reduceat(n, first + np.arange(len(texts)))) * self.kind.itemsize
-        raw = ids[at].tobytes()
-        return [raw[i:j] for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
+        return ids[at], np.cumsum(np.add.reduceat(n, first + np.arange(len(texts))))
+
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        ids, stop = self.encoded(texts)
+        return [ids[i:j].tobytes() for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -183,41 +210,51 @@ def encoder_of(path: str) -> Encoder:
 
 def _encode(path: str):
     def run(batches):
-        encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
-        held: list[bytes] = []
-        docs: list[int | None] = []
-        total = 0
-
-        def file() -> pa.RecordBatch:
-            width = encoder.kind.itemsize
-            ids = np.frombuffer(b"".join(held), encoder.kind)
-            body = pack(docs, [len(x) // width for x in held], ids)
-            return pa.RecordBatch.from_arrays([pa.array([part << 24 | seq]), pa.array([len(docs)]), pa.array([len(ids)]), pa.array([body], pa.binary())], names=["file", "n_docs", "n_ids", "body"])
-
+        encoder = encoder_of(path)
         for batch in batches:
             sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
             for a, b in slices(sizes, SLICE_BYTES):
-                for doc, ids in zip(batch.column(0)[a:b].to_pylist(), encoder(batch.column(1)[a:b].to_pylist()), strict=True):
-                    held.append(ids)
-                    docs.append(doc)
-                    total += len(ids) // encoder.kind.itemsize
-                    if total >= FILE_IDS:
-                        yield file()
-                        held, docs, total, seq = [], [], 0, seq + 1
-        if docs:
-            yield file()
+                ids, stop = encoder.encoded(batch.column(1)[a:b].to_pylist())
+                at = np.append(0, stop * encoder.kind.itemsize).astype(np.int32)
+                column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(ids)])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], column, pa.array([encoder.kind.itemsize] * (b - a), pa.int32())], names=["doc_id", "ids", "width"])
 
     return run
 
 
-def write_token_files(documents: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 32 << 20) -> DataFrame:
+def _files(batches):
+    part, seq = TaskContext.get().partitionId(), 0
+    held: list[np.ndarray] = []
+    docs: list[int | None] = []
+    total = 0
+
+    def file() -> pa.RecordBatch:
+        body = pack(docs, [len(x) for x in held], np.concatenate(held))
+        return pa.RecordBatch.from_arrays([pa.array([part << 24 | seq]), pa.array([len(docs)]), pa.array([total]), pa.array([body], pa.binary())], names=["file", "n_docs", "n_ids", "body"])
+
+    for batch in batches:
+        for doc, ids, width in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+            held.append(np.frombuffer(ids.as_py(), f"<u{width}"))
+            docs.append(doc)
+            total += len(held[-1])
+            if total >= FILE_IDS:
+                yield file()
+                held, docs, total, seq = [], [], 0, seq + 1
+    if docs:
+        yield file()
+
+
+def write_token_files(documents: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20) -> DataFrame:
     """The files of all documents, as a staged table (file, n_docs, n_ids, body), ``file``
     rising in doc_id order. Ids are integers; null ids come first, rows that repeat an id
-    follow each other in order of their texts. A null or empty text is just the end id."""
+    follow each other in order of their ids' bytes. A null or empty text is just the end id."""
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = docs.repartitionByRange(max(1, -(-size // range_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ranges.mapInArrow(_encode(tokenizer_path), "file bigint, n_docs bigint, n_ids bigint, body binary"), "token-files")[0]
+    encoded, encoded_at = staged(docs.mapInArrow(_encode(tokenizer_path), "doc_id bigint, ids binary, width int"), "encoded")
+    size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    ranges = encoded.repartitionByRange(max(1, -(-size // range_bytes)), "doc_id").sortWithinPartitions("doc_id", "ids")
+    files, _ = staged(ranges.mapInArrow(_files, "file bigint, n_docs bigint, n_ids bigint, body binary"), "token-files")
+    drop_staged(documents.sparkSession, encoded_at)
+    return files
 
 
 def _decode(batches):
