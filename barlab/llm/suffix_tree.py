@@ -7,9 +7,12 @@ reaches ``divergence`` nats, or when a longer context that stays has it as suffi
 distribution is interpolated with its suffix's, so every state gives proper
 probabilities. A symbol is scored by the longest suffix state of what stands before it.
 
-Counting is distributed: tasks count the (context, symbol) grams and words of bounded
-slices, Spark adds them up, and smoothing and tests are joins between levels. The tree is
-two staged tables of any size, states and entries. Its commonest states, of at most
+Counting is distributed: tasks count the (context, symbol) grams of bounded slices and
+pack them by the three symbols before the predicted one. One shuffle brings the packs of
+equal three symbols together and adds them up; all longer contexts that end in these, a
+whole branch of the tree, are then smoothed and tested by numpy, some branches at a time.
+Contexts of two symbols and fewer (65,793 at most) are treated on the driver. The tree is
+a staged table of any size, a row for each state. Its commonest states, of at most
 ``head_entries`` entries, are sent to the tasks, with marks where the tree goes on beyond
 them; the grams of each text that go on meet the rest of the tree in shuffle joins.
 Words are treated in the same way: the commonest, ``head`` at most, are sent to the tasks,
@@ -20,7 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from functools import reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +35,9 @@ from barlab.llm.common import drop_staged, slices, staged, table
 from barlab.llm.decontaminate import arrow_type
 
 DEPTH, BETA, END = 7, 4.0, b" "  # a symbol and its context fill 64 bits
+LOW = 2  # contexts up to this length are treated on the driver; a branch has one symbol more
 GRAM_BYTES, SLICE_BYTES, TABLE_BITS = 2 << 20, 1 << 20, 20
-GRAMS_HELD, WORDS_HELD = 1_500_000, 400_000
+GRAMS_HELD, WORDS_HELD, BRANCH_GRAMS = 1_500_000, 400_000, 400_000
 MASK = [(1 << 8 * k) - 1 for k in range(DEPTH + 1)] + [-1]  # as signed 64-bit numbers
 
 
@@ -59,19 +63,178 @@ def _slices(batch, limit: int):
         yield a, b, texts[a:b].to_pylist()
 
 
+def _turned(code: np.ndarray) -> np.ndarray:
+    """Codes with the three symbols before the predicted one as the highest bytes, so that
+    sorting brings branches together; ``_turned_back`` undoes it."""
+    c = code.view(np.uint64)
+    return (c >> np.uint64(8) & np.uint64(0xFFFFFF)) << np.uint64(40) | c >> np.uint64(32) << np.uint64(8) | c & np.uint64(0xFF)
+
+
+def _turned_back(t: np.ndarray) -> np.ndarray:
+    return ((t >> np.uint64(8)) << np.uint64(32) | t >> np.uint64(40) << np.uint64(8) | t & np.uint64(0xFF)).view(np.int64)
+
+
+def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and the sums of their counts."""
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]])[: len(code)])
+    return code[first], np.add.reduceat(n, first) if len(first) else n
+
+
+class Sums:
+    """Counts by code, added up in parts; ``all`` gives their sums."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, code: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((code, n))
+        self.held += len(code)
+        if len(self.parts) > 1 and self.held > 2 * max(GRAMS_HELD, len(self.parts[0][0])):
+            self.all()
+
+    def all(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.parts) > 1:
+            self.parts = [summed(*(np.concatenate(x) for x in zip(*self.parts, strict=True)))]
+            self.held = len(self.parts[0][0])
+        return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def _packed(code: np.ndarray, n: np.ndarray) -> bytes:
+    """Sorted codes' five lowest bytes and counts, byte by byte, highest first."""
+    wide = np.concatenate([code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:], n.astype(">u4").view(np.uint8).reshape(-1, 4)], 1)
+    return wide.T.tobytes()
+
+
+def _unpacked(branch: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    planes = np.frombuffer(body, np.uint8).reshape(9, -1).astype(np.uint64)
+    code, n = np.full(planes.shape[1], branch, np.uint64), np.zeros(planes.shape[1], np.uint64)
+    for plane in planes[:5]:
+        code = code << np.uint64(8) | plane
+    for plane in planes[5:]:
+        n = n << np.uint64(8) | plane
+    return code, n.astype(np.int64)
+
+
+def _by_branch(code: np.ndarray, n: np.ndarray, branch: np.ndarray, name) -> list[tuple[int, bytes]]:
+    edges = np.flatnonzero(np.concatenate([[True], branch[1:] != branch[:-1], [True]])) if len(code) else np.zeros(0, np.int64)
+    return [(name(int(branch[i])), _packed(code[i:j], n[i:j])) for i, j in pairwise(edges.tolist())]
+
+
+def _gram_rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """A row (branch, body) for each branch of sorted turned codes, and the grams of contexts
+    of LOW symbols under -1 minus the symbol before the predicted one."""
+    branch = code >> np.uint64(40)
+    one, two = branch & np.uint64(0xFF), branch >> np.uint64(8) & np.uint64(0xFF)
+    low, m = summed(one << np.uint64(16) | two << np.uint64(8) | code & np.uint64(0xFF), n)
+    rows = [*_by_branch(code, n, branch, int), *_by_branch(low, m, low >> np.uint64(16), lambda c: -1 - c)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["branch", "body"])
+
+
 def _count_grams(batches):
-    code, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    held = Sums()
     for batch in batches:
         for _, _, texts in _slices(batch, GRAM_BYTES):
-            new, m = np.unique(grams([words(t) for t in texts])[0], return_counts=True)
-            both, at = np.unique(np.concatenate([code, new]), return_inverse=True)
-            total = np.zeros(len(both), np.int64)
-            np.add.at(total, at, np.concatenate([n, m]))
-            code, n = both, total
-            if len(code) > GRAMS_HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
-                code, n = code[:0], n[:0]
-    yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], names=["code", "n"])
+            held.add(*np.unique(_turned(grams([words(t) for t in texts])[0]), return_counts=True))
+            if held.held > GRAMS_HELD and len(held.all()[0]) > GRAMS_HELD:
+                yield _gram_rows(*held.all())
+                held = Sums()
+    yield _gram_rows(*held.all())
+
+
+def _merged(batches):
+    """One row for each branch: the sums of its rows, which come sorted by branch."""
+    now, held = None, Sums()
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_packed(*held.all())], pa.binary())], names=["branch", "body"])
+
+    for batch in batches:
+        for branch, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            if branch != now:
+                if now is not None:
+                    yield row()
+                now, held = branch, Sums()
+            held.add(*_unpacked(max(branch, 0), body.as_py()))
+    if now is not None:
+        yield row()
+
+
+def _branches(batches, size: int):
+    """Grams of whole branches, some ``size`` at a time."""
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    held = 0
+    for batch in batches:
+        for branch, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            done.append(_unpacked(max(branch, 0), body.as_py()))
+            held += len(done[-1][0])
+            if held > size:
+                yield tuple(np.concatenate(x) for x in zip(*done, strict=True))
+                done, held = [], 0
+    if done:
+        yield tuple(np.concatenate(x) for x in zip(*done, strict=True))
+
+
+def _low_counts(batches):
+    for code, n in _branches(batches, 0):
+        c = (code & np.uint64(0xFF00)) << np.uint64(8) | (code >> np.uint64(16)) << np.uint64(8) | code & np.uint64(0xFF)
+        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(n)], names=["code", "n"])
+
+
+class Level:
+    """Grams of contexts of k symbols: codes in order, counts, contexts, smoothed
+    probabilities, and which contexts stay."""
+
+    def __init__(self, k: int, code: np.ndarray, n: np.ndarray, parent: Level | None, divergence: float):
+        self.k, self.code, self.n = k, code, n
+        self.ctx, self.first, self.of = np.unique((code >> 8) & MASK[k], return_index=True, return_inverse=True)
+        self.total = np.bincount(self.of, n, len(self.ctx))
+        if parent is None:
+            self.p, self.stays = (n + 1) / (n.sum() + 256), np.ones(len(self.ctx), bool)
+            return
+        below = parent.p[np.searchsorted(parent.code, code & MASK[k])]
+        self.p = (n + BETA * below) / (self.total[self.of] + BETA)
+        self.stays = np.bincount(self.of, n * np.log(self.p / below), len(self.ctx)) >= divergence
+
+    def keep(self, longer: np.ndarray) -> None:
+        """Contexts that longer ones which stay have as suffix stay, too."""
+        self.stays[np.searchsorted(self.ctx, np.unique(longer & MASK[self.k]))] = True
+
+    def states(self) -> pa.RecordBatch:
+        size = np.bincount(self.of, minlength=len(self.ctx))[self.stays]
+        entry = self.stays[self.of]
+        stops = pa.array(np.append(0, np.cumsum(size)), pa.int32())
+        symbols, v = pa.array(self.code[entry] & 0xFF, pa.int16()), pa.array(np.log10(self.p[entry]))
+        return pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(size), self.k, np.int32)), pa.array(self.ctx[self.stays]), pa.array(self.total[self.stays].astype(np.int64)),
+            pa.ListArray.from_arrays(stops, symbols), pa.ListArray.from_arrays(stops, v),
+        ], names=["k", "ctx", "total", "symbols", "v"])
+
+
+def _shorter(code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    return summed(code & MASK[k + 1], n)
+
+
+def _grow(low, divergence: float):
+    """States of the contexts of more than LOW symbols of each branch."""
+
+    def run(batches):
+        parent = low.value
+        for turned, n in _branches(batches, BRANCH_GRAMS):
+            counts = {DEPTH: summed(_turned_back(turned), n)}
+            for k in range(DEPTH - 1, LOW, -1):
+                counts[k] = _shorter(*counts[k + 1], k)
+            levels = [parent]
+            for k in range(LOW + 1, DEPTH + 1):
+                levels.append(Level(k, *counts[k], levels[-1], divergence))
+            for level, longer in zip(levels[-2:0:-1], levels[:1:-1], strict=True):
+                level.keep(longer.ctx[longer.stays])
+            for level in levels[1:]:
+                yield level.states()
+
+    return run
 
 
 def _count_words(batches):
@@ -96,8 +259,19 @@ class Head:
     length of contexts. ``more`` marks, for each state, the 256 symbols before it by which
     it is lengthened to a state that is not here."""
 
-    def __init__(self, entries: list[tuple[np.ndarray, np.ndarray]], states: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
-        self.entries, self.states = ([tuple(column[np.argsort(level[0])] for column in level) for level in part] for part in (entries, states))
+    def __init__(self, states: pa.Table):
+        """From rows (k, ctx, total, symbols, v, more0, more1, more2, more3)."""
+        self.entries, self.states = [], []
+        for k in range(DEPTH + 1):
+            level = states.filter(pa.compute.equal(states["k"], k)).combine_chunks()
+            ctx = level["ctx"].to_numpy()
+            size = pa.compute.list_value_length(level["symbols"]).to_numpy()
+            gram = np.repeat(ctx, size) << 8 | pa.compute.list_flatten(level["symbols"]).to_numpy().astype(np.int64)
+            entry, state = np.argsort(gram), np.argsort(ctx)
+            self.entries.append((gram[entry], pa.compute.list_flatten(level["v"]).to_numpy()[entry]))
+            back = np.log10(BETA / (level["total"].to_numpy() + BETA)) if k else np.zeros(len(ctx))
+            more = np.stack([level[f"more{q}"].to_numpy() for q in range(4)], 1)
+            self.states.append((ctx[state], back[state], more[state]))
 
     @staticmethod
     def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,11 +307,11 @@ class Head:
 
 
 class Tree:
-    """A suffix tree: its head, and the tables of the states (k, ctx, back) and the entries
-    (k, gram, v) that are not in the head."""
+    """A suffix tree: its head, and the table of the states (k, ctx, total, symbols, v) that
+    are not in the head."""
 
-    def __init__(self, head: Head, states: DataFrame, entries: DataFrame):
-        self.head, self.states, self.entries = head, states, entries
+    def __init__(self, head: Head, states: DataFrame):
+        self.head, self.states = head, states
 
     def rest(self, codes: DataFrame) -> DataFrame:
         """(code, v): log10 probabilities of distinct codes whose longest state is not in the
@@ -150,10 +324,12 @@ class Tree:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(depth)], names=["code", "short", "depth"])
 
         near = codes.select("code").mapInArrow(run, "code bigint, short double, depth bigint")
-        levels = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright("code", 8).bitwiseAND(F.lit(MASK[k])).alias("ctx"), F.col("code").bitwiseAND(F.lit(MASK[k + 1])).alias("gram")) for k in range(1, DEPTH + 1)))
+        levels = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright("code", 8).bitwiseAND(F.lit(MASK[k])).alias("ctx")) for k in range(1, DEPTH + 1)))
         rows = near.select("code", "short", "depth", F.explode(levels).alias("s")).filter("s.k > depth").select("code", "short", "s.*")
-        rows = rows.join(self.states, ["k", "ctx"]).join(self.entries, ["k", "gram"], "left")
-        down = F.sum(F.when(F.col("v").isNull(), F.col("back")).otherwise(0.0))  # from the longest state to the longest that knows the symbol
+        symbol = F.col("code").bitwiseAND(F.lit(255)).cast("smallint")
+        rows = rows.join(self.states, ["k", "ctx"]).select("code", "short", "k", "total", F.try_element_at("v", F.nullif(F.array_position("symbols", symbol).cast("int"), F.lit(0))).alias("v"))
+        back = F.log10(BETA / (F.col("total") + BETA))
+        down = F.sum(F.when(F.col("v").isNull(), back).otherwise(0.0))  # from the longest state to the longest that knows the symbol
         return rows.groupBy("code").agg((F.coalesce(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("k"))), F.first("short")) + down).alias("v"))
 
     def score(self, code: np.ndarray) -> np.ndarray:
@@ -187,79 +363,51 @@ class Cached:
         return out
 
 
-def build_tree(texts: DataFrame, *, divergence: float = 12.0, head_entries: int = 1_000_000) -> Tree:
+STATES = "k int, ctx bigint, total bigint, symbols array<smallint>, v array<double>"
+
+
+def build_tree(texts: DataFrame, *, divergence: float = 12.0, head_entries: int = 4_000_000) -> Tree:
     """The tree of a one-column frame of texts; without any text, all symbols are as likely.
-    Its head has the states of the largest counts, as quarter powers of two."""
-    spark, paths = texts.sparkSession, []
-    levels: list[DataFrame] = []
-    counts = texts.mapInArrow(_count_grams, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
-    for k in range(DEPTH, -1, -1):
-        if k < DEPTH:
-            counts = levels[-1].groupBy(F.col("code").bitwiseAND(F.lit(MASK[k + 1])).alias("code")).agg(F.sum("n").alias("n"))
-        level, path = staged(counts.filter("n > 0"), f"grams{k}")
-        levels.append(level)
-        paths.append(path)
-    levels.reverse()
-    context = lambda k: F.shiftright("code", 8).bitwiseAND(F.lit(MASK[k]))
-
-    total = levels[0].agg(F.sum("n")).first()[0] or 0
-    p = levels[0].select("code", ((F.col("n") + 1) / F.lit(float(total + 256))).alias("p"))
-    rated = []
-    for k in range(1, DEPTH + 1):
-        rows = levels[k].withColumn("ctx", context(k)).withColumn("suffix", F.col("code").bitwiseAND(F.lit(MASK[k])))
-        rows = rows.join(rows.groupBy("ctx").agg(F.sum("n").alias("total")), "ctx")
-        rows = rows.join(p.select(F.col("code").alias("suffix"), F.col("p").alias("below")), "suffix")
-        rows, path = staged(rows.select("code", "ctx", "n", "total", "below", ((F.col("n") + BETA * F.col("below")) / (F.col("total") + BETA)).alias("p")), f"smoothed{k}")
-        paths.append(path)
-        rated.append(rows)
-        p = rows.select("code", "p")
-
-    tests = []
-    for k, rows in enumerate(rated, 1):
-        gain = F.sum(F.col("n") * F.ln(F.col("p") / F.col("below")))
-        test, path = staged(rows.groupBy("ctx").agg(gain.alias("gain")).filter(F.col("gain") >= divergence).select("ctx"), f"tests{k}")
-        paths.append(path)
-        tests.append(test)
-    stay: dict[int, DataFrame] = {}
-    for k in range(DEPTH, 0, -1):
-        own = tests[k - 1]
-        if k < DEPTH:
-            own = own.unionByName(stay[k + 1].select(F.col("ctx").bitwiseAND(F.lit(MASK[k])).alias("ctx"))).distinct()
-        stay[k], path = staged(own, f"states{k}")
-        paths.append(path)
-
-    base = np.full(256, math.log10(1 / (total + 256)))
-    for r in levels[0].collect():  # 256 rows at most
-        base[r.code] = math.log10((r.n + 1) / (total + 256))
-    step, parts, kept = F.floor(F.log2("total") * 4), [], []
-    for k, rows in enumerate(rated, 1):
-        mine = rows.join(stay[k], "ctx", "left_semi")
-        parts.append(mine.select(F.lit(k).alias("k"), F.col("code").alias("gram"), F.log10("p").alias("v"), step.alias("step")))
-        kept.append(mine.groupBy("ctx").agg(F.first("total").alias("total"), F.count("*").alias("m")).select(F.lit(k).alias("k"), "ctx", F.log10(BETA / (F.col("total") + BETA)).alias("back"), step.alias("step"), "m"))
-    entries, _ = staged(reduce(DataFrame.unionByName, parts), "entries")
-    states, _ = staged(reduce(DataFrame.unionByName, kept), "states")
-    drop_staged(spark, *paths)
-
-    sizes = {r.step: r.m for r in states.groupBy("step").agg(F.sum("m").alias("m")).collect()}  # a few hundred rows
-    low, held = max(sizes, default=0) + 1, 0
-    while low > 0 and held + sizes.get(low - 1, 0) <= head_entries:
-        low -= 1
-        held += sizes.get(low, 0)
-    near, far = F.col("step") >= low, F.col("step") < low
+    Its head has the states of LOW symbols and fewer and, up to ``head_entries``, those of
+    the largest counts, as quarter powers of two."""
+    spark = texts.sparkSession
+    packed = texts.mapInArrow(_count_grams, "branch int, body binary").repartition("branch").sortWithinPartitions("branch")
+    grams_, grams_at = staged(packed.mapInArrow(_merged, "branch int, body binary"), "grams")
+    found = grams_.filter("branch < 0").mapInArrow(_low_counts, "code bigint, n bigint").toArrow()  # 256^3 rows at most
+    order = np.argsort(found["code"].to_numpy())
+    counts = {LOW: (found["code"].to_numpy()[order], found["n"].to_numpy()[order])}
+    for k in range(LOW - 1, -1, -1):
+        counts[k] = _shorter(*counts[k + 1], k)
+    low: list[Level] = []
+    for k in range(LOW + 1):
+        low.append(Level(k, *counts[k], low[-1] if low else None, divergence))
+    shared = spark.sparkContext.broadcast(low[LOW])
+    tree, _ = staged(grams_.filter("branch >= 0").mapInArrow(_grow(shared, divergence), STATES), "tree")
+    shared.destroy()
+    drop_staged(spark, grams_at)
+
+    lengthened = tree.filter(F.col("k") == LOW + 1).select(F.col("ctx").bitwiseAND(F.lit(MASK[LOW])).alias("ctx")).distinct().toArrow()  # 256^LOW rows at most
+    low[LOW].keep(lengthened["ctx"].to_numpy())
+    for level, longer in zip(low[LOW - 1 :: -1], low[:0:-1], strict=True):
+        level.keep(longer.ctx[longer.stays])
+    total = int(low[0].n.sum())
+    base = np.full(256, math.log10(1 / (total + 256)))  # of any symbol, also of those that no text has
+    base[low[0].code] = np.log10(low[0].p)
+    root = pa.table({"k": pa.array([0], pa.int32()), "ctx": [0], "total": [total], "symbols": pa.array([range(256)], pa.list_(pa.int16())), "v": [base.tolist()]})
+
+    step = F.floor(F.log2("total") * 4)
+    sizes = {r.step: r.m for r in tree.groupBy(step.alias("step")).agg(F.sum(F.size("symbols")).alias("m")).collect()}  # a few hundred rows
+    least, held = max(sizes, default=0) + 1, sum(int(x.stays[x.of].sum()) for x in low)
+    while least > 0 and held + sizes.get(least - 1, 0) <= head_entries:
+        least -= 1
+        held += sizes.get(least, 0)
+    far = tree.filter(step < least)
     before = F.expr("shiftright(ctx, 8 * (k - 1)) & 255")
     marks = [F.bit_or(F.when(F.shiftright(before, 6) == q, F.expr("shiftleft(1L, cast((shiftright(ctx, 8 * (k - 1)) & 63) as int))")).otherwise(F.lit(0).cast("bigint"))).alias(f"more{q}") for q in range(4)]
-    shorter = F.expr("ctx & (shiftleft(1L, 8 * (k - 1)) - 1)")
-    more = states.filter(far).groupBy((F.col("k") - 1).alias("k"), shorter.alias("ctx")).agg(*marks)
-    e = entries.filter(near).select("k", "gram", "v").toArrow()  # head_entries rows at most
-    here = states.filter(near).select("k", "ctx", "back").unionByName(spark.range(1).select(F.lit(0).alias("k"), F.lit(0).cast("bigint").alias("ctx"), F.lit(0.0).alias("back")))
-    s = here.join(more, ["k", "ctx"], "left").na.fill(0, [f"more{q}" for q in range(4)]).toArrow()
-    marked = np.stack([s[f"more{q}"].to_numpy() for q in range(4)], 1)
-    of = lambda part, k: part["k"].to_numpy() == k
-    head = Head(
-        [(np.arange(256, dtype=np.int64), base), *((e["gram"].to_numpy()[of(e, k)], e["v"].to_numpy()[of(e, k)]) for k in range(1, DEPTH + 1))],
-        [(s["ctx"].to_numpy()[of(s, k)], s["back"].to_numpy()[of(s, k)], marked[of(s, k)]) for k in range(DEPTH + 1)],
-    )
-    return Tree(head, states.filter(far).select("k", "ctx", "back"), entries.filter(far).select("k", "gram", "v"))
+    more = far.groupBy((F.col("k") - 1).alias("k"), F.expr("ctx & (shiftleft(1L, 8 * (k - 1)) - 1)").alias("ctx")).agg(*marks)
+    near = tree.filter(step >= least).unionByName(spark.createDataFrame(pa.concat_tables([root, *(pa.Table.from_batches([x.states()]) for x in low[1:])]), STATES))
+    head = near.join(more, ["k", "ctx"], "left").na.fill(0, [f"more{q}" for q in range(4)]).toArrow()  # head_entries entries at most
+    return Tree(Head(head), far)
 
 
 def common_words(counts: DataFrame, head: int) -> dict[bytes, float]:
