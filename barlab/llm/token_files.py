@@ -10,9 +10,8 @@ A file holds consecutive documents in ascending doc_id order:
 
 Control and data bytes lie apart, so that numpy reads a whole file by table lookup: each
 control byte gives four lengths, their running sum the offsets, and ranks map to ids.
-Texts are encoded where they are read, and only their ids, half as many bytes, are
-range-partitioned by doc_id; a task streams its range into files of a bounded number of
-ids; a file is a row of a table in the shared folder.
+Documents are range-partitioned by doc_id, and a task streams its range into files of a
+bounded number of ids; a file is a row of a table in the shared folder.
 """
 
 from __future__ import annotations
@@ -28,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import drop_staged, running_total, slices, staged, table
+from barlab.llm.common import running_total, slices, staged, table
 
-MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 4 << 20, 1 << 21
+MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 8 << 20, 1 << 21
 LENGTHS = np.array([[(b >> 2 * k & 3) + 1 for k in range(4)] for b in range(256)], np.uint8)
-PIECES = 600_000  # that a worker remembers
+PIECES, RUN = 800_000, 20_000  # that a worker remembers
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 PART = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[!-&(-@\[-`{-~]+\n?|\n")  # no apostrophe
@@ -121,45 +120,75 @@ class Encoder:
         parts = PART.findall(piece)
         return [piece] if len(parts) < 2 or "\n\n" in piece or sum(map(len, parts)) < len(piece) else parts
 
-    def _encode_parts(self, new: list[str]) -> dict[str, bytes]:
-        width, out = self.kind.itemsize, {}
-        words = [p for p in new if p.startswith(" ") and p[1:].isalpha()]
-        rest = [p for p in new if not (p.startswith(" ") and p[1:].isalpha())]
-        for a in range(0, len(words), 5_000):
-            run = words[a : a + 5_000]  # as one text, whose words begin where the ids have a space
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)[0].ids, self.kind)
-            at, raw = (np.flatnonzero(self.begins[ids]) * width).tolist(), ids.tobytes()
-            if len(at) == len(run):
-                out.update((p, raw[i:j]) for p, i, j in zip(run, at, [*at[1:], len(raw)], strict=True))
-            else:
-                rest += run
-        for a in range(0, len(rest), 5_000):
-            part = rest[a : a + 5_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                out[p] = np.array(e.ids, self.kind).tobytes()
-        return out
-
-    def _find(self, pieces: pa.Array) -> np.ndarray:
+    def _find(self, pieces: pa.Array, since: int = 0) -> np.ndarray:
         """The place of each piece among those that are kept, or -1; found ones count as used."""
-        at = pa.compute.index_in(pieces, value_set=self.keys).fill_null(-1).to_numpy().astype(np.int64)
+        at = pa.compute.index_in(pieces, value_set=self.keys[since:]).fill_null(-1 - since).to_numpy().astype(np.int64) + since
         self.used[at[at >= 0]] = self.calls
         return at
 
-    def _learn(self, pieces: list[str]) -> None:
-        """Encode distinct pieces that are not kept, and keep them and their parts."""
-        whole = self.added.search("\n".join(pieces)) is not None  # then each piece is looked at
-        cut = [[p] if whole and self.added.search(p) else self._parts(p) for p in pieces]
-        parts = list({x for c in cut for x in c})
-        at = self._find(pa.array(parts, pa.large_string()))
-        start = np.cumsum(self.size) - self.size
-        known = {x: self.ids[start[i] : start[i] + self.size[i]].tobytes() for x, i in zip(parts, at.tolist(), strict=True) if i >= 0}
-        new = self._encode_parts([x for x, i in zip(parts, at.tolist(), strict=True) if i < 0])
-        known.update(new)
-        new.update((p, b"".join(map(known.__getitem__, c))) for p, c in zip(pieces, cut, strict=True) if len(c) > 1)
-        self.keys = pa.concat_arrays([self.keys, pa.array(new, pa.large_string())])
-        self.size = np.concatenate([self.size, np.array([len(x) for x in new.values()], np.int64) // self.kind.itemsize])
-        self.used = np.concatenate([self.used, np.full(len(new), self.calls)])
-        self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(new.values()), self.kind)])
+    def _keep(self, pieces: pa.Array, size: np.ndarray, ids: np.ndarray) -> None:
+        self.keys = pa.concat_arrays([self.keys, pieces])
+        self.size, self.used = np.append(self.size, size), np.append(self.used, np.full(len(size), self.calls))
+        self.ids = np.append(self.ids, ids)
+
+    def _gather(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of kept pieces in a row, and how many each has."""
+        size = self.size[at]
+        start = (np.cumsum(self.size) - self.size)[at]
+        return self.ids[np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())], size
+
+    def _learn_words(self, words: pa.Array) -> list[str]:
+        """Keep pieces of a space and letters: a run of them is encoded as one text, whose
+        words begin where an id has a space. Those for which that is not so are returned."""
+        left: list[str] = []
+        for a in range(0, len(words), RUN):
+            run = words[a : a + RUN]
+            text = "".join(run.to_pylist())
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(run) and not self.added.search(text):
+                self._keep(run, np.diff(np.append(at, len(ids))), ids)
+            else:
+                left += run.to_pylist()
+        return left
+
+    def _learn_texts(self, texts: list[str]) -> None:
+        """Keep pieces as the library encodes them, each by itself."""
+        for a in range(0, len(texts), RUN):
+            part = texts[a : a + RUN]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self._keep(pa.array(part, pa.large_string()), np.array([len(x) for x in found], np.int64), np.array([i for x in found for i in x], self.kind))
+
+    def _are_words(self, pieces: pa.Array) -> pa.Array:
+        c = pa.compute
+        return c.and_(c.starts_with(pieces, " "), c.utf8_is_alpha(c.utf8_slice_codeunits(pieces, 1)))
+
+    def _learn(self, pieces: pa.Array) -> None:
+        """Keep distinct pieces that are not kept yet, and the parts of those that are cut."""
+        words = self._are_words(pieces)
+        rest = pieces.filter(pa.compute.invert(words)).to_pylist()
+        whole = self._learn_words(pieces.filter(words))
+        added = self.added.search("\n".join(rest)) is not None  # then each piece is looked at
+        cut = []
+        for p in rest:
+            parts = [p] if added and self.added.search(p) else self._parts(p)
+            if len(parts) > 1:
+                cut.append((p, parts))
+            else:
+                whole.append(p)
+        self._learn_texts(whole)
+        if cut:
+            flat = pa.array([x for _, parts in cut for x in parts], pa.large_string()).dictionary_encode()
+            at = self._find(flat.dictionary)
+            since, new = len(self.keys), np.flatnonzero(at < 0)
+            if len(new):
+                unknown = flat.dictionary.take(pa.array(new))
+                words = self._are_words(unknown)
+                self._learn_texts(self._learn_words(unknown.filter(words)) + unknown.filter(pa.compute.invert(words)).to_pylist())
+                at[new] = self._find(unknown, since)
+            ids, size = self._gather(at[flat.indices.to_numpy()])
+            n_parts = np.array([len(parts) for _, parts in cut])
+            self._keep(pa.array([p for p, _ in cut], pa.large_string()), np.add.reduceat(size, np.cumsum(n_parts) - n_parts), ids)
 
     def _forget(self) -> None:
         if len(self.keys) > PIECES:
@@ -184,14 +213,13 @@ class Encoder:
         new = np.flatnonzero(at < 0)
         if len(new):
             unknown = pieces.take(pa.array(new))
-            self._learn(unknown.unique().to_pylist())
-            at[new] = known + pa.compute.index_in(unknown, value_set=self.keys[known:]).to_numpy()
-        at = np.append(at, len(self.keys))  # the end id last
-        which = at[np.insert(which, np.cumsum(n_words), len(pieces))]
-        ids, size = np.append(self.ids, self.kind.type(0)), np.append(self.size, 1)
-        n = size[which]
-        at = np.repeat((np.cumsum(size) - size)[which] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return ids[at], np.cumsum(np.add.reduceat(n, first + np.arange(len(texts))))
+            self._learn(unknown.unique())
+            at[new] = self._find(unknown, known)
+        end = len(self.keys)
+        self._keep(pa.array(["\0end"], pa.large_string()), np.ones(1, np.int64), np.zeros(1, self.kind))  # for this call
+        ids, n = self._gather(np.append(at, end)[np.insert(which, np.cumsum(n_words), len(at))])
+        self.keys, self.size, self.used, self.ids = self.keys[:end], self.size[:-1], self.used[:-1], self.ids[:-1]
+        return ids, np.cumsum(np.add.reduceat(n, first + np.arange(len(texts))))
 
     def __call__(self, texts: list[str | None]) -> list[bytes]:
         ids, stop = self.encoded(texts)
@@ -210,51 +238,40 @@ def encoder_of(path: str) -> Encoder:
 
 def _encode(path: str):
     def run(batches):
-        encoder = encoder_of(path)
+        encoder, part, seq = encoder_of(path), TaskContext.get().partitionId(), 0
+        held: list[np.ndarray] = []
+        docs: list[int | None] = []
+        total = 0
+
+        def file() -> pa.RecordBatch:
+            body = pack(docs, [len(x) for x in held], np.concatenate(held))
+            return pa.RecordBatch.from_arrays([pa.array([part << 24 | seq]), pa.array([len(docs)]), pa.array([total]), pa.array([body], pa.binary())], names=["file", "n_docs", "n_ids", "body"])
+
         for batch in batches:
             sizes = pa.compute.binary_length(batch.column(1)).fill_null(0).to_pylist()
             for a, b in slices(sizes, SLICE_BYTES):
                 ids, stop = encoder.encoded(batch.column(1)[a:b].to_pylist())
-                at = np.append(0, stop * encoder.kind.itemsize).astype(np.int32)
-                column = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(at), pa.py_buffer(ids)])
-                yield pa.RecordBatch.from_arrays([batch.column(0)[a:b], column, pa.array([encoder.kind.itemsize] * (b - a), pa.int32())], names=["doc_id", "ids", "width"])
+                for doc, x in zip(batch.column(0)[a:b].to_pylist(), np.split(ids, stop[:-1]), strict=True):
+                    held.append(x)
+                    docs.append(doc)
+                    total += len(x)
+                    if total >= FILE_IDS:
+                        yield file()
+                        held, docs, total, seq = [], [], 0, seq + 1
+        if docs:
+            yield file()
 
     return run
 
 
-def _files(batches):
-    part, seq = TaskContext.get().partitionId(), 0
-    held: list[np.ndarray] = []
-    docs: list[int | None] = []
-    total = 0
-
-    def file() -> pa.RecordBatch:
-        body = pack(docs, [len(x) for x in held], np.concatenate(held))
-        return pa.RecordBatch.from_arrays([pa.array([part << 24 | seq]), pa.array([len(docs)]), pa.array([total]), pa.array([body], pa.binary())], names=["file", "n_docs", "n_ids", "body"])
-
-    for batch in batches:
-        for doc, ids, width in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
-            held.append(np.frombuffer(ids.as_py(), f"<u{width}"))
-            docs.append(doc)
-            total += len(held[-1])
-            if total >= FILE_IDS:
-                yield file()
-                held, docs, total, seq = [], [], 0, seq + 1
-    if docs:
-        yield file()
-
-
-def write_token_files(documents: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 16 << 20) -> DataFrame:
+def write_token_files(documents: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = 32 << 20) -> DataFrame:
     """The files of all documents, as a staged table (file, n_docs, n_ids, body), ``file``
     rising in doc_id order. Ids are integers; null ids come first, rows that repeat an id
-    follow each other in order of their ids' bytes. A null or empty text is just the end id."""
+    follow each other in order of their texts. A null or empty text is just the end id."""
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    encoded, encoded_at = staged(docs.mapInArrow(_encode(tokenizer_path), "doc_id bigint, ids binary, width int"), "encoded")
-    size = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    ranges = encoded.repartitionByRange(max(1, -(-size // range_bytes)), "doc_id").sortWithinPartitions("doc_id", "ids")
-    files, _ = staged(ranges.mapInArrow(_files, "file bigint, n_docs bigint, n_ids bigint, body binary"), "token-files")
-    drop_staged(documents.sparkSession, encoded_at)
-    return files
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    ranges = docs.repartitionByRange(max(1, -(-size // range_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
+    return staged(ranges.mapInArrow(_encode(tokenizer_path), "file bigint, n_docs bigint, n_ids bigint, body binary"), "token-files")[0]
 
 
 def _decode(batches):
