@@ -38,10 +38,15 @@ def _drop_if_alive(spark: SparkSession, path: str) -> None:
         drop_staged(spark, path)
 
 
+def staged_path(spark: SparkSession, name: str) -> str:
+    """A new path for a staged table."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def staged(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as a table in the shared folder and read back, and its path. What is
     left when the session's process ends is removed then, or before by drop_all_staged."""
-    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = staged_path(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path), path
