@@ -7,9 +7,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.operators.staging import drop_staged, shared_dir, staged
+from barlab.operators.staging import drop_staged, shared_dir, staged, staged_path
 
-__all__ = ["by_id", "drop_staged", "running_total", "shared_dir", "slices", "staged", "table"]
+__all__ = ["by_id", "drop_staged", "running_total", "shared_dir", "slices", "staged", "staged_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

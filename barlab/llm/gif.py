@@ -25,6 +25,7 @@ from barlab.llm.decontaminate import arrow_type
 WIDTH, ROWS, DELAY = 64, 1024, 4  # of a payload's frames; the delay in hundredths of a second
 HISTOGRAM_BITS = 2  # for each of red, green and blue
 SLICE_BYTES, CACHE_BYTES = 1 << 20, 8 << 20
+MAX_PIXELS = 1 << 26  # of one frame; a file that asks for more counts as damaged
 GRAY = bytes(b for v in range(256) for b in (v, v, v))
 
 
@@ -35,7 +36,7 @@ def code_widths(n: int, min_size: int) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(next_code + 1)).astype(np.int64).clip(min_size + 1), 12)
 
 
-_WIDTHS = {m: code_widths(4096, m) for m in range(2, 9)}
+_WIDTHS = {m: code_widths(4096, m) for m in range(2, 9)}  # the format has no smaller size than 2
 
 
 def lzw_encode(pixels: bytes, min_size: int = 8) -> bytes:
@@ -75,6 +76,8 @@ def lzw_encode(pixels: bytes, min_size: int = 8) -> bytes:
 
 def lzw_decode(stream: bytes, min_size: int, n_pixels: int) -> bytes:
     """Pixels of a code stream; at most ``n_pixels``, fewer when it ends early."""
+    if min_size not in _WIDTHS:
+        raise ValueError(f"no code size: {min_size}")
     clear, at, out, made = 1 << min_size, 0, [], 0
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.int64)
     n_bits = len(stream) * 8
@@ -175,6 +178,8 @@ def decode(data: bytes, compose: bool = True) -> tuple[tuple[int, int], list[Fra
         left, top, w, h, flags = struct.unpack_from("<HHHHB", data, at + 1)
         at += 10
         palette = colours(flags) if flags & 0x80 else common
+        if palette is None or w * h > MAX_PIXELS:
+            raise ValueError("a frame without a palette, or too large")
         min_size = data[at]
         stream, at = _blocks(data, at + 1)
         raw = lzw_decode(stream, min_size, w * h)

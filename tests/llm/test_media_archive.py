@@ -118,6 +118,38 @@ def pages(spark, rows):
     return spark.createDataFrame([(*r, "clash", 0) for r in rows], PAGE)
 
 
+def warc_reader(data):
+    """Records of a WARC file by the format's own rules, apart from our code: version line,
+    named fields to an empty line, a block of Content-Length bytes, two line ends."""
+    at, out = 0, []
+    while at < len(data):
+        stop = data.index(b"\r\n\r\n", at)
+        version, *lines = data[at:stop].decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        assert version == "WARC/1.1" and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= fields.keys()
+        start, n = stop + 4, int(fields["Content-Length"])
+        assert data[start + n : start + n + 4] == b"\r\n\r\n"
+        out.append((fields, data[start : start + n]))
+        at = start + n + 4
+    return out
+
+
+def test_archive_dates(spark):
+    rows = spark.createDataFrame([(1, "u", "x", "2024-03-01 10:20:30"), (2, "u", "y", None)], "page_id bigint, url string, html string, at string")
+    records = b"".join(bytes(r.record) for r in original_records(write_archive(rows, date_col="at")).orderBy("page_id").collect())
+    assert [h["WARC-Date"] for h, _ in warc_reader(records)] == ["2024-03-01T10:20:30Z", "1970-01-01T00:00:00Z"]
+
+
+def test_putting_records_together_moves_no_payload(spark):
+    archive = write_archive(pages(spark, [(i, "u", f"body {i % 40}") for i in range(200)]))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = archive.responses.join(archive.payloads, "sha256")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+
+
 def test_archive_round_trip(spark):
     rows = [(1, "http://a/", "<p>one</p>"), (2, "http://b/", "<p>two</p>"), (3, None, "<p>one</p>"), (4, "http://c/\r\nX: y", None), (5, "", ""), (6, "u", "é" * 100000), (7, "v", "\r\n\r\nWARC/1.1\r\n")]
     archive = write_archive(pages(spark, rows))
@@ -131,7 +163,13 @@ def test_archive_round_trip(spark):
     assert archive.payloads.count() == 5
     records = {r.page_id: bytes(r.record) for r in original_records(archive).collect()}
     assert records[7].startswith(b"WARC/1.1\r\nWARC-Type: response\r\n") and records[7].endswith(b"\r\n\r\n\r\n\r\nWARC/1.1\r\n\r\n\r\n")
-    assert b"WARC-Refers-To: <urn:page:3>" in records[1] and b"<p>one</p>" in records[1] and b"\r\nX: y" not in records[4]
+    assert b"WARC-Refers-To: <urn:page:3>" in records[1] and b"\r\nX: y" not in records[4]
+    read = warc_reader(b"".join(records[p] for p in sorted(records)))
+    assert len(read) == 7 and all(h["WARC-Date"] == "1970-01-01T00:00:00Z" for h, _ in read)
+    for (h, block), (p, url, b) in zip(read, rows, strict=True):
+        to = last[b or ""]
+        assert h["WARC-Record-ID"] == f"<urn:page:{p}>" and block == ((b or "").encode() if p == to else b"")
+        assert h["WARC-Type"] == ("response" if p == to else "revisit") and h.get("WARC-Refers-To", "<urn:page:>") == ("<urn:page:>" if p == to else f"<urn:page:{to}>")
 
 
 def test_archive_edges(spark):
@@ -145,7 +183,7 @@ def test_archive_edges(spark):
 def test_damage_is_found(spark):
     a = write_archive(pages(spark, [(1, "u", "body")]))
     with pytest.raises(Exception, match="damaged payload"):
-        read_archive(Archive(a.records, a.payloads.withColumn("body", F.lit(b"other")))).collect()
+        read_archive(Archive(a.responses, a.revisits, a.payloads.withColumn("body", F.lit(b"other")))).collect()
 
 
 # token-id files
@@ -198,3 +236,19 @@ def test_file_edges(spark):
     rows = read_token_files(write_token_files(docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("bigint"))), default_tokenizer())).orderBy("start").collect()
     assert [(r.doc_id, r.start) for r in rows] == [(None, 0), (None, 2), (4, 4), (4, 6)]
     assert read_token_files(write_token_files(docs.limit(0), default_tokenizer())).count() == 0
+
+
+def test_damaged_gifs_give_no_frames(spark):
+    good = gif.store(b"some text")
+    no_palette = b"GIF89a" + bytes([1, 0, 1, 0, 0, 0, 0]) + b"\x2c" + bytes([0, 0, 0, 0, 1, 0, 1, 0, 0]) + b"\x02\x02\x44\x01\x00;"
+    huge = good[:-1].replace(bytes([0x2C, 0, 0, 0, 0, 64, 0, 1, 0]), bytes([0x2C, 0, 0, 0, 0, 255, 255, 255, 255]))
+    bad_size = good.replace(bytes([0x2C, 0, 0, 0, 0, 64, 0, 1, 0, 0, 8]), bytes([0x2C, 0, 0, 0, 0, 64, 0, 1, 0, 0, 12]))
+    assert len({good, huge, bad_size}) == 3
+    rows = [(0, good), (1, no_palette), (2, huge), (3, bad_size), (4, good[:40]), (5, b""), (6, None), (7, b"GIF89a")]
+    assert {r.id for r in gif.frame_table(spark.createDataFrame(rows, "media_id int, gif binary")).collect()} == {0}
+
+
+def test_code_sizes_that_the_format_lacks():
+    for size in (0, 1, 9):
+        with pytest.raises(ValueError):
+            gif.lzw_decode(b"\x44\x01", size, 4)
