@@ -1,18 +1,20 @@
 """MinHash near-duplicate detection with odd sketches.
 
 1. One pass gives each document its shingle-set size, a hash of the whole set, the band
-   keys of 128 MinHashes, and an odd sketch: its MinHash samples (the whole set up to 512
-   shingles, else those whose hashes fall under a power of two that leaves 256 to 512)
-   folded into a bitmap by parity.
+   keys of 128 MinHashes, and an odd sketch: MinHash samples of one permutation in BINS
+   bins (the least hash of each bin that has one), folded into a bitmap by parity.
 2. Documents of equal sets are one class, of which the smallest id takes part further.
 3. Classes in a common band bucket are candidates. Each member of a bucket is paired with
    the bucket's smallest id only, so that a bucket of m members gives m pairs. The XOR
-   population count of two odd sketches never exceeds the samples' symmetric difference
-   and is close to it; pairs beyond what the threshold allows (by six deviations for
-   sampled sets) go. The others are confirmed on the full shingle sets of their texts.
-4. Buckets whose other members are not yet one component are searched again: pairs from
-   different components that the odd sketches let pass are confirmed in the same way. So
-   every pair in a common bucket is tested or already connected; a pair at the threshold
+   population count of two odd sketches estimates how many samples differ; pairs with more
+   than a pair at the threshold can show (by five deviations of the samples and of the
+   bitmap) go. The others are confirmed on the full shingle sets of their texts.
+4. Members of buckets that are not one component then are searched again, without pairing
+   a bucket's members: of two similar sets the least common shingle, by number of sets that
+   have it, is among the first n - ceil(0.8 n) + 1 of both, so sets are joined by those
+   rarest shingles. Sets that share a long passage but differ in the rest meet in none.
+   Pairs of different components that the sketches let pass are confirmed in the same way.
+   So every pair in a common bucket is tested or already connected; a pair at the threshold
    shares no bucket with probability (1 - 0.8^4)^32, under 1e-7.
 """
 
@@ -21,14 +23,15 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.llm.common import by_id, drop_staged, slices, staged, table
 from barlab.operators.graph import components
 from barlab.llm.decontaminate import arrow_type
 
-BANDS, ROWS, BITS, FULL = 32, 4, 1024, 512
+BANDS, ROWS, BITS, BINS, DEVIATIONS = 32, 4, 2048, 2048, 5
+SALTS = 64  # tasks that a very common centre's pairs are dealt to
 SLICE_BYTES, CACHE = 1 << 20, 400_000
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,16 +73,17 @@ class Shingler:
         return np.unique(mix(out))
 
 
-def odd_sketch(hashes: np.ndarray, level: int) -> np.ndarray:
-    """Parity bitmap of those hashes that are multiples of 2^level, as 64-bit words."""
-    if level:
-        hashes = hashes[hashes & np.uint64((1 << level) - 1) == 0]
-    bits = np.bincount((hashes >> np.uint64(40)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
+def odd_sketch(hashes: np.ndarray) -> np.ndarray:
+    """Parity bitmap of the MinHash samples of sorted hashes, as 64-bit words: their highest
+    bits are the bin, so each bin's least hash is the first."""
+    which = hashes >> np.uint64(64 - (BINS - 1).bit_length())
+    samples = hashes[np.concatenate([[True], which[1:] != which[:-1]])[: len(hashes)]]
+    bits = np.bincount((samples >> np.uint64(20)).astype(np.int64) & (BITS - 1), minlength=BITS) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
 def sketches(size: int, id_type: pa.DataType):
-    schema = pa.schema([("doc_id", id_type), ("n", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())), ("level", pa.int32()), ("odd", pa.list_(pa.int64())), ("next_odd", pa.list_(pa.int64()))])
+    schema = pa.schema([("doc_id", id_type), ("n", pa.int64()), ("set_hash", pa.binary()), ("bands", pa.list_(pa.int64())), ("odd", pa.list_(pa.int64()))])
 
     def part(ids: pa.Array, sets: list[np.ndarray], digest) -> pa.RecordBatch:
         full = [s for s in sets if len(s)]
@@ -93,12 +97,11 @@ def sketches(size: int, id_type: pa.DataType):
             for r in range(ROWS):
                 key = mix((key + band[:, r]) * STEP)
             keys = key.T.view(np.int64)
-        levels = [max(0, (len(s) // FULL).bit_length()) for s in sets]
         rows = iter(keys)
         return pa.RecordBatch.from_arrays([
             ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-            pa.array([next(rows) if len(s) else None for s in sets], schema.field("bands").type), pa.array(levels, pa.int32()),
-            *(pa.array([odd_sketch(s, c + up) if len(s) else None for s, c in zip(sets, levels, strict=True)], pa.list_(pa.int64())) for up in (0, 1)),
+            pa.array([next(rows) if len(s) else None for s in sets], schema.field("bands").type),
+            pa.array([odd_sketch(s) if len(s) else None for s in sets], schema.field("odd").type),
         ], schema=schema)
 
     def run(batches):
@@ -114,46 +117,56 @@ def sketches(size: int, id_type: pa.DataType):
 
 
 def may_link(percent: int):
-    """Condition on two rows x and y of (n, level, odd, next_odd): their odd sketches leave
-    room for the similarity. A pair of it has levels that differ by one at most."""
-    n = F.col("x.n") + F.col("y.n")
-    level = F.greatest("x.level", "y.level")
-    pick = lambda s: F.when(F.col(f"{s}.level") == level, F.col(f"{s}.odd")).otherwise(F.col(f"{s}.next_odd"))
-    a, b = pick("x"), pick("y")
-    count = sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(BITS // 64)), F.lit(0))
-    most = n * (100 - percent) / (100 + percent) / F.pow(F.lit(2.0), level)
+    """Condition on two rows x and y of (n, odd): sizes and odd sketches leave room for the
+    similarity t. Of B bins, 1 - e^-r are filled by a union of r B shingles; a share of 1 - t
+    of those differs, each in two samples if both sets fill it; m odd elements set
+    N / 2 (1 - e^-2m/N) bits of N."""
+    t, n = percent / 100, F.col("x.n") + F.col("y.n")
+    empty = F.exp(-n / ((1 + t) * BINS))
+    differ = BINS * (1 - empty) * (1 - t) * (2 - empty) + DEVIATIONS * 2 * F.sqrt(BINS * (1 - empty) * t * (1 - t)) + 1
+    bits = BITS / 2 * (1 - F.exp(-2 * differ / BITS)) + DEVIATIONS / 2 * F.sqrt(BITS * (1 - F.exp(-4 * differ / BITS)))
+    count = sum((F.bit_count(F.col("x.odd")[i].bitwiseXOR(F.col("y.odd")[i])) for i in range(BITS // 64)), F.lit(0))
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
-    return sizes & (F.abs(F.col("x.level") - F.col("y.level")) <= 1) & (count <= F.when(level == 0, most).otherwise(most + 6 * F.sqrt(most) + 6))
+    return sizes & (count <= F.least(differ, bits))
 
 
 def confirm(size: int, percent: int, id_type: pa.DataType):
-    """Keeps the rows (a, b, texts of a, texts of b) whose full shingle sets are similar
-    enough; ids that stand for several texts link by any of them."""
+    """From rows (b, salt, side, id, texts) in order, a centre b of side 0 before those of
+    side 1 that it may be linked with: (id, b) whose full shingle sets are similar enough;
+    ids that stand for several texts link by any of them."""
     schema = pa.schema([("a", id_type), ("b", id_type)])
 
+    def similar(x: np.ndarray, y: np.ndarray) -> bool:
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return 100 * common >= percent * (len(x) + len(y) - common)
+
     def run(batches):
-        shingle, last = Shingler(size), {}
+        shingle, centre = Shingler(size), []
+        for batch in batches:
+            keep = []
+            for i, side in enumerate(batch.column(2).to_pylist()):
+                sets = [s for s in (shingle(t.encode()) for t in batch.column(4)[i].as_py()) if len(s)]
+                if side == 0:
+                    centre = sets
+                elif any(similar(x, y) for x in sets for y in centre):
+                    keep.append(i)
+            at = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(3).take(at), batch.column(0).take(at)], schema=schema)
 
-        def sets(side: str, who, texts: list[str]) -> list[np.ndarray]:
-            if last.get(side, (None,))[0] != who:
-                last[side] = (who, [s for s in (shingle(t.encode()) for t in texts) if len(s)])
-            return last[side][1]
+    return run
 
+
+def shingle_sets(size: int, id_type: pa.DataType):
+    """(id, n, hashes) for each row (id, text) with any shingle."""
+    schema = pa.schema([("id", id_type), ("n", pa.int64()), ("hashes", pa.list_(pa.int64()))])
+
+    def run(batches):
+        shingle = Shingler(size)
         for batch in batches:
-            keep, a, b = [], batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for i in range(batch.num_rows):
-                xs, ys = sets("a", a[i], batch.column(2)[i].as_py()), sets("b", b[i], batch.column(3)[i].as_py())
-                for x in xs:
-                    for y in ys:
-                        common = len(np.intersect1d(x, y, assume_unique=True))
-                        if 100 * common >= percent * (len(x) + len(y) - common):
-                            keep.append(i)
-                            break
-                    else:
-                        continue
-                    break
-            at = pa.array(keep, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], schema=schema)
+            texts = batch.column(1).cast(pa.binary())
+            for a, b in slices(pa.compute.binary_length(texts).fill_null(0).to_pylist(), SLICE_BYTES):
+                sets = [shingle(t).view(np.int64) for t in texts[a:b].to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(sets, schema.field("hashes").type)], schema=schema)
 
     return run
 
@@ -171,40 +184,53 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark, id_type = documents.sparkSession, arrow_type(documents, id_col)
     kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked, marked_at = staged(docs.mapInArrow(sketches(shingle, id_type), f"doc_id {kind}, n bigint, set_hash binary, bands array<bigint>, level int, odd array<bigint>, next_odd array<bigint>"), "sketches")
+    marked, marked_at = staged(docs.mapInArrow(sketches(shingle, id_type), f"doc_id {kind}, n bigint, set_hash binary, bands array<bigint>, odd array<bigint>"), "sketches")
     live = marked.filter("n > 0 and doc_id is not null")
     reps, reps_at = staged(
-        live.groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "n", "bands", "level", "odd", "next_odd"), "doc_id").alias("r")).select("r.*"), "representatives"
+        live.groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "n", "bands", "odd"), "doc_id").alias("r")).select("r.*"), "representatives"
     )
     banded = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
     centres = banded.groupBy("key").agg(F.count("*").alias("m"), F.min("id").alias("centre")).filter("m > 1").drop("m")
     buckets, buckets_at = staged(banded.join(centres, "key").select("key", "id", "centre"), "buckets")
-    sketch = reps.select(F.col("doc_id").alias("id"), "n", "level", "odd", "next_odd")
+    sketch = reps.select(F.col("doc_id").alias("id"), "n", "odd")
     near = may_link(percent)
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        return by_id(docs, ids, "doc_id", "left_semi")
+
+    def sketched(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(sketch.select(F.col("id").alias("a"), F.struct("n", "odd").alias("x")), "a")
+        return pairs.join(sketch.select(F.col("id").alias("b"), F.struct("n", "odd").alias("y")), "b").filter(near).select("a", "b")
+
     def verified(pairs: DataFrame) -> tuple[DataFrame, str]:
-        pairs, pairs_at = staged(pairs, "pairs")
+        pairs, pairs_at = staged(pairs.withColumn("salt", F.pmod(F.xxhash64("a"), F.lit(SALTS))), "pairs")
         ids, ids_at = staged(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
-        texts = by_id(docs, ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.collect_set("text").alias("t"))
-        both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("t").alias("ta")), "a")
-        both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
-        out = staged(both.mapInArrow(confirm(shingle, percent, id_type), f"a {kind}, b {kind}"), "links")
+        texts = texts_of(ids).groupBy("doc_id").agg(F.collect_set("text").alias("t")).withColumnRenamed("doc_id", "id")
+        centres = pairs.select("b", "salt").distinct().select("b", "salt", F.lit(0).alias("side"), F.col("b").alias("id")).join(texts, "id")
+        members = pairs.select("b", "salt", F.lit(1).alias("side"), F.col("a").alias("id")).join(texts, "id")
+        rows = centres.unionByName(members).select("b", "salt", "side", "id", "t").repartition("b", "salt").sortWithinPartitions("b", "salt", "side")
+        out = staged(rows.mapInArrow(confirm(shingle, percent, id_type), f"a {kind}, b {kind}"), "links")
         drop_staged(spark, pairs_at, ids_at)
         return out
 
     first = buckets.filter("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    first = first.join(sketch.select(F.col("id").alias("a"), F.struct("n", "level", "odd", "next_odd").alias("x")), "a")
-    first = first.join(sketch.select(F.col("id").alias("b"), F.struct("n", "level", "odd", "next_odd").alias("y")), "b").filter(near).select("a", "b")
-    links, links_at = verified(first)
+    links, links_at = verified(sketched(first))
     labels, labels_at = components(links)
 
     rest = buckets.filter("id <> centre").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
-    open_ = rest.join(split, "key", "left_semi").join(sketch, "id")
-    x, y = open_.alias("x"), open_.alias("y")
-    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near)
-    second = second.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    more, more_at = verified(second)
+    open_, open_at = staged(rest.join(split, "key", "left_semi").groupBy(F.col("id").alias("doc_id")).agg(F.min("label").alias("label")), "open")
+    sets = texts_of(open_.select("doc_id")).mapInArrow(shingle_sets(shingle, id_type), f"id {kind}, n bigint, hashes array<bigint>")
+    rows, rows_at = staged(sets.select("id", "n", F.explode("hashes").alias("h")), "shingles")
+    rows = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "h")  # what one set has comes first and joins nothing
+    own = Window.partitionBy("id", "n")
+    rows = rows.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")))
+    rows = rows.filter(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1)
+    rare, rare_at = staged(rows.select("h", "id").distinct().join(open_.withColumnRenamed("doc_id", "id"), "id"), "rare")
+    x, y = rare.alias("x"), rare.alias("y")
+    second = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")))
+    second = second.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    more, more_at = verified(sketched(second))
     final, final_at = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     classes = live.groupBy("set_hash").agg(F.min("doc_id").alias("id")).join(final, "id", "left")
@@ -213,19 +239,22 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = marked.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
     out, _ = staged(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
-    drop_staged(spark, marked_at, reps_at, buckets_at, links_at, labels_at, more_at, final_at, classes_at)
+    drop_staged(spark, marked_at, reps_at, buckets_at, links_at, labels_at, open_at, rows_at, rare_at, more_at, final_at, classes_at)
     return out
 
 
-def keep_one(documents: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+def keep_one(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``documents`` that stay: one of each group of near-duplicates, the one
-    of the smallest id (of rows that repeat an id and stay, one), and all of null ids."""
-    groups = find_groups(documents, id_col=id_col, **options)
+    of the smallest id, and all of null ids. Of rows that repeat an id and stay, the one of
+    the least text stays, of equal texts one by a hash of the whole row."""
+    groups = find_groups(documents, id_col=id_col, text_col=text_col, **options)
     gone, _ = staged(groups.filter("not kept").select(F.col("doc_id").alias(id_col)).distinct(), "gone")
     out = by_id(documents, gone, id_col, "left_anti").select(documents.columns)
     if not groups.filter("kept and doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count():
         return out
-    return out.filter(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionByName(out.filter(F.col(id_col).isNull()))
+    order = Window.partitionBy(id_col).orderBy(text_col, F.xxhash64(*(F.col(f"`{c}`") for c in documents.columns)))
+    first = out.filter(F.col(id_col).isNotNull()).withColumn("__first", F.row_number().over(order)).filter("__first = 1").drop("__first")
+    return first.unionByName(out.filter(F.col(id_col).isNull()))
 
 
 def op3_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from barlab.operators.graph import components
+from barlab.llm import near_dedup
 from barlab.llm.near_dedup import BITS, Shingler, brute_force, find_groups, keep_one, odd_sketch
 
 DOC = "doc_id bigint, text string, component_id string, n string, kept int"
@@ -77,10 +78,15 @@ def test_parity_bounds_the_difference():
     rng = np.random.default_rng(2)
     for _ in range(20):
         shared, a, b = (rng.integers(0, 2**63, n).astype(np.uint64) for n in (200, 20, 30))
-        x, y = (odd_sketch(np.concatenate([shared, s]), 0) for s in (a, b))
-        count = int(np.bitwise_count((x ^ y).view(np.uint64)).sum())
-        assert count <= 50 and 50 - count <= 20 and count % 2 == 0
-    assert BITS == 64 * len(x)
+        sets = [np.unique(np.concatenate([shared, s]) * np.uint64(2)) for s in (a, b)]
+        x, y = map(odd_sketch, sets)
+        samples = [{} for _ in sets]
+        for least, hashes in zip(samples, sets, strict=True):
+            for h in hashes.tolist():  # the least hash of each bin, by its highest bits
+                least.setdefault(h >> (64 - (near_dedup.BINS - 1).bit_length()), h)
+        differ = len(set(samples[0].values()) ^ set(samples[1].values()))
+        bits = sum(int(v).bit_count() for v in (x ^ y).view(np.uint64).tolist())
+        assert len(x) * 64 == BITS and bits <= differ and bits % 2 == differ % 2 and bits > 0.7 * differ
 
 
 def test_shingles():
@@ -107,3 +113,37 @@ def test_components(spark):
     assert {r.id: r.component for r in found.collect()} == {x: root(x) for x in list(parent) if root(x) != x}
     assert components(spark.createDataFrame([], "a bigint, b bigint"))[0].count() == 0
     assert F  # the session's functions are importable where tests run alone
+
+
+def test_a_shared_passage_is_not_searched_in_pairs(spark):
+    """Sets that share most words but never link meet in no rare shingle; copies among them do."""
+    rng = np.random.default_rng(8)
+    shared = " ".join(f"common{i}" for i in range(60))
+    docs = [(i, shared + " " + " ".join(f"own{x}" for x in rng.integers(0, 10**9, 15))) for i in range(250)]
+    docs += [(1000 + i, docs[i][1] + " tail") for i in range(0, 250, 10)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.find_groups(spark.createDataFrame(docs, "doc_id bigint, text string"), shingle=4).collect()}
+    assert got == near_dedup.brute_force(docs, 4)
+    assert sum(c != d for d, (_, c) in got.items()) == 25
+
+
+def test_odd_sketches_keep_similar_sets(spark):
+    """No pair at the threshold is lost by the sketches, and far ones mostly are."""
+    rng = np.random.default_rng(3)
+    rows, kinds = [], {}
+    for i in range(300):
+        n, j = int(rng.integers(5, 4000)), [0.8, 0.5][i % 2]
+        common = int(np.ceil(2 * n * j / (1 + j)))
+        h = rng.permutation(np.unique(rng.integers(0, 2**63, 3 * n).astype(np.uint64) * np.uint64(2)))[: 2 * n - common]
+        x, y = np.sort(h[:n]), np.sort(np.concatenate([h[:common], h[n:]]))
+        kinds[i] = (j, n)
+        rows.append((i, *((len(s), near_dedup.odd_sketch(s).tolist()) for s in (x, y))))
+    df = spark.createDataFrame(rows, "i int, x struct<n:bigint,odd:array<bigint>>, y struct<n:bigint,odd:array<bigint>>")
+    kept = {r.i for r in df.filter(near_dedup.may_link(80)).select("i").collect()}
+    assert {i for i, (j, _) in kinds.items() if j == 0.8} <= kept
+    assert not [i for i, (j, n) in kinds.items() if j == 0.5 and n > 200 and i in kept]
+
+
+def test_keep_one_of_repeated_ids(spark):
+    docs = spark.createDataFrame([(1, "b b b b b b", "x"), (1, "a a a a a a", "y"), (1, "a a a a a a", "y"), (None, "a a a a a a", "z"), (2, "c d e f g h", "w")], "doc_id bigint, text string, kept string")
+    rows = sorted((str(r.doc_id), r.text, r.kept) for r in near_dedup.keep_one(docs).collect())
+    assert rows == [("1", "a a a a a a", "y"), ("2", "c d e f g h", "w"), ("None", "a a a a a a", "z")]
