@@ -30,7 +30,9 @@ def shares(budget, children):
         left, weight = budget - sum(out.values()), sum(w for _, w, _ in open_)
         full = [c for c in open_ if c[2] * weight <= left * c[1]]
         if not full:
-            return out | {n: left * w // weight for n, w, _ in open_}
+            parts = {n: left * w // weight for n, w, _ in open_}
+            over = left - sum(parts.values())  # what the division leaves goes to the first names
+            return out | {n: b + (i < over) for i, (n, b) in enumerate(sorted(parts.items()))}
         out |= {n: cap for n, _, cap in full}
         open_ = [c for c in open_ if c not in full]
 
@@ -125,3 +127,17 @@ def test_shard_edges(spark):
     assert shard(df.limit(0)).count() == 0
     rows = shard(df.withColumn("doc_id", F.lit(None).cast("bigint"))).collect()
     assert {r.shard for r in rows} == {0} and sorted(r.slot for r in rows) == list(range(9))
+
+
+def test_a_given_tree_and_no_token_lost(spark):
+    tree = mixture.Tree({"a": ["src0", "src1"], "b": ["src2"]}, rest="c", domain_weights={"a": 3, "b": 7}, lang_weights={"en": 2}, source_weights={"src1": 5})
+    docs = frame(spark, sample(400, 5))
+    rows = mix(docs, tree=tree, share=37).collect()
+    assert {r.domain for r in rows} == {"a", "b", "c"} and all(r.domain == {"src0": "a", "src1": "a", "src2": "b"}.get(r.source, "c") for r in rows)
+    total = sum(r.n_tokens for r in rows)
+    assert sum(r.copies * r.n_tokens + r.part_tokens for r in rows) == total * 37 // 100
+    for wrong in ({"domain_weights": {"a": 0}}, {"source_weights": {"x": 1.5}}):
+        with pytest.raises(ValueError):
+            mixture.Tree({"a": ["x"]}, **wrong)
+    with pytest.raises(ValueError):
+        mixture.Tree({"a": ["x"], "b": ["x"]})
