@@ -6,7 +6,8 @@ can be part of no occurrence, so the shard's index holds the maximal runs of phr
 that are at least as long as the shortest phrase, set apart by a separator, and the place
 of each word in its document. No row is shuffled; the phrases travel to the documents in
 blocks of bounded size, one pass over the documents for each block, and every pass merges
-its hits into the columns that the pass before has left.
+its hits into the columns that the pass before has left. After PASSES of them the rows are
+staged and the blocks let go, so that a benchmark of any size holds that many at a time.
 """
 
 from __future__ import annotations
@@ -21,12 +22,12 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import slices
+from barlab.llm.common import drop_staged, slices, staged
 from barlab.llm.fm_index import FMIndex
 
 #: Words: digits, lower-cased ASCII letters and all bytes of characters beyond ASCII.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-SHARD_BYTES, SLICE_BYTES, BLOCK_BYTES = 8 << 20, 2 << 20, 4 << 20
+SHARD_BYTES, SLICE_BYTES, BLOCK_BYTES, PASSES = 8 << 20, 2 << 20, 4 << 20, 4
 HITS = "n_words bigint, n_hit bigint, item_ids array<string>, spans array<struct<start:bigint,stop:bigint>>"
 
 
@@ -178,9 +179,26 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, *, id_col: str =
         F.array().cast("array<string>").alias("item_ids"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"),
     )
     schema = pa.schema([("doc_id", arrow_type(documents, id_col)), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
-    for phrases in phrase_blocks(documents.sparkSession, benchmark, item_col=item_col, item_text_col=item_text_col, window=window, block_bytes=block_bytes):
-        df = df.mapInArrow(searcher(phrases, schema, 1), f"doc_id {kind}, text string, {HITS}")
-    return df
+    blocks = phrase_blocks(documents.sparkSession, benchmark, item_col=item_col, item_text_col=item_text_col, window=window, block_bytes=block_bytes)
+    return in_passes(df, blocks, lambda rows, phrases: rows.mapInArrow(searcher(phrases, schema, 1), f"doc_id {kind}, text string, {HITS}"))
+
+
+def in_passes(rows: DataFrame, blocks: Iterator, one_pass) -> DataFrame:
+    """``one_pass`` of each block over the rows; rows are staged after every PASSES of them
+    but the last, and the blocks that are done with are destroyed."""
+    held, path = [], None
+    for block in blocks:
+        if len(held) == PASSES:
+            old = path
+            rows, path = staged(rows, "searched")
+            for done in held:
+                done.destroy()
+            if old:
+                drop_staged(rows.sparkSession, old)
+            held = []
+        rows = one_pass(rows, block)
+        held.append(block)
+    return rows
 
 
 def arrow_type(df: DataFrame, column: str) -> pa.DataType:
@@ -219,7 +237,7 @@ def clean_texts(found: DataFrame) -> DataFrame:
 def without_benchmark(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``documents`` that no benchmark window occurs in, with all their columns;
     rows of null text stay. The search is that of ``find_benchmark``, block by block."""
-    at, blocks = documents.columns.index("text"), phrase_blocks(documents.sparkSession, benchmark, **options)
+    at = documents.columns.index("text")
 
     def filtering(phrases):
         def run(batches):
@@ -234,9 +252,8 @@ def without_benchmark(documents: DataFrame, benchmark: DataFrame, **options) ->
 
         return run
 
-    for phrases in blocks:
-        documents = documents.mapInArrow(filtering(phrases), documents.schema)
-    return documents
+    blocks = phrase_blocks(documents.sparkSession, benchmark, **options)
+    return in_passes(documents, blocks, lambda rows, phrases: rows.mapInArrow(filtering(phrases), documents.schema))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -73,3 +73,15 @@ def test_index_counts_and_locates():
         want = [i for i in range(298) if (text[i : i + 3] == phrase).all()]
         low, high = index.ranges(phrase[None, :])
         assert sorted(index.locate(np.arange(low[0], high[0])).tolist()) == want
+
+
+def test_many_blocks_in_passes(spark):
+    """A benchmark of many blocks is searched a few at a time, with the same result."""
+    words = [f"w{i}" for i in range(400)]
+    items = [(f"i{k}", " ".join(words[7 * k : 7 * k + 12])) for k in range(50)]
+    docs = [(k, "start " + " ".join(words[7 * k : 7 * k + 11 + k % 3]) + " stop") for k in range(50)] + [(99, None)]
+    d, b = spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id string, text string")
+    one = {r.doc_id: (r.n_words, r.n_hit, tuple(r.item_ids)) for r in find_benchmark(d, b).collect()}
+    many = {r.doc_id: (r.n_words, r.n_hit, tuple(r.item_ids)) for r in find_benchmark(d, b, block_bytes=300).collect()}
+    assert one == many and sum(n > 0 for _, n, _ in one.values()) == 50
+    assert {r.doc_id for r in without_benchmark(d, b, block_bytes=300).collect()} == {99}
