@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barlab.llm.common import running_total, slices, staged, table
 
-MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 8 << 20, 1 << 21
+MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 5 << 20, 1 << 21
 LENGTHS = np.array([[(b >> 2 * k & 3) + 1 for k in range(4)] for b in range(256)], np.uint8)
 PIECES, RUN = 800_000, 20_000  # that a worker remembers
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")

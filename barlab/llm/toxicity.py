@@ -10,8 +10,9 @@ tokens without letters, may be numbers. Tokens whose lattice has a single path a
 as they are.
 
 The model's inputs are words of the restored text and their beginnings. Their counts come
-from a sample of labelled rows of the training part, at most ``max_labels`` rows, those of
-the smallest hashes of doc_id; the features and weights that come of it are bounded, too.
+from a sample of labelled documents of the training part, at most ``max_labels``, those of
+the smallest hashes of doc_id. Every feature whose log-likelihood ratio for toxic texts
+passes a fixed level of evidence is used, however many these are; the sample bounds them.
 Everything else reads all documents.
 """
 
@@ -48,6 +49,34 @@ def kind_of(ch: str) -> int:
     return ord(ch) - 96 if "a" <= ch <= "z" else 27
 
 
+def lattice(token: str, spaced: bool):
+    """The edges (piece, cost) of each run of equal characters."""
+    numbers = spaced or not any(c.isalpha() for c in token)
+    i, n = 0, len(token)
+    while i < n:
+        ch, j = token[i], i + 1
+        space = ch.isspace()
+        while j < n and (token[j].isspace() if space else token[j] == ch):
+            j += 1
+        run, edges = j - i, []
+        if space:
+            edges = [("", COST["drop"]), (" ", 0.0)]
+        elif ch in MARKS:
+            edges = [("", COST["drop"]), (" ", COST["part"])]
+        elif ch in LEET:
+            for letter in LEET[ch]:
+                edges += [(letter * k, COST["leet"] * k + (COST["shorten"] if k < run else 0)) for k in range(1, min(run, 2) + 1)]
+            edges += [("", COST["noise"] * run), (" ", COST["noise"] + COST["part"])]
+            if numbers and ch.isdigit():
+                edges.append((NUMBER, COST["number"] * run))
+        else:
+            edges = [(ch * k, COST["shorten"] if k < run else 0.0) for k in range(2 if run == 2 else 1, min(run, 2) + 1)]
+        if spaced and j < n and not space and not token[j].isspace():
+            edges += [(piece + " ", cost + COST["part"]) for piece, cost in edges if piece and piece not in (" ", NUMBER)]
+        yield edges
+        i = j
+
+
 class CharModel:
     """Trigram model over letter kinds, smoothed by its bigrams and unigrams."""
 
@@ -64,51 +93,36 @@ class CharModel:
         """The cheapest reading of a token, or of a run of short tokens (``spaced``); words
         in it are set apart by spaces."""
         paths: dict = {(0, 0): (0.0, None)}
-        numbers = spaced or not any(c.isalpha() for c in token)
-        i, n = 0, len(token)
-        while i < n:
-            ch, j = token[i], i + 1
-            space = ch.isspace()
-            while j < n and (token[j].isspace() if space else token[j] == ch):
-                j += 1
-            run, edges = j - i, []
-            if space:
-                edges = [("", COST["drop"]), (" ", 0.0)]
-            elif ch in MARKS:
-                edges = [("", COST["drop"]), (" ", COST["part"])]
-            elif ch in LEET:
-                for letter in LEET[ch]:
-                    edges += [(letter * k, COST["leet"] * k + (COST["shorten"] if k < run else 0)) for k in range(1, min(run, 2) + 1)]
-                edges += [("", COST["noise"] * run), (" ", COST["noise"] + COST["part"])]
-                if numbers and ch.isdigit():
-                    edges.append((NUMBER, COST["number"] * run))
-            else:
-                edges = [(ch * k, COST["shorten"] if k < run else 0.0) for k in range(2 if run == 2 else 1, min(run, 2) + 1)]
-            if spaced and j < n and not space and not token[j].isspace():
-                edges += [(piece + " ", cost + COST["part"]) for piece, cost in edges if piece and piece not in (" ", NUMBER)]
+        for edges in lattice(token, spaced):
             new: dict = {}
             for (x, y), (cost, out) in paths.items():
                 for piece, extra in edges:
-                    c, a, b = cost + extra, x, y
-                    if piece == NUMBER:
-                        c, a, b, piece = c + (self.cost[(a * KINDS + b) * KINDS] if b else 0.0), 0, 0, " "
-                        letters = ""
-                    else:
-                        letters = "" if piece == " " and not b else piece  # words are apart already
-                    for letter in letters:
-                        k = 0 if letter == " " else kind_of(letter)
-                        c += self.cost[(a * KINDS + b) * KINDS + k]
-                        a, b = b, k
+                    c, a, b = self.step(x, y, piece)
+                    c += cost + extra
                     if (a, b) not in new or c < new[a, b][0]:
-                        new[a, b] = (c, (out, piece))
-            paths, i = new, j
-        pieces, out = [], min((c + (self.cost[(a * KINDS + b) * KINDS] if b else 0.0), at) for at, ((a, b), (c, _)) in enumerate(paths.items()))[1]
+                        new[a, b] = (c, (out, " " if piece == NUMBER else piece))
+            paths = new
+        pieces, out = [], min((c + self.end(a, b), at) for at, ((a, b), (c, _)) in enumerate(paths.items()))[1]
         path = list(paths.values())[out][1]
         while path:
             path, piece = path
             pieces.append(piece)
         return "".join(reversed(pieces))
 
+    def step(self, a: int, b: int, piece: str) -> tuple[float, int, int]:
+        """What a piece costs after the last two letter kinds, and the last two after it."""
+        if piece == NUMBER:
+            return self.end(a, b), 0, 0
+        cost = 0.0
+        for letter in "" if piece == " " and not b else piece:  # words are apart already
+            k = 0 if letter == " " else kind_of(letter)
+            cost += self.cost[(a * KINDS + b) * KINDS + k]
+            a, b = b, k
+        return cost, a, b
+
+    def end(self, a: int, b: int) -> float:
+        return self.cost[(a * KINDS + b) * KINDS] if b else 0.0
+
     def words(self, token: bytes) -> list[str]:
         """Restored words of a lower-cased token."""
         text = token.decode("utf-8", "replace")
@@ -227,15 +241,17 @@ class Scorer:
         self.model, self.known, self.weights, self.bias = model, known, weights, bias
 
 
-def train(documents: DataFrame, labels: DataFrame, model: CharModel, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 12_000, max_features: int = 3_000, least: int = 3) -> Scorer:
-    """Fit on at most ``max_labels`` labelled rows. A row that repeats an id has its largest
-    label; rows without label, id or text do not count. Without both classes, the score of
-    any text is the smoothed share of toxic rows."""
+def train(documents: DataFrame, labels: DataFrame, model: CharModel, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_labels: int = 12_000, least: int = 3, evidence: float = 12.0) -> Scorer:
+    """Fit on at most ``max_labels`` labelled documents. Of rows that repeat an id the
+    largest label and the least text count, so that no id brings more than one text; rows
+    without label, id or text do not count. Without both classes, the score of any text is
+    the smoothed share of toxic rows."""
     spark = documents.sparkSession
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).filter("id is not null and toxic in (0, 1)")
     marks = marks.filter(F.crc32(F.col("id").cast("string").cast("binary")) % 5 != 0).groupBy("id").agg(F.max("toxic").alias("toxic"))
     marks = F.broadcast(marks.orderBy(F.xxhash64("id"), "id").limit(max_labels))  # at most max_labels small rows
-    rows, rows_at = staged(documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(marks, "id").select("text", "toxic").repartition(24), "labelled")
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null").join(marks, "id")
+    rows, rows_at = staged(rows.groupBy("id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic").repartition(24), "labelled")
     sizes = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
     known: dict[str, int] = {}
@@ -244,11 +260,13 @@ def train(documents: DataFrame, labels: DataFrame, model: CharModel, *, id_col:
         shared = spark.sparkContext.broadcast(model)
         counts = rows.mapInArrow(_feature_counts(shared), "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
-        best = counts.filter(F.col("toxic") >= least).withColumn("gain", odds * F.col("toxic")).filter((odds > 1.0) & (F.col("gain") > 12))
-        known = {r.feature: i for i, r in enumerate(best.orderBy(F.desc("gain"), "feature").limit(max_features).select("feature").collect())}
+        best = counts.filter(F.col("toxic") >= least).withColumn("gain", odds * F.col("toxic")).filter((odds > 1.0) & (F.col("gain") > evidence))
+        known = {r.feature: i for i, r in enumerate(best.orderBy(F.desc("gain"), "feature").select("feature").collect())}
         reader = spark.sparkContext.broadcast((model, known))
         data = rows.mapInArrow(_vectors(reader), "toxic int, ids array<bigint>").collect()  # at most max_labels short rows
         weights, bias = fit_logistic([r.ids for r in data], np.array([r.toxic for r in data], float), len(known))
+        shared.destroy()
+        reader.destroy()
     drop_staged(spark, rows_at)
     return Scorer(model, known, weights, bias)
 

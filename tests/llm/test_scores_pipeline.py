@@ -148,6 +148,48 @@ def test_spacing_is_part_of_the_lattice():
     assert len(model.run_words("a b " * 20000)) > 0  # long runs, too
 
 
+def test_restoring_equals_trying_every_path():
+    """Viterbi's reading costs what the cheapest of all paths through the lattice costs."""
+    from itertools import product
+
+    rng = np.random.default_rng(4)
+    model = toxicity.CharModel(rng.integers(0, 50, (28, 28, 28)))
+
+    def cost_of(path):
+        total, a, b = 0.0, 0, 0
+        for piece, extra in path:
+            c, a, b = model.step(a, b, piece)
+            total += c + extra
+        return total + model.end(a, b)
+
+    text_of = lambda path: "".join(" " if p == toxicity.NUMBER else p for p, _ in path)
+    for token in ["a", "1d1", "$$p", "x.y", "0ooo", "st-1", "9", "a11", "..", "h3!"]:
+        paths = list(product(*toxicity.lattice(token, False)))
+        best = min(map(cost_of, paths))
+        got = model.restore(token)
+        assert min(cost_of(p) for p in paths if text_of(p) == got) == pytest.approx(best), token
+    for run in ["a b c", "1 d 1", "s t", "4 4 a"]:
+        paths = list(product(*toxicity.lattice(run, True)))
+        assert min(cost_of(p) for p in paths if text_of(p) == model.restore(run, True)) == pytest.approx(min(map(cost_of, paths))), run
+
+
+def test_very_long_tokens():
+    model = toxicity.CharModel(np.ones((28, 28, 28), np.int64))
+    read = toxicity.Reader(model)
+    assert len(model.words(b"a1" * 150_000)) >= 0 and read(b"x." * 100_000 + b" " + b"z" * 500_000) is not None
+
+
+def test_one_text_for_each_labelled_id(spark):
+    """An id that repeats brings one text, so a sample of ids bounds what is learnt from."""
+    docs, labels = toxic_texts(60)
+    df = frame(spark, docs + [(1, f"other {i}") for i in range(500)])
+    marks = spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int, text string")
+    model = toxicity.char_model(df)
+    plain = frame(spark, [d for d in docs if d[0] != 1] + [(1, min([docs[1][1], *(f"other {i}" for i in range(500))]))])
+    a, b = toxicity.train(df, marks, model), toxicity.train(plain, marks, model)
+    assert a.known == b.known and np.allclose(a.weights, b.weights)
+
+
 def toxic_texts(n=600):
     rng = np.random.default_rng(7)
     clean, bad = [f"fine{chr(97 + i)}word" for i in range(20)], ["vilething", "nastyone", "grimfool"]
