@@ -9,13 +9,28 @@ from pyspark.sql import functions as F
 
 from barlab.operators.staging import drop_staged, shared_dir, staged, staged_path
 
-__all__ = ["by_id", "drop_staged", "running_total", "shared_dir", "slices", "staged", "staged_path", "table"]
+__all__ = ["by_id", "drop_staged", "lean", "running_total", "shared_dir", "slices", "staged", "staged_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean(run):
+    """A mapInArrow function that gives Arrow's unused memory back when its task ends: the
+    worker process lives on and serves other operators."""
+
+    def task(batches):
+        import pyarrow as pa
+
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum to about ``limit``; one item at least."""
     start = total = 0

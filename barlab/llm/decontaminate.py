@@ -22,7 +22,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import drop_staged, slices, staged
+from barlab.llm.common import drop_staged, lean, slices, staged
 from barlab.llm.fm_index import FMIndex
 
 #: Words: digits, lower-cased ASCII letters and all bytes of characters beyond ASCII.
@@ -180,7 +180,7 @@ def find_benchmark(documents: DataFrame, benchmark: DataFrame, *, id_col: str =
     )
     schema = pa.schema([("doc_id", arrow_type(documents, id_col)), ("text", pa.string()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("item_ids", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))])
     blocks = phrase_blocks(documents.sparkSession, benchmark, item_col=item_col, item_text_col=item_text_col, window=window, block_bytes=block_bytes)
-    return in_passes(df, blocks, lambda rows, phrases: rows.mapInArrow(searcher(phrases, schema, 1), f"doc_id {kind}, text string, {HITS}"))
+    return in_passes(df, blocks, lambda rows, phrases: rows.mapInArrow(lean(searcher(phrases, schema, 1)), f"doc_id {kind}, text string, {HITS}"))
 
 
 def in_passes(rows: DataFrame, blocks: Iterator, one_pass) -> DataFrame:
@@ -253,7 +253,7 @@ def without_benchmark(documents: DataFrame, benchmark: DataFrame, **options) ->
         return run
 
     blocks = phrase_blocks(documents.sparkSession, benchmark, **options)
-    return in_passes(documents, blocks, lambda rows, phrases: rows.mapInArrow(filtering(phrases), documents.schema))
+    return in_passes(documents, blocks, lambda rows, phrases: rows.mapInArrow(lean(filtering(phrases)), documents.schema))
 
 
 def op1_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import slices, staged, table
+from barlab.llm.common import lean, slices, staged, table
 from barlab.llm.decontaminate import arrow_type
 
 WIDTH, ROWS, DELAY = 64, 1024, 4  # of a payload's frames; the delay in hundredths of a second
@@ -290,7 +290,7 @@ def with_frames(media: DataFrame, data_col: str = "gif") -> DataFrame:
             yield part()
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.drop(data_col).schema)
-    return media.mapInArrow(run, f"{schema}, frames array<{FRAME}>")
+    return media.mapInArrow(lean(run), f"{schema}, frames array<{FRAME}>")
 
 
 def frame_table(media: DataFrame, *, id_col: str = "media_id", data_col: str = "gif") -> DataFrame:
@@ -326,7 +326,7 @@ def stored_media(documents: DataFrame, *, id_col: str = "doc_id", text_col: str
                     gifs.append(seen[key])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(t or b"") for t in part], pa.int64()), pa.array(gifs, pa.binary())], schema=schema)
 
-    return staged(documents.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, n_bytes bigint, gif binary"), "media")[0]
+    return staged(documents.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"doc_id {kind}, n_bytes bigint, gif binary"), "media")[0]
 
 
 def media_of(documents: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

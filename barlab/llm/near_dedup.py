@@ -26,7 +26,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barlab.llm.common import by_id, drop_staged, slices, staged, table
+from barlab.llm.common import by_id, drop_staged, lean, slices, staged, table
 from barlab.operators.graph import components
 from barlab.llm.decontaminate import arrow_type
 
@@ -184,7 +184,7 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     spark, id_type = documents.sparkSession, arrow_type(documents, id_col)
     kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    marked, marked_at = staged(docs.mapInArrow(sketches(shingle, id_type), f"doc_id {kind}, n bigint, set_hash binary, bands array<bigint>, odd array<bigint>"), "sketches")
+    marked, marked_at = staged(docs.mapInArrow(lean(sketches(shingle, id_type)), f"doc_id {kind}, n bigint, set_hash binary, bands array<bigint>, odd array<bigint>"), "sketches")
     live = marked.filter("n > 0 and doc_id is not null")
     reps, reps_at = staged(
         live.groupBy("set_hash").agg(F.min_by(F.struct("doc_id", "n", "bands", "odd"), "doc_id").alias("r")).select("r.*"), "representatives"
@@ -209,7 +209,7 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
         centres = pairs.select("b", "salt").distinct().select("b", "salt", F.lit(0).alias("side"), F.col("b").alias("id")).join(texts, "id")
         members = pairs.select("b", "salt", F.lit(1).alias("side"), F.col("a").alias("id")).join(texts, "id")
         rows = centres.unionByName(members).select("b", "salt", "side", "id", "t").repartition("b", "salt").sortWithinPartitions("b", "salt", "side")
-        out = staged(rows.mapInArrow(confirm(shingle, percent, id_type), f"a {kind}, b {kind}"), "links")
+        out = staged(rows.mapInArrow(lean(confirm(shingle, percent, id_type)), f"a {kind}, b {kind}"), "links")
         drop_staged(spark, pairs_at, ids_at)
         return out
 
@@ -220,7 +220,7 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rest = buckets.filter("id <> centre").join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("label"))
     split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     open_, open_at = staged(rest.join(split, "key", "left_semi").groupBy(F.col("id").alias("doc_id")).agg(F.min("label").alias("label")), "open")
-    sets = texts_of(open_.select("doc_id")).mapInArrow(shingle_sets(shingle, id_type), f"id {kind}, n bigint, hashes array<bigint>")
+    sets = texts_of(open_.select("doc_id")).mapInArrow(lean(shingle_sets(shingle, id_type)), f"id {kind}, n bigint, hashes array<bigint>")
     rows, rows_at = staged(sets.select("id", "n", F.explode("hashes").alias("h")), "shingles")
     rows = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "h")  # what one set has comes first and joins nothing
     own = Window.partitionBy("id", "n")

@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import running_total, slices, staged, table
+from barlab.llm.common import lean, running_total, slices, staged, table
 
-MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 5 << 20, 1 << 21
+MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 4 << 20, 1 << 21
 LENGTHS = np.array([[(b >> 2 * k & 3) + 1 for k in range(4)] for b in range(256)], np.uint8)
-PIECES, RUN = 800_000, 20_000  # that a worker remembers
+PIECES, RUN = 400_000, 20_000  # that a worker remembers
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 PART = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[!-&(-@\[-`{-~]+\n?|\n")  # no apostrophe
@@ -226,14 +226,10 @@ class Encoder:
         return [ids[i:j].tobytes() for i, j in zip([0, *stop[:-1].tolist()], stop.tolist(), strict=True)]
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(path: str) -> Encoder:
-    """The worker process's encoder, kept from task to task."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    """A new encoder. It lives as long as its task: a worker process serves other operators
+    after it, which would have to do with the memory that is left."""
+    return Encoder(path)
 
 
 def _encode(path: str):
@@ -271,7 +267,7 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, *, id_col: str
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = docs.repartitionByRange(max(1, -(-size // range_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ranges.mapInArrow(_encode(tokenizer_path), "file bigint, n_docs bigint, n_ids bigint, body binary"), "token-files")[0]
+    return staged(ranges.mapInArrow(lean(_encode(tokenizer_path)), "file bigint, n_docs bigint, n_ids bigint, body binary"), "token-files")[0]
 
 
 def _decode(batches):
@@ -285,7 +281,7 @@ def _decode(batches):
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document in the files."""
-    docs = files.select("file", "body").mapInArrow(_decode, "file bigint, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint")
+    docs = files.select("file", "body").mapInArrow(lean(_decode), "file bigint, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint")
     starts = running_total(files.select("file", "n_ids"), "file", "n_ids", "before", 1 << 32).select("file", "before")
     return docs.join(starts, "file").select("doc_id", (F.col("before") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -300,7 +296,7 @@ def read_ids(files: DataFrame) -> DataFrame:
                 at = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
                 yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))], names=["doc_id", "ids"])
 
-    return files.select("body").mapInArrow(run, "doc_id bigint, ids array<int>")
+    return files.select("body").mapInArrow(lean(run), "doc_id bigint, ids array<int>")
 
 
 def default_tokenizer() -> str:

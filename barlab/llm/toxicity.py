@@ -27,7 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import drop_staged, slices, staged, table
+from barlab.llm.common import drop_staged, lean, slices, staged, table
 from barlab.llm.decontaminate import arrow_type
 
 # Letters that a character may stand for.
@@ -191,7 +191,7 @@ def _letter_counts(batches):
 
 def char_model(documents: DataFrame, text_col: str = "text") -> CharModel:
     """The trigram model of all texts; 28^3 counts reach the driver, whatever the input."""
-    counts = documents.select(text_col).mapInArrow(_letter_counts, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+    counts = documents.select(text_col).mapInArrow(lean(_letter_counts), "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
     out = np.zeros(KINDS**3, np.int64)
     for row in counts.collect():
         out[row.code] = row.n
@@ -258,12 +258,12 @@ def train(documents: DataFrame, labels: DataFrame, model: CharModel, *, id_col:
     weights, bias = np.zeros(0), float(np.log((toxic + 0.5) / (clean + 0.5)))
     if toxic and clean:
         shared = spark.sparkContext.broadcast(model)
-        counts = rows.mapInArrow(_feature_counts(shared), "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+        counts = rows.mapInArrow(lean(_feature_counts(shared)), "feature string, clean bigint, toxic bigint").groupBy("feature").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
         odds = F.log((F.col("toxic") + 0.5) / (toxic + 1)) - F.log((F.col("clean") + 0.5) / (clean + 1))
         best = counts.filter(F.col("toxic") >= least).withColumn("gain", odds * F.col("toxic")).filter((odds > 1.0) & (F.col("gain") > evidence))
         known = {r.feature: i for i, r in enumerate(best.orderBy(F.desc("gain"), "feature").select("feature").collect())}
         reader = spark.sparkContext.broadcast((model, known))
-        data = rows.mapInArrow(_vectors(reader), "toxic int, ids array<bigint>").collect()  # at most max_labels short rows
+        data = rows.mapInArrow(lean(_vectors(reader)), "toxic int, ids array<bigint>").collect()  # at most max_labels short rows
         weights, bias = fit_logistic([r.ids for r in data], np.array([r.toxic for r in data], float), len(known))
         shared.destroy()
         reader.destroy()
@@ -285,7 +285,7 @@ def score(documents: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_
             p = 1 / (1 + np.exp(-np.clip(np.array(z, float), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], schema=pa.schema([("doc_id", id_type), ("score", pa.float64())]))
 
-    return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(run, f"doc_id {kind}, score double")
+    return documents.select(F.col(id_col), F.col(text_col)).mapInArrow(lean(run), f"doc_id {kind}, score double")
 
 
 def without_toxic(documents: DataFrame, labels: DataFrame, limit: float = 0.5) -> DataFrame:
@@ -302,7 +302,7 @@ def without_toxic(documents: DataFrame, labels: DataFrame, limit: float = 0.5) -
             keep = [s.weights[list(read(t.as_py()))].sum() < most for t in batch.column(at).cast(pa.binary())]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(lean(run), documents.schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
