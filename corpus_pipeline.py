@@ -4,14 +4,17 @@ sf_dir) whose result is written as Parquet and read again as the next one's docs
 Toxic documents go; one document of each group of near-duplicates stays (five-word
 shingles, similarity 0.8); documents that hold a benchmark window go; sources are cut to
 their target weights; the rest becomes token-id files, of which each document's place,
-length and checksum are returned. The first four return the columns that they are given.
+length and checksum are returned. The first four return the columns that they are given,
+also columns that the operators use names of, and keep every row that they do not reject:
+null and empty texts and null ids pass through, repeated rows are told apart only by
+near_dedup, of which one stays, and an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm.common import staged, table
+from barlab.llm.common import drop_staged, staged, table
 from barlab.llm.decontaminate import without_benchmark
 from barlab.llm.mixture import mixed_documents
 from barlab.llm.near_dedup import keep_one
@@ -20,22 +23,31 @@ from barlab.llm.toxicity import without_toxic
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores under 0.5; a null or empty text scores as one without any word."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near-duplicates and of each id: the one of the smallest id, of rows
+    that repeat it the one of the least text. Texts without words and null ids link with nothing."""
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows in which no window of ten benchmark words occurs; an item of fewer words is one window,
+    and null texts and items have none."""
     return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that a mixture of 80 hundredths of all tokens uses; of ties in a leaf's order, hashes of
+    ids, the shorter text comes first. Texts without words use nothing and stay."""
     return mixed_documents(docs, share=80)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row's place, length and checksum in the token files; null ids come first, rows that
+    repeat an id follow each other by text, and a null text is an end id alone."""
     return read_token_files(write_token_files(docs, default_tokenizer()))
 
 
@@ -46,7 +58,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, path = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs, _ = staged(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+        old = path
+        docs, path = staged(stage(spark, docs, sf_dir), name)
+        if old:
+            drop_staged(spark, old)
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    drop_staged(spark, path)  # the token files are written, and nothing else is read from here on
+    return out
