@@ -22,32 +22,42 @@ from barlab.llm.token_files import default_tokenizer, read_token_files, write_to
 from barlab.llm.toxicity import without_toxic
 
 
+def text_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Smaller Arrow batches than Spark's usual 10,000 rows, as each row has a whole text."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text scores under 0.5; a null or empty text scores as one without any word."""
+    text_batches(spark)
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates and of each id: the one of the smallest id, of rows
     that repeat it the one of the least text. Texts without words and null ids link with nothing."""
+    text_batches(spark)
     return keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in which no window of ten benchmark words occurs; an item of fewer words is one window,
     and null texts and items have none."""
+    text_batches(spark)
     return without_benchmark(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that a mixture of 80 hundredths of all tokens uses; of ties in a leaf's order, hashes of
     ids, the shorter text comes first. Texts without words use nothing and stay."""
+    text_batches(spark)
     return mixed_documents(docs, share=80)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every row's place, length and checksum in the token files; null ids come first, rows that
     repeat an id follow each other by text, and a null text is an end id alone."""
+    text_batches(spark)
     return read_token_files(write_token_files(docs, default_tokenizer()))
 
 
