@@ -13,29 +13,33 @@ def cost_schedule(spark: SparkSession, periods: list[tuple[str, str | None, floa
     return spark.createDataFrame(periods, "f string, t string, round_trip_bps double").select(F.to_date("f").alias("effective_from"), F.to_date("t").alias("effective_to"), "round_trip_bps")
 
 
-def with_cost(rows: DataFrame, date: str, schedule: DataFrame, most: int = 1000) -> DataFrame:
-    """Adds ``cost_bps`` by the period that holds ``date``; a date in no period or in several
-    stops the query. Up to ``most`` periods become one expression on the rows, so nothing is
-    joined; a longer schedule is joined on the months that its periods touch."""
+def with_period(rows: DataFrame, date: str, periods: DataFrame, columns: list[str]) -> DataFrame:
+    """Adds ``columns`` of the period (effective_from, effective_to) that holds ``date``,
+    both ends included, an end of null open; a date in no period or in several stops the
+    query. The distinct dates meet the periods by month, so that no pair of a date and a
+    period of other months is made; the rows then meet their dates."""
     day = F.to_date(date)
-    count, bps = F.lit(0), F.lit(None).cast("double")
-    periods = schedule.limit(most + 1).collect()
-    if len(periods) <= most:
-        for p in periods:
-            inside = (day >= F.lit(p.effective_from)) & (F.lit(True) if p.effective_to is None else day <= F.lit(p.effective_to))
-            count, bps = count + F.when(inside, 1).otherwise(0), F.when(inside, p.round_trip_bps).otherwise(bps)
-        return rows.withColumn("cost_bps", F.when(count == 1, bps).otherwise(_no_period(day)))
-    last = F.coalesce("effective_to", F.lit("2199-12-31").cast("date"))
-    months = schedule.withColumn("month", F.explode(F.sequence(F.trunc("effective_from", "month"), F.trunc(last, "month"), F.expr("interval 1 month"))))
-    dates = rows.select(day.alias("day")).distinct().withColumn("month", F.trunc("day", "month"))
-    found = dates.join(months, "month").filter((F.col("day") >= F.col("effective_from")) & (F.col("day") <= F.coalesce("effective_to", "day")))
-    found = found.groupBy("day").agg(F.count("*").alias("n"), F.max("round_trip_bps").alias("bps"))
-    joined = rows.withColumn("day", day).join(found, "day", "left")
-    return joined.withColumn("cost_bps", F.when(F.col("n") == 1, F.col("bps")).otherwise(_no_period(F.col("day")))).drop("day", "n", "bps")
+    dates = rows.select(day.alias("_day")).filter("_day is not null").distinct()
+    latest = dates.agg(F.max("_day")).first()[0]
+    last = F.coalesce("effective_to", F.greatest(F.lit(latest).cast("date"), F.col("effective_from")))
+    month = lambda d: F.trunc(d, "month")
+    spans = periods.filter(last >= F.col("effective_from")).withColumn("_month", F.explode(F.sequence(month("effective_from"), month(last), F.expr("interval 1 month"))))
+    found = dates.withColumn("_month", month("_day")).join(spans, "_month").filter((F.col("_day") >= F.col("effective_from")) & (F.col("_day") <= last))
+    found = found.groupBy("_day").agg(F.count("*").alias("_n"), *(F.max(c).alias(c) for c in columns))
+    joined = rows.withColumn("_day", day).join(found, "_day", "left")
+    stop = lambda kind: F.raise_error(F.concat(F.lit("not one period for "), F.coalesce(F.col("_day").cast("string"), F.lit("null")))).cast(kind)
+    kinds = dict(periods.dtypes)
+    for c in columns:
+        joined = joined.withColumn(c, F.when(F.col("_n") == 1, F.col(c)).otherwise(stop(kinds[c])))
+    return joined.drop("_day", "_n")
 
 
-def _no_period(day):
-    return F.raise_error(F.concat(F.lit("not one cost period for "), day.cast("string"))).cast("double")
+def with_cost(rows: DataFrame, date: str, schedule: DataFrame) -> DataFrame:
+    """Adds ``cost_bps`` of the cost period that holds ``date``."""
+    return with_period(rows, date, schedule.withColumnRenamed("round_trip_bps", "cost_bps"), ["cost_bps"])
+
+
+INPUT = ("contract", "session", "ts", "open", "close", "signal")
 
 
 def trades(signals: DataFrame, *, model: str = NEXT_OPEN, slippage_bps: float = 0.0, schedule: DataFrame | None = None, quantity: int = 1, lot_size: int = 1, same_session: bool = True) -> DataFrame:
@@ -45,6 +49,12 @@ def trades(signals: DataFrame, *, model: str = NEXT_OPEN, slippage_bps: float =
         raise ValueError(f"unsupported execution model: {model}")
     if quantity <= 0 or lot_size <= 0 or slippage_bps < 0:
         raise ValueError("quantity and lot size are positive, slippage is not negative")
+    lack = [c for c in INPUT if c not in signals.columns]
+    if lack:
+        raise ValueError(f"the signals lack {', '.join(lack)}")
+    number = F.col("signal").cast("double")
+    wild = number.isNull() | F.isnan(number) | (F.abs(number) == float("inf"))
+    signals = signals.withColumn("signal", F.when(wild, F.raise_error(F.lit("a signal is not finite")).cast("double")).otherwise(number))
     w = Window.partitionBy(*(["contract", "session"] if same_session else ["contract"])).orderBy("ts")
     rows = signals.select("contract", "session", "ts", "close", F.signum("signal").cast("int").alias("side"), F.lead("ts").over(w).alias("entry_ts"), F.lead("open").over(w).alias("next_open"), F.lead("close").over(w).alias("next_close"))
     rows = rows.filter("side <> 0 and entry_ts is not null")

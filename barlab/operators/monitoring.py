@@ -122,7 +122,7 @@ def closed_window(rows: DataFrame, at: str, start: str, stop: str) -> DataFrame:
 
 # The degradation rules' names and least samples.
 DROPOUT_SESSIONS, LEAST_ORDERS = 30, 10
-RULES = ("drawdown_expansion", "rejection_spike", "sharpe_collapse", "slippage_anomaly", "trade_dropout")
+RULES = ("RULE_DD_EXPANSION_CRITICAL", "RULE_RISK_REJECTION_SPIKE", "RULE_SHARPE_COLLAPSE", "RULE_SLIPPAGE_ANOMALY", "RULE_TRADE_DROPOUT")
 
 
 def degradations(snapshots: DataFrame, *, expansion: float = 1.5, least_sharpe: float = 0.0, drift: float = 2.0, most_rejected: float = 0.2) -> DataFrame:
@@ -141,3 +141,11 @@ def degradations(snapshots: DataFrame, *, expansion: float = 1.5, least_sharpe:
     return snapshots.select("key", F.explode(F.array_compact(found)).alias("r")).select("key", "r.*")
 
 
+def holding_bars(trades: DataFrame, key: str = "contract", bars: str = "bars_held") -> DataFrame:
+    """(key, trades, mean_bars): the mean number of bars that a key's trades were held."""
+    return trades.groupBy(key).agg(F.count(bars).alias("trades"), F.round(F.avg(bars), 4).alias("mean_bars"))
+
+
+def limit_utilisation(peak, limit):
+    """A peak over the limit set for it, 4 places, not below 0; null without a limit."""
+    return F.when(limit > 0, F.round(F.greatest(F.lit(0.0), peak) / limit, 4))

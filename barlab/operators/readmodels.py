@@ -47,3 +47,50 @@ def edges(links: DataFrame, known: DataFrame) -> DataFrame:
 def broken(links: DataFrame, known: DataFrame) -> DataFrame:
     """Links whose target is not a node."""
     return links.join(known.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target", "kind")
+
+
+def dossiers(strategies: DataFrame, parts: list[tuple[str, DataFrame, str, int | None]], key: str = "strategy_id") -> DataFrame:
+    """Each strategy with the rows of other tables: for (name, table, order, n), a column
+    ``name`` of its rows as structs, the latest ``n`` by ``order`` (None: all), and their
+    count. Strategies without rows have an empty array."""
+    out = strategies
+    for name, df, order, n in parts:
+        rows = latest(df, [key], [F.desc(order)], n) if n else df
+        fields = [order, *(c for c in df.columns if c not in (key, order))]
+        lists = rows.groupBy(key).agg(F.reverse(F.array_sort(F.collect_list(F.struct(*fields)))).alias(name))
+        out = out.join(lists, key, "left").withColumn(name, F.coalesce(name, F.array())).withColumn(f"{name}_count", F.size(name))
+    return out
+
+
+def json_fields(rows: DataFrame, column: str, fields: dict[str, str]) -> DataFrame:
+    """The rows with fields of a JSON text column, by name and type; null where the text is
+    no JSON or lacks the field."""
+    schema = ", ".join(f"`{name}` {kind}" for name, kind in fields.items())
+    return rows.withColumn("_json", F.from_json(column, schema)).select(*rows.columns, *(F.col(f"_json.`{name}`").alias(name) for name in fields))
+
+
+def open_positions(positions: DataFrame) -> DataFrame:
+    return positions.filter(F.abs("quantity") > 0)
+
+
+def paper_overview(strategies: DataFrame, orders: DataFrame, fills: DataFrame, risk_events: DataFrame, reports: DataFrame, latest_reports: int = 50) -> DataFrame:
+    """One row: strategies active and degraded, orders, fills and risk events, and the net
+    result of the latest reports (created_at, report_json)."""
+    one = lambda df, *columns: df.agg(*columns).withColumn("_k", F.lit(1))
+    state = lambda name: F.count_if(F.col("state") == name)
+    parts = [
+        one(strategies, state("PAPER_ACTIVE").alias("active_strategies"), state("DEGRADED").alias("degraded_strategies")), one(orders, F.count("*").alias("total_orders")),
+        one(fills, F.count("*").alias("total_fills")), one(risk_events, F.count("*").alias("total_risk_events")),
+        one(recent(json_fields(reports, "report_json", {"net_pnl": "double"}), [F.desc("created_at"), F.desc("report_json")], latest_reports), F.round(F.coalesce(F.sum("net_pnl"), F.lit(0.0)), 2).alias("total_net_pnl")),
+    ]
+    return reduce(lambda a, b: a.join(b, "_k"), parts).drop("_k")
+
+
+def population_summary(trials: DataFrame, by: list[str]) -> DataFrame:
+    """(by..., production_trials, production_experiments, production_variants,
+    fixture_trials): the usage of production and fixture trials side by side."""
+    live = F.col("mode") == "PRODUCTION"
+    of = lambda c: F.count_distinct(F.when(live, F.col(c)))
+    return trials.groupBy(*by).agg(
+        F.count_if(live).alias("production_trials"), of("experiment_id").alias("production_experiments"), of("strategy_id").alias("production_variants"), F.count_if(F.col("mode") == "FIXTURE").alias("fixture_trials"),
+    )

@@ -9,9 +9,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType, DoubleType
 
-from barlab.functions.scalars import expected_max_sharpe
+from barlab.functions.scalars import detection_gate, expected_max_sharpe, false_pass_gate
+from barlab.operators.graph import components
+from barlab.operators.staging import drop_staged, staged
 
 CUT, FAR, LEAST_COMMON = 0.6325, 2.0, 100
 
@@ -68,30 +70,54 @@ def average_linkage(distance: np.ndarray, cut: float = CUT) -> np.ndarray:
 
 
 def clusters(trials: DataFrame, pairs: DataFrame, scope: str = "scope", cut: float = CUT) -> DataFrame:
-    """(scope, trial_id, cluster): the effective trials of each scope. ``trials`` has (scope,
-    trial_id), ``pairs`` what aligned_pairs gives. Trials without a partner are clusters of
-    their own; unknown distances between others count as the largest. A scope's matrix is
-    one group: average linkage needs all of it, and a scope is one budgeted research run."""
-    edges = pairs.filter("sufficient").select("trial_a", "trial_b", F.coalesce("dist", F.lit(FAR)).alias("dist"))
+    """(scope, trial_id, cluster): the effective trials of each scope, a cluster named by the
+    least of its trials. ``trials`` has (scope, trial_id), ``pairs`` what aligned_pairs
+    gives. Unknown distances count as the largest.
+
+    Clusters merge while their mean distance is ``cut`` or less, so two clusters merge only
+    if some pair of their trials is that close. The graph of such pairs falls into
+    components that no cluster crosses: each is one group, and the trials of a scope never
+    are. Trials in no close pair are clusters of their own.
+    """
+    spark = trials.sparkSession
     members = trials.select(scope, "trial_id").distinct()
-    left = members.join(edges, F.col("trial_id") == F.col("trial_a"), "left").select(scope, "trial_id", F.col("trial_b").alias("other"), "dist")
+    known = pairs.filter("sufficient").select("trial_a", "trial_b", F.least(F.greatest(F.coalesce("dist", F.lit(FAR)), F.lit(0.0)), F.lit(FAR)).alias("dist"))
+    inside = known.join(members.withColumnRenamed("trial_id", "trial_a"), "trial_a").join(members.withColumnRenamed("trial_id", "trial_b"), [scope, "trial_b"])
+    name = lambda c: F.to_json(F.struct(scope, F.col(c).alias("trial_id")))  # noqa: E731  a trial may be in several scopes
+    inside, inside_at = staged(inside.select(scope, "trial_a", "trial_b", "dist", name("trial_a").alias("a"), name("trial_b").alias("b")), "distances")
+    parts, parts_at = components(inside.filter(F.col("dist") <= cut).select("a", "b"))
+    both = parts.unionByName(parts.select(F.col("component").alias("id"), "component").distinct())
+    rows = inside.join(both.select(F.col("id").alias("a"), F.col("component").alias("part")), "a").join(both.select(F.col("id").alias("b"), F.col("component").alias("other")), "b").filter("part = other")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(pdf["trial_id"].unique())
+        ids = sorted({*pdf["trial_a"], *pdf["trial_b"]})
         at = {t: i for i, t in enumerate(ids)}
-        d, linked = np.full((len(ids), len(ids)), FAR), np.zeros(len(ids), bool)
-        for a, b, v in pdf[["trial_id", "other", "dist"]].dropna().itertuples(index=False):
-            if b in at:
-                d[at[a], at[b]] = d[at[b], at[a]] = min(max(v, 0.0), FAR)
-                linked[[at[a], at[b]]] = True
-        number = np.zeros(len(ids), int)
-        if linked.any():
-            number[linked] = average_linkage(d[np.ix_(linked, linked)], cut)
-        number[~linked] = number.max(initial=0) + 1 + np.arange((~linked).sum())
-        return pd.DataFrame({scope: pdf[scope].iloc[0], "trial_id": ids, "cluster": number})
+        d = np.full((len(ids), len(ids)), FAR)
+        x, y = pdf["trial_a"].map(at).to_numpy(), pdf["trial_b"].map(at).to_numpy()
+        d[x, y] = d[y, x] = pdf["dist"].to_numpy()
+        number = average_linkage(d, cut)
+        least: dict = {}
+        for t, k in zip(ids, number, strict=True):
+            least.setdefault(k, t)
+        return pd.DataFrame({scope: pdf[scope].iloc[0], "trial_id": ids, "cluster": [least[k] for k in number]})
 
     kinds = dict(members.dtypes)
-    return left.groupBy(scope).applyInPandas(run, f"{scope} {kinds[scope]}, trial_id {kinds['trial_id']}, cluster bigint")
+    near = rows.select("part", scope, "trial_a", "trial_b", "dist").groupBy("part").applyInPandas(run, f"{scope} {kinds[scope]}, trial_id {kinds['trial_id']}, cluster {kinds['trial_id']}")
+    out, _ = staged(members.join(near, [scope, "trial_id"], "left").withColumn("cluster", F.coalesce("cluster", "trial_id")), "clusters")
+    drop_staged(spark, inside_at, parts_at)
+    return out
+
+
+@F.pandas_udf(BooleanType())
+def false_pass(passes: pd.Series, runs: pd.Series) -> pd.Series:
+    """Whether null runs passed seldom enough, by the exact upper bound of the rate."""
+    return pd.Series([false_pass_gate(int(k), int(n)) for k, n in zip(passes, runs, strict=True)], dtype=bool)
+
+
+@F.pandas_udf(BooleanType())
+def detection(found: pd.Series, runs: pd.Series) -> pd.Series:
+    """Whether planted edges were found often enough, by the exact lower bound of the rate."""
+    return pd.Series([detection_gate(int(k), int(n)) for k, n in zip(found, runs, strict=True)], dtype=bool)
 
 
 @F.pandas_udf(DoubleType())

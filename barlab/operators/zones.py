@@ -69,16 +69,66 @@ def split_manifest(times: DataFrame, gaps: Gaps, ratios: tuple[float, float, flo
 
 def zone_slice(rows: DataFrame, start=None, stop=None, column: str = "ts") -> DataFrame:
     """Rows with start <= time < stop; an end that is None is open. Reaches the scan."""
+    kind = rows.schema[column].dataType.simpleString()
+    edge = lambda x: F.lit(str(x) if kind.startswith(("timestamp", "date")) else x).cast(kind)  # noqa: E731  as the column has it, in no other time zone
     if start is not None:
-        rows = rows.filter(F.col(column) >= F.lit(start))
-    return rows if stop is None else rows.filter(F.col(column) < F.lit(stop))
-
-
-def load_zone(rows: DataFrame, manifest: DataFrame, zone: str, *, allow_holdout: bool = False, column: str = "ts") -> DataFrame:
-    """A named zone of the manifest; the sealed holdout only on demand."""
-    if zone == "holdout" and not allow_holdout:
+        rows = rows.filter(F.col(column) >= edge(start))
+    return rows if stop is None else rows.filter(F.col(column) < edge(stop))
+
+
+def manifest_faults(manifest: DataFrame, gaps: Gaps | None = None) -> list[str]:
+    """What is wrong with a manifest (zone, start, stop) of a dozen rows: zones that do not
+    end after they start, zones out of order or overlapping, and gaps of no width where
+    ``gaps`` declare some."""
+    at = {r.zone: (r.start, r.stop) for r in manifest.collect()}
+    order = ["research", *(f"{z}{part}" for z in ("validation", "holdout") for part in ("_purge", "_embargo", ""))]
+    missing = [z for z in order if z not in at]
+    if missing:
+        return [f"no {z}" for z in missing]
+    faults = [f"{z} is empty" for z in ("research", "validation", "holdout") if not at[z][0] < at[z][1]]
+    if "forward" in at and at["forward"][1] is not None and not at["forward"][0] <= at["forward"][1]:  # nothing may be left for it
+        faults.append("forward ends before it starts")
+    order += ["forward"] * ("forward" in at)
+    faults += [f"{b} begins before {a} ends" for a, b in zip(order, order[1:], strict=False) if not at[a][1] <= at[b][0]]
+    faults += [f"{z} ends before it starts" for z in order if "_" in z and not at[z][0] <= at[z][1]]
+    for name, bars in (("purge", gaps.purge if gaps else 0), ("embargo", gaps.embargo if gaps else 0)):
+        if bars > 0:
+            faults += [f"{z}_{name} has no width" for z in ("validation", "holdout") if at[f"{z}_{name}"][0] == at[f"{z}_{name}"][1]]
+    return faults
+
+
+def overlaps(rows: DataFrame, zones: DataFrame, column: str = "ts") -> DataFrame:
+    """(zone_a, zone_b, n): pairs of zones that share rows, and how many; none if the zones
+    are disjoint. ``zones`` (zone, start, stop) are few, and each row is in one or two."""
+    inside = rows.join(F.broadcast(zones.limit(1000)), (F.col(column) >= F.col("start")) & (F.col(column) < F.col("stop")))  # a manifest has a dozen
+    held = inside.groupBy(*rows.columns).agg(F.array_sort(F.collect_set("zone")).alias("z")).filter(F.size("z") > 1)
+    pairs = F.flatten(F.transform("z", lambda a: F.transform(F.filter("z", lambda b: b > a), lambda b: F.struct(a.alias("zone_a"), b.alias("zone_b")))))
+    return held.select(F.explode(pairs).alias("p")).groupBy("p.zone_a", "p.zone_b").agg(F.count("*").alias("n"))
+
+
+def zone_bounds(datasets: DataFrame, manifests: DataFrame, named: DataFrame, zone: str) -> DataFrame:
+    """(version, kind, start, stop) of a zone in each dataset: from its manifest (version,
+    zone, start, stop) if that has the zone, else from its own named zones; datasets that
+    have it nowhere are left out."""
+    pick = lambda df, name: df.filter(F.upper("zone") == zone.upper()).select("version", F.struct("start", "stop").alias(name))
+    rows = datasets.join(pick(manifests, "m"), "version", "left").join(pick(named, "n"), "version", "left").withColumn("z", F.coalesce("m", "n"))
+    return rows.filter("z is not null").select("version", "kind", "z.start", "z.stop")
+
+
+def load_zone(rows: DataFrame, manifest: DataFrame, zone: str, *, named: DataFrame | None = None, kind: str | None = None, allowed_kinds: set[str] | None = None, allow_holdout: bool = False, column: str = "ts") -> DataFrame:
+    """A zone of the manifest, or one of the ``named`` zones (zone, start, stop) if that has
+    none of the name; the sealed holdout only on demand, only datasets of allowed kinds. An
+    unknown or empty zone is an error."""
+    if allowed_kinds is not None and kind not in allowed_kinds:
+        raise PermissionError(f"kind {kind} is not allowed")
+    if zone.lower() == "holdout" and not allow_holdout:
         raise PermissionError("the holdout zone is sealed")
-    found = manifest.filter(F.col("zone") == zone).limit(1).collect()
+    found = manifest.filter(F.lower("zone") == zone.lower()).limit(1).collect()
+    if not found and named is not None:
+        found = named.filter(F.lower("zone") == zone.lower()).limit(1).collect()
     if not found:
         raise KeyError(zone)
-    return zone_slice(rows, found[0].start, found[0].stop, column)
+    part = zone_slice(rows, found[0].start, found[0].stop, column)
+    if not part.limit(1).count():
+        raise ValueError(f"zone {zone} is empty")
+    return part

@@ -42,18 +42,73 @@ class Trial:
     status: str
     strategy_id: str
     trades: DataFrame | None = None
+    mode: str = "PRODUCTION"
 
 
 def run_trial(bars: DataFrame, spec: Spec, manifest: DataFrame, zone: str, *, trials: DataFrame | None = None, budget: ledger.Budget | None = None, minutes: float = 1.0, **execution) -> Trial:
     """Backtest a specification on a zone: refused beyond the budget or on the holdout, and
     not run if the signal at any bar depends on later ones."""
-    rows = zones.load_zone(bars, manifest, zone)
+    return _run(zones.load_zone(bars, manifest, zone), spec.compile, spec.strategy_id, zone, trials, budget, minutes, **execution)
+
+
+def run_fixture(bars: DataFrame, signal, name: str, *, trials: DataFrame | None = None, budget: ledger.Budget | None = None, minutes: float = 1.0, **execution) -> Trial:
+    """Backtest any signal function of bars, or the name of a column that has the signal; a
+    fixture never counts as production."""
+    if isinstance(signal, str):
+        column, signal = signal, lambda rows: signals.with_slots(rows).withColumn("signal", F.signum(column).cast("int"))
+    trial = _run(bars, signal, f"FIXTURE-{name}", "fixture", trials, budget, minutes, **execution)
+    trial.mode = "FIXTURE"
+    return trial
+
+
+def _run(rows: DataFrame, signal, strategy_id: str, zone: str, trials, budget, minutes: float, **execution) -> Trial:
     if trials is not None and budget is not None:
-        ledger.reserve(trials, budget, experiment_id=content_hash([spec.strategy_id, zone])[:24], strategy_id=spec.strategy_id, minutes=minutes)
+        ledger.reserve(trials, budget, experiment_id=content_hash([strategy_id, zone])[:24], strategy_id=strategy_id, minutes=minutes)
     longest = rows.groupBy("contract").count().agg(F.max("count")).first()[0] or 0
-    if longest >= 2 and signals.causality_breaks(rows, spec.compile, signals.cut_points(longest)).limit(1).count():
-        return Trial("REJECTED_NONCAUSAL", spec.strategy_id)
-    return Trial("COMPLETED", spec.strategy_id, backtest.trades(spec.compile(rows), **execution))
+    if longest >= 2 and signals.causality_breaks(rows, signal, signals.cut_points(longest)).limit(1).count():
+        return Trial("REJECTED_NONCAUSAL", strategy_id)
+    return Trial("COMPLETED", strategy_id, backtest.trades(signal(rows), **execution))
+
+
+def end_of(trial: Trial, trial_id: str, minutes: float, cost: float = 0.0) -> DataFrame | None:
+    """The ledger's row (trial_id, status, actual_minutes, actual_cost, completed) of a trial
+    that has ended, for ledger.complete."""
+    if trial.trades is None:
+        return None
+    return trial.trades.sparkSession.createDataFrame([(trial_id, trial.status, float(minutes), float(cost))], "trial_id string, status string, actual_minutes double, actual_cost double").withColumn("completed", F.current_timestamp())
+
+
+def passes(totals: DataFrame) -> DataFrame:
+    """The default pass criterion: a net result over 0 from one trade or more."""
+    return totals.withColumn("passed", (F.col("net_pnl") > 0) & (F.col("trades") >= 1))
+
+
+def final_evaluation(bars: DataFrame, spec: Spec, manifest: DataFrame, *, dataset: str, protocol: str, trials: DataFrame, burns: DataFrame, evaluations: DataFrame, budget: ledger.Budget = ledger.Budget(), criterion=passes, minutes: float = 0.01, **execution) -> DataFrame:
+    """The one look at the holdout that a candidate has: (strategy_id, dataset, protocol,
+    state, status, trades, net_pnl), to append to ``evaluations``. Refused when the holdout
+    is burnt, the candidate was evaluated before, or no trial of it in research or validation
+    is completed. A signal that reads ahead, and any error, fail the candidate."""
+    spark, me = bars.sparkSession, {"dataset": dataset, "protocol": protocol}
+    if ledger.exists(burns, **me):
+        raise PermissionError("the holdout is burnt")
+    if ledger.exists(evaluations, strategy_id=spec.strategy_id, **me):
+        raise PermissionError("the candidate has been evaluated on this holdout")
+    before = ledger.matching(trials, strategy_id=spec.strategy_id, status="COMPLETED", **me).filter(F.upper("zone").isin("RESEARCH", "VALIDATION"))
+    if not before.limit(1).count():
+        raise PermissionError("the candidate has passed no earlier gate")
+    rows = zones.load_zone(bars, manifest, "holdout", allow_holdout=True)
+    state, status, n, net = "FAILED", "FAILED", 0, 0.0
+    try:
+        trial = _run(rows, spec.compile, spec.strategy_id, "holdout", trials, budget, minutes, **execution)
+        status = trial.status
+        if trial.trades is not None:
+            r = criterion(backtest.totals(trial.trades, [])).first()
+            state, status, n, net = ("PASSED", "COMPLETED", r.trades, r.net_pnl) if r.passed else ("FAILED", "REJECTED_FINAL_HOLDOUT", r.trades, r.net_pnl)
+    except ledger.BudgetExceeded:
+        raise
+    except Exception:  # a candidate that cannot be evaluated has had its look
+        status = "FAILED"
+    return spark.createDataFrame([(spec.strategy_id, dataset, protocol, state, status, n, net)], "strategy_id string, dataset string, protocol string, state string, status string, trades bigint, net_pnl double")
 
 
 def write_artifact(trades: DataFrame, path: str, trial_id: str) -> None:
@@ -62,6 +117,15 @@ def write_artifact(trades: DataFrame, path: str, trial_id: str) -> None:
     out.write.mode("errorifexists").partitionBy("trial_id").parquet(path)
 
 
+ARTIFACT = "signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, side tinyint, gross_return_bps double, cost_bps double, net_return_bps double, trial_id string"
+
+
+def read_artifact(spark: SparkSession, path: str, trial_id: str | None = None) -> DataFrame:
+    """The returns of an artifact in its fixed schema; of one trial, only that partition."""
+    rows = spark.read.schema(ARTIFACT).parquet(path)
+    return rows if trial_id is None else rows.filter(F.col("trial_id") == trial_id)
+
+
 def qualify(returns: DataFrame, candidates: DataFrame, least_common: int = 100, **limits) -> DataFrame:
     """Each candidate's deflated Sharpe ratio within its scope and its status. ``returns`` is
     (scope, trial_id, signal_ts, net_return_bps) of the population, ``candidates`` what

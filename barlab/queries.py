@@ -4,11 +4,12 @@ must equal. Bars are hourly bars of events; fills come from lineitem, ledgers fr
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlab.functions.scalars import detection_gate, false_pass_gate, rounded, to_tick
+from barlab.functions.scalars import rounded, to_tick
 from barlab.operators import backtest, ledger, monitoring, readmodels, replay, signals, statistics, synthetic, zones
 from barlab.plans import research
 from barlab.sources.bars import bars_of_events, violations
@@ -119,7 +120,7 @@ def _(spark, sf):
 @query("q_cost_schedule_join", f"WITH {TRADES}, c(f, t, bps) AS (VALUES (DATE '2024-01-01', DATE '2024-01-14', 2.0::DOUBLE), (DATE '2024-01-15', NULL, 5.0::DOUBLE)) SELECT contract, entry_ts, bps AS cost_bps FROM px JOIN c ON entry_ts::DATE >= f AND (t IS NULL OR entry_ts::DATE <= t)")
 def _(spark, sf):
     plain = backtest.trades(signals.momentum(bars(spark, sf))).drop("cost_bps")
-    return backtest.with_cost(plain, "entry_ts", backtest.cost_schedule(spark, COSTS), most=0).select("contract", "entry_ts", "cost_bps")
+    return backtest.with_cost(plain, "entry_ts", backtest.cost_schedule(spark, COSTS)).select("contract", "entry_ts", "cost_bps")
 
 
 MOMENTS = ["mean", "std", "skewness", "kurtosis", "sharpe"]
@@ -191,6 +192,19 @@ def _(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+@query("q_causality_lookahead", f"""WITH {BARS}, n AS (SELECT *, row_number() OVER w AS i, count(*) OVER (PARTITION BY contract) AS c, lead(close) OVER w AS nc FROM bars WINDOW w AS (PARTITION BY contract ORDER BY ts))
+SELECT contract, i::BIGINT AS cut FROM n WHERE i IN (5, 40, 200) AND i < c AND sign(nc - close) <> 0""")
+def _(spark, sf):
+    """A signal that reads the next bar is caught at every cut behind which a bar follows."""
+    from pyspark.sql import Window
+
+    def ahead(rows):
+        w = Window.partitionBy("contract").orderBy("ts")
+        return rows.withColumn("signal", F.coalesce(F.signum(F.lead("close").over(w) - F.col("close")), F.lit(0)).cast("int"))
+
+    return signals.causality_breaks(bars(spark, sf), ahead, [5, 40, 200]).select("contract", F.col("cut").cast("bigint").alias("cut")).distinct()
+
+
 @query("q_session_pnl", f"WITH {SESSIONS} SELECT contract, session::VARCHAR AS session, trades, {s6('gross_pnl', 'net_pnl')} FROM ses")
 def _(spark, sf):
     return monitoring.session_pnl(made_trades(spark, sf)).select("contract", day(), "trades", *r6("gross_pnl", "net_pnl"))
@@ -274,17 +288,11 @@ def _(spark, sf):
     return monitoring.latest_pnl(p, ["strategy"], "at", "realized").select("strategy", "realized")
 
 
-@query("q_overnight_spills", f"WITH {TRADES} SELECT contract, count(*) FILTER (signal_ts::DATE <> entry_ts::DATE) AS spills FROM tr GROUP BY 1")
-def _(spark, sf):
-    t = made_trades(spark, sf).withColumn("a", F.to_date("signal_ts")).withColumn("b", F.to_date("entry_ts"))
-    return monitoring.overnight_spills(t, "contract", "a", "b")
-
-
-@query("q_ratios", f"WITH {SESSIONS} SELECT contract, round(sum(trades) / count(*) / 2.0, 6) + 0.0 AS frequency_ratio, round(50.0 / greatest(1.0, 0.25), 6) + 0.0 AS drawdown_ratio FROM ses GROUP BY 1 HAVING count(*) >= 10")
+@query("q_ratios", f"WITH {SESSIONS} SELECT contract, round(sum(trades) / count(*) / 2.0, 6) + 0.0 AS frequency_ratio FROM ses GROUP BY 1 HAVING count(*) >= 10")
 def _(spark, sf):
     s = monitoring.session_pnl(made_trades(spark, sf)).groupBy("contract").agg(F.sum("trades").alias("t"), F.count("*").alias("n"))
     ratio = monitoring.frequency_ratio(F.col("t").cast("double"), F.col("n"), F.lit(400.0), F.lit(200))
-    return s.filter("n >= 10").select("contract", rounded(ratio).alias("frequency_ratio"), rounded(monitoring.drawdown_ratio(F.lit(50.0), F.lit(0.25), F.col("n"))).alias("drawdown_ratio"))
+    return s.filter("n >= 10").select("contract", rounded(ratio).alias("frequency_ratio"))
 
 
 @query("q_window_slice", "SELECT event_type, count(*) AS n FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-05 00:00:00' AND TIMESTAMP '2024-01-12 00:00:00' GROUP BY 1")
@@ -298,11 +306,11 @@ SNAP = """sn AS (SELECT o_custkey AS key, max(o_totalprice) / 100 AS drawdown_bp
 
 
 @query("q_degradation_rules", f"""WITH {SNAP}, r AS (
-SELECT key, 'drawdown_expansion' AS rule, drawdown_bps AS observed, base_drawdown_bps * 1.5 AS threshold FROM sn WHERE drawdown_bps > base_drawdown_bps * 1.5
-UNION ALL SELECT key, 'rejection_spike', rejection_rate, 0.02 FROM sn WHERE submitted >= 10 AND rejection_rate > 0.02
-UNION ALL SELECT key, 'sharpe_collapse', sharpe, 0.0 FROM sn WHERE sharpe < 0
-UNION ALL SELECT key, 'slippage_anomaly', slippage_bps, base_slippage_bps * 2 FROM sn WHERE slippage_bps > base_slippage_bps * 2
-UNION ALL SELECT key, 'trade_dropout', inactive, 30 FROM sn WHERE inactive >= 30) SELECT key, rule, round(observed, 11) + 0.0 AS observed, round(threshold, 11) + 0.0 AS threshold FROM r""")
+SELECT key, 'RULE_DD_EXPANSION_CRITICAL' AS rule, drawdown_bps AS observed, base_drawdown_bps * 1.5 AS threshold FROM sn WHERE drawdown_bps > base_drawdown_bps * 1.5
+UNION ALL SELECT key, 'RULE_RISK_REJECTION_SPIKE', rejection_rate, 0.02 FROM sn WHERE submitted >= 10 AND rejection_rate > 0.02
+UNION ALL SELECT key, 'RULE_SHARPE_COLLAPSE', sharpe, 0.0 FROM sn WHERE sharpe < 0
+UNION ALL SELECT key, 'RULE_SLIPPAGE_ANOMALY', slippage_bps, base_slippage_bps * 2 FROM sn WHERE slippage_bps > base_slippage_bps * 2
+UNION ALL SELECT key, 'RULE_TRADE_DROPOUT', inactive, 30 FROM sn WHERE inactive >= 30) SELECT key, rule, round(observed, 11) + 0.0 AS observed, round(threshold, 11) + 0.0 AS threshold FROM r""")
 def _(spark, sf):
     return monitoring.degradations(snapshots(spark, sf), most_rejected=0.02).select("key", "rule", *(rounded(F.col(c), 11).alias(c) for c in ("observed", "threshold")))
 
@@ -326,9 +334,9 @@ def _(spark, sf):
 
 @query("q_zone_slice", "SELECT o_orderstatus, count(*) AS n FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-07-01' GROUP BY 1")
 def _(spark, sf):
-    at = lambda s: F.lit(s).cast("timestamp_ntz")
     o = load(spark, sf, "orders").select("o_orderdate", "o_orderstatus")
-    return o.filter((F.col("o_orderdate") >= at("1996-01-01")) & (F.col("o_orderdate") < at("1997-07-01"))).groupBy("o_orderstatus").agg(F.count("*").alias("n"))
+    zone = spark.createDataFrame([("Research", datetime(1996, 1, 1), datetime(1997, 7, 1))], "zone string, start timestamp_ntz, stop timestamp_ntz")
+    return zones.load_zone(o, zone.filter("zone = 'none'"), "research", named=zone, kind="LICENSED", allowed_kinds={"LICENSED"}, column="o_orderdate").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
 
 
 def trials(spark, sf) -> DataFrame:
@@ -430,15 +438,6 @@ def _(spark, sf):
     return readmodels.resolve([(load(spark, sf, "customer"), "c_custkey", "c_custkey"), (load(spark, sf, "orders"), "o_orderkey", "o_custkey")])
 
 
-@query("q_task_id", "SELECT event_id AS snapshot_id, 'TASK-RFB-' || substr(sha256(sha256(event_id::VARCHAR) || ':v2'), 1, 16) AS task_id, 'ALPHA_DECAY' AS failure_mode, 1.0::DOUBLE AS drawdown_ratio FROM events WHERE event_type = 'error'")
-def _(spark, sf):
-    e = load(spark, sf, "events").filter("event_type = 'error'")
-    found = e.select(F.col("event_id").alias("snapshot_id"), F.sha2(F.col("event_id").cast("string"), 256).alias("event_hash"), F.lit("sharpe_collapse").alias("rule"), F.lit(0.0).alias("observed"), F.lit(0.0).alias("threshold"))
-    snaps = e.select(F.col("event_id").alias("snapshot_id"), F.col("user_id").alias("strategy_id"))
-    tasks = ledger.feedback(found, snaps, "v2").select("event_hash", "task_id", "failure_mode", "drawdown_ratio")
-    return found.select("snapshot_id", "event_hash").join(tasks, "event_hash").drop("event_hash")
-
-
 CAND = """cd AS (SELECT c_custkey AS strategy, coalesce(n, 0) AS trades, coalesce(n, 0) AS observations, coalesce(p, 0) - 1500000 AS net_pnl, CASE WHEN c_custkey % 7 = 0 THEN 'FAILED' WHEN c_custkey % 3 = 0 THEN 'PASSED' ELSE 'NOT_TESTED' END AS robustness,
  CASE c_custkey % 5 WHEN 0 THEN 'FAILED' WHEN 1 THEN 'PASSED' WHEN 2 THEN 'BURNED' ELSE 'UNTOUCHED' END AS holdout FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, sum(o_totalprice) AS p FROM orders GROUP BY 1) ON o_custkey = c_custkey)"""
 
@@ -464,15 +463,16 @@ def _(spark, sf):
     return ledger.holdout_state(rows, burns, done).select("strategy_id", "holdout")
 
 
-@query("q_illegal_transitions", """WITH t AS (SELECT o_custkey AS strategy_id, o_orderkey AS seq, o_orderstatus AS to_state, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS from_state FROM orders)
-SELECT strategy_id, seq, 'no such step' AS reason FROM t WHERE from_state IS NOT NULL AND (from_state, to_state) NOT IN (('O', 'F'), ('F', 'O'), ('O', 'P'))""")
+@query("q_illegal_transitions", """WITH t AS (SELECT o_custkey AS strategy_id, o_orderkey AS seq, o_orderstatus AS b, lag(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS a FROM orders)
+SELECT strategy_id, seq, 'no such step' AS reason FROM t WHERE a IS NOT NULL AND NOT ((a = 'O' AND b = 'F') OR (a = 'O' AND b = 'P') OR (a = 'F' AND b = 'P'))""")
 def _(spark, sf):
     from pyspark.sql import Window
 
     w = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    t = load(spark, sf, "orders").select(F.col("o_custkey").alias("strategy_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("at"), F.col("o_orderstatus").alias("to_state"), F.lag("o_orderstatus").over(w).alias("from_state"))
-    bad = ledger.illegal_steps(t.filter("from_state is not null"), ledger.step_table(spark, {"O": ["F", "P"], "F": ["O"]}))
-    return bad.select("strategy_id", "seq", "reason")
+    status = F.col("o_orderstatus")
+    o = load(spark, sf, "orders").withColumn("to_state", F.when(status == "O", "CANDIDATE").when(status == "F", "VALIDATION").otherwise("HOLDOUT_REQUIRED"))
+    t = o.select(F.col("o_custkey").alias("strategy_id"), F.col("o_orderkey").alias("seq"), F.col("o_orderkey").alias("at"), "to_state", F.lag("to_state").over(w).alias("from_state"))
+    return ledger.illegal_steps(t.filter("from_state is not null"), ledger.step_table(spark)).select("strategy_id", "seq", "reason")
 
 
 @query("q_gap_returns", f"WITH {BARS}, g AS (SELECT contract, ts, ln(open / coalesce(lag(close) OVER (PARTITION BY contract ORDER BY ts), close)) AS gap, ln(close / open) AS intrabar FROM bars) SELECT contract, ts, {s6('gap', 'intrabar')} FROM g")
@@ -498,7 +498,7 @@ def _(spark, sf):
 
 @query("q_json_projection", "SELECT event_id, (props->>'$.k')::INTEGER AS k FROM events")
 def _(spark, sf):
-    return load(spark, sf, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    return readmodels.json_fields(load(spark, sf, "events").select("event_id", "props"), "props", {"k": "int"}).select("event_id", "k")
 
 
 REPLAY = SLOTS + """, b AS (SELECT *, row_number() OVER (PARTITION BY contract ORDER BY ts) AS i, lead(session) OVER (PARTITION BY contract ORDER BY ts) AS ns, lead(open, 1) OVER (PARTITION BY contract ORDER BY ts) AS o1, lead(ts, 1) OVER (PARTITION BY contract ORDER BY ts) AS t1, lead(open, 2) OVER (PARTITION BY contract ORDER BY ts) AS o2, lead(ts, 2) OVER (PARTITION BY contract ORDER BY ts) AS t2 FROM sig),
@@ -528,7 +528,7 @@ def _(spark, sf):
 g AS (SELECT *, sum(s) OVER (PARTITION BY user_id ORDER BY ts) AS g FROM d) SELECT user_id, min(ts) AS start, count(*) AS n FROM g GROUP BY user_id, g""")
 def _(spark, sf):
     e = load(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return e.groupBy("user_id", F.session_window("ts", "6 hours")).agg(F.count("*").alias("n")).select("user_id", F.col("session_window.start").cast("timestamp_ntz").alias("start"), "n")
+    return streaming.sessions(e, "user_id", "6 hours").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
 @query("q_synthetic_bars")
@@ -541,12 +541,9 @@ def _(spark, sf):
     return synthetic.block_bootstrap(synthetic.directional_null(synthetic.generate(spark, [1, 2])))
 
 
-@query("q_acquisition_gates", "SELECT * FROM (VALUES ('false_pass', 4, true), ('false_pass', 5, false), ('detection', 87, true), ('detection', 86, false)) t(gate, hits, passes)")
-def _(spark, sf):
-    rows = [("false_pass", n, false_pass_gate(n, 200)) for n in (4, 5)] + [("detection", n, detection_gate(n, 100)) for n in (87, 86)]
-    return spark.createDataFrame(rows, "gate string, hits int, passes boolean")
-
-
 @query("q_monte_carlo_gate")
 def _(spark, sf):
     return research.null_runs(spark, list(range(12)))
+
+
+from barlab import paper_queries  # noqa: E402, F401  registers its queries here

@@ -36,6 +36,62 @@ def verified(spark: SparkSession, path: str, sha256: str) -> DataFrame:
     return read_parquet(spark, path)
 
 
+FEED = ("ts", "open", "high", "low", "close", "volume", "open_interest")
+
+
+def missing_columns(df: DataFrame, wanted) -> list[str]:
+    """Columns that a frame lacks, in the order of ``wanted``."""
+    return [c for c in wanted if c not in df.columns]
+
+
+def feed(bars: DataFrame) -> DataFrame:
+    """Bars fit for replay; a missing column or a bar that breaks a rule is an error."""
+    lack = missing_columns(bars, FEED)
+    if lack:
+        raise ValueError(f"the feed lacks {', '.join(lack)}")
+    found = violations(bars).limit(5).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.contract}: {r.rule} ({r.n})" for r in found))
+    return bars
+
+
+def feed_digest(bars: DataFrame, places: int = 8) -> DataFrame:
+    """(contract, n, digest): a digest of each contract's seven columns, the same in any
+    order of the rows: the sum of the rows' hashes, so that no task needs a contract whole."""
+    text = [F.coalesce(F.format_string(f"%.{places}f", F.col(c).cast("double")) if c in FEED[1:5] else F.col(c).cast("string"), F.lit("-")) for c in FEED]
+    row = F.conv(F.substring(F.sha2(F.concat_ws("|", *text), 256), 1, 15), 16, 10).cast("decimal(38,0)")
+    return bars.groupBy("contract").agg(F.count("*").alias("n"), F.sum(row).alias("s")).select("contract", "n", F.sha2(F.concat_ws(":", F.col("n").cast("string"), F.col("s").cast("string")), 256).alias("digest"))
+
+
+def registry_feed(spark: SparkSession, datasets: DataFrame, version: str, *, manifest: DataFrame | None = None, zone: str | None = None, licensed: bool = True) -> DataFrame:
+    """The feed of a registered dataset (version, kind, path, sha256): its file has the
+    registered digest, production replay is of LICENSED data only, and the holdout is out
+    of reach. With ``manifest`` and ``zone``, only that zone."""
+    from barlab.operators.zones import load_zone
+
+    found = datasets.filter(F.col("version") == version).limit(1).collect()
+    if not found:
+        raise KeyError(version)
+    if licensed and found[0].kind != "LICENSED":
+        raise PermissionError(f"{version} is {found[0].kind}, not LICENSED")
+    if zone is not None and zone.lower() == "holdout":
+        raise PermissionError("the holdout zone is sealed")
+    rows = verified(spark, found[0].path, found[0].sha256)
+    return feed(rows if zone is None or manifest is None else load_zone(rows, manifest, zone))
+
+
+def register(new: DataFrame, stored: DataFrame) -> DataFrame:
+    """The dataset versions to append: the same again adds nothing, other content or a
+    format but csv and parquet is an error."""
+    from barlab.operators.ledger import content_digest, insert
+
+    if new.filter(~F.lower("format").isin("csv", "parquet") | F.col("version").isNull() | (F.trim("version") == "")).limit(1).count():
+        raise ValueError("versions have names, and formats are csv or parquet")
+    content = ["version", "kind", "format", "path", "sha256"]
+    digest = lambda df: df.select(*content, content_digest(content).alias("digest"))
+    return insert(digest(new), digest(stored), ["version"]).select(*content)
+
+
 def bars_of_events(events: DataFrame, positive: bool = True) -> DataFrame:
     """Hourly bars of each event type; prices of 0 or less are no prices."""
     rows = events.select("event_type", "ts", "value", "user_id")

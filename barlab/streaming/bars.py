@@ -8,10 +8,12 @@ from collections.abc import Iterator
 from dataclasses import asdict
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from barlab.operators.ledger import insert
 from barlab.operators.replay import EVENT, Settings, State, close_bar, frame, open_bar
 
 
@@ -61,3 +63,25 @@ def replay_stream(signals: DataFrame, cfg: Settings | None = None) -> DataFrame:
 
     bars = signals.select("contract", "ts", "session", "open", "close", "signal")
     return bars.groupBy("contract").applyInPandasWithState(run, f"contract string, {EVENT}", "state string, waiting string", "append", GroupStateTimeout.NoTimeout)
+
+
+def sessions(rows: DataFrame, key: str, gap: str, at: str = "ts") -> DataFrame:
+    """(key, start, n): runs of a key's rows with no gap as long as ``gap``."""
+    w = rows.groupBy(key, F.session_window(at, gap)).agg(F.count("*").alias("n"))
+    return w.select(key, F.col("session_window.start").alias("start"), "n")
+
+
+def append_once(stream: DataFrame, path: str, key: list[str], checkpoint: str):
+    """Start a query that appends each row to the table at ``path`` once: a batch that is
+    run again after a failure, and rows that come again later, add nothing. A key that
+    comes with other content (``digest``) stops the stream."""
+    spark = stream.sparkSession
+
+    def write(batch: DataFrame, _: int) -> None:
+        try:
+            stored = spark.read.schema(batch.schema).parquet(path)
+        except AnalysisException:  # the first batch
+            stored = spark.createDataFrame([], batch.schema)
+        insert(batch, stored, key).write.mode("append").parquet(path)
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

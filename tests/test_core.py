@@ -247,7 +247,7 @@ def test_ledger(spark):
     with pytest.raises(ledger.BudgetExceeded):
         ledger.reserve(trials, ledger.Budget(experiments=1), experiment_id="f", strategy_id="s", minutes=1)
     ledger.reserve(trials.limit(0), ledger.Budget(), experiment_id="e", strategy_id="s", minutes=1)
-    t = spark.createDataFrame([("s", 1, 1, "DRAFT", "RESEARCH"), ("s", 2, 2, "RESEARCH", "PAPER_ACTIVE")], "strategy_id string, seq int, at int, from_state string, to_state string")
+    t = spark.createDataFrame([("s", 1, 1, "CANDIDATE", "VALIDATION"), ("s", 2, 2, "VALIDATION", "PAPER_ELIGIBLE")], "strategy_id string, seq int, at int, from_state string, to_state string")
     assert ledger.illegal_steps(t, ledger.step_table(spark)).count() == 1
     assert ledger.current_state(t).first().state == "PAPER_ACTIVE"
 
