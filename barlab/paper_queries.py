@@ -48,7 +48,7 @@ def evaluated(spark, sf) -> evaluation.Evaluation:
     return evaluation.evaluate(
         windows, qualifications=qualifications, baselines=baselines, reports=base.unionByName(seen), fills=fills,
         orders=o.select(key.alias("order_id"), "strategy_id", F.col("o_orderdate").alias("submit_ts"), F.when(F.col("o_orderstatus") == "P", "REJECTED").otherwise("FILLED").alias("status")),
-        positions=o.select("strategy_id", F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), key.alias("seq"), (1 + key % 4).alias("quantity"), (price / 1000).alias("price"), ((price - 150_000) / 100).alias("realized_pnl")),
+        positions=o.select("strategy_id", F.col("o_orderpriority").alias("symbol"), F.col("o_orderdate").alias("ts"), key.alias("seq"), (1 + key % 4).alias("quantity"), (price / 100).alias("price"), ((price - 150_000) / 100).alias("realized_pnl")),
         risk_events=o.filter("o_orderstatus = 'P'").select(key.alias("event_id"), "strategy_id", F.col("o_orderdate").alias("ts"), F.when(key % 1013 == 0, "").otherwise("MAX_LOSS").alias("rule_name")),
         config=evaluation.Config(window_sessions=15, most_rejected=0.3),
     )
@@ -67,7 +67,7 @@ sf AS (SELECT k, 'repeated fill_id' AS fault FROM f WHERE id % 997 = 0 UNION SEL
 fit AS (SELECT * FROM st WHERE k NOT IN (SELECT k FROM pf) AND k NOT IN (SELECT k FROM sf)),
 m1 AS (SELECT k, count(*) AS total_trades, round(sum(p / 20000) / sum(p / 100 * q) * 10000, 4) AS slippage_bps, round((sum(p / 10000) + sum(p / 20000)) / sum(p / 100 * q) * 10000, 4) AS cost_bps FROM f GROUP BY 1),
 m2 AS (SELECT k, count(*) AS submitted, count(*) FILTER (o_orderstatus = 'P') AS rejected FROM o WHERE o_orderdate {_W} GROUP BY 1),
-ps AS (SELECT k, o_orderdate AS ts, o_orderkey AS seq, o_orderpriority AS symbol, (o_totalprice - 150000) / 100 AS pnl, (1 + o_orderkey % 4) * o_totalprice / 1000 AS expo FROM o WHERE o_orderdate {_W}),
+ps AS (SELECT k, o_orderdate AS ts, o_orderkey AS seq, o_orderpriority AS symbol, (o_totalprice - 150000) / 100 AS pnl, (1 + o_orderkey % 4) * o_totalprice / 100 AS expo FROM o WHERE o_orderdate {_W}),
 m3 AS (SELECT k, round(sum(pnl), 4) AS net_pnl FROM (SELECT * FROM ps QUALIFY row_number() OVER (PARTITION BY k, symbol ORDER BY ts DESC, seq) = 1) GROUP BY 1),
 cv AS (SELECT k, ts, 100000 + sum(pnl) AS e FROM ps GROUP BY 1, 2), cp AS (SELECT *, max(e) OVER (PARTITION BY k ORDER BY ts) AS peak FROM cv),
 m4 AS (SELECT k, round(least(10000, greatest(0, max(CASE WHEN peak <= 0 OR e <= 0 THEN 10000 ELSE (peak - e) / peak * 10000 END))), 4) AS drawdown_bps FROM cp GROUP BY 1),
@@ -81,9 +81,9 @@ FLOATS = ["net_pnl", "drawdown_bps", "sharpe", "slippage_bps", "cost_bps", "peak
 COUNTS = ["total_trades", "risk_events", "completed_sessions", "inactive", "submitted", "rejected"]
 
 
-@query("q_window_snapshots", f"WITH {EVALUATED} SELECT strategy_id, {', '.join(COUNTS)}, {', '.join(f'round({c}, 3) + 0.0 AS {c}' for c in FLOATS)} FROM sn")
+@query("q_window_snapshots", f"WITH {EVALUATED} SELECT strategy_id, {', '.join(COUNTS)}, {', '.join(f'round({c}, 4) + 0.0 AS {c}' for c in FLOATS)} FROM sn")
 def _(spark, sf):
-    return evaluated(spark, sf).snapshots.select("strategy_id", *COUNTS, *(rounded(F.col(c), 3).alias(c) for c in FLOATS))
+    return evaluated(spark, sf).snapshots.select("strategy_id", *COUNTS, *(rounded(F.col(c), 4).alias(c) for c in FLOATS))
 
 
 @query("q_window_faults", f"WITH {EVALUATED} SELECT 'W' || k AS window_id, fault FROM pf UNION ALL SELECT 'W' || k, fault FROM sf WHERE k NOT IN (SELECT k FROM pf)")
@@ -96,9 +96,9 @@ SELECT strategy_id, 'RULE_DD_EXPANSION_CRITICAL' AS rule, drawdown_bps AS observ
 UNION ALL SELECT strategy_id, 'RULE_RISK_REJECTION_SPIKE', rejected / submitted, 0.3 FROM sn WHERE submitted >= 10 AND rejected / submitted > 0.3
 UNION ALL SELECT strategy_id, 'RULE_SHARPE_COLLAPSE', sharpe, 0.0 FROM sn WHERE sharpe < 0
 UNION ALL SELECT strategy_id, 'RULE_SLIPPAGE_ANOMALY', slippage_bps, 3.0 FROM sn WHERE slippage_bps > 3
-UNION ALL SELECT strategy_id, 'RULE_TRADE_DROPOUT', inactive, 30 FROM sn WHERE inactive >= 30) SELECT strategy_id, rule, round(observed, 3) + 0.0 AS observed, round(threshold, 3) + 0.0 AS threshold FROM ev""")
+UNION ALL SELECT strategy_id, 'RULE_TRADE_DROPOUT', inactive, 30 FROM sn WHERE inactive >= 30) SELECT strategy_id, rule, round(observed, 4) + 0.0 AS observed, round(threshold, 4)::DOUBLE + 0.0 AS threshold FROM ev""")
 def _(spark, sf):
-    return evaluated(spark, sf).events.select("strategy_id", "rule", rounded(F.col("observed"), 3).alias("observed"), rounded(F.col("threshold"), 3).alias("threshold"))
+    return evaluated(spark, sf).events.select("strategy_id", "rule", rounded(F.col("observed"), 4).alias("observed"), rounded(F.col("threshold"), 4).alias("threshold"))
 
 
 @query("q_window_again", "SELECT 0::BIGINT AS snapshots, 0::BIGINT AS events")
@@ -366,11 +366,10 @@ def _(spark, sf):
 
 @query("q_bar_rules", f"""WITH {BARS}, b AS (SELECT contract, ts, extract(hour FROM ts) AS h, extract(day FROM ts) AS d, open, close, high, low FROM bars)
 SELECT contract, 'high_low' AS rule, count(*) AS n FROM b WHERE h = 3 GROUP BY 1 UNION ALL SELECT contract, 'negative_volume', count(*) FROM b WHERE h = 5 GROUP BY 1 UNION ALL SELECT contract, 'not_finite', count(*) FROM b WHERE h = 7 GROUP BY 1
-UNION ALL SELECT contract, 'null', count(*) FROM b WHERE h = 9 GROUP BY 1 UNION ALL SELECT contract, 'duplicate_ts', count(*) FROM b WHERE h = 11 GROUP BY 1""")
+UNION ALL SELECT contract, 'not_positive', count(*) FROM b WHERE h = 3 AND least(low, open, close) - 1 <= 0 GROUP BY 1 UNION ALL SELECT contract, 'null', count(*) FROM b WHERE h = 9 GROUP BY 1 UNION ALL SELECT contract, 'duplicate_ts', count(*) FROM b WHERE h = 11 GROUP BY 1""")
 def _(spark, sf):
-    h, nan = F.hour("ts"), float("nan")
+    h = F.hour("ts")
     b = bars(spark, sf).withColumn("high", F.when(h == 3, F.least("open", "close", "low") - 1).when(h == 7, float("inf")).otherwise(F.col("high"))).withColumn("volume", F.when(h == 5, -F.col("volume")).otherwise(F.col("volume"))).withColumn("close", F.when(h == 9, F.lit(None)).otherwise(F.col("close")))
-    assert nan != nan
     return sources.violations(b.unionByName(b.filter(h == 11)))
 
 
