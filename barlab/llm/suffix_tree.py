@@ -14,7 +14,9 @@ whole branch of the tree, are then smoothed and tested by numpy, some branches a
 Contexts of two symbols and fewer (65,793 at most) are treated on the driver. The tree is
 a staged table of any size, a row for each state. Its commonest states, of at most
 ``head_entries`` entries, are sent to the tasks, with marks where the tree goes on beyond
-them; the grams of each text that go on meet the rest of the tree in shuffle joins.
+them. Grams that go on there are asked for: the distinct ones of each run of texts travel,
+packed, to the branch of the tree that they belong to, and their scores travel back to the
+run, so no gram is sent once for each of its occurrences.
 Words are treated in the same way: the commonest, ``head`` at most, are sent to the tasks,
 the others of each text meet their counts in a shuffle join.
 """
@@ -28,10 +30,11 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import drop_staged, slices, staged, table
+from barlab.llm.common import drop_staged, lean, slices, staged, table
 from barlab.llm.decontaminate import arrow_type
 
 DEPTH, BETA, END = 7, 4.0, b" "  # a symbol and its context fill 64 bits
@@ -306,6 +309,39 @@ class Head:
         return np.where(longer, np.nan, out)
 
 
+class Branch:
+    """The states of a branch that are not in the head."""
+
+    def __init__(self, head: Head, states: pa.StructArray | None):
+        self.head, self.levels = head, {}
+        if states is None:
+            return
+        ks = states.field("k").to_numpy()
+        for k in np.unique(ks).tolist():
+            part = states.take(pa.array(np.flatnonzero(ks == k)))
+            ctx, symbols = part.field("ctx").to_numpy(), part.field("symbols")
+            gram = np.repeat(ctx, pa.compute.list_value_length(symbols).to_numpy()) << 8 | pa.compute.list_flatten(symbols).to_numpy().astype(np.int64)
+            back = np.log10(BETA / (part.field("total").to_numpy() + BETA))
+            state, entry = np.argsort(ctx), np.argsort(gram)
+            self.levels[k] = (ctx[state], back[state], gram[entry], pa.compute.list_flatten(part.field("v")).to_numpy()[entry])
+
+    def score(self, code: np.ndarray) -> np.ndarray:
+        """log10 probabilities by the longest suffix state, here or in the head. No state of
+        a branch is as common as those of the head, so longer ones are only here."""
+        out, depth, _ = self.head.walk(code)
+        for k, (ctx, back, gram, v) in self.levels.items():
+            at, state = Head._find(ctx, (code >> 8) & MASK[k])
+            rows = np.flatnonzero(state & (depth < k))
+            e, known = Head._find(gram, code[rows] & MASK[k + 1])
+            out[rows] = np.where(known, v[e] if len(v) else 0.0, out[rows] + back[at[rows]])
+        return out
+
+
+def asked(codes: np.ndarray, chunk: int) -> list[tuple[int, int, bytes]]:
+    """Rows (branch, chunk, body) of distinct turned codes in order."""
+    return [(b, chunk, body) for b, body in _by_branch(codes, np.zeros(len(codes), np.int64), codes >> np.uint64(40), int)]
+
+
 class Tree:
     """A suffix tree: its head, and the table of the states (k, ctx, total, symbols, v) that
     are not in the head."""
@@ -313,37 +349,70 @@ class Tree:
     def __init__(self, head: Head, states: DataFrame):
         self.head, self.states = head, states
 
-    def rest(self, codes: DataFrame) -> DataFrame:
-        """(code, v): log10 probabilities of distinct codes whose longest state is not in the
-        head. No context that is looked up here is as common as those of the head."""
-        shared = codes.sparkSession.sparkContext.broadcast(self.head)
+    def answers(self, requests: DataFrame) -> DataFrame:
+        """(branch, chunk, body, v) of requests (branch, chunk, body): v has the log10
+        probability of each code of the body, as 8-byte floats."""
+        shared = requests.sparkSession.sparkContext.broadcast(self.head)
+        branch = F.col("ctx").bitwiseAND(F.lit(MASK[LOW + 1])).cast("int")
+        trees = self.states.groupBy(branch.alias("branch")).agg(F.collect_list(F.struct("k", "ctx", "total", "symbols", "v")).alias("states"))
+        kind = trees.schema["states"].dataType.simpleString()
+        rows = trees.select("branch", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("chunk"), F.lit(None).cast("binary").alias("body"), "states")
+        rows = rows.unionByName(requests.select("branch", F.lit(1).alias("kind"), "chunk", "body", F.lit(None).cast(kind).alias("states")))
 
         def run(batches):
+            now, tree = None, None
             for batch in batches:
-                out, depth, _ = shared.value.walk(batch.column(0).to_numpy())
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out), pa.array(depth)], names=["code", "short", "depth"])
-
-        near = codes.select("code").mapInArrow(run, "code bigint, short double, depth bigint")
-        levels = F.array(*(F.struct(F.lit(k).alias("k"), F.shiftright("code", 8).bitwiseAND(F.lit(MASK[k])).alias("ctx")) for k in range(1, DEPTH + 1)))
-        rows = near.select("code", "short", "depth", F.explode(levels).alias("s")).filter("s.k > depth").select("code", "short", "s.*")
-        symbol = F.col("code").bitwiseAND(F.lit(255)).cast("smallint")
-        rows = rows.join(self.states, ["k", "ctx"]).select("code", "short", "k", "total", F.try_element_at("v", F.nullif(F.array_position("symbols", symbol).cast("int"), F.lit(0))).alias("v"))
-        back = F.log10(BETA / (F.col("total") + BETA))
-        down = F.sum(F.when(F.col("v").isNull(), back).otherwise(0.0))  # from the longest state to the longest that knows the symbol
-        return rows.groupBy("code").agg((F.coalesce(F.max_by("v", F.when(F.col("v").isNotNull(), F.col("k"))), F.first("short")) + down).alias("v"))
+                at, out = [], []
+                for i, (branch, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                    if branch != now:
+                        now, tree = branch, Branch(shared.value, None if kind else batch.column(4)[i].values)
+                    if kind:
+                        codes = _turned_back(_unpacked(branch, batch.column(3)[i].as_py())[0])
+                        at.append(i)
+                        out.append(tree.score(codes).tobytes())
+                part = batch.take(pa.array(at, pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(out, pa.binary())], names=["branch", "chunk", "body", "v"])
+
+        return rows.repartition("branch").sortWithinPartitions("branch", "kind").mapInArrow(lean(run), "branch int, chunk bigint, body binary, v binary")
 
     def score(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of each code's symbol after its longest suffix state."""
         out = self.head.score(code)
         far = np.isnan(out)
         if far.any():
-            rows = self.rest(self.states.sparkSession.createDataFrame(pa.table({"code": np.unique(code[far])}))).toArrow()
-            order = np.argsort(rows["code"].to_numpy())
-            at, found = Head._find(rows["code"].to_numpy()[order], code[far])
-            out[far] = np.where(found, rows["v"].to_numpy()[order][at], np.nan)
+            codes = np.unique(_turned(code[far]))
+            rows = self.answers(self.states.sparkSession.createDataFrame(asked(codes, 0), "branch int, chunk bigint, body binary")).orderBy("branch").collect()
+            v = np.frombuffer(b"".join(r.v for r in rows))
+            out[far] = v[np.searchsorted(codes, _turned(code[far]))]
         return out
 
 
+def _summed_answers(batches):
+    """(row, far_score) of texts (chunk, kind 1, row, grams) behind the answers (chunk, kind
+    0, branch, body, v) to their chunk, which come in order of their codes."""
+    now, codes, v, known = None, [], [], None
+    for batch in batches:
+        chunks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+        for a, b in pairwise([0, *cuts.tolist(), len(chunks)]):
+            if chunks[a] != now:
+                now, codes, v, known = chunks[a], [], [], None
+            part = batch.slice(a, b - a)
+            if kinds[a] == 0:
+                for branch, body, value in zip(part.column(2).to_pylist(), part.column(3), part.column(4), strict=True):
+                    codes.append(_unpacked(branch, body.as_py())[0])
+                    v.append(np.frombuffer(value.as_py()))
+                continue
+            if known is None:
+                known = (np.concatenate(codes), np.concatenate(v))
+                codes, v = [], []
+            grams_ = part.column(6)
+            flat, size = pa.compute.list_flatten(grams_).to_numpy().view(np.uint64), pa.compute.list_value_length(grams_).to_numpy()
+            total = np.append(0.0, np.cumsum(known[1][np.searchsorted(known[0], flat)]))
+            stop = np.cumsum(size)
+            yield pa.RecordBatch.from_arrays([part.column(5), pa.array(total[stop] - total[stop - size])], names=["row", "far_score"])
+
+
 class Cached:
     """A head's scores, remembered in a table of fixed size by gram."""
 
@@ -371,9 +440,9 @@ def build_tree(texts: DataFrame, *, divergence: float = 12.0, head_entries: int
     Its head has the states of LOW symbols and fewer and, up to ``head_entries``, those of
     the largest counts, as quarter powers of two."""
     spark = texts.sparkSession
-    packed = texts.mapInArrow(_count_grams, "branch int, body binary").repartition("branch").sortWithinPartitions("branch")
-    grams_, grams_at = staged(packed.mapInArrow(_merged, "branch int, body binary"), "grams")
-    found = grams_.filter("branch < 0").mapInArrow(_low_counts, "code bigint, n bigint").toArrow()  # 256^3 rows at most
+    packed = texts.mapInArrow(lean(_count_grams), "branch int, body binary").repartition("branch").sortWithinPartitions("branch")
+    grams_, grams_at = staged(packed.mapInArrow(lean(_merged), "branch int, body binary"), "grams")
+    found = grams_.filter("branch < 0").mapInArrow(lean(_low_counts), "code bigint, n bigint").toArrow()  # 256^3 rows at most
     order = np.argsort(found["code"].to_numpy())
     counts = {LOW: (found["code"].to_numpy()[order], found["n"].to_numpy()[order])}
     for k in range(LOW - 1, -1, -1):
@@ -382,7 +451,7 @@ def build_tree(texts: DataFrame, *, divergence: float = 12.0, head_entries: int
     for k in range(LOW + 1):
         low.append(Level(k, *counts[k], low[-1] if low else None, divergence))
     shared = spark.sparkContext.broadcast(low[LOW])
-    tree, _ = staged(grams_.filter("branch >= 0").mapInArrow(_grow(shared, divergence), STATES), "tree")
+    tree, _ = staged(grams_.filter("branch >= 0").mapInArrow(lean(_grow(shared, divergence)), STATES), "tree")
     shared.destroy()
     drop_staged(spark, grams_at)
 
@@ -434,16 +503,24 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"), F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == 0, F.lit(False)).alias("held_out"))
     train = docs.filter("not held_out").select("text")
-    counts, counts_at = staged(train.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
+    counts, counts_at = staged(train.mapInArrow(lean(_count_words), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter("n > 0"), "words")
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     model = build_tree(train, **tree)
     shared = spark.sparkContext.broadcast((model.head, common_words(counts, head)))
-    schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary())), ("grams", pa.list_(pa.int64()))])
+    kinds = [("chunk", pa.int64()), ("branch", pa.int32()), ("body", pa.binary())]
+    schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary())), ("grams", pa.list_(pa.int64())), *kinds])
     none = math.log10(0.1)
 
     def run(batches):
         tree, known = shared.value
         tree, get = Cached(tree), known.get
+        chunk, wanted = TaskContext.get().partitionId() << 24, Sums()
+
+        def requests() -> pa.RecordBatch:
+            rows = asked(wanted.all()[0], chunk)
+            nulls = [pa.nulls(len(rows), f.type) for f in schema][:8]
+            return pa.RecordBatch.from_arrays([*nulls, *(pa.array([r[i] for r in rows], t) for i, (_, t) in zip((1, 0, 2), kinds, strict=True))], schema=schema)
+
         for batch in batches:
             for a, b, texts in _slices(batch, SLICE_BYTES):
                 tokens = [words(t) for t in texts]
@@ -452,6 +529,9 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 far = np.isnan(logs)
                 score = np.add.reduceat(np.where(far, 0.0, logs), starts)
                 bounds = np.append(0, np.cumsum(np.add.reduceat(far.astype(np.int64), starts)))
+                far = _turned(code[far])
+                new = np.unique(far)
+                wanted.add(new, np.ones(len(new), np.int64))
                 tails, heads, sums = [], [], []
                 for t in tokens:
                     logs = [get(w) for w in t]
@@ -462,17 +542,25 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([
                     batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(t) + 1 for t in tokens], pa.int64()),
                     pa.array(heads, pa.int64()), pa.array(sums, pa.float64()), pa.array(score), pa.array(tails, schema.field("tail").type),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(code[far])),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(far.view(np.int64))),
+                    pa.array([chunk] * (b - a), pa.int64()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()),
                 ], schema=schema)
-
-    scored = docs.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, score double, tail array<binary>, grams array<bigint>")
-    scored, _ = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+                if wanted.held > GRAMS_HELD and len(wanted.all()[0]) > GRAMS_HELD:
+                    yield requests()
+                    chunk, wanted = chunk + 1, Sums()
+        yield requests()
+
+    scored = docs.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, score double, tail array<binary>, grams array<bigint>, chunk bigint, branch int, body binary")
+    everything, everything_at = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = everything.filter("branch is null")
     tail = scored.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))
     tail = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("n_tail"), F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_score"))
-    far = scored.select("row", F.explode("grams").alias("code")).groupBy("row", "code").agg(F.count("*").alias("m"))
-    rest, _ = staged(model.rest(scored.select(F.explode("grams").alias("code")).distinct()), "rest")
-    far = far.join(rest, "code").groupBy("row").agg(F.sum(F.col("m") * F.col("v")).alias("far_score"))
-    out = scored.drop("tail", "grams").join(tail, "row", "left").join(far, "row", "left")
+    answers = model.answers(everything.filter("branch is not null").select("branch", "chunk", "body"))
+    null = lambda kind: F.lit(None).cast(kind)
+    rows = answers.select("chunk", F.lit(0).alias("kind"), "branch", "body", "v", null("bigint").alias("row"), null("array<bigint>").alias("grams"))
+    rows = rows.unionByName(scored.filter(F.size("grams") > 0).select("chunk", F.lit(1).alias("kind"), null("int").alias("branch"), null("binary").alias("body"), null("binary").alias("v"), "row", "grams"))
+    far, _ = staged(rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "branch").mapInArrow(lean(_summed_answers), "row bigint, far_score double"), "far")
+    out = scored.drop("tail", "grams", "chunk", "branch", "body").join(tail, "row", "left").join(far, "row", "left")
     spread = math.log10(size.total + 0.1 * (size.distinct + 1))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(size.total).cast("bigint").alias("train_tokens"),
