@@ -141,3 +141,34 @@ def test_a_given_tree_and_no_token_lost(spark):
             mixture.Tree({"a": ["x"]}, **wrong)
     with pytest.raises(ValueError):
         mixture.Tree({"a": ["x"], "b": ["x"]})
+
+
+def test_registered_shards_against_a_plain_version(spark, tmp_path):
+    """Every column of op7: sizes, checksums, groups kept together, slots without gaps, and
+    the cuts that greedy filling makes at the smallest capacity that trying finds."""
+    from collections import Counter
+    from zlib import crc32
+
+    from barlab.llm.shards import op7_shards
+
+    rng = np.random.default_rng(9)
+    texts = [None, "", "é" * 50, *("word " * int(rng.integers(1, 60)) + str(i % 90) for i in range(400))]
+    docs = [(i, texts[int(rng.integers(0, len(texts)))]) for i in range(700)]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r.doc_id: r for r in op7_shards(spark, str(tmp_path)).collect()}
+    groups: dict = defaultdict(list)
+    for d, t in docs:
+        raw = (t or "").encode()
+        r = rows[d]
+        assert (r.size, r.text_crc32, r.law, r.grown_shard) == (len(raw) + 1, crc32(raw), "bytes", None)
+        groups[int(hashlib.md5(raw).hexdigest()[:15], 16)].append(d)
+    order = sorted(groups)
+    sizes = [sum(rows[d].size for d in groups[key]) for key in order]
+    capacity, shard_, used = brute_force(sizes, 16), 0, 0
+    for key, size in zip(order, sizes, strict=True):
+        if used + size > capacity:
+            shard_, used = shard_ + 1, 0
+        used += size
+        assert {rows[d].shard for d in groups[key]} == {shard_}
+    for s, n in Counter(r.shard for r in rows.values()).items():
+        assert sorted(r.slot for r in rows.values() if r.shard == s) == list(range(n))
