@@ -9,13 +9,14 @@
    population count of two odd sketches estimates how many samples differ; pairs with more
    than a pair at the threshold can show (by five deviations of the samples and of the
    bitmap) go. The others are confirmed on the full shingle sets of their texts.
-4. Members of buckets that are not one component then are searched again, without pairing
-   a bucket's members: of two similar sets the least common shingle, by number of sets that
-   have it, is among the first n - ceil(0.8 n) + 1 of both, so sets are joined by those
-   rarest shingles. Sets that share a long passage but differ in the rest meet in none.
-   Pairs of different components that the sketches let pass are confirmed in the same way.
-   So every pair in a common bucket is tested or already connected; a pair at the threshold
-   shares no bucket with probability (1 - 0.8^4)^32, under 1e-7.
+4. Members of buckets that are not one component then are searched again. Of two similar
+   sets the least common shingle, by number of sets that have it, is among the first
+   n - ceil(0.8 n) + 1 of both. So members go whose rarest shingles no member of another
+   component has among its own: sets that share a long passage but differ in the rest do
+   not meet. Of the others, pairs in a bucket, of different components, that the sketches
+   let pass are confirmed in the same way. So every pair in a common bucket is tested or
+   already connected; a pair at the threshold shares no bucket with probability
+   (1 - 0.8^4)^32, under 1e-7.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from barlab.llm.common import by_id, drop_staged, lean, slices, staged, table
 from barlab.operators.graph import components
 from barlab.llm.decontaminate import arrow_type
 
-BANDS, ROWS, BITS, BINS, DEVIATIONS = 32, 4, 2048, 2048, 5
+BANDS, ROWS, BITS, BINS, DEVIATIONS = 32, 4, 2048, 8192, 5
 SALTS = 64  # tasks that a very common centre's pairs are dealt to
 SLICE_BYTES, CACHE = 1 << 20, 400_000
 _RNG = np.random.default_rng(20240229)
@@ -118,12 +119,17 @@ def sketches(size: int, id_type: pa.DataType):
 
 def may_link(percent: int):
     """Condition on two rows x and y of (n, odd): sizes and odd sketches leave room for the
-    similarity t. Of B bins, 1 - e^-r are filled by a union of r B shingles; a share of 1 - t
-    of those differs, each in two samples if both sets fill it; m odd elements set
-    N / 2 (1 - e^-2m/N) bits of N."""
-    t, n = percent / 100, F.col("x.n") + F.col("y.n")
-    empty = F.exp(-n / ((1 + t) * BINS))
-    differ = BINS * (1 - empty) * (1 - t) * (2 - empty) + DEVIATIONS * 2 * F.sqrt(BINS * (1 - empty) * t * (1 - t)) + 1
+    similarity t. A union of u = r B shingles fills B (1 - e^-r) of B bins, whose least
+    hashes are a sample of it without replacement, and a share of 1 - t of which is in one
+    set only; such a one differs in a second sample where the other set fills its bin, too.
+    m odd elements set N / 2 (1 - e^-2m/N) bits of N."""
+    t, union = percent / 100, (F.col("x.n") + F.col("y.n")) / (1 + percent / 100)
+    r = union / BINS
+    filled = BINS * (1 - F.exp(-r))
+    spread = F.sqrt(filled * t * (1 - t) * F.greatest(F.lit(0.0), 1 - filled / union))
+    alone = filled * (1 - t) + DEVIATIONS * spread + 1
+    twice = alone * (1 - F.exp(-r))
+    differ = F.least(2 * alone, alone + twice + DEVIATIONS * F.sqrt(twice) + 1)
     bits = BITS / 2 * (1 - F.exp(-2 * differ / BITS)) + DEVIATIONS / 2 * F.sqrt(BITS * (1 - F.exp(-4 * differ / BITS)))
     count = sum((F.bit_count(F.col("x.odd")[i].bitwiseXOR(F.col("y.odd")[i])) for i in range(BITS // 64)), F.lit(0))
     sizes = F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent
@@ -227,10 +233,13 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = rows.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")))
     rows = rows.filter(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1)
     rare, rare_at = staged(rows.select("h", "id").distinct().join(open_.withColumnRenamed("doc_id", "id"), "id"), "rare")
-    x, y = rare.alias("x"), rare.alias("y")
-    second = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.label") < F.col("y.label")))
+    met = rare.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
+    live_, live_at = staged(rare.join(met, "h", "left_semi").select("id").distinct(), "live")
+    again = rest.join(split, "key", "left_semi").join(live_, "id", "left_semi").join(sketch, "id")
+    x, y = again.alias("x"), again.alias("y")
+    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near)
     second = second.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
-    more, more_at = verified(sketched(second))
+    more, more_at = verified(second)
     final, final_at = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     classes = live.groupBy("set_hash").agg(F.min("doc_id").alias("id")).join(final, "id", "left")
@@ -239,7 +248,7 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = marked.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
     out, _ = staged(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
-    drop_staged(spark, marked_at, reps_at, buckets_at, links_at, labels_at, open_at, rows_at, rare_at, more_at, final_at, classes_at)
+    drop_staged(spark, marked_at, reps_at, buckets_at, links_at, labels_at, open_at, rows_at, rare_at, live_at, more_at, final_at, classes_at)
     return out
 
 
