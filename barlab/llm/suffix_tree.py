@@ -435,7 +435,7 @@ class Cached:
 STATES = "k int, ctx bigint, total bigint, symbols array<smallint>, v array<double>"
 
 
-def build_tree(texts: DataFrame, *, divergence: float = 12.0, head_entries: int = 4_000_000) -> Tree:
+def build_tree(texts: DataFrame, *, divergence: float = 12.0, head_entries: int = 2_000_000) -> Tree:
     """The tree of a one-column frame of texts; without any text, all symbols are as likely.
     Its head has the states of LOW symbols and fewer and, up to ``head_entries``, those of
     the largest counts, as quarter powers of two."""
