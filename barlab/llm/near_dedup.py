@@ -120,14 +120,15 @@ def sketches(size: int, id_type: pa.DataType):
 def may_link(percent: int):
     """Condition on two rows x and y of (n, odd): sizes and odd sketches leave room for the
     similarity t. A union of u = r B shingles fills B (1 - e^-r) of B bins, whose least
-    hashes are a sample of it without replacement, and a share of 1 - t of which is in one
-    set only; such a one differs in a second sample where the other set fills its bin, too.
-    m odd elements set N / 2 (1 - e^-2m/N) bits of N."""
+    hashes are a sample of it without replacement, and a share of 1 - t of which, never more
+    than all that the sets differ in, is in one set only; such a one differs in a second
+    sample where the other set fills its bin, too. m odd elements set
+    N / 2 (1 - e^-2m/N) bits of N."""
     t, union = percent / 100, (F.col("x.n") + F.col("y.n")) / (1 + percent / 100)
     r = union / BINS
     filled = BINS * (1 - F.exp(-r))
     spread = F.sqrt(filled * t * (1 - t) * F.greatest(F.lit(0.0), 1 - filled / union))
-    alone = filled * (1 - t) + DEVIATIONS * spread + 1
+    alone = F.least(union * (1 - t), filled * (1 - t) + DEVIATIONS * spread + 1)
     twice = alone * (1 - F.exp(-r))
     differ = F.least(2 * alone, alone + twice + DEVIATIONS * F.sqrt(twice) + 1)
     bits = BITS / 2 * (1 - F.exp(-2 * differ / BITS)) + DEVIATIONS / 2 * F.sqrt(BITS * (1 - F.exp(-4 * differ / BITS)))
