@@ -13,25 +13,43 @@ def cost_schedule(spark: SparkSession, periods: list[tuple[str, str | None, floa
     return spark.createDataFrame(periods, "f string, t string, round_trip_bps double").select(F.to_date("f").alias("effective_from"), F.to_date("t").alias("effective_to"), "round_trip_bps")
 
 
+def spans(periods: DataFrame, columns: list[str]) -> DataFrame:
+    """(since, until, n, columns...): the time line cut where a period begins or is over,
+    how many periods hold each piece, and the columns of that period where it is one. The
+    pieces are disjoint, the last has a null ``until``. A piece begins at a date of its own,
+    so there are no more pieces than dates; what runs over them in order is that short."""
+    known = periods.filter("effective_from is not null and (effective_to is null or effective_to >= effective_from)")
+    known = known.select("effective_from", "effective_to", *columns).withColumn("_i", F.row_number().over(Window.orderBy("effective_from", "effective_to", *columns)))
+    begin = known.select(F.col("effective_from").alias("since"), F.lit(1).alias("d"), F.col("_i").alias("i"))
+    over = known.filter("effective_to is not null").select(F.date_add("effective_to", 1).alias("since"), F.lit(-1).alias("d"), (-F.col("_i")).alias("i"))
+    edges, order = begin.unionByName(over).groupBy("since").agg(F.sum("d").alias("d"), F.sum("i").alias("i")), Window.orderBy("since")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)  # where one period holds, the sum of the numbers is its number
+    held = edges.select("since", F.lead("since").over(order).alias("until"), F.sum("d").over(so_far).alias("n"), F.sum("i").over(so_far).alias("_i"))
+    return held.withColumn("_i", F.when(F.col("n") == 1, F.col("_i"))).join(known.select("_i", *columns), "_i", "left").drop("_i")
+
+
 def with_period(rows: DataFrame, date: str, periods: DataFrame, columns: list[str]) -> DataFrame:
     """Adds ``columns`` of the period (effective_from, effective_to) that holds ``date``,
     both ends included, an end of null open; a date in no period or in several stops the
-    query. The distinct dates meet the periods by month, so that no pair of a date and a
-    period of other months is made; the rows then meet their dates."""
-    day = F.to_date(date)
-    dates = rows.select(day.alias("_day")).filter("_day is not null").distinct()
-    latest = dates.agg(F.max("_day")).first()[0]
-    last = F.coalesce("effective_to", F.greatest(F.lit(latest).cast("date"), F.col("effective_from")))
+    query. Nothing runs while the plan is built. The rows meet the pieces of the time line
+    by month, each the one piece that holds its day; months behind the last edge are all
+    alike and count as one. The rows are read once and not moved: pieces are sent to them,
+    at most one for each date between the first edge and the last, and one for each month."""
     month = lambda d: F.trunc(d, "month")
-    spans = periods.filter(last >= F.col("effective_from")).withColumn("_month", F.explode(F.sequence(month("effective_from"), month(last), F.expr("interval 1 month"))))
-    found = dates.withColumn("_month", month("_day")).join(spans, "_month").filter((F.col("_day") >= F.col("effective_from")) & (F.col("_day") <= last))
-    found = found.groupBy("_day").agg(F.count("*").alias("_n"), *(F.max(c).alias(c) for c in columns))
-    joined = rows.withColumn("_day", day).join(found, "_day", "left")
+    pieces = spans(periods, columns)
+    behind = F.add_months(month(F.max("since")), 1)
+    last = pieces.agg(behind.alias("m")).scalar()  # a month that stands for all later ones
+    until = F.coalesce(month(F.date_sub("until", 1)), F.add_months(month("since"), 1))
+    sent = pieces.withColumn("_month", F.explode(F.sequence(month("since"), until, F.expr("interval 1 month"))))
+    sent = sent.select("_month", F.col("since").alias("_since"), F.col("until").alias("_until"), F.col("n").alias("_n"), *(F.col(c).alias(f"_of_{c}") for c in columns))
+    dated = rows.withColumn("_day", F.to_date(date)).withColumn("_key", F.least(month("_day"), last))
+    within = (F.col("_key") == F.col("_month")) & (F.col("_day") >= F.col("_since")) & (F.col("_until").isNull() | (F.col("_day") < F.col("_until")))
+    joined = dated.join(F.broadcast(sent), within, "left")
     stop = lambda kind: F.raise_error(F.concat(F.lit("not one period for "), F.coalesce(F.col("_day").cast("string"), F.lit("null")))).cast(kind)
     kinds = dict(periods.dtypes)
     for c in columns:
-        joined = joined.withColumn(c, F.when(F.col("_n") == 1, F.col(c)).otherwise(stop(kinds[c])))
-    return joined.drop("_day", "_n")
+        joined = joined.withColumn(c, F.when(F.col("_n") == 1, F.col(f"_of_{c}")).otherwise(stop(kinds[c])))
+    return joined.drop("_day", "_key", "_month", "_since", "_until", "_n", *(f"_of_{c}" for c in columns))
 
 
 def with_cost(rows: DataFrame, date: str, schedule: DataFrame) -> DataFrame:
@@ -46,7 +64,7 @@ def trades(signals: DataFrame, *, model: str = NEXT_OPEN, slippage_bps: float =
     """One trade for each non-zero signal that has a next bar: entered and left at that bar
     (or, in the look-ahead canary model, from this close to the next open)."""
     if model not in (NEXT_OPEN, SAME_CLOSE):
-        raise ValueError(f"unsupported execution model: {model}")
+        raise ValueError(f"no trades by a model called {model!r}")
     if quantity <= 0 or lot_size <= 0 or slippage_bps < 0:
         raise ValueError("quantity and lot size are positive, slippage is not negative")
     lack = [c for c in INPUT if c not in signals.columns]

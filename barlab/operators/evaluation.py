@@ -1,6 +1,6 @@
 """Evaluation of paper trading over inclusive windows, for many strategies in one plan:
 provenance of what is compared, evidence of the window, its integrity, metrics, snapshots
-and degradation events.
+and degradation events. Windows of a strategy may overlap; its evidence is still summed once.
 
 A window is a row (window_id, strategy_id, qualification_hash, window_start, window_end,
 observed_report), the last null where no replay of the window was reported. Whatever makes
@@ -11,6 +11,7 @@ is measured against the wrong baseline.
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -109,25 +110,66 @@ def provenance_faults(rows: DataFrame) -> DataFrame:
     return rows.select("window_id", F.explode(found).alias("fault"))
 
 
-def in_windows(rows: DataFrame, windows: DataFrame, at: str) -> DataFrame:
-    """The rows of each window's strategy from its start to its end, both included."""
-    keys = windows.select("window_id", "strategy_id", "window_start", "window_end")
-    return rows.join(keys, "strategy_id").filter(F.col(at).between(F.col("window_start"), F.col("window_end"))).drop("window_start", "window_end")
+@dataclass
+class Pieces:
+    """The times of a strategy's windows cut at their ends, so that windows may overlap and
+    each row of evidence still counts once: ``spans`` (strategy_id, piece, since, until) are
+    disjoint, ``cover`` (window_id, strategy_id, piece) has the pieces of each window. Both
+    ends belong to a window, so a piece is over a microsecond behind an end."""
 
+    spans: DataFrame
+    cover: DataFrame
 
-def slice_faults(orders: DataFrame, fills: DataFrame, risk_events: DataFrame) -> DataFrame:
-    """(window_id, fault) of the evidence in the windows: ids that repeat, prices and
-    quantities of fills that are not positive, risk events without a rule."""
-    repeats = lambda rows, key: rows.groupBy("window_id", key).count().filter("count > 1").select("window_id", F.lit(f"repeated {key}").alias("fault"))
-    bad = lambda rows, broken, name: rows.filter(~F.coalesce(~broken, F.lit(False))).select("window_id", F.lit(name).alias("fault"))
-    parts = [
-        repeats(orders, "order_id"), repeats(fills, "fill_id"), repeats(risk_events, "event_id"),
-        bad(fills, F.col("price") <= 0, "fill price"), bad(fills, F.col("quantity") <= 0, "fill quantity"), bad(risk_events, F.trim("rule_name") == "", "risk event without rule"),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.distinct()
+    @classmethod
+    def of(cls, windows: DataFrame) -> Pieces:
+        tick = F.expr("interval '0.000001' second")
+        own = windows.select("window_id", "strategy_id", F.col("window_start").alias("since"), (F.col("window_end") + tick).alias("until"))
+        edges = own.select("strategy_id", F.explode(F.array("since", "until")).alias("since")).distinct()
+        order = Window.partitionBy("strategy_id").orderBy("since")  # two edges a window
+        edges = edges.withColumn("piece", F.row_number().over(order)).withColumn("until", F.lead("since").over(order))
+        first = edges.select("strategy_id", "since", F.col("piece").alias("first"))
+        stop = edges.select("strategy_id", F.col("since").alias("until"), F.col("piece").alias("stop"))
+        cover = own.join(first, ["strategy_id", "since"]).join(stop, ["strategy_id", "until"])
+        cover = cover.select("window_id", "strategy_id", F.explode(F.expr("sequence(first, stop - 1)")).alias("piece"))
+        used = cover.select("strategy_id", "piece").distinct()
+        return cls(edges.filter("until is not null").join(used, ["strategy_id", "piece"], "left_semi").select("strategy_id", "piece", "since", "until"), cover)
+
+    def deal(self, rows: DataFrame, at: str) -> DataFrame:
+        """Adds ``piece`` to the rows that are in one: they meet the pieces by strategy and day,
+        each one piece at most, so a strategy of very many rows is many keys."""
+        days = self.spans.withColumn("_day", F.explode(F.sequence(F.to_date("since"), F.to_date(F.col("until") - F.expr("interval '0.000001' second")))))
+        found = rows.withColumn("_day", F.to_date(at)).join(days, ["strategy_id", "_day"])
+        return found.filter((F.col(at) >= F.col("since")) & (F.col(at) < F.col("until"))).drop("_day", "since", "until")
+
+    def by_window(self, parts: DataFrame, *sums: str) -> DataFrame:
+        """(window_id, sums...) of sums by strategy and piece."""
+        return self.cover.join(parts, ["strategy_id", "piece"]).groupBy("window_id").agg(*(F.sum(c).alias(c) for c in sums))
+
+    def repeated(self, rows: DataFrame, at: str, key: str) -> DataFrame:
+        """(window_id, fault) of ids that occur more than once in a window. Only the ids that
+        their strategy repeats at all are counted by window."""
+        counts = self.deal(rows, at).groupBy("strategy_id", key, "piece").agg(F.count("*").alias("n"))
+        often = counts.withColumn("all", F.sum("n").over(Window.partitionBy("strategy_id", key))).filter(F.col("all") > 1)
+        held = self.cover.join(often, ["strategy_id", "piece"]).groupBy("window_id", key).agg(F.sum("n").alias("n"))
+        return held.filter("n > 1").select("window_id", F.lit(f"repeated {key}").alias("fault"))
+
+
+KEYS = ["strategy_id", "piece"]
+
+
+def order_sums(orders: DataFrame) -> DataFrame:
+    return orders.groupBy(*KEYS).agg(F.count("*").alias("submitted"), F.count_if(F.col("status") == "REJECTED").alias("rejected"))
+
+
+def fill_sums(fills: DataFrame) -> DataFrame:
+    """Sums of fills, and how many have no positive price or quantity."""
+    bad = lambda c: F.count_if(~F.coalesce(F.col(c) > 0, F.lit(False)))
+    sums = [F.sum(F.col("price") * F.col("quantity")).alias("value"), F.sum("cost").alias("cost"), F.sum("slippage").alias("slippage")]
+    return fills.groupBy(*KEYS).agg(F.count("*").alias("total_trades"), *sums, bad("price").alias("bad_price"), bad("quantity").alias("bad_quantity"))
+
+
+def risk_sums(risk_events: DataFrame) -> DataFrame:
+    return risk_events.groupBy(*KEYS).agg(F.count("*").alias("risk_events"), F.count_if(F.coalesce(F.trim("rule_name") == "", F.lit(True))).alias("unnamed"))
 
 
 def completed_sessions(rows: DataFrame) -> DataFrame:
@@ -154,17 +196,34 @@ def session_metrics(sessions: DataFrame, width: int) -> DataFrame:
     return m.select("window_id", "completed_sessions", sharpe.alias("sharpe"), "inactive")
 
 
-def position_metrics(positions: DataFrame) -> DataFrame:
-    """(window_id, net_pnl, drawdown_bps, peak_exposure) of position snapshots (window_id,
-    capital, lot_size, symbol, ts, seq, quantity, price, realized_pnl): the last realised
-    result of each symbol, summed (of equal times the first recorded counts); the fall of
-    capital plus what is realised at each time; the largest exposure."""
-    w = Window.partitionBy("window_id", "symbol").orderBy(F.desc("ts"), "seq")
-    last = positions.withColumn("i", F.row_number().over(w)).filter("i = 1").groupBy("window_id").agg(F.round(F.sum("realized_pnl"), 4).alias("net_pnl"))
-    curve = positions.groupBy("window_id", "ts").agg((F.first("capital") + F.sum("realized_pnl")).alias("equity"))
-    fall = monitoring.drawdown_bps(curve, "window_id", "ts")
-    peak = positions.groupBy("window_id").agg(F.round(F.max(F.abs("quantity") * F.col("price") * F.col("lot_size")), 4).alias("peak_exposure"))
-    return last.join(fall, "window_id").join(peak, "window_id")
+def position_metrics(positions: DataFrame, pieces: Pieces, terms: DataFrame) -> DataFrame:
+    """(window_id, net_pnl, drawdown_bps, peak_exposure) of position snapshots (strategy_id,
+    piece, symbol, ts, seq, quantity, price, realized_pnl) under the windows' ``terms``
+    (window_id, strategy_id, lot_size, capital): the last realised result of each symbol,
+    summed (of equal times the first recorded counts); the fall of capital plus what is
+    realised at each time; the largest exposure.
+
+    Every piece is summed up once: the last row of each symbol, the highest and lowest
+    equity and the largest fall in the piece (for each capital that its windows start
+    from), the largest position. A window's largest fall is in one of its pieces, or from
+    the peak of earlier ones to the low of a later one."""
+    latest = F.max(F.struct("ts", (-F.col("seq")).alias("s"), "realized_pnl"))
+    ends = positions.groupBy(*KEYS, "symbol").agg(latest.alias("end"))
+    net = pieces.cover.join(ends, KEYS).groupBy("window_id", "symbol").agg(F.max("end").alias("end")).groupBy("window_id").agg(F.round(F.sum("end.realized_pnl"), 4).alias("net_pnl"))
+    held = positions.groupBy(*KEYS).agg(F.max(F.abs("quantity") * F.col("price")).alias("value"))
+    exposure = pieces.cover.join(held, KEYS).groupBy("window_id").agg(F.max("value").alias("value")).join(terms, "window_id").select("window_id", F.round(F.col("value") * F.col("lot_size"), 4).alias("peak_exposure"))
+
+    curve = positions.groupBy(*KEYS, "ts").agg(F.sum("realized_pnl").alias("realized")).join(terms.select("strategy_id", "capital").distinct(), "strategy_id")
+    curve = curve.withColumn("equity", F.col("capital") + F.col("realized"))
+    own = [*KEYS, "capital"]
+    curve = curve.withColumn("peak", F.max("equity").over(Window.partitionBy(*own).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)))
+    drop = lambda peak, low: F.when((peak <= 0) | (low <= 0), 10000.0).otherwise(F.try_divide(peak - low, peak) * 10000)
+    falls = curve.groupBy(*own).agg(F.max("equity").alias("top"), F.min("equity").alias("low"), F.max(drop(F.col("peak"), F.col("equity"))).alias("fall"))
+    rows = pieces.cover.join(terms.select("window_id", "capital"), "window_id").join(falls, own)
+    before = F.max("top").over(Window.partitionBy("window_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("_peak", before).withColumn("fall", F.greatest("fall", F.when(F.col("_peak") > F.col("low"), drop(F.col("_peak"), F.col("low"))).otherwise(0.0)))
+    fall = rows.groupBy("window_id").agg(F.round(F.least(F.lit(10000.0), F.greatest(F.lit(0.0), F.max("fall"))), 4).alias("drawdown_bps"))
+    return net.join(fall, "window_id").join(exposure, "window_id")
 
 
 def evaluate(windows: DataFrame, *, qualifications: DataFrame, baselines: DataFrame, reports: DataFrame, orders: DataFrame, fills: DataFrame, positions: DataFrame, risk_events: DataFrame, config: Config = Config()) -> Evaluation:
@@ -181,20 +240,29 @@ def evaluate(windows: DataFrame, *, qualifications: DataFrame, baselines: DataFr
     spark = windows.sparkSession
     rows, bound_at = staged(bound(windows, qualifications, baselines, reports), "windows")
     unfit = provenance_faults(rows)
-    sliced = lambda rows: (in_windows(orders, rows, "submit_ts"), in_windows(fills, rows, "fill_ts"), in_windows(risk_events, rows, "ts"))
-    damaged = slice_faults(*sliced(rows.join(unfit.select("window_id").distinct(), "window_id", "left_anti")))
-    faults, _ = staged(unfit.unionByName(damaged), "faults")
+    pieces = Pieces.of(rows.join(unfit.select("window_id").distinct(), "window_id", "left_anti"))
+    spans, spans_at = staged(pieces.spans, "pieces")
+    cover, cover_at = staged(pieces.cover, "cover")
+    pieces = Pieces(spans, cover)
+    asked, asked_at = staged(order_sums(pieces.deal(orders, "submit_ts")), "orders")
+    traded, traded_at = staged(fill_sums(pieces.deal(fills, "fill_ts")), "fills")
+    risked, risked_at = staged(risk_sums(pieces.deal(risk_events, "ts")), "risk-events")
+    marked = lambda parts, column, name: cover.join(parts.filter(F.col(column) > 0), KEYS).select("window_id", F.lit(name).alias("fault"))
+    damaged = [
+        pieces.repeated(orders, "submit_ts", "order_id"), pieces.repeated(fills, "fill_ts", "fill_id"), pieces.repeated(risk_events, "ts", "event_id"),
+        marked(traded, "bad_price", "fill price"), marked(traded, "bad_quantity", "fill quantity"), marked(risked, "unnamed", "risk event without rule"),
+    ]
+    faults, _ = staged(reduce(DataFrame.unionByName, damaged, unfit).distinct(), "faults")
     rows, fit_at = staged(rows.join(faults.select("window_id").distinct(), "window_id", "left_anti"), "fit")
-    o, f, r = sliced(rows)
-    terms = rows.select("window_id", F.col("r.lot_size").alias("lot_size"), F.col("r.initial_capital").alias("capital"))
+    terms = rows.select("window_id", "strategy_id", F.col("r.lot_size").alias("lot_size"), F.col("r.initial_capital").alias("capital"))
 
-    friction = f.join(terms, "window_id").withColumn("turnover", F.col("price") * F.col("quantity") * F.col("lot_size"))
-    turnover, cost, slip = F.sum("turnover"), F.greatest(F.lit(0.0), F.sum("cost")), F.greatest(F.lit(0.0), F.sum("slippage"))
+    sums = pieces.by_window(traded, "total_trades", "value", "cost", "slippage").join(terms.select("window_id", "lot_size"), "window_id")
+    turnover, slip = F.col("value") * F.col("lot_size"), F.greatest(F.lit(0.0), F.col("slippage"))
     bps = lambda x: F.when(turnover > 0, F.round(F.try_divide(x, turnover) * 10000, 4)).otherwise(0.0)
-    friction = friction.groupBy("window_id").agg(F.count("*").alias("total_trades"), bps(slip).alias("slippage_bps"), bps(cost + slip).alias("cost_bps"))
-    asked = o.groupBy("window_id").agg(F.count("*").alias("submitted"), F.count_if(F.col("status") == "REJECTED").alias("rejected"))
-    risks = r.groupBy("window_id").agg(F.count("*").alias("risk_events"))
-    held = position_metrics(in_windows(positions, rows, "ts").join(terms, "window_id"))
+    friction = sums.select("window_id", "total_trades", bps(slip).alias("slippage_bps"), bps(F.greatest(F.lit(0.0), F.col("cost")) + slip).alias("cost_bps"))
+    asked = pieces.by_window(asked, "submitted", "rejected")
+    risks = pieces.by_window(risked, "risk_events")
+    held = position_metrics(pieces.deal(positions, "ts"), pieces, terms)
     ran = session_metrics(completed_sessions(rows), config.window_sessions)
 
     seen = F.coalesce("o", "r")
@@ -208,7 +276,7 @@ def evaluate(windows: DataFrame, *, qualifications: DataFrame, baselines: DataFr
     out = out.na.fill(0, ["total_trades", "submitted", "rejected", "risk_events", "completed_sessions", "inactive"]).na.fill(0.0, ["slippage_bps", "cost_bps", "net_pnl", "drawdown_bps", "peak_exposure"])
     out = out.withColumn("rejection_rate", F.when(F.col("submitted") > 0, F.col("rejected") / F.col("submitted")))
     out, _ = staged(out.withColumn("regime_hash", content_digest(REGIME)).withColumn("snapshot_hash", content_digest(SNAPSHOT)), "snapshots")
-    drop_staged(spark, bound_at, fit_at)
+    drop_staged(spark, bound_at, fit_at, spans_at, cover_at, asked_at, traded_at, risked_at)
 
     broken = monitoring.degradations(out.withColumn("key", F.col("snapshot_hash")), expansion=config.expansion, least_sharpe=config.least_sharpe, drift=config.drift, most_rejected=config.most_rejected)
     events = broken.withColumnRenamed("key", "snapshot_hash").join(out.select("snapshot_hash", "strategy_id", "qualification_hash", "base_drawdown_bps", F.col("window_end").alias("at")), "snapshot_hash")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.operators.ledger import latest
+from barlab.operators.staging import drop_staged, staged
 
 
 def zero_filled(spark: SparkSession, rows: DataFrame, column: str, values: list[str]) -> DataFrame:
@@ -49,6 +51,49 @@ def broken(links: DataFrame, known: DataFrame) -> DataFrame:
     return links.join(known.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target", "kind")
 
 
+def closure(links: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
+    """(start, node, distance): every node that each of the ``starts`` (start) reaches along
+    ``links`` (source, target), itself at 0, and the least number of links to it; with
+    ``most``, no further than that.
+
+    A round follows the links of what the round before has found new, so a node is followed
+    once for each start and a cycle ends where it comes back. Rounds are as many as the
+    longest shortest path; each is staged, and a lost executor costs one round at most."""
+    spark = links.sparkSession
+    links, links_at = staged(links.select("source", "target").filter("source is not null and target is not null").distinct(), "links")
+    new, at = staged(starts.select("start", F.col("start").alias("node")).filter("start is not null").distinct(), "reached")
+    seen, paths, found = new, [at], [new.withColumn("distance", F.lit(0))]
+    for distance in itertools.count(1):
+        if most is not None and distance > most:
+            break
+        step = new.join(links, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
+        new, at = staged(step.join(seen, ["start", "node"], "left_anti"), "reached")
+        if not new.limit(1).count():
+            drop_staged(spark, at)
+            break
+        paths.append(at)
+        found.append(new.withColumn("distance", F.lit(distance)))
+        seen = seen.unionByName(new)
+        if len(found) > 32:  # long chains: one table of what is found so far
+            whole, at = staged(reduce(DataFrame.unionByName, found), "reached")
+            drop_staged(spark, *paths)
+            new, seen, paths, found = whole.filter(F.col("distance") == distance).drop("distance"), whole.drop("distance"), [at], [whole]
+    drop_staged(spark, links_at)
+    return reduce(DataFrame.unionByName, found)
+
+
+def provenance(identifiers: DataFrame, aliases: list[tuple[DataFrame, str, str]], links: DataFrame, known: DataFrame, most: int | None = None) -> DataFrame:
+    """(identifier, strategy_id, node, kind, distance, broken): what each of the
+    ``identifiers`` (identifier) rests on. It is resolved to a strategy by the first table of
+    ``aliases`` that has it, and the links are followed from there; ``known`` (node, kind)
+    are the nodes that exist, and one that a link names without existing is broken. An
+    identifier that no table has is left out."""
+    found = resolve(aliases).join(identifiers.select(F.col("identifier").cast("string").alias("identifier")).distinct(), "identifier", "left_semi")
+    reached = closure(links, found.select(F.col("strategy_id").alias("start")), most)
+    named = reached.join(known.select("node", "kind"), "node", "left").withColumn("broken", F.col("kind").isNull())
+    return found.join(named, F.col("strategy_id") == F.col("start")).select("identifier", "strategy_id", "node", "kind", "distance", "broken")
+
+
 def dossiers(strategies: DataFrame, parts: list[tuple[str, DataFrame, str, int | None]], key: str = "strategy_id") -> DataFrame:
     """Each strategy with the rows of other tables: for (name, table, order, n), a column
     ``name`` of its rows as structs, the latest ``n`` by ``order`` (None: all), and their

@@ -1,16 +1,18 @@
 """Paper replay: one position at a time, orders filled at the next bar's open after risk
-checks. The state runs through a contract's bars in order, so a contract is a group; its
-step function serves the batch replay and the streaming one alike."""
+checks. The state runs through bars in order: those of a session where sessions are
+independent, else those of a contract; its step functions serve the batch replay and the
+streaming one alike."""
 
 from __future__ import annotations
 
 from dataclasses import asdict, dataclass, field
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barlab.functions.scalars import tick_price
+from barlab.operators.staging import staged
 
 
 @dataclass(frozen=True)
@@ -149,24 +151,92 @@ def frame(events: list[dict]) -> pd.DataFrame:
     return out
 
 
-def replay(signals: DataFrame, cfg: Settings | None = None, key: str = "contract") -> DataFrame:
-    """Fills, rejections and closed trades of each contract, from bars with signals. A trade
-    that is open at the end of the data is neither closed nor told."""
-    cfg = cfg or Settings()
+def _steps(rows: list, cfg: Settings, behind=None) -> list[dict]:
+    """What happens over bars in order; ``behind`` is the bar after them, which fills what is
+    pending at their end."""
+    state, events = State(), []
+    for i, bar in enumerate(rows):
+        after = rows[i + 1] if i + 1 < len(rows) else behind
+        events += open_bar(state, bar, cfg)
+        close_bar(state, bar, after is not None and after.session != bar.session, after is not None, cfg)
+    return events + (open_bar(state, behind, cfg) if behind is not None else [])
+
+
+def whole(bars: DataFrame, cfg: Settings, key: str = "contract") -> DataFrame:
+    """The replay of each contract in one group, for positions and limits that run through
+    all of its bars."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ts")
-        rows, state, events = list(pdf.itertuples(index=False)), State(), []
-        for i, bar in enumerate(rows):
-            more = i + 1 < len(rows)
-            events += open_bar(state, bar, cfg)
-            close_bar(state, bar, more and rows[i + 1].session != bar.session, more, cfg)
+        out = frame(_steps(list(pdf.sort_values("ts").itertuples(index=False)), cfg))
+        out.insert(0, key, pdf[key].iloc[0])
+        return out
+
+    bars = bars.select(key, "ts", "session", "open", "close", "signal")
+    return bars.groupBy(key).applyInPandas(run, f"{key} {dict(bars.dtypes)[key]}, {EVENT}")
+
+
+def by_session(bars: DataFrame, cfg: Settings, key: str = "contract") -> DataFrame:
+    """The replay of each session in a group of its own, with ``_session``, the session of an
+    event's bar. Positions are left by a session's last bar, and an exit decided there is
+    filled at the next session's first open, which comes with the group."""
+    first = bars.groupBy(key, "session").agg(F.min_by(F.struct("ts", "open"), "ts").alias("f"))
+    after = F.lead(F.struct("f.ts", "f.open", "session")).over(Window.partitionBy(key).orderBy("f.ts"))  # a row for each session
+    behind = first.select(key, F.col("session").alias("_group"), after.alias("n")).filter("n is not null")
+    rows = bars.select(key, F.col("session").alias("_group"), "ts", "session", "open", "close", "signal", F.lit(False).alias("_behind"))
+    empty = lambda c: F.lit(None).cast(dict(bars.dtypes)[c]).alias(c)
+    rows = rows.unionByName(behind.select(key, "_group", "n.ts", "n.session", "n.open", empty("close"), empty("signal"), F.lit(True).alias("_behind")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = list(pdf[~pdf["_behind"]].sort_values("ts").itertuples(index=False))
+        last = list(pdf[pdf["_behind"]].itertuples(index=False))
+        events = _steps(own, cfg, last[0] if last else None)
         out = frame(events)
         out.insert(0, key, pdf[key].iloc[0])
+        out["_session"] = [last[0].session if last and e["ts"] == last[0].ts else own[0].session for e in events] if events else pd.Series([], dtype=object)
+        out["_carried"] = [bool(last) and e["ts"] == last[0].ts for e in events] if events else pd.Series([], dtype=bool)
         return out
 
+    kinds = dict(bars.dtypes)
+    return rows.groupBy(key, "_group").applyInPandas(run, f"{key} {kinds[key]}, {EVENT}, _session {kinds['session']}, _carried boolean")
+
+
+def bound(events: DataFrame, cfg: Settings, key: str = "contract") -> DataFrame:
+    """The contracts in which a limit that runs on from session to session may have held
+    something back: orders or losses of a session into which an exit was carried, or the
+    fall of equity. Where none was reached, sessions were independent."""
+    carried, net = F.max("_carried"), F.when(F.col("kind") == "trade", F.col("net_pnl"))
+    own = events.groupBy(key, "_session").agg(
+        carried.alias("carried"), F.count_if(F.col("kind") == "fill").alias("orders"), F.coalesce(F.sum(F.greatest(F.lit(0.0), -net)), F.lit(0.0)).alias("loss"), F.coalesce(F.sum(net), F.lit(0.0)).alias("net"),
+    )
+    run = Window.partitionBy(key, "_session").orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
+    trades = events.filter("kind = 'trade'").select(key, "_session", F.sum("net_pnl").over(run).alias("total"), "ts")
+    trades = trades.withColumn("high", F.max("total").over(run))
+    falls = trades.groupBy(key, "_session").agg(F.max("high").alias("high"), F.min("total").alias("low"), F.max(F.col("high") - F.col("total")).alias("fall"))
+    days = own.join(falls, [key, "_session"], "left")
+    before = Window.partitionBy(key).orderBy("_session").rowsBetween(Window.unboundedPreceding, -1)  # a row for each session
+    days = days.withColumn("base", F.coalesce(F.sum("net").over(before), F.lit(0.0)))
+    days = days.withColumn("peak", F.max(F.col("base") + F.col("high")).over(before))
+    fall = F.greatest("fall", F.coalesce(F.col("peak") - (F.col("base") + F.col("low")), F.lit(0.0)), -(F.lit(cfg.capital) + F.col("base") + F.col("low")))
+    r = cfg.risk
+    hit = (F.col("carried") & ((F.col("orders") > r.max_session_orders) | (F.col("loss") >= r.max_daily_loss))) | (fall * (1 + 1e-9) >= r.max_drawdown)
+    return days.filter(F.coalesce(hit, F.lit(False))).select(key).distinct()
+
+
+def replay(signals: DataFrame, cfg: Settings | None = None, key: str = "contract") -> DataFrame:
+    """Fills, rejections and closed trades of each contract, from bars with signals. A trade
+    that is open at the end of the data is neither closed nor told.
+
+    Where positions do not outlive a session (``same_session``), sessions are replayed side
+    by side, as if no limit ran on from one to the next, and staged; contracts in which such
+    a limit was reached are replayed again, whole. A session's bars follow each other."""
+    cfg = cfg or Settings()
     bars = signals.select(key, "ts", "session", "open", "close", "signal")
-    return bars.groupBy(key).applyInPandas(run, f"{key} {dict(bars.dtypes)[key]}, {EVENT}")
+    if not cfg.same_session:
+        return whole(bars, cfg, key)
+    events, _ = staged(by_session(bars, cfg, key), "replay")
+    held, _ = staged(bound(events, cfg, key), "held-back")
+    free = events.join(held, key, "left_anti").drop("_session", "_carried")
+    return free.unionByName(whole(bars.join(held, key, "left_semi"), cfg, key)) if held.limit(1).count() else free
 
 
 def report(events: DataFrame, cfg: Settings | None = None, key: str = "contract") -> DataFrame:

@@ -98,12 +98,26 @@ def manifest_faults(manifest: DataFrame, gaps: Gaps | None = None) -> list[str]:
 
 
 def overlaps(rows: DataFrame, zones: DataFrame, column: str = "ts") -> DataFrame:
-    """(zone_a, zone_b, n): pairs of zones that share rows, and how many; none if the zones
-    are disjoint. ``zones`` (zone, start, stop) are few, and each row is in one or two."""
-    inside = rows.join(F.broadcast(zones.limit(1000)), (F.col(column) >= F.col("start")) & (F.col(column) < F.col("stop")))  # a manifest has a dozen
-    held = inside.groupBy(*rows.columns).agg(F.array_sort(F.collect_set("zone")).alias("z")).filter(F.size("z") > 1)
+    """(zone_a, zone_b, n): pairs of zones that share rows, and how many, a row that occurs
+    twice counted twice; none if the zones are disjoint. A null start or stop is open.
+
+    The zones' bounds cut time into disjoint pieces, so each row is in one piece, which it
+    finds by its day; days before the first bound and behind the last count as one each. Rows
+    are counted by piece, and pairs made of the zones of a piece."""
+    kind = rows.schema[column].dataType.simpleString()
+    bounds = zones.select(F.explode(F.array(F.col("start").cast(kind), F.col("stop").cast(kind))).alias("since")).filter("since is not null").distinct()
+    ends = bounds.agg(F.date_sub(F.to_date(F.min("since")), 1).alias("first"), F.date_add(F.to_date(F.max("since")), 1).alias("last"))
+    first, last = (F.coalesce(ends.select(c).scalar(), F.lit("1970-01-01").cast("date")) for c in ("first", "last"))
+    order = Window.orderBy(F.asc_nulls_first("since"))  # two bounds a zone
+    pieces = bounds.unionByName(rows.sparkSession.createDataFrame([(None,)], f"since {kind}")).withColumn("until", F.lead("since").over(order))
+    inside = (F.col("start").isNull() | (F.col("since") >= F.col("start").cast(kind))) & (F.col("stop").isNull() | (F.col("until") <= F.col("stop").cast(kind)))
+    shared = pieces.join(zones, inside).groupBy("since", "until").agg(F.array_sort(F.collect_set("zone")).alias("z")).filter(F.size("z") > 1)
+    days = shared.withColumn("day", F.explode(F.sequence(F.coalesce(F.to_date("since"), first), F.coalesce(F.to_date("until"), last))))
+    at = F.col(column)
+    dealt = rows.select(at.alias("at"), F.least(F.greatest(F.to_date(at), first), last).alias("day")).filter("at is not null").groupBy("day", "at").agg(F.count("*").alias("n"))
+    held = dealt.join(days, "day").filter("(since is null or at >= since) and (until is null or at < until)").groupBy("z").agg(F.sum("n").alias("n"))
     pairs = F.flatten(F.transform("z", lambda a: F.transform(F.filter("z", lambda b: b > a), lambda b: F.struct(a.alias("zone_a"), b.alias("zone_b")))))
-    return held.select(F.explode(pairs).alias("p")).groupBy("p.zone_a", "p.zone_b").agg(F.count("*").alias("n"))
+    return held.select(F.explode(pairs).alias("p"), "n").groupBy("p.zone_a", "p.zone_b").agg(F.sum("n").alias("n"))
 
 
 def zone_bounds(datasets: DataFrame, manifests: DataFrame, named: DataFrame, zone: str) -> DataFrame:

@@ -5,12 +5,16 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from barlab.functions.scalars import content_hash
 from barlab.operators import backtest, ledger, signals, statistics, synthetic, zones
+from barlab.sources.files import dataset_digest
 
 
 @dataclass(frozen=True)
@@ -83,6 +87,10 @@ def passes(totals: DataFrame) -> DataFrame:
     return totals.withColumn("passed", (F.col("net_pnl") > 0) & (F.col("trades") >= 1))
 
 
+#: What Spark's errors say when machines, not the plan, have failed.
+CLUSTER_FAILED = ("ExecutorLostFailure", "FetchFailed", "MetadataFetchFailed", "SparkContext was shut down", "stopped SparkContext", "has been cancelled", "Connection refused", "OutOfMemoryError")
+
+
 def final_evaluation(bars: DataFrame, spec: Spec, manifest: DataFrame, *, dataset: str, protocol: str, trials: DataFrame, burns: DataFrame, evaluations: DataFrame, budget: ledger.Budget = ledger.Budget(), criterion=passes, minutes: float = 0.01, **execution) -> DataFrame:
     """The one look at the holdout that a candidate has: (strategy_id, dataset, protocol,
     state, status, trades, net_pnl), to append to ``evaluations``. Refused when the holdout
@@ -106,18 +114,43 @@ def final_evaluation(bars: DataFrame, spec: Spec, manifest: DataFrame, *, datase
             state, status, n, net = ("PASSED", "COMPLETED", r.trades, r.net_pnl) if r.passed else ("FAILED", "REJECTED_FINAL_HOLDOUT", r.trades, r.net_pnl)
     except ledger.BudgetExceeded:
         raise
-    except Exception:  # a candidate that cannot be evaluated has had its look
+    except Exception as e:  # a candidate that cannot be evaluated has had its look, one whose cluster failed has not
+        if isinstance(e, Py4JError | PySparkException) and any(sign in str(e) for sign in CLUSTER_FAILED):
+            raise
         status = "FAILED"
     return spark.createDataFrame([(spec.strategy_id, dataset, protocol, state, status, n, net)], "strategy_id string, dataset string, protocol string, state string, status string, trades bigint, net_pnl double")
 
 
-def write_artifact(trades: DataFrame, path: str, trial_id: str) -> None:
-    """The returns of a trial, once: an existing artifact is not overwritten."""
-    out = trades.select(F.lit(trial_id).alias("trial_id"), "signal_ts", "entry_ts", "exit_ts", F.col("side").cast("tinyint").alias("side"), F.col("gross_bps").alias("gross_return_bps"), "cost_bps", F.col("net_bps").alias("net_return_bps"))
-    out.write.mode("errorifexists").partitionBy("trial_id").parquet(path)
+ARTIFACT = "signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, side tinyint, gross_return_bps double, cost_bps double, net_return_bps double, trial_id string"
 
 
-ARTIFACT = "signal_ts timestamp_ntz, entry_ts timestamp_ntz, exit_ts timestamp_ntz, side tinyint, gross_return_bps double, cost_bps double, net_return_bps double, trial_id string"
+@dataclass(frozen=True)
+class Artifact:
+    """What is known of a trial's returns once they are written."""
+
+    trial_id: str
+    path: str
+    sha256: str
+    rows: int
+    first_signal: datetime | None
+    last_exit: datetime | None
+
+    def row(self, spark: SparkSession) -> DataFrame:
+        """The artifact as a row of the registry, with its digest as content."""
+        rows = spark.createDataFrame([(self.trial_id, self.path, self.sha256, self.rows, self.first_signal, self.last_exit)], "trial_id string, path string, sha256 string, rows bigint, first_signal timestamp_ntz, last_exit timestamp_ntz")
+        return rows.withColumn("digest", ledger.content_digest(rows.columns))
+
+
+def write_artifact(trades: DataFrame, path: str, trial_id: str) -> Artifact:
+    """The returns of a trial, once: an existing artifact is not overwritten. Rows and times
+    are observed while the rows are written, and the digest is that of the files written, so
+    the trades are computed once and the files read once."""
+    out = trades.select(F.lit(trial_id).alias("trial_id"), "signal_ts", "entry_ts", "exit_ts", F.col("side").cast("tinyint").alias("side"), F.col("gross_bps").alias("gross_return_bps"), "cost_bps", F.col("net_bps").alias("net_return_bps"))
+    seen = Observation(f"artifact-{trial_id}")
+    out = out.observe(seen, F.count(F.lit(1)).alias("rows"), F.min("signal_ts").alias("first_signal"), F.max("exit_ts").alias("last_exit"))
+    out.write.mode("errorifexists").partitionBy("trial_id").parquet(path)
+    found = seen.get
+    return Artifact(trial_id, path, dataset_digest(trades.sparkSession, path), found["rows"], found["first_signal"], found["last_exit"])
 
 
 def read_artifact(spark: SparkSession, path: str, trial_id: str | None = None) -> DataFrame:
@@ -126,6 +159,17 @@ def read_artifact(spark: SparkSession, path: str, trial_id: str | None = None) -
     return rows if trial_id is None else rows.filter(F.col("trial_id") == trial_id)
 
 
+def read_verified(spark: SparkSession, artifact: Artifact) -> DataFrame:
+    """The returns of an artifact whose files are still what was written: a file that is
+    missing, changed or new is refused."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(artifact.path)
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        raise FileNotFoundError(artifact.path)
+    if dataset_digest(spark, artifact.path) != artifact.sha256:
+        raise ValueError(f"the files of {artifact.path} do not have the digest of trial {artifact.trial_id}")
+    return read_artifact(spark, artifact.path)
+
+
 def qualify(returns: DataFrame, candidates: DataFrame, least_common: int = 100, **limits) -> DataFrame:
     """Each candidate's deflated Sharpe ratio within its scope and its status. ``returns`` is
     (scope, trial_id, signal_ts, net_return_bps) of the population, ``candidates`` what

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlab.operators.ordered import with_previous
+from barlab.sources.files import dataset_digest, file_digests  # noqa: F401
+
 BAR = "contract string, ts timestamp_ntz, open double, high double, low double, close double, volume bigint, open_interest bigint"
 
 
@@ -23,15 +26,9 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return filled(spark.read.parquet(path))
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(path, sha256, length) of every file under a path, read by the executors."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"), "length")
-
-
 def verified(spark: SparkSession, path: str, sha256: str) -> DataFrame:
-    """The Parquet file at ``path``, if its digest is the registered one."""
-    found = [r.sha256 for r in file_digests(spark, path).select("sha256").limit(2).collect()]
-    if found != [sha256]:
+    """The Parquet file or folder at ``path``, if its digest is the registered one."""
+    if dataset_digest(spark, path) != sha256:
         raise ValueError(f"{path} does not have the registered digest")
     return read_parquet(spark, path)
 
@@ -107,10 +104,10 @@ def violations(bars: DataFrame) -> DataFrame:
     """(contract, rule, n): how many bars break each rule; rules nobody breaks are absent.
 
     Each row is judged by itself and against its predecessor in arrival order ``seq`` where
-    the frame has one (else in time order), so that duplicates and disorder show.
+    the frame has one (else in time order), so that duplicates and disorder show. A long
+    contract is judged in many tasks: see ``ordered.with_previous``.
     """
     order = "seq" if "seq" in bars.columns else "ts"
-    w = Window.partitionBy("contract").orderBy(order)
     prices = ["open", "high", "low", "close"]
     null = F.lit(False)
     for c in ("ts", *prices):
@@ -124,8 +121,9 @@ def violations(bars: DataFrame) -> DataFrame:
         "not_positive": F.least(*prices) <= 0,
         "high_low": (F.col("high") < F.greatest("open", "close", "low")) | (F.col("low") > F.least("open", "close", "high")),
         "negative_volume": (F.col("volume") < 0) | (F.col("open_interest") < 0),
-        "duplicate_ts": F.col("ts") == F.lag("ts").over(w),
-        "out_of_order": F.col("ts") < F.lag("ts").over(w),
+        "duplicate_ts": F.col("ts") == F.col("before_ts"),
+        "out_of_order": F.col("ts") < F.col("before_ts"),
     }
-    marked = bars.select("contract", F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())).alias("rules")).select("contract", F.explode("rules").alias("rule"))
+    judged = with_previous(bars.select("contract", "ts", *prices, "volume", "open_interest", *(["seq"] if order == "seq" else [])), "contract", order, ["ts"])
+    marked = judged.select("contract", F.array(*(F.when(c, F.lit(k)) for k, c in rules.items())).alias("rules")).select("contract", F.explode("rules").alias("rule"))
     return marked.filter("rule is not null").groupBy("contract", "rule").agg(F.count("*").alias("n"))

@@ -3,17 +3,17 @@ operator that gives what the batch replay gives."""
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
-from dataclasses import asdict
+from contextlib import contextmanager
+from dataclasses import astuple, fields
+from typing import NamedTuple
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
-from barlab.operators.ledger import insert
+from barlab.operators.commits import Ledger
 from barlab.operators.replay import EVENT, Settings, State, close_bar, frame, open_bar
 
 
@@ -34,35 +34,87 @@ def once(events: DataFrame, key: str, late: str) -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
 
 
-def replay_stream(signals: DataFrame, cfg: Settings | None = None) -> DataFrame:
-    """Replay of bars (contract, ts, session, open, close, signal) as they come, in time
-    order. Orders are filled as soon as their bar is there. What is decided at a bar's close
-    needs the next bar's session, so the newest bar of a contract waits in the state."""
-    cfg = cfg or Settings()
-
-    def run(key: tuple, parts: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, waiting = State(), None
-        if held.exists:
-            text, last = held.get
-            state = State(**json.loads(text))
-            waiting = json.loads(last)
-        rows = pd.concat(list(parts)).sort_values("ts")
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+KINDS = {"bool": "boolean", "int": "bigint", "float": "double", "str": "string"}
+
+
+@contextmanager
+def typed_state(spark: SparkSession):
+    """Queries that are started within keep their state in RocksDB, as typed state needs; the
+    session's own setting is there again afterwards."""
+    before = spark.conf.get(PROVIDER, None)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(PROVIDER, before) if before else spark.conf.unset(PROVIDER)
+
+
+class Replay(StatefulProcessor):
+    """A contract's replay as bars come: the fields of its State as a typed value, and the
+    newest bar, as what is decided at its close needs the next bar's session. With ``idle``
+    seconds, a timer of event time forgets contracts that are flat and had no bar for that
+    long, and tells it, so that the state of ended contracts does not stay."""
+
+    def __init__(self, cfg: Settings, idle: float | None):
+        self.cfg, self.idle = cfg, idle
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", ", ".join(f"{f.name} {KINDS[f.type]}" for f in fields(State)))
+        self.waiting = handle.getValueState("waiting", "ts string, session string, signal bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        state = State(*self.state.get()) if self.state.exists() else State()
+        newest = self.waiting.get() if self.waiting.exists() else None
         events = []
-        for bar in rows.itertuples(index=False):
-            if waiting is not None:
-                before = pd.Series(waiting | {"ts": pd.Timestamp(waiting["ts"])})
+        for bar in pd.concat(list(rows)).sort_values("ts").itertuples(index=False):
+            if newest is not None:
+                before = Bar(pd.Timestamp(newest[0]), newest[1], newest[2])
                 if bar.ts <= before.ts:
                     raise ValueError(f"bar out of order: {bar.ts}")
-                close_bar(state, before, waiting["session"] != str(bar.session), True, cfg)
-            events += open_bar(state, bar, cfg)
-            waiting = {"ts": str(bar.ts), "session": str(bar.session), "signal": int(bar.signal)}
-        held.update((json.dumps(asdict(state)), json.dumps(waiting)))
-        out = frame(events)
+                close_bar(state, before, before.session != str(bar.session), True, self.cfg)
+            events += open_bar(state, bar, self.cfg)
+            newest = (str(bar.ts), str(bar.session), int(bar.signal))
+        self.state.update(astuple(state))
+        self.waiting.update(newest)
+        if self.idle is not None:
+            for old in list(self.handle.listTimers()):
+                self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
+            self.handle.registerTimer(int(pd.Timestamp(newest[0]).timestamp() * 1000 + self.idle * 1000))
+        yield self._told(key, events)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        state = State(*self.state.get()) if self.state.exists() else State()
+        if state.position == 0 and self.waiting.exists():
+            newest = self.waiting.get()
+            self.state.clear()
+            self.waiting.clear()
+            yield self._told(key, [{"kind": "idle", "ts": pd.Timestamp(newest[0])}])
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _told(key, events: list[dict]) -> pd.DataFrame:
+        out = frame([{"side": 0, "quantity": 0, **e} for e in events])
         out.insert(0, "contract", key[0])
-        yield out
+        return out
+
 
+class Bar(NamedTuple):
+    ts: pd.Timestamp
+    session: str
+    signal: int
+
+
+def replay_stream(signals: DataFrame, cfg: Settings | None = None, idle: float | None = None) -> DataFrame:
+    """Replay of bars (contract, ts, session, open, close, signal) as they come, in time
+    order, to be started within ``typed_state``. Orders are filled as soon as their bar is
+    there. ``idle`` needs bars with a watermark of ``ts``."""
     bars = signals.select("contract", "ts", "session", "open", "close", "signal")
-    return bars.groupBy("contract").applyInPandasWithState(run, f"contract string, {EVENT}", "state string, waiting string", "append", GroupStateTimeout.NoTimeout)
+    mode = "none" if idle is None else "eventTime"
+    return bars.groupBy("contract").transformWithStateInPandas(statefulProcessor=Replay(cfg or Settings(), idle), outputStructType=f"contract string, {EVENT}", outputMode="append", timeMode=mode)
 
 
 def sessions(rows: DataFrame, key: str, gap: str, at: str = "ts") -> DataFrame:
@@ -72,16 +124,9 @@ def sessions(rows: DataFrame, key: str, gap: str, at: str = "ts") -> DataFrame:
 
 
 def append_once(stream: DataFrame, path: str, key: list[str], checkpoint: str):
-    """Start a query that appends each row to the table at ``path`` once: a batch that is
-    run again after a failure, and rows that come again later, add nothing. A key that
-    comes with other content (``digest``) stops the stream."""
-    spark = stream.sparkSession
-
-    def write(batch: DataFrame, _: int) -> None:
-        try:
-            stored = spark.read.schema(batch.schema).parquet(path)
-        except AnalysisException:  # the first batch
-            stored = spark.createDataFrame([], batch.schema)
-        insert(batch, stored, key).write.mode("append").parquet(path)
-
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Start a query that appends each row to the ledger at ``path`` once: a batch that is
+    run again after a failure, and rows that come again later, add nothing. A batch reads
+    the stored rows of the buckets of its own keys only, and is one version of the ledger. A
+    key that comes with other content (``digest``) stops the stream."""
+    store = Ledger(stream.sparkSession, path, stream.schema, key)
+    return stream.writeStream.foreachBatch(lambda batch, _: store.append(batch) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -198,20 +198,26 @@ def test_replay_and_risk(spark):
 
 
 def test_replay_stream_equals_batch(spark, tmp_path):
-    from barlab.streaming.bars import replay_stream
+    """Also when the query is started anew from its checkpoint after every session."""
+    from barlab.streaming.bars import replay_stream, typed_state
 
     b = synthetic.generate(spark, [1, 2], sessions=3, bars=12)
     sig = signals.momentum(b, session_bars=12).select("contract", "ts", "session", "open", "close", "signal")
     want = {tuple(r) for r in replay.replay(sig).filter("kind = 'trade'").select("contract", "ts", "side", "net_pnl").collect()}
-    for i in range(3):
-        day = sig.select("session").distinct().orderBy("session").collect()[i].session
-        sig.filter(F.col("session") == day).coalesce(1).write.parquet(f"{tmp_path}/in/day={i}")
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    stream = spark.readStream.schema(sig.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/day=*")
-    q = replay_stream(stream).writeStream.format("memory").queryName("replayed").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    got = {tuple(r) for r in spark.table("replayed").filter("kind = 'trade'").select("contract", "ts", "side", "net_pnl").collect()}
-    assert got == want and want
+    days = [r.session for r in sig.select("session").distinct().orderBy("session").collect()]
+    for way in ("once", "again"):
+        at = f"{tmp_path}/{way}"
+        for i, day in enumerate(days):
+            sig.filter(F.col("session") == day).coalesce(1).write.mode("append").parquet(f"{at}/in")
+            if way == "once" and i + 1 < len(days):
+                continue
+            stream = spark.readStream.schema(sig.schema).option("maxFilesPerTrigger", 1).option("latestFirst", "false").parquet(f"{at}/in")
+            with typed_state(spark):
+                q = replay_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/cp").trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        got = [tuple(r) for r in spark.read.parquet(f"{at}/out").filter("kind = 'trade'").select("contract", "ts", "side", "net_pnl").collect()]
+        assert set(got) == want and len(got) == len(want) and want
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", None) is None or "HDFSBacked" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
 
 
 def test_violations(spark):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlab.operators import backtest, evaluation, governance, ledger, monitoring, statistics, staging, zones
+from barlab.operators import backtest, commits, evaluation, governance, ledger, monitoring, staging, statistics, zones
 from barlab.operators.graph import components
 from barlab.plans import research
 from barlab.sources import bars as sources
@@ -200,7 +200,8 @@ def test_rows_are_appended_once(spark, tmp_path):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
     for checkpoint in ("one", "two"):  # the second run sees every row again
         streaming.append_once(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source), table, ["k"], f"{tmp_path}/{checkpoint}").awaitTermination(120)
-    assert sorted(tuple(r) for r in spark.read.parquet(table).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+    stored = commits.Ledger(spark, table, schema, ["k"])
+    assert sorted(tuple(r) for r in stored.read().collect()) == [(1, "a"), (2, "b"), (3, "c")] and stored.files()[0] == 2
 
 
 def test_holding_and_limits(spark):
