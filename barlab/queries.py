@@ -165,7 +165,8 @@ def _(spark, sf):
 def _(spark, sf):
     r = trial_returns(spark, sf)
     members = statistics.clusters(r.select(F.lit("all").alias("scope"), "trial_id"), statistics.aligned_pairs(r, 50))
-    return statistics.deflated_sharpe(statistics.return_moments(r), members)
+    d = statistics.deflated_sharpe(statistics.return_moments(r), members)
+    return d.select("scope", "trial_id", "n", "effective", *r6("sharpe", "sigma", "best", "se"), *(rounded(F.col(c), 5).alias(c) for c in ("z", "dsr")), "passes")
 
 
 THRESHOLDS = SLOTS + """, num AS (SELECT contract, session, row_number() OVER (PARTITION BY contract ORDER BY session) - 1 AS k FROM (SELECT DISTINCT contract, session FROM slots)),
@@ -546,4 +547,4 @@ def _(spark, sf):
     return research.null_runs(spark, list(range(12)))
 
 
-from barlab import paper_queries  # noqa: E402, F401  registers its queries here
+from barlab import paper_queries, scale_queries  # noqa: E402, F401  they register their queries here
