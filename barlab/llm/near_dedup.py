@@ -9,14 +9,17 @@
    population count of two odd sketches estimates how many samples differ; pairs with more
    than a pair at the threshold can show (by five deviations of the samples and of the
    bitmap) go. The others are confirmed on the full shingle sets of their texts.
-4. Members of buckets that are not one component then are searched again. Of two similar
-   sets the least common shingle, by number of sets that have it, is among the first
-   n - ceil(0.8 n) + 1 of both. So members go whose rarest shingles no member of another
-   component has among its own: sets that share a long passage but differ in the rest do
-   not meet. Of the others, pairs in a bucket, of different components, that the sketches
-   let pass are confirmed in the same way. So every pair in a common bucket is tested or
-   already connected; a pair at the threshold shares no bucket with probability
-   (1 - 0.8^4)^32, under 1e-7.
+4. Members of buckets that are not one component then are searched again, by their least
+   common shingles. In one order of all shingles, by the number of sets that have them, the
+   first shingle that two sets of similarity t share is among the first n - ceil(t n) + 1 of
+   the larger set and the first n - ceil(2t n / (1 + t)) + 1 of the smaller, and behind it
+   both have as many left as they must share. Sets of different components that meet in
+   such a shingle, at such places, and whose sketches let them pass, are confirmed in the
+   same way. Sets that share a long passage but differ in the rest do not meet, as what is
+   common to many comes last; and members of one component are not compared with each
+   other, as components that have a shingle meet before their members do. So every pair in
+   a common bucket is found or already connected; a pair at the threshold shares no bucket
+   with probability (1 - 0.8^4)^32, under 1e-7.
 """
 
 from __future__ import annotations
@@ -228,18 +231,20 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     split = rest.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("key")
     open_, open_at = staged(rest.join(split, "key", "left_semi").groupBy(F.col("id").alias("doc_id")).agg(F.min("label").alias("label")), "open")
     sets = texts_of(open_.select("doc_id")).mapInArrow(lean(shingle_sets(shingle, id_type)), f"id {kind}, n bigint, hashes array<bigint>")
-    rows, rows_at = staged(sets.select("id", "n", F.explode("hashes").alias("h")), "shingles")
+    rows, rows_at = staged(sets.select("id", "n", F.xxhash64("hashes").alias("set"), F.explode("hashes").alias("h")), "shingles")
     rows = rows.join(rows.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1"), "h")  # what one set has comes first and joins nothing
-    own = Window.partitionBy("id", "n")
+    own = Window.partitionBy("id", "n", "set")  # an id may have several texts
     rows = rows.withColumn("place", F.col("n") - F.count("*").over(own) + F.row_number().over(own.orderBy("df", "h")))
     rows = rows.filter(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1)
-    rare, rare_at = staged(rows.select("h", "id").distinct().join(open_.withColumnRenamed("doc_id", "id"), "id"), "rare")
-    met = rare.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("h")
-    live_, live_at = staged(rare.join(met, "h", "left_semi").select("id").distinct(), "live")
-    again = rest.join(split, "key", "left_semi").join(live_, "id", "left_semi").join(sketch, "id")
-    x, y = again.alias("x"), again.alias("y")
-    second = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.label") < F.col("y.label")) & near)
-    second = second.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+    rare, rare_at = staged(rows.select("h", "id", "n", "place").distinct().join(open_.withColumnRenamed("doc_id", "id"), "id"), "rare")
+    few = rare.filter(F.col("place") <= F.col("n") - F.expr(f"(n * {2 * percent} + {99 + percent}) div {100 + percent}") + 1)
+    apart = few.select("h", F.col("label").alias("one")).distinct().join(rare.select("h", F.col("label").alias("other")).distinct(), "h").filter("one <> other")
+    side = lambda df, label, name: df.select("h", F.col("label").alias(label), F.col("id").alias(name), F.struct("n", "place").alias(f"_{name}"))
+    x, y = F.col("_x"), F.col("_y")
+    enough = ((x["n"] + y["n"]) * percent + 99 + percent) / (100 + percent)
+    fit = ((x["n"] < y["n"]) | ((x["n"] == y["n"]) & (F.col("x") < F.col("y")))) & (x["n"] * 100 >= y["n"] * percent) & (1 + F.least(x["n"] - x["place"], y["n"] - y["place"]) >= F.floor(enough))
+    met = apart.join(side(few, "one", "x"), ["h", "one"]).join(side(rare, "other", "y"), ["h", "other"]).filter(fit)
+    second = sketched(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     more, more_at = verified(second)
     final, final_at = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
 
@@ -249,7 +254,7 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     out = marked.select("doc_id", "n", "set_hash").join(classes, "set_hash", "left")
     out = out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
     out, _ = staged(out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), "groups")
-    drop_staged(spark, marked_at, reps_at, buckets_at, links_at, labels_at, open_at, rows_at, rare_at, live_at, more_at, final_at, classes_at)
+    drop_staged(spark, marked_at, reps_at, buckets_at, links_at, labels_at, open_at, rows_at, rare_at, more_at, final_at, classes_at)
     return out
 
 
