@@ -1,22 +1,24 @@
 """Scores of a probabilistic suffix tree, beside those of a word unigram model.
 
 The tree's symbols are the bytes of a text's lower-cased words, joined by single spaces,
-and one end symbol. Its states are contexts of up to ``DEPTH`` symbols. A context stays
-when the divergence of its next-symbol distribution from its suffix's, times its count,
-reaches ``divergence`` nats, or when a longer context that stays has it as suffix. Each
-distribution is interpolated with its suffix's, so every state gives proper
-probabilities. A symbol is scored by the longest suffix state of what stands before it.
-
-Counting is distributed: tasks count the (context, symbol) grams of bounded slices and
-pack them by the three symbols before the predicted one. One shuffle brings the packs of
-equal three symbols together and adds them up; all longer contexts that end in these, a
-whole branch of the tree, are then smoothed and tested by numpy, some branches at a time.
-Contexts of two symbols and fewer (65,793 at most) are treated on the driver. The tree is
-a staged table of any size, a row for each state. Its commonest states, of at most
-``head_entries`` entries, are sent to the tasks, with marks where the tree goes on beyond
-them. Grams that go on there are asked for: the distinct ones of each run of texts travel,
-packed, to the branch of the tree that they belong to, and their scores travel back to the
-run, so no gram is sent once for each of its occurrences.
+and one end symbol, a byte that UTF-8 never has. Its states are contexts of up to ``depth``
+symbols. A context stays when the divergence of its next-symbol distribution from its
+suffix's, times its count, reaches ``divergence`` nats, or when a longer context that stays
+has it as suffix. Each distribution is interpolated with its suffix's, so every state gives
+proper probabilities. A symbol is scored by the longest suffix state of what stands before.
+
+Counting is distributed: tasks count the (context, symbol) grams of bounded slices and pack
+them by the four symbols before the predicted one, those of three and of two symbols apart.
+One shuffle brings the packs of equal symbols together and adds them up. Contexts of two
+symbols and fewer (65,793 at most) are treated on the driver, those of three each by its
+own, and all longer ones that end in the same four symbols, a branch of the tree, by numpy,
+some branches at a time. A branch of contexts of six symbols has 256^3 grams at most, so no
+task holds more, however common its symbols. The tree is a staged table of any size, a row
+for each state. Its commonest states, of at most ``head_entries`` entries, are sent to the
+tasks, with marks where the tree goes on beyond them. Grams that go on there are asked for:
+the distinct ones of each run of texts travel, packed, to buckets of branches, as many as
+keep a bucket's part of the tree small, and their scores travel back to the run, so no gram
+is sent once for each of its occurrences.
 Words are treated in the same way: the commonest, ``head`` at most, are sent to the tasks,
 the others of each text meet their counts in a shuffle join.
 """
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -37,26 +40,27 @@ from pyspark.sql import functions as F
 from barlab.llm.common import drop_staged, lean, slices, staged, table
 from barlab.llm.decontaminate import arrow_type
 
-DEPTH, BETA, END = 7, 4.0, b" "  # a symbol and its context fill 64 bits
-LOW = 2  # contexts up to this length are treated on the driver; a branch has one symbol more
+DEPTH, BETA, END = 6, 4.0, b" "  # the usual depth; a symbol and seven before it fill 64 bits
+LOW, BRANCH = 2, 4  # contexts up to LOW symbols are treated on the driver, a branch has BRANCH
+STOP = b"\xff"  # the end symbol, and what stands before a text
 GRAM_BYTES, SLICE_BYTES, TABLE_BITS = 2 << 20, 1 << 20, 20
-GRAMS_HELD, WORDS_HELD, BRANCH_GRAMS = 1_500_000, 400_000, 400_000
-MASK = [(1 << 8 * k) - 1 for k in range(DEPTH + 1)] + [-1]  # as signed 64-bit numbers
+GRAMS_HELD, WORDS_HELD, BRANCH_GRAMS, BUCKET_ENTRIES = 1_500_000, 400_000, 400_000, 500_000
+MASK = [(1 << 8 * k) - 1 for k in range(8)] + [-1]  # as signed 64-bit numbers
 
 
 def words(text: bytes | None) -> list[bytes]:
     return (text or b"").lower().split()  # ASCII case and ASCII white space only
 
 
-def grams(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of each symbol with the DEPTH before it, and how many codes each text has."""
-    bodies = [b" ".join(w).replace(b"\0", b"\1") + b"\0" for w in texts]
+def grams(texts: list[list[bytes]], depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of each symbol with the ``depth`` before it, and how many codes each text has."""
+    bodies = [b" ".join(w) + STOP for w in texts]
     lengths = np.array([len(b) for b in bodies], np.int64)
-    raw = np.frombuffer(b"\0" * DEPTH + (b"\0" * DEPTH).join(bodies), np.uint8).astype(np.int64)
-    code = raw[DEPTH:].copy()
-    for k in range(1, DEPTH + 1):
-        code |= raw[DEPTH - k : len(raw) - k] << (8 * k)
-    between = np.cumsum(lengths + DEPTH)[:-1, None] - DEPTH + np.arange(DEPTH)
+    raw = np.frombuffer(STOP * depth + (STOP * depth).join(bodies), np.uint8).astype(np.int64)
+    code = raw[depth:].copy()
+    for k in range(1, depth + 1):
+        code |= raw[depth - k : len(raw) - k] << (8 * k)
+    between = np.cumsum(lengths + depth)[:-1, None] - depth + np.arange(depth)
     return np.delete(code, between.reshape(-1)), lengths
 
 
@@ -67,14 +71,14 @@ def _slices(batch, limit: int):
 
 
 def _turned(code: np.ndarray) -> np.ndarray:
-    """Codes with the three symbols before the predicted one as the highest bytes, so that
+    """Codes with the four symbols before the predicted one as the highest bytes, so that
     sorting brings branches together; ``_turned_back`` undoes it."""
     c = code.view(np.uint64)
-    return (c >> np.uint64(8) & np.uint64(0xFFFFFF)) << np.uint64(40) | c >> np.uint64(32) << np.uint64(8) | c & np.uint64(0xFF)
+    return (c >> np.uint64(8)) << np.uint64(32) | c >> np.uint64(40) << np.uint64(8) | c & np.uint64(0xFF)
 
 
 def _turned_back(t: np.ndarray) -> np.ndarray:
-    return ((t >> np.uint64(8)) << np.uint64(32) | t >> np.uint64(40) << np.uint64(8) | t & np.uint64(0xFF)).view(np.int64)
+    return ((t >> np.uint64(8)) << np.uint64(40) | t >> np.uint64(32) << np.uint64(8) | t & np.uint64(0xFF)).view(np.int64)
 
 
 def summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -105,85 +109,104 @@ class Sums:
         return self.parts[0] if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
-def _packed(code: np.ndarray, n: np.ndarray) -> bytes:
-    """Sorted codes' five lowest bytes and counts, byte by byte, highest first."""
-    wide = np.concatenate([code.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:], n.astype(">u4").view(np.uint8).reshape(-1, 4)], 1)
-    return wide.T.tobytes()
+#: Bytes of a pack's codes: the key of a pack of short contexts is the whole context, that of
+#: a branch leaves up to three symbols and the predicted one.
+CODE_BYTES = {LOW: 1, LOW + 1: 1, BRANCH: 4}
 
 
-def _unpacked(branch: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    planes = np.frombuffer(body, np.uint8).reshape(9, -1).astype(np.uint64)
-    code, n = np.full(planes.shape[1], branch, np.uint64), np.zeros(planes.shape[1], np.uint64)
-    for plane in planes[:5]:
-        code = code << np.uint64(8) | plane
-    for plane in planes[5:]:
-        n = n << np.uint64(8) | plane
-    return code, n.astype(np.int64)
+def _planes(x: np.ndarray, size: int) -> bytes:
+    """The lowest bytes of numbers, byte by byte, highest first."""
+    return x.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].T.tobytes()
 
 
-def _by_branch(code: np.ndarray, n: np.ndarray, branch: np.ndarray, name) -> list[tuple[int, bytes]]:
-    edges = np.flatnonzero(np.concatenate([[True], branch[1:] != branch[:-1], [True]])) if len(code) else np.zeros(0, np.int64)
-    return [(name(int(branch[i])), _packed(code[i:j], n[i:j])) for i, j in pairwise(edges.tolist())]
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    out = np.zeros(planes.shape[1], np.uint64)
+    for plane in planes:
+        out = out << np.uint64(8) | plane
+    return out
 
 
-def _gram_rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """A row (branch, body) for each branch of sorted turned codes, and the grams of contexts
-    of LOW symbols under -1 minus the symbol before the predicted one."""
-    branch = code >> np.uint64(40)
-    one, two = branch & np.uint64(0xFF), branch >> np.uint64(8) & np.uint64(0xFF)
-    low, m = summed(one << np.uint64(16) | two << np.uint64(8) | code & np.uint64(0xFF), n)
-    rows = [*_by_branch(code, n, branch, int), *_by_branch(low, m, low >> np.uint64(16), lambda c: -1 - c)]
-    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["branch", "body"])
+def _packed(level: int, code: np.ndarray, n: np.ndarray) -> bytes:
+    """Codes and counts: how many bytes the largest count takes, then both in planes."""
+    size = max(1, (int(n.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([size]) + _planes(code, CODE_BYTES[level]) + _planes(n.astype(np.uint64), size)
 
 
-def _count_grams(batches):
-    held = Sums()
-    for batch in batches:
-        for _, _, texts in _slices(batch, GRAM_BYTES):
-            held.add(*np.unique(_turned(grams([words(t) for t in texts])[0]), return_counts=True))
-            if held.held > GRAMS_HELD and len(held.all()[0]) > GRAMS_HELD:
-                yield _gram_rows(*held.all())
-                held = Sums()
-    yield _gram_rows(*held.all())
+def _unpacked(level: int, key: int, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Whole codes and counts of a pack, those of a branch turned."""
+    width = CODE_BYTES[level]
+    planes = np.frombuffer(body, np.uint8, offset=1).reshape(width + body[0], -1).astype(np.uint64)
+    return np.uint64(key << 8 * width) | _numbers(planes[:width]), _numbers(planes[width:]).astype(np.int64)
 
 
-def _merged(batches):
-    """One row for each branch: the sums of its rows, which come sorted by branch."""
-    now, held = None, Sums()
+def _packs(level: int, code: np.ndarray, n: np.ndarray) -> list[tuple[int, int, bytes]]:
+    """Rows (level, key, body) of codes in order."""
+    key = code >> np.uint64(8 * CODE_BYTES[level])
+    edges = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]])) if len(code) else np.zeros(0, np.int64)
+    return [(level, int(key[i]), _packed(level, code[i:j], n[i:j])) for i, j in pairwise(edges.tolist())]
+
+
+def _pack_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["level", "key", "body"])
+
+
+def _gram_rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Packs of sorted turned codes, and of their grams of three and of LOW symbols."""
+    three, m3 = summed((code >> np.uint64(32) & np.uint64(0xFFFFFF)) << np.uint64(8) | code & np.uint64(0xFF), n)
+    low, m2 = summed(three & np.uint64(0xFFFFFF), m3)
+    return _pack_batch([*_packs(BRANCH, code, n), *_packs(LOW + 1, three, m3), *_packs(LOW, low, m2)])
+
+
+def _count_grams(depth: int):
+    def run(batches):
+        held = Sums()
+        for batch in batches:
+            for _, _, texts in _slices(batch, GRAM_BYTES):
+                held.add(*np.unique(_turned(grams([words(t) for t in texts], depth)[0]), return_counts=True))
+                if held.held > GRAMS_HELD and len(held.all()[0]) > GRAMS_HELD:
+                    yield _gram_rows(*held.all())
+                    held = Sums()
+        yield _gram_rows(*held.all())
+
+    return run
 
-    def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([_packed(*held.all())], pa.binary())], names=["branch", "body"])
 
+def _merged(batches):
+    """One pack for each level and key: the sums of its packs, which come together."""
+    now, held, out, size = None, [], [], 0
     for batch in batches:
-        for branch, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            if branch != now:
+        for level, key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if (level, key) != now:
                 if now is not None:
-                    yield row()
-                now, held = branch, Sums()
-            held.add(*_unpacked(max(branch, 0), body.as_py()))
+                    out.append(_sum_of(*now, held))
+                    size += len(out[-1][2])
+                    if size > SLICE_BYTES:
+                        yield _pack_batch(out)
+                        out, size = [], 0
+                now, held = (level, key), []
+            held.append(body.as_py())
     if now is not None:
-        yield row()
+        yield _pack_batch([*out, _sum_of(*now, held)])
 
 
-def _branches(batches, size: int):
-    """Grams of whole branches, some ``size`` at a time."""
-    done: list[tuple[np.ndarray, np.ndarray]] = []
-    held = 0
-    for batch in batches:
-        for branch, body in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            done.append(_unpacked(max(branch, 0), body.as_py()))
-            held += len(done[-1][0])
-            if held > size:
-                yield tuple(np.concatenate(x) for x in zip(*done, strict=True))
-                done, held = [], 0
-    if done:
-        yield tuple(np.concatenate(x) for x in zip(*done, strict=True))
+def _sum_of(level: int, key: int, bodies: list[bytes]) -> tuple[int, int, bytes]:
+    if len(bodies) == 1:
+        return level, key, bodies[0]
+    code, n = summed(*(np.concatenate(x) for x in zip(*(_unpacked(level, key, b) for b in bodies), strict=True)))
+    return level, key, _packed(level, code, n)
 
 
-def _low_counts(batches):
-    for code, n in _branches(batches, 0):
-        c = (code & np.uint64(0xFF00)) << np.uint64(8) | (code >> np.uint64(16)) << np.uint64(8) | code & np.uint64(0xFF)
-        yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(n)], names=["code", "n"])
+def _short_counts(level: int):
+    """(code, n) of packs (level, key, body) of short contexts."""
+
+    def run(batches):
+        for batch in batches:
+            parts = [_unpacked(level, key, body.as_py()) for key, body in zip(batch.column(1).to_pylist(), batch.column(2), strict=True)]
+            if parts:
+                code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], names=["code", "n"])
+
+    return run
 
 
 class Level:
@@ -205,37 +228,78 @@ class Level:
         """Contexts that longer ones which stay have as suffix stay, too."""
         self.stays[np.searchsorted(self.ctx, np.unique(longer & MASK[self.k]))] = True
 
-    def states(self) -> pa.RecordBatch:
-        size = np.bincount(self.of, minlength=len(self.ctx))[self.stays]
-        entry = self.stays[self.of]
+    def states(self, every: bool = False) -> pa.RecordBatch:
+        """The states that stay, or all with a mark of whether they do."""
+        kept = np.ones(len(self.ctx), bool) if every else self.stays
+        size = np.bincount(self.of, minlength=len(self.ctx))[kept]
+        entry = kept[self.of]
         stops = pa.array(np.append(0, np.cumsum(size)), pa.int32())
         symbols, v = pa.array(self.code[entry] & 0xFF, pa.int16()), pa.array(np.log10(self.p[entry]))
-        return pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(size), self.k, np.int32)), pa.array(self.ctx[self.stays]), pa.array(self.total[self.stays].astype(np.int64)),
+        columns = [
+            pa.array(np.full(len(size), self.k, np.int32)), pa.array(self.ctx[kept]), pa.array(self.total[kept].astype(np.int64)),
             pa.ListArray.from_arrays(stops, symbols), pa.ListArray.from_arrays(stops, v),
-        ], names=["k", "ctx", "total", "symbols", "v"])
+        ]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(self.stays)], names=[*COLUMNS, "stays"]) if every else pa.RecordBatch.from_arrays(columns, names=COLUMNS)
 
 
 def _shorter(code: np.ndarray, n: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return summed(code & MASK[k + 1], n)
 
 
-def _grow(low, divergence: float):
-    """States of the contexts of more than LOW symbols of each branch."""
+COLUMNS = ["k", "ctx", "total", "symbols", "v"]
+STATES = "k int, ctx bigint, total bigint, symbols array<smallint>, v array<double>"
+
+
+def _ordered(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of packs in order, as whole numbers; packs that come twice count once."""
+    code, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    code, at = np.unique(code.view(np.int64), return_index=True)
+    return code, n[at]
+
+
+def _grow_three(low, divergence: float):
+    """All states of three symbols, with marks of those that stay by themselves."""
+
+    def run(batches):
+        for batch in batches:
+            for a in range(0, len(batch), 4096):
+                part = batch.slice(a, 4096)
+                parts = [_unpacked(LOW + 1, key, body.as_py()) for key, body in zip(part.column(1).to_pylist(), part.column(2), strict=True)]
+                yield Level(LOW + 1, *_ordered(parts), low.value, divergence).states(every=True)
+
+    return run
+
+
+def _grow(low, depth: int, divergence: float):
+    """States of more than three symbols, from branches (key, body) with the packs of their
+    contexts of three symbols (three)."""
+
+    def grown(branches, threes) -> Iterator[pa.RecordBatch]:
+        turned, n = (np.concatenate(x) for x in zip(*branches, strict=True))
+        code, n = summed(_turned_back(turned).view(np.uint64), n)  # in the order of their contexts, also where these fill seven bytes
+        counts = {depth: (code.view(np.int64), n)}
+        for k in range(depth - 1, LOW + 1, -1):
+            counts[k] = _shorter(*counts[k + 1], k)
+        levels = [Level(LOW + 1, *_ordered([_unpacked(LOW + 1, key, body) for key, body in threes.items()]), low.value, divergence)]
+        for k in range(LOW + 2, depth + 1):
+            levels.append(Level(k, *counts[k], levels[-1], divergence))
+        for level, longer in zip(levels[-2:0:-1], levels[:1:-1], strict=True):
+            level.keep(longer.ctx[longer.stays])
+        for level in levels[1:]:
+            yield level.states()
 
     def run(batches):
-        parent = low.value
-        for turned, n in _branches(batches, BRANCH_GRAMS):
-            counts = {DEPTH: summed(_turned_back(turned), n)}
-            for k in range(DEPTH - 1, LOW, -1):
-                counts[k] = _shorter(*counts[k + 1], k)
-            levels = [parent]
-            for k in range(LOW + 1, DEPTH + 1):
-                levels.append(Level(k, *counts[k], levels[-1], divergence))
-            for level, longer in zip(levels[-2:0:-1], levels[:1:-1], strict=True):
-                level.keep(longer.ctx[longer.stays])
-            for level in levels[1:]:
-                yield level.states()
+        branches, threes, held = [], {}, 0
+        for batch in batches:
+            for key, body, three in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                branches.append(_unpacked(BRANCH, key, body.as_py()))
+                threes[key & MASK[LOW + 1]] = three.as_py()
+                held += len(branches[-1][0])
+                if held > BRANCH_GRAMS:
+                    yield from grown(branches, threes)
+                    branches, threes, held = [], {}, 0
+        if branches:
+            yield from grown(branches, threes)
 
     return run
 
@@ -265,7 +329,8 @@ class Head:
     def __init__(self, states: pa.Table):
         """From rows (k, ctx, total, symbols, v, more0, more1, more2, more3)."""
         self.entries, self.states = [], []
-        for k in range(DEPTH + 1):
+        self.depth = max(pa.compute.max(states["k"]).as_py() or 0, LOW) + 1
+        for k in range(self.depth):
             level = states.filter(pa.compute.equal(states["k"], k)).combine_chunks()
             ctx = level["ctx"].to_numpy()
             size = pa.compute.list_value_length(level["symbols"]).to_numpy()
@@ -288,12 +353,12 @@ class Head:
         after it, its length, and whether the tree has a longer one."""
         out, depth = np.zeros(len(code)), np.full(len(code), -1)
         done, longer = np.zeros(len(code), bool), np.zeros(len(code), bool)
-        for k in range(DEPTH, -1, -1):
+        for k in range(self.depth - 1, -1, -1):
             keys, back, more = self.states[k]
             at, state = self._find(keys, (code >> 8) & MASK[k])
             new = np.flatnonzero(state & (depth < 0))
             depth[new] = k
-            if k < DEPTH:
+            if k < 7:
                 before = (code[new] >> (8 * k + 8)) & 255
                 longer[new] = (more[at[new], before >> 6] >> (before & 63)) & 1 == 1
             live = np.flatnonzero((depth >= 0) & ~done)
@@ -309,25 +374,26 @@ class Head:
         return np.where(longer, np.nan, out)
 
 
-class Branch:
-    """The states of a branch that are not in the head."""
+class Part:
+    """Some branches' states that are not in the head."""
 
-    def __init__(self, head: Head, states: pa.StructArray | None):
+    def __init__(self, head: Head, states: list[pa.RecordBatch]):
+        """From rows of COLUMNS; a state may come more than once."""
         self.head, self.levels = head, {}
-        if states is None:
-            return
-        ks = states.field("k").to_numpy()
+        table = pa.Table.from_batches(states).combine_chunks() if states else None
+        ks = table["k"].to_numpy() if states else np.zeros(0, np.int64)
         for k in np.unique(ks).tolist():
-            part = states.take(pa.array(np.flatnonzero(ks == k)))
-            ctx, symbols = part.field("ctx").to_numpy(), part.field("symbols")
+            rows = np.flatnonzero(ks == k)
+            rows = rows[np.unique(table["ctx"].to_numpy()[rows], return_index=True)[1]]
+            part = table.take(pa.array(rows)).combine_chunks()
+            ctx, symbols = part["ctx"].to_numpy(), part["symbols"]
             gram = np.repeat(ctx, pa.compute.list_value_length(symbols).to_numpy()) << 8 | pa.compute.list_flatten(symbols).to_numpy().astype(np.int64)
-            back = np.log10(BETA / (part.field("total").to_numpy() + BETA))
-            state, entry = np.argsort(ctx), np.argsort(gram)
-            self.levels[k] = (ctx[state], back[state], gram[entry], pa.compute.list_flatten(part.field("v")).to_numpy()[entry])
+            entry = np.argsort(gram)
+            self.levels[k] = (ctx, np.log10(BETA / (part["total"].to_numpy() + BETA)), gram[entry], pa.compute.list_flatten(part["v"]).to_numpy()[entry])
 
     def score(self, code: np.ndarray) -> np.ndarray:
-        """log10 probabilities by the longest suffix state, here or in the head. No state of
-        a branch is as common as those of the head, so longer ones are only here."""
+        """log10 probabilities by the longest suffix state, here or in the head. No state here
+        is as common as those of the head, so longer ones are only here."""
         out, depth, _ = self.head.walk(code)
         for k, (ctx, back, gram, v) in self.levels.items():
             at, state = Head._find(ctx, (code >> 8) & MASK[k])
@@ -337,80 +403,105 @@ class Branch:
         return out
 
 
-def asked(codes: np.ndarray, chunk: int) -> list[tuple[int, int, bytes]]:
-    """Rows (branch, chunk, body) of distinct turned codes in order."""
-    return [(b, chunk, body) for b, body in _by_branch(codes, np.zeros(len(codes), np.int64), codes >> np.uint64(40), int)]
+def _bucket(ctx: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of contexts, by their last BRANCH symbols."""
+    return (ctx & MASK[BRANCH]) % 1_000_003 % buckets
+
+
+def asked(codes: np.ndarray, chunk: int, buckets: int) -> list[tuple[int, int, bytes, list[int]]]:
+    """Rows (bucket, chunk, body, threes) of distinct codes: the codes of each bucket in
+    order, and their contexts of three symbols."""
+    bucket = _bucket(codes >> 8, buckets)
+    order = np.lexsort((codes, bucket))
+    codes, bucket = codes[order], bucket[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(codes) else np.zeros(0, np.int64)
+    return [(int(bucket[i]), chunk, _planes(codes[i:j].view(np.uint64), 8), np.unique((codes[i:j] >> 8) & MASK[LOW + 1]).tolist()) for i, j in pairwise(edges.tolist())]
+
+
+def _codes(body: bytes) -> np.ndarray:
+    return _numbers(np.frombuffer(body, np.uint8).reshape(8, -1).astype(np.uint64)).view(np.int64)
+
+
+ASKED = "bucket int, chunk bigint, body binary, threes array<bigint>"
 
 
 class Tree:
     """A suffix tree: its head, and the table of the states (k, ctx, total, symbols, v) that
-    are not in the head."""
+    are not in the head, in so many buckets."""
 
-    def __init__(self, head: Head, states: DataFrame):
-        self.head, self.states = head, states
+    def __init__(self, head: Head, states: DataFrame, buckets: int, depth: int):
+        self.head, self.states, self.buckets, self.depth = head, states, buckets, depth
 
     def answers(self, requests: DataFrame) -> DataFrame:
-        """(branch, chunk, body, v) of requests (branch, chunk, body): v has the log10
-        probability of each code of the body, as 8-byte floats."""
+        """(bucket, chunk, body, v) of requests (bucket, chunk, body, threes): v has the log10
+        probability of each code of the body, as 8-byte floats. A bucket gets the longer
+        states of its branches, and those of three symbols that its requests name."""
         shared = requests.sparkSession.sparkContext.broadcast(self.head)
-        branch = F.col("ctx").bitwiseAND(F.lit(MASK[LOW + 1])).cast("int")
-        trees = self.states.groupBy(branch.alias("branch")).agg(F.collect_list(F.struct("k", "ctx", "total", "symbols", "v")).alias("states"))
-        kind = trees.schema["states"].dataType.simpleString()
-        rows = trees.select("branch", F.lit(0).alias("kind"), F.lit(None).cast("bigint").alias("chunk"), F.lit(None).cast("binary").alias("body"), "states")
-        rows = rows.unionByName(requests.select("branch", F.lit(1).alias("kind"), "chunk", "body", F.lit(None).cast(kind).alias("states")))
+        own = self.states.filter(F.col("k") >= BRANCH).withColumn("bucket", (F.col("ctx").bitwiseAND(F.lit(MASK[BRANCH])) % 1_000_003 % self.buckets).cast("int"))
+        named = requests.select("bucket", F.explode("threes").alias("ctx")).distinct()
+        short = self.states.filter(F.col("k") == LOW + 1).join(named, "ctx").select("bucket", *COLUMNS)
+        null = lambda kind, name: F.lit(None).cast(kind).alias(name)
+        kinds = dict(self.states.dtypes)
+        rows = own.select("bucket", *COLUMNS).unionByName(short).select("bucket", F.lit(0).alias("kind"), null("bigint", "chunk"), null("binary", "body"), *COLUMNS)
+        rows = rows.unionByName(requests.select("bucket", F.lit(1).alias("kind"), "chunk", "body", *(null(kinds[c], c) for c in COLUMNS)))
 
         def run(batches):
-            now, tree = None, None
+            now, states, part = None, [], None
             for batch in batches:
-                at, out = [], []
-                for i, (branch, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                    if branch != now:
-                        now, tree = branch, Branch(shared.value, None if kind else batch.column(4)[i].values)
-                    if kind:
-                        codes = _turned_back(_unpacked(branch, batch.column(3)[i].as_py())[0])
-                        at.append(i)
-                        out.append(tree.score(codes).tobytes())
-                part = batch.take(pa.array(at, pa.int64()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), part.column(3), pa.array(out, pa.binary())], names=["branch", "chunk", "body", "v"])
-
-        return rows.repartition("branch").sortWithinPartitions("branch", "kind").mapInArrow(lean(run), "branch int, chunk bigint, body binary, v binary")
+                buckets, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                cuts = np.flatnonzero((buckets[1:] != buckets[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+                for a, b in pairwise([0, *cuts.tolist(), len(buckets)] if len(buckets) else []):
+                    if buckets[a] != now:
+                        now, states, part = buckets[a], [], None
+                    rows = batch.slice(a, b - a)
+                    if kinds[a] == 0:
+                        states.append(rows.select(COLUMNS))
+                        continue
+                    if part is None:
+                        part, states = Part(shared.value, states), []
+                    bodies = [_codes(body.as_py()) for body in rows.column(3)]
+                    v = np.split(part.score(np.concatenate(bodies)), np.cumsum([len(x) for x in bodies])[:-1])
+                    yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2), rows.column(3), pa.array([x.tobytes() for x in v], pa.binary())], names=["bucket", "chunk", "body", "v"])
+
+        return rows.repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(lean(run), "bucket int, chunk bigint, body binary, v binary")
 
     def score(self, code: np.ndarray) -> np.ndarray:
         """log10 probability of each code's symbol after its longest suffix state."""
         out = self.head.score(code)
         far = np.isnan(out)
         if far.any():
-            codes = np.unique(_turned(code[far]))
-            rows = self.answers(self.states.sparkSession.createDataFrame(asked(codes, 0), "branch int, chunk bigint, body binary")).orderBy("branch").collect()
-            v = np.frombuffer(b"".join(r.v for r in rows))
-            out[far] = v[np.searchsorted(codes, _turned(code[far]))]
+            wanted = np.unique(code[far])
+            rows = self.answers(self.states.sparkSession.createDataFrame(asked(wanted, 0, self.buckets), ASKED)).collect()
+            codes, v = np.concatenate([_codes(bytes(r.body)) for r in rows]), np.frombuffer(b"".join(r.v for r in rows))
+            order = np.argsort(codes)
+            out[far] = v[order][np.searchsorted(codes[order], code[far])]
         return out
 
 
 def _summed_answers(batches):
     """(row, far_score) of texts (chunk, kind 1, row, grams) behind the answers (chunk, kind
-    0, branch, body, v) to their chunk, which come in order of their codes."""
+    0, body, v) to their chunk."""
     now, codes, v, known = None, [], [], None
     for batch in batches:
         chunks, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
         cuts = np.flatnonzero((chunks[1:] != chunks[:-1]) | (kinds[1:] != kinds[:-1])) + 1
-        for a, b in pairwise([0, *cuts.tolist(), len(chunks)]):
+        for a, b in pairwise([0, *cuts.tolist(), len(chunks)] if len(chunks) else []):
             if chunks[a] != now:
                 now, codes, v, known = chunks[a], [], [], None
             part = batch.slice(a, b - a)
             if kinds[a] == 0:
-                for branch, body, value in zip(part.column(2).to_pylist(), part.column(3), part.column(4), strict=True):
-                    codes.append(_unpacked(branch, body.as_py())[0])
-                    v.append(np.frombuffer(value.as_py()))
+                codes += [_codes(body.as_py()) for body in part.column(2)]
+                v += [np.frombuffer(value.as_py()) for value in part.column(3)]
                 continue
             if known is None:
                 known = (np.concatenate(codes), np.concatenate(v))
-                codes, v = [], []
-            grams_ = part.column(6)
-            flat, size = pa.compute.list_flatten(grams_).to_numpy().view(np.uint64), pa.compute.list_value_length(grams_).to_numpy()
+                order, codes, v = np.argsort(known[0]), [], []
+                known = (known[0][order], known[1][order])
+            grams_ = part.column(5)
+            flat, size = pa.compute.list_flatten(grams_).to_numpy(), pa.compute.list_value_length(grams_).to_numpy()
             total = np.append(0.0, np.cumsum(known[1][np.searchsorted(known[0], flat)]))
             stop = np.cumsum(size)
-            yield pa.RecordBatch.from_arrays([part.column(5), pa.array(total[stop] - total[stop - size])], names=["row", "far_score"])
+            yield pa.RecordBatch.from_arrays([part.column(4), pa.array(total[stop] - total[stop - size])], names=["row", "far_score"])
 
 
 class Cached:
@@ -432,17 +523,17 @@ class Cached:
         return out
 
 
-STATES = "k int, ctx bigint, total bigint, symbols array<smallint>, v array<double>"
-
-
-def build_tree(texts: DataFrame, *, divergence: float = 12.0, head_entries: int = 2_000_000) -> Tree:
+def build_tree(texts: DataFrame, *, depth: int = DEPTH, divergence: float = 12.0, head_entries: int = 2_000_000) -> Tree:
     """The tree of a one-column frame of texts; without any text, all symbols are as likely.
     Its head has the states of LOW symbols and fewer and, up to ``head_entries``, those of
-    the largest counts, as quarter powers of two."""
+    the largest counts, as quarter powers of two. ``depth`` is from 4 to 7."""
+    if not BRANCH <= depth <= 7:
+        raise ValueError("contexts have 4 to 7 symbols at most")
     spark = texts.sparkSession
-    packed = texts.mapInArrow(lean(_count_grams), "branch int, body binary").repartition("branch").sortWithinPartitions("branch")
-    grams_, grams_at = staged(packed.mapInArrow(lean(_merged), "branch int, body binary"), "grams")
-    found = grams_.filter("branch < 0").mapInArrow(lean(_low_counts), "code bigint, n bigint").toArrow()  # 256^3 rows at most
+    pack = "level int, key bigint, body binary"
+    packed = texts.mapInArrow(lean(_count_grams(depth)), pack).repartition("level", "key").sortWithinPartitions("level", "key")
+    grams_, grams_at = staged(packed.mapInArrow(lean(_merged), pack), "grams")
+    found = grams_.filter(F.col("level") == LOW).mapInArrow(lean(_short_counts(LOW)), "code bigint, n bigint").toArrow()  # 256^3 rows at most
     order = np.argsort(found["code"].to_numpy())
     counts = {LOW: (found["code"].to_numpy()[order], found["n"].to_numpy()[order])}
     for k in range(LOW - 1, -1, -1):
@@ -451,11 +542,18 @@ def build_tree(texts: DataFrame, *, divergence: float = 12.0, head_entries: int
     for k in range(LOW + 1):
         low.append(Level(k, *counts[k], low[-1] if low else None, divergence))
     shared = spark.sparkContext.broadcast(low[LOW])
-    tree, _ = staged(grams_.filter("branch >= 0").mapInArrow(lean(_grow(shared, divergence)), STATES), "tree")
+    threes = grams_.filter(F.col("level") == LOW + 1)
+    branches = grams_.filter(F.col("level") == BRANCH).withColumn("short", F.col("key").bitwiseAND(F.lit(MASK[LOW + 1])))
+    branches = branches.join(threes.select(F.col("key").alias("short"), F.col("body").alias("three")), "short").select("key", "body", "three")
+    long, long_at = staged(branches.mapInArrow(lean(_grow(shared, depth, divergence)), STATES), "tree")
+    continued = long.filter(F.col("k") == BRANCH).select(F.col("ctx").bitwiseAND(F.lit(MASK[LOW + 1])).alias("ctx")).distinct()
+    three = threes.mapInArrow(lean(_grow_three(shared, divergence)), f"{STATES}, stays boolean").join(continued.withColumn("longer", F.lit(True)), "ctx", "left")
+    short, _ = staged(three.filter("stays or longer").select(*COLUMNS), "tree")
+    tree = long.unionByName(short)
     shared.destroy()
     drop_staged(spark, grams_at)
 
-    lengthened = tree.filter(F.col("k") == LOW + 1).select(F.col("ctx").bitwiseAND(F.lit(MASK[LOW])).alias("ctx")).distinct().toArrow()  # 256^LOW rows at most
+    lengthened = short.select(F.col("ctx").bitwiseAND(F.lit(MASK[LOW])).alias("ctx")).distinct().toArrow()  # 256^LOW rows at most
     low[LOW].keep(lengthened["ctx"].to_numpy())
     for level, longer in zip(low[LOW - 1 :: -1], low[:0:-1], strict=True):
         level.keep(longer.ctx[longer.stays])
@@ -476,7 +574,8 @@ def build_tree(texts: DataFrame, *, divergence: float = 12.0, head_entries: int
     more = far.groupBy((F.col("k") - 1).alias("k"), F.expr("ctx & (shiftleft(1L, 8 * (k - 1)) - 1)").alias("ctx")).agg(*marks)
     near = tree.filter(step >= least).unionByName(spark.createDataFrame(pa.concat_tables([root, *(pa.Table.from_batches([x.states()]) for x in low[1:])]), STATES))
     head = near.join(more, ["k", "ctx"], "left").na.fill(0, [f"more{q}" for q in range(4)]).toArrow()  # head_entries entries at most
-    return Tree(Head(head), far)
+    buckets = max(16, -(-sum(m for k, m in sizes.items() if k < least) // BUCKET_ENTRIES))
+    return Tree(Head(head), far, buckets, depth)
 
 
 def common_words(counts: DataFrame, head: int) -> dict[bytes, float]:
@@ -507,7 +606,8 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.count("*").alias("distinct")).first()
     model = build_tree(train, **tree)
     shared = spark.sparkContext.broadcast((model.head, common_words(counts, head)))
-    kinds = [("chunk", pa.int64()), ("branch", pa.int32()), ("body", pa.binary())]
+    kinds = [("chunk", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary()), ("threes", pa.list_(pa.int64()))]
+    depth, buckets = model.depth, model.buckets
     schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary())), ("grams", pa.list_(pa.int64())), *kinds])
     none = math.log10(0.1)
 
@@ -517,19 +617,19 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
         chunk, wanted = TaskContext.get().partitionId() << 24, Sums()
 
         def requests() -> pa.RecordBatch:
-            rows = asked(wanted.all()[0], chunk)
+            rows = asked(wanted.all()[0], chunk, buckets)
             nulls = [pa.nulls(len(rows), f.type) for f in schema][:8]
-            return pa.RecordBatch.from_arrays([*nulls, *(pa.array([r[i] for r in rows], t) for i, (_, t) in zip((1, 0, 2), kinds, strict=True))], schema=schema)
+            return pa.RecordBatch.from_arrays([*nulls, *(pa.array([r[i] for r in rows], t) for i, (_, t) in zip((1, 0, 2, 3), kinds, strict=True))], schema=schema)
 
         for batch in batches:
             for a, b, texts in _slices(batch, SLICE_BYTES):
                 tokens = [words(t) for t in texts]
-                code, lengths = grams(tokens)
+                code, lengths = grams(tokens, depth)
                 logs, starts = tree(code), np.cumsum(lengths) - lengths
                 far = np.isnan(logs)
                 score = np.add.reduceat(np.where(far, 0.0, logs), starts)
                 bounds = np.append(0, np.cumsum(np.add.reduceat(far.astype(np.int64), starts)))
-                far = _turned(code[far])
+                far = code[far]
                 new = np.unique(far)
                 wanted.add(new, np.ones(len(new), np.int64))
                 tails, heads, sums = [], [], []
@@ -542,25 +642,25 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 yield pa.RecordBatch.from_arrays([
                     batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(t) + 1 for t in tokens], pa.int64()),
                     pa.array(heads, pa.int64()), pa.array(sums, pa.float64()), pa.array(score), pa.array(tails, schema.field("tail").type),
-                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(far.view(np.int64))),
-                    pa.array([chunk] * (b - a), pa.int64()), pa.nulls(b - a, pa.int32()), pa.nulls(b - a, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(far)),
+                    pa.array([chunk] * (b - a), pa.int64()), *(pa.nulls(b - a, t) for _, t in kinds[1:]),
                 ], schema=schema)
                 if wanted.held > GRAMS_HELD and len(wanted.all()[0]) > GRAMS_HELD:
                     yield requests()
                     chunk, wanted = chunk + 1, Sums()
         yield requests()
 
-    scored = docs.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, score double, tail array<binary>, grams array<bigint>, chunk bigint, branch int, body binary")
+    scored = docs.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, score double, tail array<binary>, grams array<bigint>, chunk bigint, bucket int, body binary, threes array<bigint>")
     everything, everything_at = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
-    scored = everything.filter("branch is null")
+    scored = everything.filter("bucket is null")
     tail = scored.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))
     tail = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("n_tail"), F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_score"))
-    answers = model.answers(everything.filter("branch is not null").select("branch", "chunk", "body"))
+    answers = model.answers(everything.filter("bucket is not null").select("bucket", "chunk", "body", "threes"))
     null = lambda kind: F.lit(None).cast(kind)
-    rows = answers.select("chunk", F.lit(0).alias("kind"), "branch", "body", "v", null("bigint").alias("row"), null("array<bigint>").alias("grams"))
-    rows = rows.unionByName(scored.filter(F.size("grams") > 0).select("chunk", F.lit(1).alias("kind"), null("int").alias("branch"), null("binary").alias("body"), null("binary").alias("v"), "row", "grams"))
-    far, _ = staged(rows.repartition("chunk").sortWithinPartitions("chunk", "kind", "branch").mapInArrow(lean(_summed_answers), "row bigint, far_score double"), "far")
-    out = scored.drop("tail", "grams", "chunk", "branch", "body").join(tail, "row", "left").join(far, "row", "left")
+    rows = answers.select("chunk", F.lit(0).alias("kind"), "body", "v", null("bigint").alias("row"), null("array<bigint>").alias("grams"))
+    rows = rows.unionByName(scored.filter(F.size("grams") > 0).select("chunk", F.lit(1).alias("kind"), null("binary").alias("body"), null("binary").alias("v"), "row", "grams"))
+    far, _ = staged(rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(lean(_summed_answers), "row bigint, far_score double"), "far")
+    out = scored.drop("tail", "grams", "chunk", "bucket", "body", "threes").join(tail, "row", "left").join(far, "row", "left")
     spread = math.log10(size.total + 0.1 * (size.distinct + 1))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(size.total).cast("bigint").alias("train_tokens"),

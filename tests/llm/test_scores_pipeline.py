@@ -32,10 +32,10 @@ def some_texts(n=60, seed=2):
 # LM scores
 
 
-def plain_tree(texts, divergence):
+def plain_tree(texts, divergence, DEPTH=DEPTH):  # noqa: N803
     """Scores of texts' codes by dictionaries: counts, smoothing, tests and longest states."""
     counts = [Counter() for _ in range(DEPTH + 1)]
-    for c in grams([words(t and t.encode()) for t in texts])[0].tolist():
+    for c in grams([words(t and t.encode()) for t in texts], DEPTH)[0].tolist():
         for k in range(DEPTH + 1):
             counts[k][c & ((1 << 8 * (k + 1)) - 1)] += 1
     total = sum(counts[0].values())
@@ -77,6 +77,47 @@ def test_tree_equals_plain(spark, divergence):
     assert np.allclose(tree.score(codes), [score(c) for c in codes.tolist()], atol=1e-9)
 
 
+@pytest.mark.parametrize("depth", [4, 5, 7])
+def test_depth_is_a_parameter(spark, depth):
+    texts = [t for _, t in some_texts()]
+    frame_ = spark.createDataFrame([(t,) for t in texts], "text string")
+    codes = grams([words(t.encode()) for t in ["the cat", "", "sand dogma überall", *texts[:5]]], depth)[0]
+    score = plain_tree(texts, 2.0, depth)
+    for head in (0, 2_000_000):
+        assert np.allclose(build_tree(frame_, depth=depth, divergence=2.0, head_entries=head).score(codes), [score(c) for c in codes.tolist()], atol=1e-9)
+    with pytest.raises(ValueError, match="4 to 7"):
+        build_tree(frame_, depth=8)
+
+
+def test_counts_beyond_32_bits():
+    code, n = np.array([3, 9, 200], np.uint64), np.array([1, 2**32 + 7, 2**50], np.int64)
+    for level, key in ((suffix_tree.BRANCH, 2**32 - 1), (suffix_tree.LOW + 1, 5), (suffix_tree.LOW, 0xFFFF)):
+        got = suffix_tree._unpacked(level, key, suffix_tree._packed(level, code, n))
+        assert got[1].tolist() == n.tolist() and (got[0] & np.uint64(0xFF)).tolist() == [3, 9, 200]
+        _, _, body = suffix_tree._sum_of(level, key, [suffix_tree._packed(level, code, n)] * 3)
+        assert suffix_tree._unpacked(level, key, body)[1].tolist() == (3 * n).tolist()
+    turned = np.random.default_rng(1).integers(-(2**63), 2**63, 99)
+    assert suffix_tree._turned_back(suffix_tree._turned(turned)).tolist() == turned.tolist()
+
+
+def test_branches_and_buckets_are_split(spark, monkeypatch):
+    """Branches that end in the same three symbols are grown apart, and asked in many buckets."""
+    monkeypatch.setattr(suffix_tree, "BRANCH_GRAMS", 5)
+    monkeypatch.setattr(suffix_tree, "BUCKET_ENTRIES", 10)
+    texts = [t for _, t in some_texts(80, 5)]
+    tree = build_tree(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), divergence=2.0, head_entries=0)
+    codes, score = grams([words(t.encode()) for t in texts[:30]])[0], plain_tree(texts, 2.0)
+    assert tree.buckets > 20 and np.allclose(tree.score(codes), [score(c) for c in codes.tolist()], atol=1e-9)
+    rows = suffix_tree.asked(np.unique(codes), 7, tree.buckets)
+    assert len(rows) > 10 and sorted(c for r in rows for c in suffix_tree._codes(r[2]).tolist()) == np.unique(codes).tolist()
+
+
+def test_bytes_zero_and_one_are_told_apart(spark):
+    docs = [(i, "a\0b c\1d " * 20) for i in range(1, 9)] + [(20, "a\0b"), (21, "a\1b")]
+    rows = {r.doc_id: r.score for r in score_texts(frame(spark, docs), divergence=2.0).collect()}
+    assert rows[20] > rows[21]
+
+
 def test_scores(spark):
     docs = [*some_texts(), (900, None), (901, ""), (902, "the cat " * 20000), (903, "never seen words"), (904, "The\x0bCAT")]
     rows = {r.doc_id: r for r in score_texts(frame(spark, docs), head=3).collect()}
@@ -96,7 +137,7 @@ def test_score_edges(spark):
 
 def test_probabilities_sum_to_one(spark):
     tree = build_tree(spark.createDataFrame([(t,) for _, t in some_texts()], "text string"), divergence=2.0)
-    for context in (b"\0\0\0\0\0", b"he ca", b"t the", b"zzzzz"):
+    for context in (b"\xff\xff\xff\xff\xff", b"he ca", b"t the", b"zzzzz"):
         base = int.from_bytes(context, "big") << 8
         assert (10 ** tree.score(np.arange(256) + base)).sum() == pytest.approx(1, abs=1e-6)
 
@@ -105,10 +146,10 @@ def test_states_beyond_the_head_count(spark):
     docs = some_texts(120)
     texts = [t for d, t in docs if crc32(str(d).encode()) % 10]
     score = plain_tree(texts, 2.0)
-    assert DEPTH >= 7
+    assert DEPTH >= 6
     train = spark.createDataFrame([(t,) for t in texts], "text string")
     codes = grams([words(t.encode()) for _, t in docs])[0]
-    for head in (0, 40, 400):  # no size of the head changes a probability
+    for head in (0, 40, 90):  # no size of the head changes a probability
         tree = build_tree(train, divergence=2.0, head_entries=head)
         assert np.isnan(tree.head.score(codes)).any() and np.allclose(tree.score(codes), [score(c) for c in codes.tolist()], atol=1e-9)
     rows = {r.doc_id: r.score for r in score_texts(frame(spark, docs), divergence=2.0, head_entries=40).collect()}
