@@ -238,12 +238,16 @@ def find_groups(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = rows.filter(F.col("place") <= F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1)
     rare, rare_at = staged(rows.select("h", "id", "n", "place").distinct().join(open_.withColumnRenamed("doc_id", "id"), "id"), "rare")
     few = rare.filter(F.col("place") <= F.col("n") - F.expr(f"(n * {2 * percent} + {99 + percent}) div {100 + percent}") + 1)
-    apart = few.select("h", F.col("label").alias("one")).distinct().join(rare.select("h", F.col("label").alias("other")).distinct(), "h").filter("one <> other")
-    side = lambda df, label, name: df.select("h", F.col("label").alias(label), F.col("id").alias(name), F.struct("n", "place").alias(f"_{name}"))
-    x, y = F.col("_x"), F.col("_y")
-    enough = ((x["n"] + y["n"]) * percent + 99 + percent) / (100 + percent)
-    fit = ((x["n"] < y["n"]) | ((x["n"] == y["n"]) & (F.col("x") < F.col("y")))) & (x["n"] * 100 >= y["n"] * percent) & (1 + F.least(x["n"] - x["place"], y["n"] - y["place"]) >= F.floor(enough))
-    met = apart.join(side(few, "one", "x"), ["h", "one"]).join(side(rare, "other", "y"), ["h", "other"]).filter(fit)
+    # sets of one component and size are one group until two groups turn out to be near enough
+    grouped = lambda df, name: df.groupBy("h", "label", "n").agg(F.max(F.col("n") - F.col("place")).alias("left")).alias(name)
+    enough = lambda p, q: F.floor(((p + q) * percent + 99 + percent) / (100 + percent))
+    x, y = grouped(few, "x"), grouped(rare, "y")
+    near_sizes = (F.col("x.n") <= F.col("y.n")) & (F.col("x.n") * 100 >= F.col("y.n") * percent)
+    fit = (F.col("x.h") == F.col("y.h")) & (F.col("x.label") != F.col("y.label")) & near_sizes & (1 + F.least("x.left", "y.left") >= enough(F.col("x.n"), F.col("y.n")))
+    apart = x.join(y, fit).select("x.h", F.col("x.label").alias("one"), F.col("x.n").alias("p"), F.col("y.label").alias("other"), F.col("y.n").alias("q"))
+    side = lambda df, label, size, name: df.select("h", F.col("label").alias(label), F.col("n").alias(size), F.col("id").alias(name), (F.col("n") - F.col("place")).alias(f"_{name}"))
+    met = apart.join(side(few, "one", "p", "x"), ["h", "one", "p"]).join(side(rare, "other", "q", "y"), ["h", "other", "q"])
+    met = met.filter((1 + F.least("_x", "_y") >= enough(F.col("p"), F.col("q"))) & ((F.col("p") < F.col("q")) | (F.col("x") < F.col("y"))))
     second = sketched(met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct())
     more, more_at = verified(second)
     final, final_at = components(labels.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
