@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -115,13 +116,17 @@ class Ledger:
         if taken:
             raise Conflict(f"version {version} is there")
 
-    def append(self, new: DataFrame, tries: int = 10) -> tuple[int, int]:
+    def append(self, new: DataFrame, tries: int = 10, check: Callable[[DataFrame], None] | None = None) -> tuple[int, int]:
         """(version, rows): add the rows whose key is not stored, as one version. A stored key
         with other content stops it. A writer that another one overtakes looks again at the
-        buckets it touches, so that what both bring is stored once."""
+        buckets it touches, so that what both bring is stored once. ``check`` is called with
+        all rows of the version that the new one follows, and stops the append by raising:
+        what it finds still holds when the version is published, as no other came between."""
         new = new.select(*self.schema.names)
         for _ in range(tries):
             version, files = self.files()
+            if check is not None:
+                check(self._rows(files))
             rows = insert(new, self.touched(new, files), self.key, self.digest)
             added = self._write(rows)
             if not added:

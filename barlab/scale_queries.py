@@ -10,7 +10,7 @@ from barlab.operators import evaluation, ledger, ordered, readmodels, signals, s
 from barlab.operators.commits import Ledger
 from barlab.operators.staging import staged_path
 from barlab.paper_queries import paper_orders, strategies
-from barlab.plans import research
+from barlab.plans import research, trials
 from barlab.queries import BARS, SQL, TRADES, bars, load, made_trades, query, s6
 
 # ---- clusters of trials: five variants of each contract's returns, the later the noisier
@@ -139,7 +139,34 @@ def _(spark, sf):
     return got.groupBy("identifier").agg(F.count("*").alias("nodes"), F.count_if("broken").alias("broken"), F.max("distance").alias("furthest"))
 
 
-# ---- ledgers, files, long contracts
+# ---- trials as events, ledgers, files, long contracts
+
+
+def trial_events(spark, sf):
+    """A start of every order's trial, and the end of those that are over."""
+    o, key = load(spark, sf, "orders"), F.col("o_orderkey").cast("string")
+    text = lambda c, name: c.cast("string").alias(name)
+    none = lambda *names: [F.lit(None).cast("string").alias(n) for n in names]
+    start = o.select(
+        key.alias("trial_id"), F.lit("STARTED").alias("event"), text(F.col("o_orderpriority"), "dataset"), F.lit("p").alias("protocol"), F.when(F.col("o_orderkey") % 3 == 0, "FIXTURE").otherwise("PRODUCTION").alias("mode"), text(F.col("o_custkey"), "strategy_id"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("experiment_id"), F.lit("research").alias("zone"), *none("status"), (F.col("o_totalprice") / 1000).alias("minutes"), F.lit(0.5).alias("cost"), *none("artifact_sha256"), F.col("o_orderdate").cast("timestamp").alias("at"),
+    )
+    over = o.filter("o_orderstatus <> 'O'")
+    end = over.select(
+        key.alias("trial_id"), F.lit("ENDED").alias("event"), *none("dataset", "protocol", "mode", "strategy_id", "experiment_id", "zone"), F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("FAILED").alias("status"),
+        (F.col("o_totalprice") / 2000).alias("minutes"), F.lit(0.25).alias("cost"), *none("artifact_sha256"), (F.col("o_orderdate").cast("timestamp") + F.expr("interval 1 hour")).alias("at"),
+    )
+    return start.unionByName(end).withColumn("digest", ledger.content_digest(trials.CONTENT))
+
+
+@query("q_trial_states", """SELECT o_orderpriority AS dataset, CASE WHEN o_orderkey % 3 = 0 THEN 'FIXTURE' ELSE 'PRODUCTION' END AS mode, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'FAILED' ELSE 'RUNNING' END AS status, count(*) AS trials, count(DISTINCT o_custkey) AS strategies,
+ round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 1000 ELSE o_totalprice / 2000 END), 4) + 0.0 AS minutes, sum(CASE WHEN o_orderstatus = 'O' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END) AS cost FROM orders GROUP BY 1, 2, 3""")
+def _(spark, sf):
+    """Events written as a version of a ledger, and the trials as they leave them."""
+    kept = trials.Trials(spark, staged_path(spark, "trials"))
+    kept.store.append(trial_events(spark, sf))
+    used = ledger.usage(kept.state(), ["dataset", "mode", "status"])
+    return used.select("dataset", "mode", "status", "trials", "strategies", rounded(F.col("minutes"), 4).alias("minutes"), "cost")
 
 
 @query("q_ledger_commits", "SELECT 1::BIGINT AS version, count(*) AS rows FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT 2, (SELECT count(*) FROM events) UNION ALL SELECT 3, (SELECT count(*) FROM events)")
