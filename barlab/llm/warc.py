@@ -30,18 +30,29 @@ class Archive:
     responses: DataFrame
     revisits: DataFrame
     payloads: DataFrame
+    tables: tuple[str, ...] = ()
+    paths: tuple[str, ...] = ()
 
     @property
     def records(self) -> DataFrame:
         return self.responses.unionByName(self.revisits)
 
+    def drop(self) -> None:
+        """Remove the archive: its tables from the catalogue, and its files."""
+        spark = self.revisits.sparkSession
+        for name in self.tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
+        drop_staged(spark, *self.paths)
 
-def bucketed(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder with a file for each digest bucket."""
+
+def bucketed(df: DataFrame, name: str) -> tuple[DataFrame, str, str]:
+    """``df``, dealt by the digest, as a table in the shared folder with a file for each
+    digest bucket; its name and its path. Rows of a bucket are in one task, whose file is
+    then the bucket's only one."""
     spark = df.sparkSession
-    n, table_ = int(spark.conf.get("spark.sql.shuffle.partitions")), f"barlab_{name}_{uuid.uuid4().hex}"
-    df.write.bucketBy(n, "sha256").sortBy("sha256").option("path", staged_path(spark, name)).saveAsTable(table_)
-    return spark.table(table_)
+    n, table_, path = int(spark.conf.get("spark.sql.shuffle.partitions")), f"barlab_{name}_{uuid.uuid4().hex}", staged_path(spark, name)
+    df.write.bucketBy(n, "sha256").sortBy("sha256").option("path", path).saveAsTable(table_)
+    return spark.table(table_), table_, path
 
 
 def end_mark() -> Column:
@@ -86,17 +97,18 @@ def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "
     body = F.coalesce(F.col(body_col), F.lit(""))
     date = F.lit(captured) if date_col is None else F.coalesce(F.date_format(F.col(date_col).cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(captured))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), date.alias("date"), body.alias("body")).withColumn("sha256", F.sha2("body", 256))
-    payloads = bucketed(rows.groupBy("sha256").agg(F.first("body").cast("binary").alias("body")), "payloads")
+    payloads, *payloads_at = bucketed(rows.groupBy("sha256").agg(F.first("body").cast("binary").alias("body")), "payloads")
     facts = rows.select("page_id", "url", "date", "sha256", F.octet_length("body").alias("size"), base32_sha1(F.col("body")).alias("digest"))
     latest = facts.groupBy("sha256").agg(F.max("page_id").alias("response"))
     other = (F.col("size") >= least_bytes) & ~F.col("page_id").eqNullSafe(F.col("response"))
     refers_to = F.when(other, F.col("response"))
     records = facts.join(latest, "sha256").select("page_id", "sha256", refers_to.isNotNull().alias("again"), header(F.col("page_id"), F.col("url"), F.col("date"), refers_to, F.col("digest"), F.col("size")).cast("binary").alias("header"))
     records, records_at = staged(records, "records")
-    responses = bucketed(records.filter("not again").drop("again"), "responses")
-    revisits, _ = staged(records.filter("again").drop("again"), "revisits")
+    buckets = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    responses, *responses_at = bucketed(records.filter("not again").drop("again").repartition(buckets, "sha256"), "responses")
+    revisits, revisits_at = staged(records.filter("again").drop("again"), "revisits")
     drop_staged(pages.sparkSession, records_at)
-    return Archive(responses, revisits, payloads)
+    return Archive(responses, revisits, payloads, (payloads_at[0], responses_at[0]), (payloads_at[1], responses_at[1], revisits_at))
 
 
 def verified_payloads(archive: Archive) -> DataFrame:
@@ -144,7 +156,10 @@ def read_archive(archive: Archive) -> DataFrame:
 
 def op5_warc(spark, sf_dir: str) -> DataFrame:
     """Every page's record, written to an archive and read back."""
-    return read_archive(write_archive(table(spark, sf_dir, "pages")))
+    archive = write_archive(table(spark, sf_dir, "pages"))
+    out = read_archive(archive)  # staged, so that the archive is not needed any more
+    archive.drop()
+    return out
 
 
 _DIGIT = lambda i, k: f"substr('{BASE32}', (((('0x' || substr(h, {5 * i + 1}, 5))::BIGINT >> {15 - 5 * k}) & 31) + 1)::INTEGER, 1)"

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlab.llm import gif
+from barlab.llm import gif, warc
 from barlab.llm.gif import Frame, decode, encode, frame_table, lzw_decode, lzw_encode, media_of, samples, store
 from barlab.llm.token_files import default_tokenizer, encoder_of, pack, read_ids, read_token_files, unpack, write_token_files
 from barlab.llm.warc import Archive, original_records, read_archive, write_archive
@@ -252,3 +252,15 @@ def test_code_sizes_that_the_format_lacks():
     for size in (0, 1, 9):
         with pytest.raises(ValueError):
             gif.lzw_decode(b"\x44\x01", size, 4)
+
+
+def test_archives_have_a_file_for_each_bucket_and_leave_no_table(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"u{i}", f"<p>{i % 90}</p>") for i in range(400)], "page_id bigint, url string, html string").repartition(23)
+    archive = warc.write_archive(pages)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert len(archive.responses.inputFiles()) <= buckets and len(archive.payloads.inputFiles()) <= buckets
+    assert archive.responses.count() == 90 and archive.revisits.count() == 310
+    archive.drop()
+    pages.write.parquet(f"{tmp_path}/pages.parquet")
+    assert warc.op5_warc(spark, str(tmp_path)).count() == 400
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("barlab_")]
