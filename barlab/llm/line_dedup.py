@@ -5,8 +5,8 @@ variant of one equals the other or, with the same place deleted, a variant of th
 All variants of all lines would be as many as the text's characters, so they are made from
 coarse to fine: first a quarter of the line is deleted, then sixteenths of the quarters
 whose variants another line has, and so on down to single characters. A variant's key is a
-hash of its place, what stands before it and what stands behind it; a place that no other
-line shares is dropped before it is made finer. No step pairs the lines of a bucket: in a
+hash of its place, what stands before it and what stands behind it, of 128 bits in the last
+step; a place that no other line shares is dropped before it is made finer. No step pairs the lines of a bucket: in a
 bucket of changes at one place all lines are within one edit of the earliest, and in one of
 deletions each variant needs the one line that equals it. Candidates are verified by edit
 distance at the end.
@@ -80,17 +80,17 @@ def nearest_earlier(documents: DataFrame, id_col: str = "doc_id", text_col: str
         state_at, step = path, step + 1
 
     short = F.col("n") == F.col("q")
-    cut = lambda at: F.xxhash64(F.concat(F.substring("line", F.lit(1), at), F.substring("line", at + 2, F.col("n"))))
+    # here a key stands for its earliest line before that is verified, so it has 128 bits
+    named = lambda kind, *parts: F.struct(F.lit(kind).alias("kind"), F.xxhash64(*parts).alias("key"), F.xxhash64(F.lit(1), *parts).alias("key2"))
+    cut = lambda at: F.concat(F.substring("line", F.lit(1), at), F.substring("line", at + 2, F.col("n")))
     variants = F.when(short, F.array(
-        F.struct(F.lit("change").alias("kind"), F.xxhash64("q", "low", F.substring("line", F.lit(1), F.col("low")), F.substring("line", F.col("low") + 2, F.col("n"))).alias("key")),
-        F.struct(F.lit("whole").alias("kind"), F.xxhash64("line").alias("key")),
-    )).otherwise(F.transform(F.array_distinct(F.array(F.col("low"), F.least(F.col("low") + 1, F.col("n") - 1))), lambda at: F.struct(F.lit("lack").alias("kind"), cut(at).alias("key"))))
+        named("change", "q", "low", F.substring("line", F.lit(1), F.col("low")), F.substring("line", F.col("low") + 2, F.col("n"))), named("whole", "line"),
+    )).otherwise(F.transform(F.array_distinct(F.array(F.col("low"), F.least(F.col("low") + 1, F.col("n") - 1))), lambda at: named("lack", cut(at))))
     found = state.select("h1", "h2", "first", F.explode(variants).alias("v")).select("h1", "h2", "first", "v.*").distinct()
     found, found_at = staged(found, "variants")
-    change = found.filter("kind = 'change'").groupBy("key").agg(F.min("first").alias("of"))
-    other = found.filter("kind <> 'change'").groupBy("key", "kind").agg(F.min("first").alias("of"))
-    other = other.withColumn("kind", F.when(F.col("kind") == "whole", "lack").otherwise("whole"))
-    candidates = found.join(change.withColumn("kind", F.lit("change")).unionByName(other), ["kind", "key"]).filter(F.col("of") < F.col("first"))
+    earliest = found.groupBy("kind", "key", "key2").agg(F.min("first").alias("of"))
+    of_kind = F.when(F.col("kind") == "whole", "lack").when(F.col("kind") == "lack", "whole").otherwise(F.col("kind"))
+    candidates = found.join(earliest.withColumn("kind", of_kind), ["kind", "key", "key2"]).filter(F.col("of") < F.col("first"))
     candidates = candidates.select("h1", "h2", "of").distinct()
     texts = state.groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("first").alias("first"))
     both = candidates.join(texts.select("h1", "h2", "line"), ["h1", "h2"]).join(texts.select(F.col("first").alias("of"), F.col("line").alias("of_line")), "of")
