@@ -22,9 +22,14 @@ from barlab.llm.token_files import default_tokenizer, read_token_files, write_to
 from barlab.llm.toxicity import without_toxic
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def text_batches(spark: SparkSession, rows: int = 2_000) -> None:
-    """Smaller Arrow batches than Spark's usual 10,000 rows, as each row has a whole text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    """Smaller Arrow batches than Spark's usual 10,000 rows, as each row has a whole text. A
+    stage's frame is computed after the stage returns, so the setting stays; run() puts the
+    session's own back."""
+    spark.conf.set(BATCH, str(rows))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +73,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = table(spark, sf_dir, "documents"), None
-    for name, stage in STAGES[:-1]:
-        old = path
-        docs, path = staged(stage(spark, docs, sf_dir), name)
-        if old:
-            drop_staged(spark, old)
-    out = STAGES[-1][1](spark, docs, sf_dir)
-    drop_staged(spark, path)  # the token files are written, and nothing else is read from here on
+    docs, path, before = table(spark, sf_dir, "documents"), None, spark.conf.get(BATCH)
+    try:
+        for name, stage in STAGES[:-1]:
+            old = path
+            docs, path = staged(stage(spark, docs, sf_dir), name)
+            if old:
+                drop_staged(spark, old)
+        out = STAGES[-1][1](spark, docs, sf_dir)
+        drop_staged(spark, path)  # the token files are written, and nothing else is read from here on
+    finally:
+        spark.conf.set(BATCH, before)
     return out
