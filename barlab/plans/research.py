@@ -187,3 +187,24 @@ def null_runs(spark: SparkSession, seeds: list[int], level: float = 1.645) -> Da
     made = backtest.trades(signals.momentum(bars, session_bars=60))
     t = F.try_divide(F.avg("net_bps") * F.sqrt(F.count("*")), F.stddev_samp("net_bps"))
     return made.groupBy("contract").agg(t.alias("t")).withColumn("passes", F.coalesce(F.col("t") > level, F.lit(False)))
+
+
+def acquisition(bars: DataFrame, signal, *, nulls: int = 200, controls: int = 100, edge_bps: float = 10.0, cost_bps: float = 2.0, level: float = 2.576) -> DataFrame:
+    """(kind, runs, passes, ok): whether a signal of volumes finds what is there and nothing
+    else. ``nulls`` copies of the bars lose their direction, ``controls`` copies do too and
+    then have an edge planted behind the signal; a copy passes when the t value of its net
+    returns, over all contracts, is above ``level``. ``ok`` is the verdict of the exact gate
+    on the counted passes. Copies are rows under their own contract names, so all runs are
+    one plan that grows with bars and runs."""
+    plain = bars.select("contract", "ts", "open", "high", "low", "close", "volume", "open_interest")
+    copies = lambda n, kind: plain.withColumn("run", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("contract", F.concat_ws("#", "contract", F.lit(kind), "run")).drop("run")
+    edged = synthetic.planted_edge(signal(synthetic.directional_null(copies(controls, "control"))), edge_bps, cost_bps).select(plain.columns)
+    both = synthetic.directional_null(copies(nulls, "null")).select(plain.columns).unionByName(edged)
+    schedule = backtest.cost_schedule(bars.sparkSession, [("0001-01-01", None, cost_bps)])
+    made = backtest.trades(signal(both), schedule=schedule).withColumn("kind", F.element_at(F.split("contract", "#"), -2)).withColumn("run", F.element_at(F.split("contract", "#"), -1))
+    t = F.try_divide(F.avg("net_bps") * F.sqrt(F.count("*")), F.stddev_samp("net_bps"))
+    passed = made.groupBy("kind", "run").agg(F.coalesce(t > level, F.lit(False)).alias("passed"))
+    counted = passed.groupBy("kind").agg(F.count_if("passed").alias("passes"))
+    counted = counted.withColumn("runs", F.when(F.col("kind") == "null", nulls).otherwise(controls).cast("bigint"))
+    ok = F.when(F.col("kind") == "null", statistics.false_pass("passes", "runs")).otherwise(statistics.detection("passes", "runs"))
+    return counted.select("kind", "runs", "passes", ok.alias("ok"))

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from barlab.functions.scalars import rounded
-from barlab.operators import evaluation, ledger, ordered, readmodels, signals, statistics, zones
+from barlab.operators import evaluation, ledger, ordered, readmodels, signals, statistics, synthetic, zones
 from barlab.operators.commits import Ledger
 from barlab.operators.staging import staged_path
 from barlab.paper_queries import paper_orders, strategies
@@ -239,3 +239,12 @@ def _(spark, sf):
         state = F.when(F.col("event_type") == kind, name).otherwise(state)
     t = load(spark, sf, "events").withColumn("to_state", state).select("user_id", "event_id", "to_state", F.lag("to_state").over(w).alias("from_state"))
     return t.join(ledger.step_table(spark), ["from_state", "to_state"], "left_semi").groupBy("from_state", "to_state").agg(F.count("*").alias("n"))
+
+
+@query("q_acquisition_runs")
+def _(spark, sf):
+    """200 directionless copies of the bars, their returns a hundredth as large, and 100 with
+    an edge, and the gates' verdicts on the counts."""
+    parts = synthetic.components(bars(spark, sf))
+    calm = synthetic.rebuilt(parts.withColumns({c: F.col(c) / 100 for c in ("gap", "intrabar", "wick_up", "wick_down")}))
+    return research.acquisition(calm, lambda b: signals.volume_tail(b, quantile=0.9, lookback=5), edge_bps=60.0)

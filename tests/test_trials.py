@@ -91,3 +91,16 @@ def test_checks_see_the_version_that_is_followed(spark, tmp_path):
     with pytest.raises(RuntimeError, match="no more"):
         led.append(row(3), check=lambda df: (_ for _ in ()).throw(RuntimeError("no more")))
     assert seen == [0, 1] and led.read().agg(F.max("k")).first()[0] == 2
+
+
+def test_acquisition_finds_what_is_planted_and_nothing_else(spark):
+    """The gates judge counted runs of given bars: an edge is found, its absence is seen."""
+    from barlab.operators import signals, synthetic
+
+    b = synthetic.generate(spark, [1, 2], sessions=12, bars=16)
+    signal = lambda rows: signals.volume_tail(rows, quantile=0.7, lookback=3)
+    got = {r.kind: r for r in research.acquisition(b, signal, edge_bps=60.0).collect()}
+    assert (got["null"].runs, got["null"].ok, got["control"].runs, got["control"].ok) == (200, True, 100, True)
+    assert got["null"].passes <= 4 and got["control"].passes >= 87
+    without = {r.kind: r for r in research.acquisition(b, signal, edge_bps=-2.0).collect()}
+    assert without["control"].ok is False and without["control"].passes < 10
