@@ -7,9 +7,10 @@ suffix's, times its count, reaches ``divergence`` nats, or when a longer context
 has it as suffix. Each distribution is interpolated with its suffix's, so every state gives
 proper probabilities. A symbol is scored by the longest suffix state of what stands before.
 
-Counting is distributed: tasks count the (context, symbol) grams of bounded slices and pack
-them by the four symbols before the predicted one, those of three and of two symbols apart.
-One shuffle brings the packs of equal symbols together and adds them up. Contexts of two
+Counting is distributed: tasks count the (context, symbol) grams of bounded slices and deal
+them to buckets by the four symbols before the predicted one, those of three and of two
+symbols apart. One shuffle brings the grams of a bucket together, where they are added up
+and packed by these symbols. Contexts of two
 symbols and fewer (65,793 at most) are treated on the driver, those of three each by its
 own, and all longer ones that end in the same four symbols, a branch of the tree, by numpy,
 some branches at a time. A branch of contexts of six symbols has 256^3 grams at most, so no
@@ -43,8 +44,9 @@ from barlab.llm.decontaminate import arrow_type
 DEPTH, BETA, END = 6, 4.0, b" "  # the usual depth; a symbol and seven before it fill 64 bits
 LOW, BRANCH = 2, 4  # contexts up to LOW symbols are treated on the driver, a branch has BRANCH
 STOP = b"\xff"  # the end symbol, and what stands before a text
-GRAM_BYTES, SLICE_BYTES, TABLE_BITS = 2 << 20, 1 << 20, 20
-GRAMS_HELD, WORDS_HELD, BRANCH_GRAMS, BUCKET_ENTRIES = 1_500_000, 400_000, 400_000, 500_000
+GRAM_BYTES, SLICE_BYTES, TABLE_BITS = 2 << 20, 1 << 20, 22
+GRAMS_HELD, WORDS_HELD, BRANCH_GRAMS, BUCKET_ENTRIES, LEAST_BUCKETS = 1_500_000, 400_000, 400_000, 500_000, 1024
+PRIME = 1_000_003  # spreads keys over buckets
 MASK = [(1 << 8 * k) - 1 for k in range(8)] + [-1]  # as signed 64-bit numbers
 
 
@@ -150,50 +152,60 @@ def _pack_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=["level", "key", "body"])
 
 
-def _gram_rows(code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    """Packs of sorted turned codes, and of their grams of three and of LOW symbols."""
+def _dealt(level: int, code: np.ndarray, n: np.ndarray, buckets: int) -> list[tuple[int, int, bytes]]:
+    """Rows (level, bucket, body) of codes in order: the codes of each bucket of keys, by the
+    steps from one to the next, and their counts."""
+    bucket = (code >> np.uint64(8 * CODE_BYTES[level]) & np.uint64(MASK[BRANCH])) % np.uint64(PRIME) % np.uint64(buckets)
+    order = np.argsort(bucket, kind="stable")
+    code, n, bucket = code[order], n[order], bucket[order]
+    edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]])) if len(code) else np.zeros(0, np.int64)
+    out = []
+    for i, j in pairwise(edges.tolist()):
+        size = max(1, (int(n[i:j].max()).bit_length() + 7) // 8)
+        out.append((level, int(bucket[i]), bytes([size]) + _planes(np.diff(code[i:j], prepend=np.uint64(0)), 8) + _planes(n[i:j].astype(np.uint64), size)))
+    return out
+
+
+def _gathered(body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The codes and counts of a row of a bucket."""
+    planes = np.frombuffer(body, np.uint8, offset=1).reshape(8 + body[0], -1).astype(np.uint64)
+    return np.cumsum(_numbers(planes[:8]), dtype=np.uint64), _numbers(planes[8:]).astype(np.int64)
+
+
+def _gram_rows(code: np.ndarray, n: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Rows of sorted turned codes, and of their grams of three and of LOW symbols."""
     three, m3 = summed((code >> np.uint64(32) & np.uint64(0xFFFFFF)) << np.uint64(8) | code & np.uint64(0xFF), n)
     low, m2 = summed(three & np.uint64(0xFFFFFF), m3)
-    return _pack_batch([*_packs(BRANCH, code, n), *_packs(LOW + 1, three, m3), *_packs(LOW, low, m2)])
+    return _pack_batch([*_dealt(BRANCH, code, n, buckets), *_dealt(LOW + 1, three, m3, buckets), *_dealt(LOW, low, m2, buckets)])
 
 
-def _count_grams(depth: int):
+def _count_grams(depth: int, buckets: int):
     def run(batches):
         held = Sums()
         for batch in batches:
             for _, _, texts in _slices(batch, GRAM_BYTES):
                 held.add(*np.unique(_turned(grams([words(t) for t in texts], depth)[0]), return_counts=True))
                 if held.held > GRAMS_HELD and len(held.all()[0]) > GRAMS_HELD:
-                    yield _gram_rows(*held.all())
+                    yield _gram_rows(*held.all(), buckets)
                     held = Sums()
-        yield _gram_rows(*held.all())
+        yield _gram_rows(*held.all(), buckets)
 
     return run
 
 
 def _merged(batches):
-    """One pack for each level and key: the sums of its packs, which come together."""
-    now, held, out, size = None, [], [], 0
+    """A pack for each key of a bucket, with the sums of the bucket's rows, which come together."""
+    now, held = None, Sums()
     for batch in batches:
-        for level, key, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-            if (level, key) != now:
+        for level, bucket, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            if (level, bucket) != now:
                 if now is not None:
-                    out.append(_sum_of(*now, held))
-                    size += len(out[-1][2])
-                    if size > SLICE_BYTES:
-                        yield _pack_batch(out)
-                        out, size = [], 0
-                now, held = (level, key), []
-            held.append(body.as_py())
+                    yield _pack_batch(_packs(now[0], *held.all()))
+                now, held = (level, bucket), Sums()
+            code, n = _gathered(body.as_py())
+            held.add(code, n)
     if now is not None:
-        yield _pack_batch([*out, _sum_of(*now, held)])
-
-
-def _sum_of(level: int, key: int, bodies: list[bytes]) -> tuple[int, int, bytes]:
-    if len(bodies) == 1:
-        return level, key, bodies[0]
-    code, n = summed(*(np.concatenate(x) for x in zip(*(_unpacked(level, key, b) for b in bodies), strict=True)))
-    return level, key, _packed(level, code, n)
+        yield _pack_batch(_packs(now[0], *held.all()))
 
 
 def _short_counts(level: int):
@@ -405,7 +417,7 @@ class Part:
 
 def _bucket(ctx: np.ndarray, buckets: int) -> np.ndarray:
     """The bucket of contexts, by their last BRANCH symbols."""
-    return (ctx & MASK[BRANCH]) % 1_000_003 % buckets
+    return (ctx & MASK[BRANCH]) % PRIME % buckets
 
 
 def asked(codes: np.ndarray, chunk: int, buckets: int) -> list[tuple[int, int, bytes, list[int]]]:
@@ -437,7 +449,7 @@ class Tree:
         probability of each code of the body, as 8-byte floats. A bucket gets the longer
         states of its branches, and those of three symbols that its requests name."""
         shared = requests.sparkSession.sparkContext.broadcast(self.head)
-        own = self.states.filter(F.col("k") >= BRANCH).withColumn("bucket", (F.col("ctx").bitwiseAND(F.lit(MASK[BRANCH])) % 1_000_003 % self.buckets).cast("int"))
+        own = self.states.filter(F.col("k") >= BRANCH).withColumn("bucket", (F.col("ctx").bitwiseAND(F.lit(MASK[BRANCH])) % PRIME % self.buckets).cast("int"))
         named = requests.select("bucket", F.explode("threes").alias("ctx")).distinct()
         short = self.states.filter(F.col("k") == LOW + 1).join(named, "ctx").select("bucket", *COLUMNS)
         null = lambda kind, name: F.lit(None).cast(kind).alias(name)
@@ -531,7 +543,8 @@ def build_tree(texts: DataFrame, *, depth: int = DEPTH, divergence: float = 12.0
         raise ValueError("contexts have 4 to 7 symbols at most")
     spark = texts.sparkSession
     pack = "level int, key bigint, body binary"
-    packed = texts.mapInArrow(lean(_count_grams(depth)), pack).repartition("level", "key").sortWithinPartitions("level", "key")
+    buckets = max(LEAST_BUCKETS, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # a task has some of them, one at a time
+    packed = texts.mapInArrow(lean(_count_grams(depth, buckets)), pack).repartition("level", "key").sortWithinPartitions("level", "key")
     grams_, grams_at = staged(packed.mapInArrow(lean(_merged), pack), "grams")
     found = grams_.filter(F.col("level") == LOW).mapInArrow(lean(_short_counts(LOW)), "code bigint, n bigint").toArrow()  # 256^3 rows at most
     order = np.argsort(found["code"].to_numpy())

@@ -264,3 +264,78 @@ def test_archives_have_a_file_for_each_bucket_and_leave_no_table(spark, tmp_path
     pages.write.parquet(f"{tmp_path}/pages.parquet")
     assert warc.op5_warc(spark, str(tmp_path)).count() == 400
     assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("barlab_")]
+
+
+def outside_decoder(data):
+    """A GIF's frames as (indices, palette, delay), read from the format's description by
+    nothing of the library: codes as bit strings, the table as a list of byte strings."""
+    assert data[:6] in (b"GIF87a", b"GIF89a")
+    flags, at = data[10], 13
+    shared = data[at : at + 3 * 2 ** ((flags & 7) + 1)] if flags & 0x80 else None
+    at += len(shared or b"")
+    delay, out = 0, []
+    while data[at] != 0x3B:
+        if data[at] == 0x21:
+            if data[at + 1] == 0xF9:
+                delay = int.from_bytes(data[at + 4 : at + 6], "little")
+            at += 2
+            while data[at]:
+                at += data[at] + 1
+            at += 1
+            continue
+        assert data[at] == 0x2C
+        w, h, flags = int.from_bytes(data[at + 5 : at + 7], "little"), int.from_bytes(data[at + 7 : at + 9], "little"), data[at + 9]
+        at += 10
+        own = data[at : at + 3 * 2 ** ((flags & 7) + 1)] if flags & 0x80 else shared
+        at += len(own) if flags & 0x80 else 0
+        size, at, body = data[at], at + 1, b""
+        while data[at]:
+            body += data[at + 1 : at + 1 + data[at]]
+            at += data[at] + 1
+        at += 1
+        bits, pos, clear = int.from_bytes(body, "little"), 0, 1 << size
+        words, width, last, pixels = [], size + 1, None, bytearray()
+        while True:
+            code = (bits >> pos) & ((1 << width) - 1)
+            pos += width
+            if code == clear:
+                words, width, last = [bytes([i]) for i in range(clear)] + [b"", b""], size + 1, None
+                continue
+            if code == clear + 1:
+                break
+            if last is None:
+                word = words[code]
+            else:
+                word = words[code] if code < len(words) else last + last[:1]
+                if len(words) < 4096:
+                    words.append(last + word[:1])
+            pixels += word
+            last = word
+            if len(words) == 1 << width and width < 12:
+                width += 1
+        assert len(pixels) == w * h
+        out.append((bytes(pixels), own, delay))
+    return out
+
+
+def test_media_against_an_outside_decoder(spark):
+    """The stored bytes are a GIF whose gray levels are the text, and the feature counts them."""
+    texts = ["", None, "short", "ab" * 4000, "ü€ " * 30_000, "".join(map(chr, range(1, 300))) * 40]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    media = {r.doc_id: bytes(r.gif) for r in gif.stored_media(docs).collect()}
+    rows = {r.doc_id: r for r in gif.media_of(docs).collect()}
+    for i, text in enumerate(texts):
+        frames = outside_decoder(media[i])
+        payload = b"".join(bytes(p[3 * x] for x in pixels) for pixels, p, _ in frames)
+        raw = (text or "").encode()
+        assert payload == raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        bins = {}
+        for pixels, p, _ in frames:
+            for x in pixels:
+                r, g, b = (v >> (8 - gif.HISTOGRAM_BITS) for v in p[3 * x : 3 * x + 3])
+                k = r << 2 * gif.HISTOGRAM_BITS | g << gif.HISTOGRAM_BITS | b
+                bins[k] = bins.get(k, 0) + 1
+        feature = f"{len(frames)}:{sum(d for _, _, d in frames)}:" + ",".join(f"{k}={n}" for k, n in sorted(bins.items()))
+        got = rows[i]
+        assert (got.feature, got.media_bytes, got.media_sha256) == (feature, len(media[i]), hashlib.sha256(media[i]).hexdigest())
+        assert (got.payload_bytes, got.payload_sha256, got.tail_crc32) == (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))

@@ -94,8 +94,12 @@ def test_counts_beyond_32_bits():
     for level, key in ((suffix_tree.BRANCH, 2**32 - 1), (suffix_tree.LOW + 1, 5), (suffix_tree.LOW, 0xFFFF)):
         got = suffix_tree._unpacked(level, key, suffix_tree._packed(level, code, n))
         assert got[1].tolist() == n.tolist() and (got[0] & np.uint64(0xFF)).tolist() == [3, 9, 200]
-        _, _, body = suffix_tree._sum_of(level, key, [suffix_tree._packed(level, code, n)] * 3)
-        assert suffix_tree._unpacked(level, key, body)[1].tolist() == (3 * n).tolist()
+        rows = suffix_tree._dealt(level, np.sort(got[0]), n, 7)
+        assert len(rows) == 1 and suffix_tree._gathered(rows[0][2])[0].tolist() == np.sort(got[0]).tolist() and suffix_tree._gathered(rows[0][2])[1].tolist() == n.tolist()
+        held = suffix_tree.Sums()
+        for _ in range(3):
+            held.add(*suffix_tree._gathered(rows[0][2]))
+        assert held.all()[1].tolist() == (3 * n).tolist()
     turned = np.random.default_rng(1).integers(-(2**63), 2**63, 99)
     assert suffix_tree._turned_back(suffix_tree._turned(turned)).tolist() == turned.tolist()
 
