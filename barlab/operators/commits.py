@@ -15,7 +15,7 @@ from pyspark.sql.types import StructType
 
 from barlab.operators.ledger import conflicts, insert
 
-BUCKETS, SNAPSHOT_EVERY = 256, 16
+BUCKETS, SNAPSHOT_EVERY = 64, 16
 
 
 class Conflict(RuntimeError):

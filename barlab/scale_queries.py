@@ -139,6 +139,26 @@ def _(spark, sf):
     return got.groupBy("identifier").agg(F.count("*").alias("nodes"), F.count_if("broken").alias("broken"), F.max("distance").alias("furthest"))
 
 
+# ---- the dossier of a strategy: nine tables, the latest ten of snapshots, events and feedback
+
+PARTS = {"qualifications": 1, "baselines": None, "reports": 1, "regimes": None, "transitions": None, "snapshots": 10, "events": 10, "feedback": 10, "positions": None}
+
+
+def _dossier_sql() -> str:
+    of = {n: f"FILTER (o_orderkey % {len(PARTS)} = {i})" for i, n in enumerate(PARTS)}
+    count = lambda n: f"least(count(o_orderkey) {of[n]}, {PARTS[n]})" if PARTS[n] else f"count(o_orderkey) {of[n]}"
+    columns = ", ".join(f"({count(n)})::INTEGER AS {n}_count, max(o_orderkey) {of[n]} AS {n}_latest" for n in PARTS)
+    return f"SELECT c_custkey AS strategy_id, {columns} FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1"
+
+
+@query("q_dossier_nine", _dossier_sql())
+def _(spark, sf):
+    o = load(spark, sf, "orders").withColumn("strategy_id", F.col("o_custkey"))
+    parts = [(n, o.filter(F.col("o_orderkey") % len(PARTS) == i).select("strategy_id", "o_orderkey", "o_orderdate", "o_totalprice"), "o_orderkey", most) for i, (n, most) in enumerate(PARTS.items())]
+    out = readmodels.dossiers(load(spark, sf, "customer").select(F.col("c_custkey").alias("strategy_id")), parts)
+    return out.select("strategy_id", *(c for n in PARTS for c in (F.col(f"{n}_count"), F.get(n, F.lit(0))["o_orderkey"].alias(f"{n}_latest"))))
+
+
 # ---- trials as events, ledgers, files, long contracts
 
 
@@ -160,13 +180,13 @@ def trial_events(spark, sf):
 
 
 @query("q_trial_states", """SELECT o_orderpriority AS dataset, CASE WHEN o_orderkey % 3 = 0 THEN 'FIXTURE' ELSE 'PRODUCTION' END AS mode, CASE o_orderstatus WHEN 'F' THEN 'COMPLETED' WHEN 'P' THEN 'FAILED' ELSE 'RUNNING' END AS status, count(*) AS trials, count(DISTINCT o_custkey) AS strategies,
- round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 1000 ELSE o_totalprice / 2000 END), 4) + 0.0 AS minutes, sum(CASE WHEN o_orderstatus = 'O' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END) AS cost FROM orders GROUP BY 1, 2, 3""")
+ round(sum(CASE WHEN o_orderstatus = 'O' THEN o_totalprice / 1000 ELSE o_totalprice / 2000 END), 6) + 0.0 AS minutes, sum(CASE WHEN o_orderstatus = 'O' THEN 0.5::DOUBLE ELSE 0.25::DOUBLE END) AS cost FROM orders GROUP BY 1, 2, 3""")
 def _(spark, sf):
     """Events written as a version of a ledger, and the trials as they leave them."""
     kept = trials.Trials(spark, staged_path(spark, "trials"))
     kept.store.append(trial_events(spark, sf))
     used = ledger.usage(kept.state(), ["dataset", "mode", "status"])
-    return used.select("dataset", "mode", "status", "trials", "strategies", rounded(F.col("minutes"), 4).alias("minutes"), "cost")
+    return used.select("dataset", "mode", "status", "trials", "strategies", rounded(F.col("minutes")).alias("minutes"), "cost")
 
 
 @query("q_ledger_commits", "SELECT 1::BIGINT AS version, count(*) AS rows FROM events WHERE event_id % 3 <> 0 UNION ALL SELECT 2, (SELECT count(*) FROM events) UNION ALL SELECT 3, (SELECT count(*) FROM events)")
