@@ -17,16 +17,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def lean(run):
-    """A mapInArrow function that gives Arrow's unused memory back when its task ends: the
-    worker process lives on and serves other operators."""
+    """A mapInArrow function that gives unused memory back when its task ends, Arrow's and,
+    where the C library can, that of its heap: the worker process lives on and serves other
+    operators."""
 
     def task(batches):
+        import ctypes
+        import gc
+
         import pyarrow as pa
 
         try:
             yield from run(batches)
         finally:
+            gc.collect()
             pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
 
     return task
 

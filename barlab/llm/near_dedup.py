@@ -36,7 +36,7 @@ from barlab.llm.decontaminate import arrow_type
 
 BANDS, ROWS, BITS, BINS, DEVIATIONS = 32, 4, 2048, 8192, 5
 SALTS = 64  # tasks that a very common centre's pairs are dealt to
-SLICE_BYTES, CACHE = 1 << 20, 400_000
+SLICE_BYTES, CACHE = 1 << 20, 150_000
 _RNG = np.random.default_rng(20240229)
 MULTIPLY = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 ADD = _RNG.integers(0, 2**63, BANDS * ROWS, np.uint64)

@@ -31,7 +31,7 @@ from barlab.llm.common import lean, running_total, slices, staged, table
 
 MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 2 << 20, 1 << 21
 LENGTHS = np.array([[(b >> 2 * k & 3) + 1 for k in range(4)] for b in range(256)], np.uint8)
-PIECES, RUN = 250_000, 20_000  # that a worker remembers
+PIECES, RUN = 150_000, 20_000  # that a worker remembers
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 PART = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[!-&(-@\[-`{-~]+\n?|\n")  # no apostrophe
