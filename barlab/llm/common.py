@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from barlab.operators.staging import drop_staged, shared_dir, staged, staged_path
 
-__all__ = ["by_id", "drop_staged", "lean", "running_total", "shared_dir", "slices", "staged", "staged_path", "table"]
+__all__ = ["by_id", "drop_staged", "free_shuffles", "lean", "running_total", "shared_dir", "slices", "staged", "staged_path", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,12 @@ def lean(run):
     return task
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Have the driver look for garbage: shuffle files of queries that are over stay on the
+    executors' disks until it does."""
+    spark._jvm.System.gc()
+
+
 def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive items whose sizes sum to about ``limit``; one item at least."""
     start = total = 0

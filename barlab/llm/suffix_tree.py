@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import drop_staged, lean, slices, staged, table
+from barlab.llm.common import drop_staged, free_shuffles, lean, slices, staged, table
 from barlab.llm.decontaminate import arrow_type
 
 DEPTH, BETA, END = 6, 4.0, b" "  # the usual depth; a symbol and seven before it fill 64 bits
@@ -546,6 +546,7 @@ def build_tree(texts: DataFrame, *, depth: int = DEPTH, divergence: float = 12.0
     buckets = max(LEAST_BUCKETS, 16 * int(spark.conf.get("spark.sql.shuffle.partitions")))  # a task has some of them, one at a time
     packed = texts.mapInArrow(lean(_count_grams(depth, buckets)), pack).repartition("level", "key").sortWithinPartitions("level", "key")
     grams_, grams_at = staged(packed.mapInArrow(lean(_merged), pack), "grams")
+    free_shuffles(spark)
     found = grams_.filter(F.col("level") == LOW).mapInArrow(lean(_short_counts(LOW)), "code bigint, n bigint").toArrow()  # 256^3 rows at most
     order = np.argsort(found["code"].to_numpy())
     counts = {LOW: (found["code"].to_numpy()[order], found["n"].to_numpy()[order])}
@@ -565,6 +566,7 @@ def build_tree(texts: DataFrame, *, depth: int = DEPTH, divergence: float = 12.0
     tree = long.unionByName(short)
     shared.destroy()
     drop_staged(spark, grams_at)
+    free_shuffles(spark)
 
     lengthened = short.select(F.col("ctx").bitwiseAND(F.lit(MASK[LOW])).alias("ctx")).distinct().toArrow()  # 256^LOW rows at most
     low[LOW].keep(lengthened["ctx"].to_numpy())
@@ -665,6 +667,7 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     scored = docs.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, score double, tail array<binary>, grams array<bigint>, chunk bigint, bucket int, body binary, threes array<bigint>")
     everything, everything_at = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    free_shuffles(spark)
     scored = everything.filter("bucket is null")
     tail = scored.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))
     tail = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("n_tail"), F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_score"))
@@ -673,6 +676,7 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     rows = answers.select("chunk", F.lit(0).alias("kind"), "body", "v", null("bigint").alias("row"), null("array<bigint>").alias("grams"))
     rows = rows.unionByName(scored.filter(F.size("grams") > 0).select("chunk", F.lit(1).alias("kind"), null("binary").alias("body"), null("binary").alias("v"), "row", "grams"))
     far, _ = staged(rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(lean(_summed_answers), "row bigint, far_score double"), "far")
+    free_shuffles(spark)
     out = scored.drop("tail", "grams", "chunk", "bucket", "body", "threes").join(tail, "row", "left").join(far, "row", "left")
     spread = math.log10(size.total + 0.1 * (size.distinct + 1))
     return out.select(
