@@ -180,6 +180,19 @@ def test_faults_belong_to_the_windows_that_have_them(spark):
     assert {tuple(r) for r in e.faults.collect()} == {("w0", "repeated fill_id"), ("w4", "window")}
 
 
+def test_long_windows_have_two_cells_a_piece_and_rows_for_evidence_alone(spark):
+    windows = [("w0", "a", dt.datetime(1000, 1, 1), dt.datetime(2999, 12, 31)), ("w1", "a", T0, T0), ("w2", "a", T0, T0 + 9 * DAY), ("w3", "b", T0 + 400 * DAY, T0 + 401 * DAY), ("w4", "b", dt.datetime(1969, 12, 31, 23), dt.datetime(1970, 1, 2))]
+    windows += [(f"x{i}", "c", T0 + i * DAY, T0 + (i + 500) * DAY) for i in range(500)]
+    rows = [("a", t) for t in (T0 - DAY, T0, T0 + 9 * DAY, T0 + 10 * DAY, dt.datetime(3000, 1, 1))] + [("b", t) for t in (T0 + 401 * DAY, T0 + 402 * DAY, dt.datetime(1970, 1, 1), dt.datetime(1969, 12, 31, 22))] + [("c", T0 + 500 * DAY), ("c", None)]
+    pieces = evaluation.Pieces.of(spark.createDataFrame(windows, "window_id string, strategy_id string, window_start timestamp_ntz, window_end timestamp_ntz"))
+    assert pieces.cells.count() <= 2 * pieces.cells.select("strategy_id", "piece").distinct().count()  # 730,000 days
+    dealt = pieces.deal(spark.createDataFrame(rows, "strategy_id string, ts timestamp_ntz"), "ts", pieces.levels())
+    cover = pieces.cover(dealt.select("strategy_id", "piece").distinct())
+    got = [tuple(r) for r in dealt.join(cover, ["strategy_id", "piece"]).select("window_id", "ts").collect()]
+    assert sorted(got) == sorted((w, t) for w, s, a, b in windows for k, t in rows if k == s and t is not None and a <= t <= b)
+    assert cover.filter("strategy_id = 'c'").count() == 500
+
+
 def test_digest_of_a_file_over_two_gigabytes(spark, tmp_path):
     big, h = tmp_path / "big", hashlib.sha256()
     with big.open("wb") as f:
