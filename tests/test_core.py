@@ -1,12 +1,13 @@
 """Hand-computed goldens and properties of the core operators."""
 
+import math
 import datetime as dt
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from barlab.functions.scalars import binomial_lower, binomial_upper, content_hash, detection_gate, expected_max_sharpe, false_pass_gate, tick_price
+from barlab.functions.scalars import binomial_lower, binomial_tail, binomial_upper, content_hash, detection_gate, expected_max_sharpe, false_pass_gate, tick_price
 from barlab.operators import backtest, ledger, monitoring, readmodels, replay, signals, statistics, synthetic, zones
 from barlab.plans.research import Spec, run_trial
 from barlab.sources import bars as sources
@@ -33,6 +34,17 @@ def test_gates_and_bounds():
     assert expected_max_sharpe(0.5, 1) == 0.0 < expected_max_sharpe(0.5, 4)
 
 
+def test_bounds_of_many_runs_take_few_terms(monkeypatch):
+    plain = lambda k, n, p: math.fsum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+    for n, p in ((1, 0.3), (7, 0.5), (60, 0.05), (60, 0.8), (200, 0.999)):
+        for k in range(n + 2):
+            assert binomial_tail(k, n, p) == pytest.approx(plain(k, n, p), rel=1e-9, abs=1e-300)
+    calls = []
+    real = math.lgamma
+    monkeypatch.setattr(math, "lgamma", lambda x: calls.append(x) or (real(x) if len(calls) < 5_000 else pytest.fail("a call for each term")))
+    assert detection_gate(801_000, 1_000_000) and not detection_gate(800_500, 1_000_000) and binomial_upper(50_000, 1_000_000) == pytest.approx(0.05036, abs=1e-5)
+
+
 def test_tick_and_hash():
     assert tick_price(100.075, 0.05) == 100.1 or tick_price(100.075, 0.05) == 100.05
     assert tick_price(3.3, 0) == 3.3
