@@ -51,6 +51,10 @@ def broken(links: DataFrame, known: DataFrame) -> DataFrame:
     return links.join(known.select(F.col("node").alias("target")), "target", "left_anti").select("source", "target", "kind")
 
 
+#: Rows of nodes or links that a round of ``closure`` may send to every task.
+FEW = 100_000
+
+
 def closure(links: DataFrame, starts: DataFrame, most: int | None = None) -> DataFrame:
     """(start, node, distance): every node that each of the ``starts`` (start) reaches along
     ``links`` (source, target), itself at 0, and the least number of links to it; with
@@ -58,16 +62,34 @@ def closure(links: DataFrame, starts: DataFrame, most: int | None = None) -> Dat
 
     A round follows the links of what the round before has found new, so a node is followed
     once for each start and a cycle ends where it comes back. Rounds are as many as the
-    longest shortest path; each is staged, and a lost executor costs one round at most."""
+    longest shortest path; each is staged, and a lost executor costs one round at most.
+
+    The first round is the links of the starts. Later ones read the links of the nodes that
+    the round before could reach alone, and compare what they find with those pairs that end
+    in a node that they can reach; up to ``FEW`` such nodes or links travel to the tasks."""
     spark = links.sparkSession
     links, links_at = staged(links.select("source", "target").filter("source is not null and target is not null").distinct(), "links")
     new, at = staged(starts.select("start", F.col("start").alias("node")).filter("start is not null").distinct(), "reached")
     seen, paths, found = new, [at], [new.withColumn("distance", F.lit(0))]
+    few = lambda df: df.count() <= FEW
+    goals, goals_at = None, None
     for distance in itertools.count(1):
         if most is not None and distance > most:
             break
-        step = new.join(links, F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
-        new, at = staged(step.join(seen, ["start", "node"], "left_anti"), "reached")
+        drop = [] if goals_at is None else [goals_at]
+        if distance == 1:
+            step = links.join(new.select(F.col("node").alias("source")), "source", "left_semi").filter("source <> target")
+            new, at = staged(step.select(F.col("source").alias("start"), F.col("target").alias("node")), "reached")
+            goals, goals_at = staged(new.select("node").distinct(), "goals")
+        else:
+            sources = goals.withColumnRenamed("node", "source")
+            onward, onward_at = staged(links.join(F.broadcast(sources) if few(goals) else sources.hint("merge"), "source", "left_semi"), "onward")
+            goals, goals_at = staged(onward.select(F.col("target").alias("node")).distinct(), "goals")
+            step = new.join(F.broadcast(onward) if few(onward) else onward.hint("merge"), F.col("node") == F.col("source")).select("start", F.col("target").alias("node")).distinct()
+            known = seen.join(F.broadcast(goals), "node", "left_semi") if few(goals) else seen
+            new, at = staged(step.join(known.hint("merge"), ["start", "node"], "left_anti"), "reached")
+            drop.append(onward_at)
+        drop_staged(spark, *drop)
         if not new.limit(1).count():
             drop_staged(spark, at)
             break
@@ -78,7 +100,7 @@ def closure(links: DataFrame, starts: DataFrame, most: int | None = None) -> Dat
             whole, at = staged(reduce(DataFrame.unionByName, found), "reached")
             drop_staged(spark, *paths)
             new, seen, paths, found = whole.filter(F.col("distance") == distance).drop("distance"), whole.drop("distance"), [at], [whole]
-    drop_staged(spark, links_at)
+    drop_staged(spark, links_at, *([] if goals_at is None else [goals_at]))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -304,6 +304,22 @@ def test_ledger_manifests_are_gathered(spark, tmp_path, monkeypatch):
     assert led.read(4).count() == 4
 
 
+@pytest.mark.parametrize("few", [0, 100])
+def test_closure_is_the_same_with_few_and_many_nodes(spark, monkeypatch, few):
+    monkeypatch.setattr(readmodels, "FEW", few)
+    links = [(f"s{i}", f"h{i % 3}") for i in range(40)] + [("h0", "r"), ("h1", "r"), ("h2", "h1"), ("r", "h0"), ("s1", "s1"), ("s2", "s1"), ("s1", "s2")]
+    edge = spark.createDataFrame(links, "source string, target string")
+    got = readmodels.closure(edge, edge.filter("source like 's%'").select(F.col("source").alias("start")))
+    want = set()
+    for s in {a for a, _ in links if a[0] == "s"}:
+        at, front = {s: 0}, [s]
+        while front:
+            front = [b for n in front for a, b in links if a == n and b not in at and at.setdefault(b, at[n] + 1)]
+        want |= {(s, n, d) for n, d in at.items()}
+    rows = [tuple(r) for r in got.collect()]
+    assert len(rows) == len(want) and set(rows) == want
+
+
 def test_closure_counts_least_links_and_ends_in_cycles(spark):
     rng = np.random.default_rng(3)
     links = {(f"n{a}", f"n{b}") for a, b in rng.integers(0, 40, (70, 2)).tolist()} | {("n0", "n1"), ("n1", "n2"), ("n2", "n0"), ("n5", "n5")}
