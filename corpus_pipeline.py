@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barlab.llm.common import drop_staged, staged, table
+from barlab.llm.common import BATCH, TEXT_ROWS, drop_staged, free_heaps, staged, table
 from barlab.llm.decontaminate import without_benchmark
 from barlab.llm.mixture import mixed_documents
 from barlab.llm.near_dedup import keep_one
@@ -22,13 +22,11 @@ from barlab.llm.token_files import default_tokenizer, read_token_files, write_to
 from barlab.llm.toxicity import without_toxic
 
 
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def text_batches(spark: SparkSession, rows: int = 2_000) -> None:
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
     """Smaller Arrow batches than Spark's usual 10,000 rows, as each row has a whole text. A
     stage's frame is computed after the stage returns, so the setting stays; run() puts the
-    session's own back."""
+    session's own back. The heaps that the stage before has filled are given back, too."""
+    free_heaps(spark)
     spark.conf.set(BATCH, str(rows))
 
 
