@@ -439,10 +439,10 @@ ASKED = "bucket int, chunk bigint, body binary, threes array<bigint>"
 
 class Tree:
     """A suffix tree: its head, and the table of the states (k, ctx, total, symbols, v) that
-    are not in the head, in so many buckets."""
+    are not in the head, in so many buckets. The states are read from staged tables at paths."""
 
-    def __init__(self, head: Head, states: DataFrame, buckets: int, depth: int):
-        self.head, self.states, self.buckets, self.depth = head, states, buckets, depth
+    def __init__(self, head: Head, states: DataFrame, buckets: int, depth: int, paths: tuple[str, ...] = ()):
+        self.head, self.states, self.buckets, self.depth, self.paths = head, states, buckets, depth, paths
 
     def answers(self, requests: DataFrame) -> DataFrame:
         """(bucket, chunk, body, v) of requests (bucket, chunk, body, threes): v has the log10
@@ -559,10 +559,10 @@ def build_tree(texts: DataFrame, *, depth: int = DEPTH, divergence: float = 12.0
     threes = grams_.filter(F.col("level") == LOW + 1)
     branches = grams_.filter(F.col("level") == BRANCH).withColumn("short", F.col("key").bitwiseAND(F.lit(MASK[LOW + 1])))
     branches = branches.join(threes.select(F.col("key").alias("short"), F.col("body").alias("three")), "short").select("key", "body", "three")
-    long, long_at = staged(branches.mapInArrow(lean(_grow(shared, depth, divergence)), STATES), "tree")
+    long, long_at = staged(branches.mapInArrow(lean(_grow(shared, depth, divergence)), STATES), "tree", "zstd")
     continued = long.filter(F.col("k") == BRANCH).select(F.col("ctx").bitwiseAND(F.lit(MASK[LOW + 1])).alias("ctx")).distinct()
     three = threes.mapInArrow(lean(_grow_three(shared, divergence)), f"{STATES}, stays boolean").join(continued.withColumn("longer", F.lit(True)), "ctx", "left")
-    short, _ = staged(three.filter("stays or longer").select(*COLUMNS), "tree")
+    short, short_at = staged(three.filter("stays or longer").select(*COLUMNS), "tree", "zstd")
     tree = long.unionByName(short)
     shared.destroy()
     drop_staged(spark, grams_at)
@@ -590,7 +590,7 @@ def build_tree(texts: DataFrame, *, depth: int = DEPTH, divergence: float = 12.0
     near = tree.filter(step >= least).unionByName(spark.createDataFrame(pa.concat_tables([root, *(pa.Table.from_batches([x.states()]) for x in low[1:])]), STATES))
     head = near.join(more, ["k", "ctx"], "left").na.fill(0, [f"more{q}" for q in range(4)]).toArrow()  # head_entries entries at most
     buckets = max(16, -(-sum(m for k, m in sizes.items() if k < least) // BUCKET_ENTRIES))
-    return Tree(Head(head), far, buckets, depth)
+    return Tree(Head(head), far, buckets, depth, (long_at, short_at))
 
 
 def common_words(counts: DataFrame, head: int) -> dict[bytes, float]:
@@ -623,7 +623,7 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
     shared = spark.sparkContext.broadcast((model.head, common_words(counts, head)))
     kinds = [("chunk", pa.int64()), ("bucket", pa.int32()), ("body", pa.binary()), ("threes", pa.list_(pa.int64()))]
     depth, buckets = model.depth, model.buckets
-    schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary())), ("grams", pa.list_(pa.int64())), *kinds])
+    schema = pa.schema([("doc_id", id_type), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_head", pa.int64()), ("head_score", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int32())), ("grams", pa.list_(pa.int64())), *kinds])
     none = math.log10(0.1)
 
     def run(batches):
@@ -633,7 +633,7 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
         def requests() -> pa.RecordBatch:
             rows = asked(wanted.all()[0], chunk, buckets)
-            nulls = [pa.nulls(len(rows), f.type) for f in schema][:8]
+            nulls = [pa.nulls(len(rows), f.type) for f in schema][:9]
             return pa.RecordBatch.from_arrays([*nulls, *(pa.array([r[i] for r in rows], t) for i, (_, t) in zip((1, 0, 2, 3), kinds, strict=True))], schema=schema)
 
         for batch in batches:
@@ -647,16 +647,19 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 far = code[far]
                 new = np.unique(far)
                 wanted.add(new, np.ones(len(new), np.int64))
-                tails, heads, sums = [], [], []
+                tails, times, heads, sums = [], [], [], []
                 for t in tokens:
                     logs = [get(w) for w in t]
-                    tails.append([w for w, v in zip(t, logs, strict=True) if v is None])
+                    tail = [w for w, v in zip(t, logs, strict=True) if v is None]
+                    rare = Counter(tail)
+                    tails.append(list(rare))
+                    times.append(list(rare.values()))
                     end = get(END)
-                    heads.append(len(t) - len(tails[-1]) + (end is not None))
+                    heads.append(len(t) - len(tail) + (end is not None))
                     sums.append(math.fsum(v for v in logs if v is not None) + (none if end is None else end))
                 yield pa.RecordBatch.from_arrays([
                     batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([len(t) + 1 for t in tokens], pa.int64()),
-                    pa.array(heads, pa.int64()), pa.array(sums, pa.float64()), pa.array(score), pa.array(tails, schema.field("tail").type),
+                    pa.array(heads, pa.int64()), pa.array(sums, pa.float64()), pa.array(score), pa.array(tails, schema.field("tail").type), pa.array(times, schema.field("times").type),
                     pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(far)),
                     pa.array([chunk] * (b - a), pa.int64()), *(pa.nulls(b - a, t) for _, t in kinds[1:]),
                 ], schema=schema)
@@ -665,19 +668,23 @@ def score_texts(documents: DataFrame, *, id_col: str = "doc_id", text_col: str =
                     chunk, wanted = chunk + 1, Sums()
         yield requests()
 
-    scored = docs.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, score double, tail array<binary>, grams array<bigint>, chunk bigint, bucket int, body binary, threes array<bigint>")
-    everything, everything_at = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored")
+    scored = docs.mapInArrow(lean(run), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_head bigint, head_score double, score double, tail array<binary>, times array<int>, grams array<bigint>, chunk bigint, bucket int, body binary, threes array<bigint>")
+    everything, everything_at = staged(scored.withColumn("row", F.monotonically_increasing_id()), "scored", "zstd")
     free_shuffles(spark)
     scored = everything.filter("bucket is null")
-    tail = scored.select("row", F.explode("tail").alias("word")).groupBy("row", "word").agg(F.count("*").alias("m"))
-    tail = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("n_tail"), F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_score"))
     answers = model.answers(everything.filter("bucket is not null").select("bucket", "chunk", "body", "threes"))
     null = lambda kind: F.lit(None).cast(kind)
     rows = answers.select("chunk", F.lit(0).alias("kind"), "body", "v", null("bigint").alias("row"), null("array<bigint>").alias("grams"))
     rows = rows.unionByName(scored.filter(F.size("grams") > 0).select("chunk", F.lit(1).alias("kind"), null("binary").alias("body"), null("binary").alias("v"), "row", "grams"))
     far, _ = staged(rows.repartition("chunk").sortWithinPartitions("chunk", "kind").mapInArrow(lean(_summed_answers), "row bigint, far_score double"), "far")
+    drop_staged(spark, *model.paths)
+    free_shuffles(spark)
+    tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("m"))
+    tail = tail.join(counts, "word", "left").groupBy("row").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("m")).otherwise(0)).alias("n_tail"), F.sum(F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("tail_score"))
+    tail, _ = staged(tail, "tail")
+    drop_staged(spark, counts_at)
     free_shuffles(spark)
-    out = scored.drop("tail", "grams", "chunk", "bucket", "body", "threes").join(tail, "row", "left").join(far, "row", "left")
+    out = scored.drop("tail", "times", "grams", "chunk", "bucket", "body", "threes").join(tail, "row", "left").join(far, "row", "left")
     spread = math.log10(size.total + 0.1 * (size.distinct + 1))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_head") + F.coalesce("n_tail", F.lit(0))).alias("n_known"), F.lit(size.total).cast("bigint").alias("train_tokens"),

@@ -1,7 +1,8 @@
 """What keeps the operators within memory, disk and time: of each, what has to be there for it."""
 
 import corpus_pipeline
-from barlab.llm import common
+from barlab.llm import common, suffix_tree
+from barlab.operators.staging import staged_path
 
 
 def test_stages_begin_with_a_collected_heap(spark):
@@ -13,3 +14,17 @@ def test_stages_begin_with_a_collected_heap(spark):
         assert count() > before and spark.conf.get(common.BATCH) == "2000"
     finally:
         spark.conf.set(common.BATCH, rows)
+
+
+def test_tree_and_words_go_before_the_scores_are_joined(spark):
+    documents = [(i, " ".join(["zz"] * (i % 4) + [f"w{i % 7}", "the"])) for i in range(60)]
+    folder = spark._jvm.org.apache.hadoop.fs.Path(staged_path(spark, "x")).getParent()
+    left = lambda: {str(f.getPath().getName()) for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)}
+    staged_path(spark, "x")
+    common.staged(spark.range(1), "x")
+    before = left()
+    out = suffix_tree.score_texts(spark.createDataFrame(documents, "doc_id bigint, text string"), head=0, head_entries=0, divergence=1.0)
+    assert {n.split("-")[0] for n in left() - before} <= {"scored", "far", "tail"}
+    found, plain = {r.doc_id: r for r in out.collect()}, suffix_tree.brute_force(documents)
+    assert {d: (r.held_out, r.n_tokens, r.n_known, r.train_tokens) for d, r in found.items()} == {d: p[:4] for d, p in plain.items()}
+    assert all(abs(found[d].base_score - p[4]) < 1e-9 for d, p in plain.items())
