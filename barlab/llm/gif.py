@@ -41,32 +41,30 @@ _WIDTHS = {m: code_widths(4096, m) for m in range(2, 9)}  # the format has no sm
 
 def lzw_encode(pixels: bytes, min_size: int = 8) -> bytes:
     """Code stream of pixels, with a clear code at the start and when the table is full."""
-    clear, runs, codes, table_, n = 1 << min_size, [], [], {}, (1 << min_size) + 2
-    get, w = table_.get, -1
-    for c in pixels:
-        if w < 0:
-            w = c
-            continue
-        key = w << 8 | c
-        v = get(key)
-        if v is not None:
-            w = v
-            continue
-        codes.append(w)
-        table_[key] = n
-        n, w = n + 1, c
-        if n == 4096:
+    clear, runs, codes, table_ = 1 << min_size, [], [], {}
+    new, full = (clear + 2) << 8, 4096 << 8  # codes are kept shifted, so that a code and a pixel make a key
+    n, add, rest = new, table_.setdefault, iter(pixels)
+    for c in rest:
+        w = c << 8
+        for c in rest:  # noqa: B020, PLW2901
+            v = add(w | c, n)
+            if v != n:
+                w = v
+                continue
             codes.append(w)
+            n, w = n + 256, c << 8
+            if n == full:
+                break
+        codes.append(w)
+        if n == full:
             runs.append(codes)
-            codes, w, n = [], -1, clear + 2
+            codes, n = [], new
             table_.clear()
-    if w >= 0:
-        codes.append(w)
     runs.append(codes)
     values, widths = [np.array([clear])], [np.array([min_size + 1])]
     for i, run in enumerate(runs):
         stop = clear + 1 if i == len(runs) - 1 else clear
-        values.append(np.array([*run, stop]))
+        values.append(np.append(np.array(run, np.int64) >> 8, stop))
         full = _WIDTHS[min_size] if len(run) < 4096 else code_widths(len(run) + 1, min_size)
         widths.append(full[: len(run) + 1])
     value, width = np.concatenate(values), np.concatenate(widths)
@@ -74,6 +72,39 @@ def lzw_encode(pixels: bytes, min_size: int = 8) -> bytes:
     return np.packbits(bits[np.arange(12) < width[:, None]].astype(np.uint8), bitorder="little").tobytes()
 
 
+def _expanded(codes: np.ndarray, clear: int, most: int) -> bytes:
+    """Pixels of the codes between two clear codes, until ``most`` are made. The entry that is
+    added behind a code's pixels are these and the next one, so a code of that entry repeats
+    a stretch of the output; places of the output are followed back to codes of one pixel."""
+    if codes[0] >= clear:
+        raise ValueError("a code stream begins with a code beyond its table")
+    places = np.arange(len(codes))
+    single = codes < clear
+    of = np.where(single, places, np.minimum(codes - clear - 2, places - 1))  # the code that an entry was added behind
+    size, up = (~single).astype(np.int64), of
+    while (more := size[up]).any():
+        size, up = size + more, up[up]
+    size += 1
+    stop = np.cumsum(size)
+    n = min(int(np.searchsorted(stop, most)) + 1, len(codes))
+    size, stop, of, single = size[:n], stop[:n], of[:n], single[:n]
+    start = stop - size
+    out, a = np.empty(int(stop[-1]), np.uint8), 0
+    out[start[single]] = codes[:n][single]
+    while a < n:
+        base = int(start[a])
+        b = max(a + 1, int(np.searchsorted(stop, base + SLICE_BYTES, "right")))
+        source = np.repeat(start[of[a:b]] - start[a:b], size[a:b]) + np.arange(base, int(stop[b - 1]))
+        while True:  # twice as far back each time; what stands before base is known
+            further = source[source] if not base else np.where(source < base, source, source[np.maximum(source - base, 0)])
+            if np.array_equal(further, source):
+                break
+            source = further
+        out[base : int(stop[b - 1])] = out[source]
+        a = b
+    return out.tobytes()
+
+
 def lzw_decode(stream: bytes, min_size: int, n_pixels: int) -> bytes:
     """Pixels of a code stream; at most ``n_pixels``, fewer when it ends early."""
     if min_size not in _WIDTHS:
@@ -81,7 +112,6 @@ def lzw_decode(stream: bytes, min_size: int, n_pixels: int) -> bytes:
     clear, at, out, made = 1 << min_size, 0, [], 0
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.int64)
     n_bits = len(stream) * 8
-    first = [bytes([i]) for i in range(clear)] + [b"", b""]
     while made < n_pixels and at < n_bits:
         width = _WIDTHS[min_size] if n_bits - at < 4096 * 12 else np.concatenate([_WIDTHS[min_size], np.full((n_bits - at) // 12 - 4000, 12)])
         start = at + np.cumsum(width) - width
@@ -93,23 +123,9 @@ def lzw_decode(stream: bytes, min_size: int, n_pixels: int) -> bytes:
         codes = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (start & 7)) & ((1 << width) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == clear + 1))
         end = int(stops[0]) if len(stops) else len(codes)
-        entries, add = list(first), True
-        append, emit, previous = entries.append, out.append, b""
-        for code in codes[:end].tolist():
-            if code < len(entries):
-                e = entries[code]
-            elif previous:
-                e = previous + previous[:1]
-            else:
-                raise ValueError("a code stream begins with a code beyond its table")
-            emit(e)
-            made += len(e)
-            if previous and add:
-                append(previous + e[:1])
-                add = len(entries) < 4096
-            previous = e
-            if made >= n_pixels:
-                break
+        if end:
+            out.append(_expanded(codes[:end], clear, n_pixels - made))
+            made += len(out[-1])
         if end == len(codes) or codes[end] == clear + 1:
             break
         at = int(start[end] + width[end])
@@ -224,6 +240,24 @@ def histogram(canvas: np.ndarray) -> np.ndarray:
     return np.bincount((top[:, 0] << 2 * HISTOGRAM_BITS) | (top[:, 1] << HISTOGRAM_BITS) | top[:, 2], minlength=1 << 3 * HISTOGRAM_BITS)
 
 
+def shown(size: tuple[int, int], frames: list[Frame]) -> Iterator[tuple[Frame, int, np.ndarray]]:
+    """Each frame with the number of transparent pixels and the histogram of the canvas after
+    it is drawn. Where every frame covers the canvas with opaque pixels, it is the canvas,
+    and its palette's colours are counted without drawing it."""
+    if any((f.left, f.top, f.width, f.height) != (0, 0, *size) or f.transparent is not None for f in frames):
+        for f, canvas in composed(size, frames):
+            yield f, int((canvas[..., 3] == 0).sum()), histogram(canvas)
+        return
+    for f in frames:
+        n = np.bincount(f.pixels.reshape(-1), minlength=len(f.palette))
+        if len(n) > len(f.palette):
+            raise IndexError("a pixel beyond its palette")
+        top = (f.palette >> (8 - HISTOGRAM_BITS)).astype(np.int64)
+        out = np.zeros(1 << 3 * HISTOGRAM_BITS, np.int64)
+        np.add.at(out, (top[:, 0] << 2 * HISTOGRAM_BITS) | (top[:, 1] << HISTOGRAM_BITS) | top[:, 2], n)
+        yield f, 0, out
+
+
 def store(text: bytes | None) -> bytes:
     """A text as GIF frames of gray levels: 64 samples a row, 1024 rows a frame at most. Each
     frame is cleared before the next, so that every canvas shows its own samples only."""
@@ -248,9 +282,9 @@ def _frames(data: bytes | None) -> list[dict]:
     """Rows of the frame table of one GIF; none for null or broken data."""
     rows, start = [], 0
     try:
-        for i, (f, canvas) in enumerate(composed(*decode(data, compose=False)) if data is not None else []):
+        for i, (f, clear, colours) in enumerate(shown(*decode(data, compose=False)) if data is not None else []):
             ints = (i, start, f.delay, f.left, f.top, f.width, f.height, f.disposal)
-            rows.append({**dict(zip(_INTS, ints, strict=True)), "transparent": int((canvas[..., 3] == 0).sum()), "histogram": histogram(canvas).tolist(), "pixels": f.pixels.tobytes(), "palette": f.palette.tobytes()})
+            rows.append({**dict(zip(_INTS, ints, strict=True)), "transparent": clear, "histogram": colours.tolist(), "pixels": f.pixels.tobytes(), "palette": f.palette.tobytes()})
             start += f.delay
     except (ValueError, IndexError, struct.error):
         return []

@@ -1,7 +1,12 @@
 """What keeps the operators within memory, disk and time: of each, what has to be there for it."""
 
+import random
+
+import numpy as np
+import pytest
+
 import corpus_pipeline
-from barlab.llm import common, suffix_tree
+from barlab.llm import common, gif, suffix_tree
 from barlab.operators.staging import staged_path
 
 
@@ -16,6 +21,38 @@ def test_stages_begin_with_a_collected_heap(spark):
         spark.conf.set(common.BATCH, rows)
 
 
+def plain_codes(codes, clear):
+    entries, out, previous = [bytes([i]) for i in range(clear)] + [b"", b""], [], b""
+    for code in codes:
+        e = entries[code] if code < len(entries) else previous + previous[:1]
+        out.append(e)
+        if previous and len(entries) < 4096:
+            entries.append(previous + e[:1])
+        previous = e
+    return b"".join(out)
+
+
+def test_codes_are_expanded_together(monkeypatch):
+    monkeypatch.setattr(gif, "SLICE_BYTES", 500)  # so that stretches reach back beyond a part
+    rnd = random.Random(3)
+    for n in (1, 2, 9, 700, 6000):
+        codes = np.array([rnd.randrange(256), *(rnd.choice([rnd.randrange(256), 258 + max(i - rnd.randrange(1, 9), 0), 258 + rnd.randrange(i)]) for i in range(1, n))]).clip(0, 4095)
+        codes[(codes == 256) | (codes == 257)] = 7
+        assert gif._expanded(codes, 256, 1 << 40) == plain_codes(codes.tolist(), 256)
+    with pytest.raises(ValueError, match="beyond its table"):
+        gif._expanded(np.array([258, 1]), 256, 9)
+
+
+def test_covering_frames_are_counted_as_they_are_drawn():
+    rnd = np.random.default_rng(2)
+    frames = [gif.Frame(0, 0, 8, 4, rnd.integers(0, 6, (4, 8)).astype(np.uint8), rnd.integers(0, 256, (6, 3)).astype(np.uint8), 4, d) for d in (0, 2, 3)]
+    drawn = [(int((c[..., 3] == 0).sum()), gif.histogram(c).tolist()) for _, c in gif.composed((8, 4), frames)]
+    assert [(n, h.tolist()) for _, n, h in gif.shown((8, 4), frames)] == drawn
+    frames[1].pixels = np.full((4, 8), 9, np.uint8)
+    with pytest.raises(IndexError):
+        list(gif.shown((8, 4), frames))
+
+
 def test_tree_and_words_go_before_the_scores_are_joined(spark):
     documents = [(i, " ".join(["zz"] * (i % 4) + [f"w{i % 7}", "the"])) for i in range(60)]
     folder = spark._jvm.org.apache.hadoop.fs.Path(staged_path(spark, "x")).getParent()
