@@ -27,11 +27,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barlab.llm.common import lean, running_total, slices, staged, table
+from barlab.llm.common import lean, running_total, slices, staged, table, text_batches
 
-MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 2 << 20, 1 << 21
+MAGIC, SLICE_BYTES, FILE_IDS = b"BLV1", 8 << 20, 1 << 21
 LENGTHS = np.array([[(b >> 2 * k & 3) + 1 for k in range(4)] for b in range(256)], np.uint8)
-PIECES, RUN = 150_000, 20_000  # that a worker remembers
+PIECES, RUN = 600_000, 20_000  # that a task remembers, at about 40 bytes each
 INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
 OTHER_SPACE = re.compile(r"[^\S \n]")
 PART = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+| ?[!-&(-@\[-`{-~]+\n?|\n")  # no apostrophe
@@ -163,12 +163,23 @@ class Encoder:
         c = pa.compute
         return c.and_(c.starts_with(pieces, " "), c.utf8_is_alpha(c.utf8_slice_codeunits(pieces, 1)))
 
+    def _are_marked(self, pieces: pa.Array) -> pa.Array:
+        """Whether a piece is a space, letters and a mark, which _parts would cut in two."""
+        c = pa.compute
+        marks = c.is_in(c.utf8_slice_codeunits(pieces, -1), value_set=pa.array(sorted(ENDS), pa.large_string()))
+        return c.and_(marks, c.and_(c.starts_with(pieces, " "), c.utf8_is_alpha(c.utf8_slice_codeunits(pieces, 1, -1))))
+
     def _learn(self, pieces: pa.Array) -> None:
         """Keep distinct pieces that are not kept yet, and the parts of those that are cut."""
         words = self._are_words(pieces)
-        rest = pieces.filter(pa.compute.invert(words)).to_pylist()
         whole = self._learn_words(pieces.filter(words))
+        pieces = pieces.filter(pa.compute.invert(words))
+        rest = pieces.to_pylist()
         added = self.added.search("\n".join(rest)) is not None  # then each piece is looked at
+        marked = pieces.slice(0, 0)
+        if not added:
+            ends = self._are_marked(pieces)
+            marked, rest = pieces.filter(ends), pieces.filter(pa.compute.invert(ends)).to_pylist()
         cut = []
         for p in rest:
             parts = [p] if added and self.added.search(p) else self._parts(p)
@@ -177,8 +188,10 @@ class Encoder:
             else:
                 whole.append(p)
         self._learn_texts(whole)
-        if cut:
-            flat = pa.array([x for _, parts in cut for x in parts], pa.large_string()).dictionary_encode()
+        if cut or len(marked):
+            stems, marks = (pa.compute.utf8_slice_codeunits(marked, *at) for at in ((0, -1), (-1, None)))
+            pairs = pa.concat_arrays([stems, marks]).take(pa.array(np.arange(2 * len(marked)).reshape(2, -1).T.reshape(-1)))
+            flat = pa.concat_arrays([pairs, pa.array([x for _, parts in cut for x in parts], pa.large_string())]).dictionary_encode()
             at = self._find(flat.dictionary)
             since, new = len(self.keys), np.flatnonzero(at < 0)
             if len(new):
@@ -187,8 +200,8 @@ class Encoder:
                 self._learn_texts(self._learn_words(unknown.filter(words)) + unknown.filter(pa.compute.invert(words)).to_pylist())
                 at[new] = self._find(unknown, since)
             ids, size = self._gather(at[flat.indices.to_numpy()])
-            n_parts = np.array([len(parts) for _, parts in cut])
-            self._keep(pa.array([p for p, _ in cut], pa.large_string()), np.add.reduceat(size, np.cumsum(n_parts) - n_parts), ids)
+            n_parts = np.array([2] * len(marked) + [len(parts) for _, parts in cut])
+            self._keep(pa.concat_arrays([marked, pa.array([p for p, _ in cut], pa.large_string())]), np.add.reduceat(size, np.cumsum(n_parts) - n_parts), ids)
 
     def _forget(self) -> None:
         if len(self.keys) > PIECES:
@@ -267,7 +280,8 @@ def write_token_files(documents: DataFrame, tokenizer_path: str, *, id_col: str
     docs = documents.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     ranges = docs.repartitionByRange(max(1, -(-size // range_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    return staged(ranges.mapInArrow(lean(_encode(tokenizer_path)), "file bigint, n_docs bigint, n_ids bigint, body binary"), "token-files")[0]
+    with text_batches(documents.sparkSession):
+        return staged(ranges.mapInArrow(lean(_encode(tokenizer_path)), "file bigint, n_docs bigint, n_ids bigint, body binary"), "token-files")[0]
 
 
 def _decode(batches):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from barlab.llm import common, gif, suffix_tree
+from barlab.llm import common, gif, suffix_tree, token_files
 from barlab.operators.staging import staged_path
 
 
@@ -53,6 +53,34 @@ def test_covering_frames_are_counted_as_they_are_drawn():
         list(gif.shown((8, 4), frames))
 
 
+def test_pieces_are_learned_once():
+    encoder, letters = token_files.encoder_of(token_files.default_tokenizer()), "abcdefghijklmnopqrstuvwxyz"
+    text = "a " + " ".join(letters[i % 26] + letters[i // 26 % 26] + letters[i // 676 % 26] + letters[i // 17576] for i in range(200_000))
+    first, _ = encoder.encoded([text])
+
+    def learn(pieces):
+        raise AssertionError(f"{len(pieces)} pieces were forgotten")
+
+    encoder._learn = learn
+    assert np.array_equal(encoder.encoded([text])[0], first)
+
+
+def test_marked_words_are_the_librarys():
+    from tokenizers import Tokenizer
+
+    path = token_files.default_tokenizer()
+    texts = ["a. word, word. éß; x1. 日本。 ...", " lead! ʰa. aʰ, á. 4. ab.c. <|endoftext|>, end?", "", "<|endoftext|>. plain, words:"]
+    encoder, plain = token_files.encoder_of(path), Tokenizer.from_file(path)
+    for group in (texts, texts[:1], texts[1:]):
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder(group)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in group]
+
+
+def test_token_files_put_the_batch_size_back(spark):
+    docs, rows = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id bigint, text string"), spark.conf.get(common.BATCH)
+    assert token_files.read_token_files(token_files.write_token_files(docs, token_files.default_tokenizer())).count() == 9
+    assert spark.conf.get(common.BATCH) == rows
+
+
 def test_tree_and_words_go_before_the_scores_are_joined(spark):
     documents = [(i, " ".join(["zz"] * (i % 4) + [f"w{i % 7}", "the"])) for i in range(60)]
     folder = spark._jvm.org.apache.hadoop.fs.Path(staged_path(spark, "x")).getParent()
