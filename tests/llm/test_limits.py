@@ -75,6 +75,34 @@ def test_marked_words_are_the_librarys():
         assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder(group)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in group]
 
 
+def test_words_at_a_line_feed_are_learned_apart(monkeypatch):
+    from tokenizers import Tokenizer
+
+    encoder, plain = token_files.encoder_of(token_files.default_tokenizer()), Tokenizer.from_file(token_files.default_tokenizer())
+    single, learn = [], encoder._learn_texts
+    monkeypatch.setattr(encoder, "_learn_texts", lambda texts: (single.extend(texts), learn(texts)))
+    words = [a + b for a in "bdfgkl" for b in ("a", "é", "ou", "日", "ж", "in")]
+    texts = [f"x {a}.\n{b.capitalize()} {a}\n{b}***" for a in words for b in words]
+    assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder(texts)] == [[*plain.encode(t, add_special_tokens=False).ids, 0] for t in texts]
+    assert len(encoder.keys) < 10 * len(words) and not any(t.isalpha() for t in single)  # not a piece for each pair of words
+
+
+@pytest.mark.parametrize("kind", ["usual", "other cut"])
+def test_any_text_and_cut_has_the_librarys_ids(tmp_path, kind):
+    from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+    library = Tokenizer.from_file(token_files.default_tokenizer())
+    if kind == "other cut":
+        split = pre_tokenizers.Split(Regex(r" ?[A-Z]?[^\sA-Z\p{P}]*|[\p{P}]+[\r\n]*|\s+(?!\S)|\s+"), "isolated")
+        library.pre_tokenizer = pre_tokenizers.Sequence([split, pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    library.save(path := str(tmp_path / "tokenizer.json"))
+    marks, dice = ["a", "Bc", "é", "\n", "\n", " ", " ", " ", ".", ",", "'s", "'", "12", "日本", "ʰ", "\t", "\r", "\u3000", "\xa0", "\x85", "\x1c", "\u0120", "\u010a", "<|endoftext|>", "***", "한", "ж", "😀", "ª", "\u0301", "\0"], random.Random(kind)
+    encoder = token_files.encoder_of(path)
+    for n in (1, 3000, 3000):
+        texts = [None, "", "\n", "\n\n", "a\n", "\na", " a", "a ", "a\n\nb", *("".join(dice.choices(marks, k=dice.randrange(12))) for _ in range(n))]
+        assert [np.frombuffer(x, encoder.kind).tolist() for x in encoder(texts)] == [[*library.encode(t or "", add_special_tokens=False).ids, 0] for t in texts]
+
+
 def test_token_files_put_the_batch_size_back(spark):
     docs, rows = spark.createDataFrame([(i, f"text {i}") for i in range(9)], "doc_id bigint, text string"), spark.conf.get(common.BATCH)
     assert token_files.read_token_files(token_files.write_token_files(docs, token_files.default_tokenizer())).count() == 9
