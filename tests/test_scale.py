@@ -3,6 +3,7 @@ linkage in rounds, large files, ledgers with commits, closures, long contracts,
 
 import datetime as dt
 import hashlib
+import re
 import threading
 
 import numpy as np
@@ -193,6 +194,30 @@ def test_long_windows_have_two_cells_a_piece_and_rows_for_evidence_alone(spark):
     assert cover.filter("strategy_id = 'c'").count() == 500
 
 
+def test_windows_and_evidence_are_dealt_by_strategy_once(spark, monkeypatch):
+    plans, real = {}, evaluation.staged
+    monkeypatch.setattr(evaluation, "staged", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().executedPlan().toString()) and real(df, name))
+    before = spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition")
+    got = evaluated(spark, [("a", T0 + i * DAY, T0 + (i + 30) * DAY) for i in range(9)], evidence(spark, 60))
+    dealt = [re.sub(r"#\d+L?", "", keys) for keys in re.findall(r"Exchange hashpartitioning\((.*?), \d+\),", plans["snapshots"])]
+    assert got.snapshots.count() == 9 and len(plans) <= 5 and spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == before
+    assert dealt and {keys for keys in dealt if "capital" not in keys} == {"strategy_id"} and len(dealt) <= 10
+
+
+def test_results_and_falls_across_runs_of_windows(spark):
+    """Symbols that come back in later runs, falls from a peak of an earlier run, equal times."""
+    at = lambda d: T0 + d * DAY
+    p = [("a", "x", at(0), 1, 1, 9.0, 100.0), ("a", "y", at(1), 2, 1, 9.0, 7.0), ("a", "x", at(4), 3, 2, 9.0, 900.0), ("a", "x", at(6), 5, 1, 9.0, -50.0), ("a", "x", at(6), 4, 1, 9.0, 30.0), ("a", "z", at(8), 6, 3, 9.0, -700.0), ("b", "x", at(3), 7, 1, 9.0, 5.0)]
+    orders, fills, _, risks = evidence(spark, 40)
+    positions = spark.createDataFrame(p, "strategy_id string, symbol string, ts timestamp_ntz, seq bigint, quantity int, price double, realized_pnl double")
+    windows = [("a", at(i), at(i + n)) for i in range(-1, 10) for n in (0, 1, 3, 5, 9)] + [("b", at(0), at(9)), ("b", at(4), at(9))]
+    parts = (orders, fills, positions, risks)
+    got = {r.window_id: r for r in evaluated(spark, windows, parts).snapshots.collect()}
+    for i, w in enumerate(windows):
+        for name, value in plain_window(parts, *w).items():
+            assert got[f"w{i}"][name] == pytest.approx(value, abs=6e-5), (w, name)
+
+
 def test_digest_of_a_file_over_two_gigabytes(spark, tmp_path):
     big, h = tmp_path / "big", hashlib.sha256()
     with big.open("wb") as f:
