@@ -50,3 +50,14 @@ def test_causality_is_tried_to_the_end(spark, monkeypatch):
     rows = QUERIES["q_causality_check"](spark, SF).collect()
     longest = max(r["count"] for r in queries.bars(spark, SF).groupBy("contract").count().collect())
     assert tried == [signals.cut_points(longest)] * 2 and max(tried[0]) >= longest - 1 and all(r.breaks == 0 for r in rows)
+
+
+def test_windows_are_evaluated_a_second_time(spark, monkeypatch):
+    """A second evaluation that gave other rows would show: it is held against the first's."""
+    from barlab import paper_queries
+    from barlab.operators.evaluation import Evaluation
+
+    table = lambda name, hashes: spark.createDataFrame([(h,) for h in hashes], f"{name} string")
+    made = [Evaluation(table("snapshot_hash", s), table("event_hash", e), None) for s, e in (("ab", "x"), ("abc", "xyz"))]
+    monkeypatch.setattr(paper_queries, "evaluated", lambda spark, sf: made.pop(0))
+    assert [tuple(r) for r in QUERIES["q_window_again"](spark, SF).select("snapshots", "events").collect()] == [(1, 2)] and not made
